@@ -315,8 +315,9 @@ def only_response_column(columns: Sequence[str], period: str, diurnal: str) -> s
     return found[0]
 
 
-def verify_files(files: DataFrame, expected_sha256: dict[str, str] | None = None, least_bytes: int = 1, required_columns: Sequence[str] = ()) -> DataFrame:
-    """(path, check, ok, error): size, digest, and by extension the CSV header and rows, ZIP integrity, DBF columns."""
+def verify_files(files: DataFrame, expected_sha256: dict[str, str] | None = None, least_bytes: int = 1, required_columns: Sequence[str] = (), expected: Sequence[str] = ()) -> DataFrame:
+    """(path, check, ok, error): size, digest, and by extension the CSV header and rows, ZIP integrity, DBF columns. Names in `expected` that aren't among the files, or
+    are empty (Spark's readers skip empty files), fail the check `exists`."""
     known = expected_sha256 or {}
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -353,4 +354,9 @@ def verify_files(files: DataFrame, expected_sha256: dict[str, str] | None = None
                     add("columns", not gone, f"missing {gone}")
             yield pd.DataFrame(rows, columns=["path", "check", "ok", "error"])
 
-    return files.select("path", "content").mapInPandas(run, "path string, check string, ok boolean, error string")
+    done = files.select("path", "content").mapInPandas(run, "path string, check string, ok boolean, error string")
+    if not expected:
+        return done
+    there = files.select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    gone = files.sparkSession.createDataFrame([(n,) for n in expected], "name string").join(there, "name", "left_anti")
+    return done.unionByName(gone.select(F.col("name").alias("path"), F.lit("exists").alias("check"), F.lit(False).alias("ok"), F.lit("missing or empty").alias("error")))
