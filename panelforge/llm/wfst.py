@@ -148,13 +148,29 @@ class Transducer:
         self._weigh()
         names = list(self.ids)
         self.table = Table(np.array([_key(p) for p in names], np.uint64), np.array([self.ids[p] for p in names], np.int32))
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.sizes = np.array([len(p) for p in self.pieces])
+        self.letters = np.frombuffer("".join(self.pieces).encode("utf-32-le"), "<u4")
+        self.heads = np.cumsum(self.sizes) - self.sizes
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the table of solved words: numbers of words, and their pieces one after another."""
+        self.cache: dict[str, int] = {}
+        self.solved: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "cache"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "solved", "counts")}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state, cache={})
+        self.__dict__.update(state)
+        self._forget()
+
+    def _keep(self, words: list[str], counts: np.ndarray, pieces: np.ndarray) -> None:
+        n = len(self.cache)
+        self.cache.update(zip(words, range(n, n + len(words)), strict=True))
+        self.solved.append(pieces.astype(np.int32))
+        self.counts.append(counts.astype(np.int64))
 
     def _weigh(self) -> None:
         """Ranks of merges and, for BPE, the last merge that makes each piece."""
@@ -266,52 +282,67 @@ class Transducer:
         return tuple(out[::-1])
 
     def _paths(self, words: list[str]) -> None:
-        """Shortest paths of many words of one length into the cache."""
-        n = len(words[0])
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), n).astype(np.uint64) + np.uint64(1)
-        prefix = np.zeros((n + 1, len(words)), np.uint64)
+        """Shortest paths of many words of one length into the table."""
+        n, m = len(words[0]), len(words)
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(m, n)
+        prefix = np.zeros((n + 1, m), np.uint64)
         for j in range(n):
-            prefix[j + 1] = prefix[j] * _BASE + chars[:, j]
+            prefix[j + 1] = prefix[j] * _BASE + (letters[:, j].astype(np.uint64) + np.uint64(1))
         powers = np.array([pow(int(_BASE), k, 1 << 64) for k in range(n + 1)], np.uint64)
-        cost = np.full((n + 1, len(words)), np.inf)
+        cost = np.full((n + 1, m), np.inf)
         cost[0] = 0
-        last = np.full((n + 1, len(words)), -1, np.int32)
+        last = np.full((n + 1, m), -1, np.int32)
         for j in range(1, n + 1):
+            todo = np.arange(m)
             for i in range(max(0, j - self.longest), j):
-                piece = self.table.get(prefix[j] - prefix[i] * powers[j - i])
-                at = np.flatnonzero(piece >= 0)
-                at = at[self.usable[piece[at]]]
-                c = cost[i, at] + (0.0 if self.bpe else self.cost[piece[at]])
+                piece = self.table.get(prefix[j, todo] - prefix[i, todo] * powers[j - i])
+                hit = np.flatnonzero(piece >= 0)
+                hit = hit[self.usable[piece[hit]]]
+                at, piece = todo[hit], piece[hit]
+                c = cost[i, at] + (0.0 if self.bpe else self.cost[piece])
                 better = c < cost[j, at]
+                if self.bpe and i:
+                    hit, at, piece, c = hit[better], at[better], piece[better], c[better]
+                    better = self._apart_all(last[i, at], piece) if len(at) else better[:0]
                 at, c = at[better], c[better]
-                if self.bpe and i and len(at):
-                    keep = self._apart_all(last[i, at], piece[at])
-                    at, c = at[keep], c[keep]
-                cost[j, at], last[j, at] = c, piece[at]
-        # Walk back all words at once; then cut the flat list of pieces into words.
-        sizes = np.array([len(p) for p in self.pieces])
-        where, steps = np.full(len(words), n), []
+                cost[j, at], last[j, at] = c, piece[better]
+                if self.bpe and len(at):
+                    # One path of BPE has finite weight, so these words need no other arc to this place.
+                    todo = np.delete(todo, hit[better])
+                    if not len(todo):
+                        break
+        # Walk back all words at once.
+        where, steps = np.full(m, n), []
         while (where > 0).any():
-            here = np.where(where > 0, last[where, np.arange(len(words))], -1)
+            here = np.where(where > 0, last[where, np.arange(m)], -1)
             steps.append(here)
-            where = np.where(where > 0, where - np.where(here >= 0, sizes[here], n), 0)
+            where = np.where(where > 0, where - np.where(here >= 0, self.sizes[here], n), 0)
         grid = np.array(steps)[::-1].T
-        for w, row in zip(words, grid.tolist(), strict=True):
-            ids = tuple(p for p in row if p >= 0)
-            # Hashes stand for substrings above; this is the exact check.
-            self.cache[w] = ids if "".join([self.pieces[p] for p in ids]) == w else self._path(w)
+        held = grid >= 0
+        flat, counts = grid[held], held.sum(axis=1)
+        # Hashes stand for substrings above; this is the exact check, letter by letter.
+        size = self.sizes[flat]
+        spelled = self.letters[np.repeat(self.heads[flat] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        if len(spelled) == m * n and np.array_equal(spelled, letters.ravel()):
+            self._keep(words, counts, flat)
+        else:
+            self._one_by_one(words)
+
+    def _one_by_one(self, words: list[str]) -> None:
+        paths = [self._path(w) for w in words]
+        self._keep(words, np.array([len(p) for p in paths]), np.array([i for p in paths for i in p]))
 
     def _solve(self, words: set[str]) -> None:
         by_length: dict[int, list[str]] = {}
         for w in words:
             if len(w) == 1 and w not in self.ids or w in self.user:
-                self.cache[w] = (self.all_ids[w],) if w in self.user else self._fallback(w)
+                ids = (self.all_ids[w],) if w in self.user else self._fallback(w)
+                self._keep([w], np.array([len(ids)]), np.array(ids))
             else:
                 by_length.setdefault(len(w), []).append(w)
         for n, group in by_length.items():
             if len(group) < 48 or n > 48:
-                for w in group:
-                    self.cache[w] = self._path(w)
+                self._one_by_one(group)
             else:
                 for at in range(0, len(group), 1 << 15):
                     self._paths(group[at : at + (1 << 15)])
@@ -324,13 +355,27 @@ class Transducer:
             text = re.sub(" +", " ", text.strip(" "))
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of pieces of each text, all pieces one after another)."""
         if len(self.cache) > 400_000:
-            self.cache.clear()
+            self._forget()
         split = [self.words.findall(self.normalise(t)) for t in texts]
         self._solve(set(chain.from_iterable(split)).difference(self.cache))
-        get = self.cache.__getitem__
-        return [list(chain.from_iterable(map(get, words))) for words in split]
+        pool = np.concatenate(self.solved) if self.solved else np.empty(0, np.int32)
+        counts = np.concatenate(self.counts) if self.counts else np.empty(0, np.int64)
+        self.solved, self.counts = [pool], [counts]
+        starts = np.cumsum(counts) - counts
+        amounts = np.fromiter(map(len, split), np.int64, len(split))
+        word = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(split)), np.int64, amounts.sum())
+        n = counts[word]
+        ends = np.cumsum(n)
+        flat = pool[np.repeat(starts[word] - (ends - n), n) + np.arange(n.sum())]
+        total = np.concatenate([[0], ends])[np.cumsum(amounts)]
+        return np.diff(total, prepend=0), flat
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        lengths, flat = self.encode_flat(texts)
+        return [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])] if len(texts) else []
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
@@ -359,11 +404,10 @@ def encode_texts(docs: DataFrame, model: Transducer, key: str = "doc_id", text:
         m = sent.value
         for batch in batches(arrow, text, 4 << 20):
             texts = [x.decode("utf-8", "replace") for x in utf8(batch.column(text))]
-            ids = m.encode_all(texts)
-            same = [m.decode(i) == t for i, t in zip(ids, texts, strict=True)]
-            lengths = [len(i) for i in ids]
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(lengths))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
+            lengths, flat = m.encode_flat(texts)
+            ends = np.cumsum(lengths)
+            same = [m.decode(flat[b - n : b].tolist()) == t for n, b, t in zip(lengths.tolist(), ends.tolist(), texts, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(lengths, pa.int64()), lists, pa.array(same)], names=[key, "n_tokens", "ids", "round_trip"])
 
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, n_tokens long, ids array<int>, round_trip boolean")
