@@ -223,6 +223,37 @@ def phrase_hits(index: DataFrame, phrases: Phrases) -> DataFrame:
     return index.mapInArrow(run, _HITS)
 
 
+def proximity_hits(index: DataFrame, terms: list[bytes], within: int) -> DataFrame:
+    """(doc_id, start, end): spans of at most `within` words that hold all the terms in any order, one for each occurrence of the rarest term in a
+    segment: the tightest choice of nearest occurrences on each side. From the same lists as phrases."""
+    if within > _GAP:
+        raise ValueError(f"spans of more than {_GAP} words need an index with wider gaps")
+    wanted = [x for t in terms for x in tokens(t)]
+
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow:
+            for row in batch.to_pylist():
+                s = Segment(row, wanted)
+                if not wanted or not (s.df > 0).all():
+                    continue
+                lists = [s.keys[h : h + n] & ((1 << 40) - 1) for h, n in zip(s.heads, s.df, strict=True)]
+                lists.sort(key=len)
+                low = high = lists[0]
+                for other in lists[1:]:
+                    after = np.searchsorted(other, low)
+                    right = other[np.minimum(after, len(other) - 1)]
+                    left = other[np.maximum(after - 1, 0)]
+                    # Of the occurrences next to the span so far, the one that widens it less.
+                    widths = [np.maximum(high, x) - np.minimum(low, x) for x in (left, right)]
+                    pick = np.where(widths[0] <= widths[1], left, right)
+                    low, high = np.minimum(low, pick), np.maximum(high, pick)
+                good = high - low < within
+                doc = s.docs_of(low[good])
+                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[doc]), pa.array(low[good] - s.starts[doc]), pa.array(high[good] - s.starts[doc])], names=["doc_id", "start", "end"])
+
+    return index.mapInArrow(run, "doc_id long, start long, end long")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", window: int = WINDOW, share: int = 20, block_bytes: int = 8 << 20) -> DataFrame:
     """Per document: doc_id, n_words, hits (sorted word positions inside an occurrence of an item's window), items (their ids,
     sorted as strings), n_hit, contaminated (hit, and at least one word in `share` is)."""

@@ -115,7 +115,7 @@ class Gam:
         k = self.bins
         share = float(y.mean()) if len(y) else 0.5
         self.intercept = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-        if not 0 < share < 1:
+        if not len(y) or not 0 < share < 1:
             return self
         self.cuts = [np.unique(np.quantile(x[:, i], np.linspace(0, 1, k + 1)[1:-1])) for i in range(x.shape[1])]
         bins = self.binned(x)

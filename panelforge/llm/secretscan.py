@@ -47,7 +47,10 @@ _LEET = str.maketrans("@4301$57!+", "aaeoisstit")
 #: The rows of a keyboard.
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _AT = {ch: (r, c) for r, row in enumerate(ROWS) for c, ch in enumerate(row)}
-_DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:19|20)?\d\d|(?:19|20)\d\d)")
+_DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:1[0-2]|0?[1-9])\1(?:[12]\d|3[01]|0?[1-9])|(?:[12]\d|3[01]|0?[1-9])([-/._]?)(?:1[0-2]|0?[1-9])\2(?:19|20)?\d\d|(?:19|20)\d\d)")
+_LETTERS = re.compile(r"[A-Za-z]{3,}")
+#: Five consonants in a row, or five letters without a vowel, aren't pronounceable.
+_HARSH = re.compile(r"[^aeiouyAEIOUY]{5}")
 
 
 def _neighbours(a: str, b: str) -> bool:
@@ -78,6 +81,10 @@ def _pieces(text: str, longest: int = 24) -> list[list[tuple[int, float]]]:
                 found[j].append((i, log(rank * shape * leet + 1)))
     for m in _DATE.finditer(text):
         found[m.end()].append((m.start(), log(365 * 120 * (4 if not text[m.start() : m.end()].isdigit() else 1)) if m.end() - m.start() > 4 else log(120)))
+    # A whole run of pronounceable letters may be a word that the list lacks: it costs what a large dictionary does.
+    for m in _LETTERS.finditer(text):
+        if not _HARSH.search(m[0]) and (m[0][1:].islower() or m[0].isupper()):
+            found[m.end()].append((m.start(), min(5.0, 1.415 * len(m[0]))))
     # Runs: one character repeated, a step through the alphabet or digits, a walk over neighbouring keys.
     for same, cost in (
         (lambda a, b: a == b, lambda s: log(_alphabet(s[0]) * len(s))),

@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
 
 
 def _features(marks: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(marks.view("<u2").reshape(len(marks), 4)).astype(np.int16)
+    return np.bitwise_count(np.ascontiguousarray(marks).view("<u2").reshape(len(marks), 4)).astype(np.int16)
 
 
 def _tiles(marks: np.ndarray) -> list[np.ndarray]:
@@ -177,9 +177,163 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return marked.join(named, "fp").select(key, hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+# ------------------------------------------------------------------ similarity of word shingles, by wide fingerprints and an exact check
+
+
+def _shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of every shingle; none for a text without words."""
+    words = text.lower().translate(_TO_SPACE).split()
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else [], np.uint64)
+    joined = b" ".join(words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], 42) for a, b in zip((ends - lengths).tolist(), ends[width - 1 :].tolist(), strict=False)], np.uint64)
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int) -> bytes:
+    """SimHash of `words` times 64 bits over distinct shingles; further words are mixed from the shingle's hash."""
+    n = len(hashes)
+    if not n:
+        return bytes(8 * words)
+    counts = np.zeros(64 * words, np.int64)
+    more = [np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % 2**64) for k in range(words)]
+    for at in range(0, n, 1 << 12):
+        own = hashes[at : at + (1 << 12)]
+        grid = np.empty((len(own), words), np.uint64)
+        for k in range(words):
+            x = own if k == 0 else (own ^ more[k]) * np.uint64(0xBF58476D1CE4E5B9)
+            grid[:, k] = x if k == 0 else (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        counts += np.unpackbits(grid.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * counts > n, bitorder="little").tobytes()
+
+
+def reach_of(similarity: float, bits: int, sigmas: float) -> int:
+    """Hamming distance that pairs of that Jaccard similarity stay within, up to `sigmas` deviations: bits differ with the angle between
+    shingle sets of equal size."""
+    p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+    return int(np.ceil(bits * p + sigmas * np.sqrt(bits * p * (1 - p))))
+
+
+class _PairForest(_Forest):
+    """Keeps, of the pairs it is given, those that joined two trees."""
+
+    def __init__(self, n: int):
+        super().__init__(n)
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            ra, rb = self.roots(a), self.roots(b)
+            apart = np.flatnonzero(ra != rb)
+            if not len(apart):
+                return
+            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            hook, first = np.unique(np.maximum(ra, rb), return_index=True)
+            self.up[hook] = np.minimum(ra, rb)[first]
+            self.kept.append((a[first], b[first]))
+
+
+def forest_of_pairs(left: np.ndarray, right: np.ndarray | None, near: int, reaches: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (into left, then right) of pairs that make a spanning forest of all pairs within the last reach, closer ones
+    first. Fingerprints are rows of 64-bit words; the first word alone sorts out pairs beyond `near`."""
+    marks = left if right is None else np.concatenate([left, right])
+    if not len(left) or (right is not None and not len(right)):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    head = np.ascontiguousarray(marks[:, 0])
+    a = _tiles(np.ascontiguousarray(left[:, 0]))
+    b = a if right is None else [x + len(left) for x in _tiles(np.ascontiguousarray(right[:, 0]))]
+    counts = np.bitwise_count(head).astype(np.int64)
+    forest, later = _PairForest(len(marks)), []
+    for i, t in enumerate(a):
+        for u in b[i:] if right is None else b:
+            if counts[t].min() - counts[u].max() > near or counts[u].min() - counts[t].max() > near:
+                continue
+            x, y = np.nonzero(np.bitwise_count(head[t][:, None] ^ head[u][None, :]) <= near)
+            x, y = t[x], u[y]
+            keep = x != y
+            x, y = x[keep], y[keep]
+            if not len(x):
+                continue
+            distance = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1, dtype=np.int64)
+            forest.link(x[distance <= reaches[0]], y[distance <= reaches[0]])
+            rest = (distance > reaches[0]) & (distance <= reaches[-1])
+            if rest.any():
+                later.append((distance[rest], x[rest], y[rest]))
+    for lo, hi in zip(reaches, reaches[1:], strict=False):
+        for distance, x, y in later:
+            at = (distance > lo) & (distance <= hi)
+            forest.link(x[at], y[at])
+    if not forest.kept:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([x for x, _ in forest.kept]), np.concatenate([y for _, y in forest.kept])
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, words: int = 8, group_rows: int = 1 << 17) -> DataFrame:
+    """One row per document with a key: key and component_id, the smallest key of its group. Documents are linked if their sets of word shingles have a Jaccard similarity
+    of `similarity` or more.
+
+    Candidates come from the tiled comparison of wide fingerprints, with a reach that keeps nearly all similar pairs; each task returns a spanning forest of its
+    candidates, closest first, and each edge of it is checked exactly on the shingle sets (as 32-bit hashes), so no documents are grouped without a similar
+    pair. Texts of equal fingerprints are one group. Texts without words make one group. Rows with a null key are left out.
+    """
+    spark = docs.sparkSession
+    bits = 64 * words
+
+    def mark(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(arrow, text):
+            marks = [wide_fingerprint(np.unique(_shingle_hashes(x, width)), words) for x in utf8(batch.column(text))]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(marks, pa.binary())], names=[key, "fp"])
+
+    keyed = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), text)
+    marked = store(keyed.mapInArrow(mark, f"{key} long, fp binary"), "wide-fingerprints")
+    distinct = store(marked.groupBy("fp").agg(F.min(key).alias("node")), "wide-distinct")
+    rows = distinct.count()
+    groups = max(4, int(np.ceil(np.sqrt(2 * salted_partitions(spark)))), -(-rows // group_rows))
+    cells = distinct.select("fp", "node", F.pmod(F.xxhash64("fp"), F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("h")).select("fp", "node", "g", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"))
+    near, reaches = reach_of(similarity, 64, 3.6), tuple(reach_of(s, bits, z) for s, z in ((0.9, 0.0), (similarity, 0.0), (similarity, 3.3)))
+
+    def compare(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        marks = np.frombuffer(b"".join(pdf["fp"]), "<u8").reshape(len(pdf), words)
+        node, own = pdf["node"].to_numpy(np.int64), pdf["g"].to_numpy() == i
+        # In order of nodes, so that a retry gives the same forest.
+        a, b = (x[np.argsort(node[x], kind="stable")] for x in (np.flatnonzero(own), np.flatnonzero(~own)))
+        u, v = forest_of_pairs(marks[a], None if i == j else marks[b], near, reaches)
+        names = node[a] if i == j else np.concatenate([node[a], node[b]])
+        return pd.DataFrame({"u": names[u], "v": names[v]})
+
+    pairs = store(cells.groupBy("i", "j").applyInPandas(compare, "u long, v long"), "candidates")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias(key)).distinct()
+
+    def shingle(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(arrow, text):
+            sets = [np.unique((_shingle_hashes(x, width) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in utf8(batch.column(text))]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(sets, pa.binary())], names=[key, "s"])
+
+    # A key may repeat with another text: the one whose fingerprint made the node isn't known here, so any of its texts may vouch.
+    sets = store(keyed.join(ends, key, "left_semi").mapInArrow(shingle, f"{key} long, s binary"), "shingles")
+
+    def verify(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow:
+            good = []
+            for a, b in zip(batch.column("su").to_pylist(), batch.column("sv").to_pylist(), strict=True):
+                x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common >= similarity * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(sets.select(F.col(key).alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col(key).alias("v"), F.col("s").alias("sv")), "v")
+    links = store(both.select("u", "v", "su", "sv").mapInArrow(verify, "u long, v long"), "similar")
+    joined = connected_components(links)
+    named = distinct.join(joined.select("node", "root"), "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    return marked.join(named, "fp").select(key, "component_id")
+
+
 def representatives(docs: DataFrame, classed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that stand for their class: the one with the smallest key; one of the rows that repeat it. Rows with a null
-    key take part as one key, smaller than all others only among themselves."""
-    heads = classed.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_head")).distinct()
-    kept = docs.join(heads, docs[key].eqNullSafe(heads["_head"]), "left_semi")
-    return kept.dropDuplicates([key]).select(docs.columns)
+    """The rows of `docs` that stand for their class: the one with the smallest key, one row of those that repeat it. Rows with a null key have no
+    class and stay."""
+    heads = classed.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    kept = docs.where(F.col(key).isNotNull()).join(heads, key, "left_semi").dropDuplicates([key]).select(docs.columns)
+    return kept.unionByName(docs.where(F.col(key).isNull()))
