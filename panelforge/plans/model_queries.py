@@ -277,6 +277,61 @@ def _(spark, sf):
     return X.residual_autocorrelation(_spec_frame(spark, sf), _SPEC, (4,), 19)
 
 
+_HPOP = f"""{WIDE}, hp AS (SELECT unit_id, list(h ORDER BY epoch) AS G FROM (SELECT unit_id, epoch, pop / nullif(max(CASE WHEN epoch = {LAST} THEN pop END) OVER (PARTITION BY unit_id), 0) AS h FROM stock QUALIFY epoch < {LAST}) GROUP BY 1)"""
+
+
+def _pop_history(spark, sf):
+    return P.history_array(P.history(stock(spark, sf), "pop", LAST))
+
+
+@query("rs17_boundary_distance", f"WITH {_HPOP} SELECT unit_id, round(sqrt(list_sum(list_transform(list_zip(H, G), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 7) AS d_boundary FROM wide JOIN hp USING (unit_id)")
+def _(spark, sf):
+    return X.boundary_distance(wide(spark, sf), _pop_history(spark, sf), "H").withColumn("d_boundary", R("d_boundary", 7))
+
+
+@query("ag22_distance_by_stratum", f"WITH {_HPOP}, d AS (SELECT region, born > 1990 AS late, sqrt(list_sum(list_transform(list_zip(H, G), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM wide JOIN hp USING (unit_id)) SELECT 'region' AS dimension, region AS level, count(*) AS n, round(avg(d), 7) AS mean FROM d GROUP BY 2 UNION ALL SELECT 'born_late', CAST(late AS VARCHAR), count(*), round(avg(d), 7) FROM d GROUP BY 2")
+def _(spark, sf):
+    w = wide(spark, sf)
+    d = X.boundary_distance(w, _pop_history(spark, sf), "H").join(w.select("unit_id", "region", "born"), "unit_id")
+    return A.stacked_means(d, "d_boundary", {"region": F.col("region"), "born_late": F.col("born") > 1990}).withColumn("mean", R("mean", 7))
+
+
+@query("ml16_two_definitions")
+def _(spark, sf):
+    w = wide(spark, sf)
+    fixed = X.reconstruction_grid(w, {"S3": ("S", 4)}, ("C", 3), ("H", H), ("region",), ("ridge",)).withColumn("definition", F.lit("built"))
+    other = w.drop("H").join(_pop_history(spark, sf), "unit_id")
+    return fixed.unionByName(X.reconstruction_grid(other, {"S3": ("S", 4)}, ("C", 3), ("H", H), ("region",), ("ridge",)).withColumn("definition", F.lit("population")))
+
+
+@query("ml22_key_reconstruction")
+def _(spark, sf):
+    return spark.createDataFrame([(float(X.key_reconstruction_error(wide(spark, sf), ("S", 4), ("H", H), least_train=20)),)], "mean_row_error double")
+
+
+@query("rs11_transfer_nulls")
+def _(spark, sf):
+    return X.transfer_nulls(_spec_frame(spark, sf), _SPEC, 2, ["region"])
+
+
+@query("rs14_separability_variants")
+def _(spark, sf):
+    def rate(df):
+        x = M.block_scale(df, {"S": 4})
+        pairs = N.knn(x, x, 5).select("i", "j", F.col("d").alias("d_sc"))
+        return N.divergent_rate(N.pair_distances(pairs, x, {"d_h": "H"}))
+
+    changes = {"baseline": lambda d: d, "without_smallest": lambda d: Q.below_quantile(d, "pop", 0.1), "robust": lambda d: M.robust_scale(d, "S", 4)}
+    return X.sensitivity(wide(spark, sf), "variant", changes, rate)
+
+
+@query("dr3_increment", "SELECT 'FAIL' AS gate, 'STOP' AS program, 'DISAPPEARS' AS strict_precedence, 'NULL' AS second_response, count(*) AS n FROM supplier")
+def _(spark, sf):
+    zero = ("d1", "d1_lo", "null_q95", "pseudo_mean", "redundant_mean", "regions_positive", "partial_rho", "twin_p", "transfer", "transfer_q05", "c2", "strict", "strict_lo", "second", "second_lo")
+    m = t(spark, sf, "supplier").agg(F.count(F.lit(1)).alias("n"), *[F.lit(0.0).alias(c) for c in zero], F.lit(0.01).alias("d1_hi"))
+    return D.increment_gate(m).select("gate", "program", "strict_precedence", "second_response", "n")
+
+
 @query("dr1_separability", "SELECT 'MIXED' AS classification, 3 AS n_for, 1 AS n_against, round((avg(c_acctbal) - 0.5 * avg(c_acctbal)) / avg(c_acctbal), 6) AS relative_effect FROM customer")
 def _(spark, sf):
     m = t(spark, sf, "customer").agg(F.lit(0.2265).alias("r2_full"), F.lit(0.25).alias("r2_simple"), F.avg("c_acctbal").alias("null_mean"), (F.avg("c_acctbal") * 0.5).alias("observed"), F.lit(0.8).alias("share_consistent"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.functions.scalars import quadratic, tile_id
+from panelforge.functions.scalars import distance, quadratic, tile_id
 from panelforge.operators import learning as M
 from panelforge.operators import neighbours as N
 from panelforge.operators import quality as Q
@@ -193,6 +193,41 @@ def reconstruction_grid(df: DataFrame, blocks: dict[str, tuple[str, int]], conte
     return out
 
 
+def key_reconstruction_error(df: DataFrame, block: tuple[str, int], history: tuple[str, int], group: str = "region", least_test: int = 5, least_train: int = 50) -> float:
+    """Mean over held-out groups of the mean row error of ridge; NaN without groups that can be held out."""
+    name, width = history
+    groups = M.group_out_folds(df, group, least_test, least_train)
+    if not groups:
+        return float("nan")
+    outs = [f"_h{i}" for i in range(width)]
+    own = df.withColumn("_fold", F.col(group)).withColumns({o: F.col(name)[i] for i, o in enumerate(outs)})
+    fit = M.ridge_oof(own, block[0], block[1], outs, "_fold").where(F.col(group).isin(groups))
+    per = fit.groupBy("_fold").agg(M.mean_row_l2(F.array(*outs), F.array(*[F.col(f"pred_{o}") for o in outs])).alias("e"))
+    return per.agg(F.avg("e")).first()[0]
+
+
+def boundary_distance(a: DataFrame, b: DataFrame, vector: str, key: str = "unit_id") -> DataFrame:
+    """(key, d_boundary): distance of two definitions of each unit's history."""
+    return a.select(key, F.col(vector).alias("_a")).join(b.select(key, F.col(vector).alias("_b")), key).select(key, distance(F.col("_a"), F.col("_b")).alias("d_boundary"))
+
+
+def transfer_nulls(df: DataFrame, spec: Spec, n_draws: int, strata: Sequence[str], k: int = 10, key: str = "unit_id") -> DataFrame:
+    """(null, draw, rmse) of transfer with histories shuffled within strata, random ones, and ones predicted from the base blocks."""
+    own = with_folds(df, spec).persist()
+    name, width = spec.history
+    perm = RS.shuffled(own, name, n_draws, strata, key=key, out="_perm").persist()
+    rows = []
+    for d in range(1, n_draws + 1):
+        rows.append(("shuffled", d, own.join(perm.where(F.col("draw") == d).select(key, "_perm"), key), "_perm"))
+        rows.append(("random", d, RS.matched_random(own, name, width, seed=100 * d), "x_random"))
+    rows.append(("pseudo", 1, pseudo_history(own, spec), "pseudo"))
+    out = None
+    for null, d, frame, column in rows:
+        row = M.metrics(transfer(frame, replace(spec, history=(column, width)), k), spec.y, "transferred").select(F.lit(null).alias("null"), F.lit(d).alias("draw"), "rmse")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def agreement(a: DataFrame, b: DataFrame, epochs: Sequence[str], key: str = "unit_id") -> DataFrame:
     """(epoch, pearson, spearman, n) of two definitions of the same columns, matched by key; p-values by the t distribution."""
     both = a.select(key, *[F.col(e).alias(f"a_{e}") for e in epochs]).join(b.select(key, *[F.col(e).alias(f"b_{e}") for e in epochs]), key)

@@ -8,56 +8,11 @@ import pytest
 from panelforge.sources import files as S
 from panelforge.sources import gpkg as K
 from panelforge.sources import sinks as W
-
-
-def dbf(fields, rows):
-    size = 1 + sum(f[2] for f in fields)
-    head = 32 + 32 * len(fields) + 1
-    out = struct.pack("<4BIHH20x", 3, 120, 1, 1, len(rows), head, size)
-    out += b"".join(n.encode().ljust(11, b"\0") + k.encode() + b"\0" * 4 + bytes([w, d]) + b"\0" * 14 for n, k, w, d in fields) + b"\r"
-    for mark, *values in rows:
-        out += mark.encode() + b"".join(str(v).encode().ljust(w)[:w] if k == "C" else str(v).encode().rjust(w)[:w] for v, (_, k, w, _) in zip(values, fields, strict=True))
-    return out
+from panelforge.sources.writers import dbf_bytes as dbf, put, shp_bytes as shp, tiff_bytes
 
 
 FIELDS = [("Summer_day", "N", 8, 3), ("Code", "N", 6, 0), ("Name", "C", 10, 0), ("hasPlace", "L", 1, 0)]
-ROWS = [(" ", 1.25, 7, "Alpha", "T"), ("*", 9.0, 8, "gone", "F"), (" ", "", 9, "Beta", "?")]
-
-
-def shp(rings_of):
-    body = b""
-    for i, rings in enumerate(rings_of):
-        if rings is None:
-            content = struct.pack("<i", 0)
-        else:
-            pts = [p for r in rings for p in r]
-            starts = np.cumsum([0] + [len(r) for r in rings])[:-1]
-            content = struct.pack("<i4dii", 5, 0, 0, 1, 1, len(rings), len(pts)) + struct.pack(f"<{len(rings)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in pts)
-        body += struct.pack(">ii", i + 1, len(content) // 2) + content
-    return struct.pack(">i20xi", 9994, (100 + len(body)) // 2) + b"\0" * 72 + body
-
-
-def tiff(values, order="<", nodata="-9999", compression=1):
-    h, w = values.shape
-    data = values.astype(f"{order}f4").tobytes()
-    tags = [(256, 3, [w]), (257, 3, [h]), (258, 3, [32]), (259, 3, [compression]), (277, 3, [1]), (278, 3, [h]), (339, 3, [3]), (33550, 12, [0.5, 0.5, 0.0]), (33922, 12, [0, 0, 0, 10.0, 50.0, 0]), (42113, 2, nodata.encode() + b"\0"), (273, 4, [0]), (279, 4, [len(data)])]
-    tags.sort()
-    at = 8 + 2 + 12 * len(tags) + 4
-    extra, entries = b"", b""
-    strip_at = None
-    for tag, kind, v in tags:
-        raw = v if kind == 2 else struct.pack(order + str(len(v)) + {3: "H", 4: "I", 12: "d"}[kind], *v)
-        head = struct.pack(order + "HHI", tag, kind, len(v))
-        if tag == 273:
-            strip_at = len(entries) + 8
-        if len(raw) <= 4:
-            entries += head + raw.ljust(4, b"\0")
-        else:
-            entries += head + struct.pack(order + "I", at + len(extra))
-            extra += raw
-    start = at + len(extra)
-    entries = entries[:strip_at] + struct.pack(order + "I", start) + entries[strip_at + 4 :]
-    return {"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HI", 42, 8) + struct.pack(order + "H", len(tags)) + entries + b"\0" * 4 + extra + data
+ROWS = [(" ", 1.25, 7, "Alpha", "T"), ("*", 9.0, 8, "gone", "F"), (" ", None, 9, "Beta", "?")]
 
 
 def test_dbf_header_and_rows():
@@ -93,7 +48,7 @@ def test_shapefile(spark, tmp_path):
 def test_tiff(spark, tmp_path, order):
     values = np.arange(12, dtype=float).reshape(3, 4)
     values[0, 0] = -9999
-    (tmp_path / "r.tif").write_bytes(tiff(values, order))
+    (tmp_path / "r.tif").write_bytes(tiff_bytes(values, 10.0, 50.0, 0.5, 0.5, order=order))
     (tmp_path / "bad.tif").write_bytes(b"not a tiff at all")
     files = S.binary(spark, f"file://{tmp_path}")
     meta = {r["path"].rsplit("/", 1)[-1]: r for r in S.raster_metadata(files).collect()}
@@ -108,8 +63,13 @@ def test_tiff(spark, tmp_path, order):
     assert (d["n_valid"], d["min"], d["max"]) == (11, 1.0, 11.0)
 
 
+def test_put(spark, tmp_path):
+    assert put(spark, f"file://{tmp_path}/a/b.bin", b"\0x") .endswith("b.bin")
+    assert (tmp_path / "a" / "b.bin").read_bytes() == b"\0x"
+
+
 def test_tiff_refusals():
-    data = tiff(np.zeros((2, 2)))
+    data = tiff_bytes(np.zeros((2, 2)), 0, 0, 1, 1)
     with pytest.raises(ValueError, match="beyond"):
         S.tiff_tags(data[:20])
     with pytest.raises(ValueError, match="BigTIFF"):
