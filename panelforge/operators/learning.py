@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import dot
+from panelforge.operators.ordering import exact_quantiles, row_numbers
 
 ALPHAS = tuple(float(a) for a in np.logspace(-3, 3, 13))
 
@@ -55,8 +56,8 @@ def block_scale(df: DataFrame, blocks: dict[str, int], out: str = "x", fit_on: D
 
 def random_folds(df: DataFrame, key: str, k: int = 5, seed: str = "") -> DataFrame:
     """Balanced folds in order of the key's hash."""
-    w = Window.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    hashed = df.withColumn("_hash", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
+    return row_numbers(hashed, ["_hash", key], "_r").withColumn("fold", (F.col("_r") % k).cast("int")).drop("_hash", "_r")
 
 
 def group_out_folds(df: DataFrame, group: str, least_test: int = 5, least_train: int = 50) -> list[str]:
@@ -287,4 +288,4 @@ def mahalanobis(df: DataFrame, x: str, width: int, q: float = 0.95, ridge: float
     z = df.withColumn("_z", F.array(*[(F.col(x)[i] - float(mean[i])) / float(sd[i]) for i in range(width)]))
     quad = sum((F.col("_z")[i] * dot(F.col("_z"), F.array(*[F.lit(float(v)) for v in inverse[i]])) for i in range(width)), F.lit(0.0))
     z = z.withColumn(out, F.sqrt(F.greatest(quad, F.lit(0.0)))).drop("_z")
-    return z.join(F.broadcast(z.agg(F.percentile(out, F.lit(q)).alias("_cut")))).withColumn("supported", F.col(out) <= F.col("_cut")).drop("_cut")
+    return z.join(F.broadcast(exact_quantiles(z, out, [q], "_cut"))).withColumn("supported", F.col(out) <= F.col("_cut")[0]).drop("_cut")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import EARTH_KM, distance
+from panelforge.operators.ordering import exact_quantiles
 
 
 def knn(queries: DataFrame, candidates: DataFrame, k: int, x: str = "x", key: str = "unit_id", least_km: float | None = None, same_group: str | None = None, other_group: str | None = None, block_rows: int = 8192) -> DataFrame:
@@ -81,15 +82,16 @@ def pair_distances(pairs: DataFrame, attributes: DataFrame, vectors: dict[str, s
 def divergent_rate(pairs: DataFrame, near: str = "d_sc", far: str = "d_h", near_q: float = 0.25, far_q: float = 0.75, near_cut: float | None = None, far_cut: float | None = None) -> DataFrame:
     """One row: the cut-offs and the share of near pairs whose other distance is above its cut-off. Cut-offs are exact quantiles unless
     given."""
-    cuts = pairs.agg((F.percentile(near, F.lit(near_q)) if near_cut is None else F.lit(near_cut)).alias("near_cut"), (F.percentile(far, F.lit(far_q)) if far_cut is None else F.lit(far_cut)).alias("far_cut"))
-    own = pairs.join(F.broadcast(cuts)).where(F.col(near) <= F.col("near_cut"))
+    one = pairs.sparkSession.range(1)
+    cut = lambda c, q, given, name: exact_quantiles(pairs, c, [q], "_q").select(F.col("_q")[0].alias(name)) if given is None else one.select(F.lit(float(given)).alias(name))
+    own = pairs.join(F.broadcast(cut(near, near_q, near_cut, "near_cut"))).join(F.broadcast(cut(far, far_q, far_cut, "far_cut"))).where(F.col(near) <= F.col("near_cut"))
     return own.groupBy("near_cut", "far_cut").agg(F.count(F.lit(1)).alias("n_near"), F.avg((F.col(far) > F.col("far_cut")).cast("double")).alias("divergent_rate"))
 
 
 def twin_candidates(pairs: DataFrame, attributes: DataFrame, n: int = 50, near: str = "d_sc", far: str = "d_h", near_q: float = 0.25) -> DataFrame:
     """The near pairs that differ most, with a summary line of each end (column `summary`)."""
-    cut = pairs.agg(F.percentile(near, F.lit(near_q)).alias("_cut"))
-    top = pairs.join(F.broadcast(cut)).where(F.col(near) <= F.col("_cut")).orderBy(F.desc(far), "i", "j").limit(n).drop("_cut")
+    cut = exact_quantiles(pairs, near, [near_q], "_cut")
+    top = pairs.join(F.broadcast(cut)).where(F.col(near) <= F.col("_cut")[0]).orderBy(F.desc(far), "i", "j").limit(n).drop("_cut")
     return with_ends(top, attributes, ["summary"])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import any_infinite, any_missing, any_negative
+from panelforge.operators.ordering import exact_quantiles
 from panelforge.operators.panel import jump_summary
 
 
@@ -83,5 +84,5 @@ def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def below_quantile(df: DataFrame, column: str, q: float, keep_upper: bool = True) -> DataFrame:
     """Rows at or above the exact quantile of a column (or at or below it)."""
-    cut = df.agg(F.percentile(column, F.lit(q)).alias("_cut"))
-    return df.join(F.broadcast(cut)).where(F.col(column) >= F.col("_cut") if keep_upper else F.col(column) <= F.col("_cut")).drop("_cut")
+    cut = F.broadcast(exact_quantiles(df, column, [q], "_cut"))
+    return df.join(cut).where(F.col(column) >= F.col("_cut")[0] if keep_upper else F.col(column) <= F.col("_cut")[0]).drop("_cut")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import ratio
+from panelforge.operators.ordering import exact_quantiles, prefix_sums, row_numbers
 
 
 def weighted_mean(x: Column, w: Column) -> Column:
@@ -86,8 +87,12 @@ def match_rates(df: DataFrame, by: str, matched: str) -> DataFrame:
 def average_rank(df: DataFrame, column: str, out: str, by: Sequence[str] = ()) -> DataFrame:
     """Ranks from 1, ties sharing their mean. Distinct values are counted first, so the running sum is over values, not rows."""
     counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by).orderBy(column)
-    ranks = counts.withColumn(out, (F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + (F.col("_c") + 1) / 2).cast("double")).drop("_c")
+    if by:
+        before = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    else:
+        counts = prefix_sums(counts, [column], F.col("_c"), "_b")
+    ranks = counts.withColumn(out, (F.col("_b") + (F.col("_c") + 1) / 2).cast("double")).drop("_c", "_b")
     return df.join(ranks, [*by, column])
 
 
@@ -185,14 +190,14 @@ def completeness(members: DataFrame, required: Sequence[str] = (".shp", ".shx",
 
 def spaced_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """`n` rows evenly spaced over the order of `key`, both ends included; all rows if there are no more."""
-    ranked = df.withColumn("_r", F.row_number().over(Window.orderBy(key)) - 1)
+    ranked = row_numbers(df, [key], "_r")
     total = df.agg(F.count(F.lit(1)).alias("_n"))
     spots = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / F.lit(max(1, n - 1))))
     return ranked.join(F.broadcast(total)).where((F.col("_n") <= n) | F.array_contains(spots, F.col("_r").cast("long"))).drop("_r", "_n")
 
 
 def first_middle_last(df: DataFrame, key: str) -> DataFrame:
-    ranked = df.withColumn("_r", F.row_number().over(Window.orderBy(key)) - 1)
+    ranked = row_numbers(df, [key], "_r")
     total = df.agg(F.count(F.lit(1)).alias("_n"))
     return ranked.join(F.broadcast(total)).where((F.col("_r") == 0) | (F.col("_r") == F.floor(F.col("_n") / 2)) | (F.col("_r") == F.col("_n") - 1)).drop("_r", "_n")
 
@@ -214,7 +219,7 @@ def bins_left_closed(df: DataFrame, column: str, names: Sequence[str], out: str
 
 def _binned(df, column, names, out, under):
     k = len(names)
-    cuts = df.agg(F.percentile(column, F.array(*[F.lit(i / k) for i in range(1, k)])).alias("_cuts"))
+    cuts = exact_quantiles(df, column, [i / k for i in range(1, k)], "_cuts")
     x = F.col(column)
     case = F.when(x.isNull(), None)
     for i, name in enumerate(names[:-1]):
