@@ -18,11 +18,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,8 +189,8 @@ def _blocks(items: DataFrame, key: str, text: str, most: int) -> Iterator[list[t
 _HITS = "segment string, seg_doc long, doc_id long, n_words long, hits array<int>, items array<string>"
 
 
-def phrase_hits(index: DataFrame, phrases: Phrases) -> DataFrame:
-    """Per document: its number of words, the hit word positions (int32 bytes) and the ids of the items that occur."""
+def phrase_hits(index: DataFrame, phrases: Phrases) -> tuple[DataFrame, Broadcast]:
+    """Per document: its number of words, the hit word positions and the ids of the items that occur; and the broadcast that the frame reads."""
     sent = index.sparkSession.sparkContext.broadcast(phrases)
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +221,7 @@ def phrase_hits(index: DataFrame, phrases: Phrases) -> DataFrame:
                     names=["segment", "seg_doc", "doc_id", "n_words", "hits", "items"],
                 )
 
-    return index.mapInArrow(run, _HITS)
+    return index.mapInArrow(run, _HITS), sent
 
 
 def proximity_hits(index: DataFrame, terms: list[bytes], within: int) -> DataFrame:
@@ -260,9 +261,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", it
     if window > _GAP:
         raise ValueError(f"windows of more than {_GAP} words need an index with wider gaps")
     index = store(build_index(docs, key, text), "index")
-    merged, *more = [phrase_hits(index, Phrases(block, window)) for block in _blocks(benchmark, item_key, text, block_bytes)]
-    if more:
-        merged = reduce(DataFrame.unionByName, [x.where(F.size("hits") > 0) for x in more], merged)
+    blocks = _blocks(benchmark, item_key, text, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        merged, _ = phrase_hits(index, Phrases(first, window))
+    else:
+        # One block at a time is on the workers: its hits are stored, and the block is dropped.
+        parts = []
+        for block in chain((first, second), blocks):
+            found, sent = phrase_hits(index, Phrases(block, window))
+            parts.append(store(found.where(F.size("hits") > 0) if parts else found, "hits"))
+            sent.destroy()
+        merged = reduce(DataFrame.unionByName, parts)
         merged = merged.groupBy("segment", "seg_doc").agg(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
         )

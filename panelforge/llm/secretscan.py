@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -148,11 +149,18 @@ def find_spans(text: bytes, least_log10: float = 10.0) -> list[tuple[int, int, i
     if b"x" * 16 in text.translate(_IS_HEX):
         spans += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     if cued:
-        base = sorted(spans)
+        # Disjoint stretches of base spans, for a search by bisection.
+        stretches: list[list[int]] = []
+        for a, b, _ in sorted(spans):
+            if stretches and a <= stretches[-1][1]:
+                stretches[-1][1] = max(stretches[-1][1], b)
+            else:
+                stretches.append([a, b])
+        heads = [s[0] for s in stretches]
         for m in CONTEXT.finditer(text):
             value = m.group(1).rstrip(b"\"',;:.)]}>")
             a, b = m.start(1), m.start(1) + len(value)
-            if len(value) >= 8 and not any(s < b and a < e for s, e, _ in base) and not guessable(value.decode("ascii"), least_log10):
+            if len(value) >= 8 and not ((k := bisect_left(heads, b)) and stretches[k - 1][1] > a) and not guessable(value.decode("ascii"), least_log10):
                 spans.append((a, b, 3))
     return sorted(spans, key=lambda s: (s[0], s[2], s[1]))
 

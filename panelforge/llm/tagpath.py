@@ -15,6 +15,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +41,14 @@ _NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|banner|sponsor\w*|promo\w*|menus?|nav|navbar|navigation|side|sidebar|rail|footer|foot|header|masthead|topbar|breadcrumbs?|crumbs|cookies?|consent|gdpr|notices?|alert|notification|popup|pop-up|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|login|share|sharing|social|related|recommend\w*|more-stories|popular|trending|comments?|commentlist|discussion|disqus|replies|reply|respond|reviews|feedback|widget|toolbar|pager|pagination|search|searchbox|copyright|legal|disclaimer|paywall|skip|hidden|noprint|outbrain|taboola)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Names that tell of a layout (`has-sidebar`), not of the part itself.
+_LAYOUT = re.compile(r"(?:^|[_-])(?:has|with|no|without|wrap|wrapper|layout|grid)(?:$|[_-])", re.I)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _FIRST_NAME = re.compile(r"\b(?:class|id)\s*=\s*[\"']?([\w-]+)")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？·¿¡]")
 _MAIN = frozenset(("article", "main"))
+#: Deeper elements don't lengthen a path.
+_DEPTH = 256
 
 
 class _Block:
@@ -61,7 +66,7 @@ def _marked(tag: str, attrs: str, inside: bool) -> bool:
         return False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and _NAMED.search(value) and not (tag in _MAIN and name == "class" and "comment" not in value.lower() and "ad" not in value.lower().split()):
+        if name in ("class", "id") and any(_NAMED.search(x) and not _LAYOUT.search(x) for x in value.split()):
             return True
         if name == "role" and _ROLE.search(value.lower()) or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -72,7 +77,8 @@ def _marked(tag: str, attrs: str, inside: bool) -> bool:
 
 def blocks_of(page: str) -> list[_Block]:
     out: list[_Block] = []
-    stack: list[tuple[str, bool]] = []  # (tag, whether it or an ancestor is marked), block-level only
+    stack: list[tuple[str, bool, bool]] = []  # (tag, whether it or an ancestor is marked, whether by a tag), block-level only
+    opened: Counter = Counter()
     path: tuple[str, ...] = ()
     parts: list[str] = []
     links = linked = inside = 0
@@ -88,8 +94,9 @@ def blocks_of(page: str) -> list[_Block]:
 
     def leave(n: int) -> None:
         nonlocal path, inside
-        for tag, _ in stack[n:]:
+        for tag, *_ in stack[n:]:
             inside -= tag in _MAIN
+            opened[tag] -= 1
         del stack[n:]
         path = path[:n]
 
@@ -123,21 +130,25 @@ def blocks_of(page: str) -> list[_Block]:
         if tag in VOID:
             continue
         if closing:
-            n = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if n is not None:
-                leave(n)
+            if opened[tag] > 0:
+                leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         ends = _CLOSES.get(tag, ())
         if stack and (stack[-1][0] == "p" or stack[-1][0] in ends or stack[-1][0] in HEADINGS and tag in HEADINGS):
             leave(len(stack) - 1)
         while ends and stack and stack[-1][0] in ends:
             leave(len(stack) - 1)
-        marked = bool(stack) and stack[-1][1] or _marked(tag, attrs, inside > 0)
-        stack.append((tag, marked))
+        own = _marked(tag, attrs, inside > 0)
+        # An article inside a part that is marked by its name alone counts: names of wrappers mislead.
+        strict = bool(stack) and stack[-1][2] or own and tag in APART
+        marked = own or bool(stack) and stack[-1][1] and (strict or tag not in _MAIN)
+        stack.append((tag, marked, strict))
+        opened[tag] += 1
         inside += tag in _MAIN
         # A container is told from others by its first name, so that paths through them differ.
         named = _FIRST_NAME.search(attrs) if attrs and tag in ("div", "section") else None
-        path = (*path, f"{tag}.{named[1].lower()}" if named else tag)
+        if len(path) < _DEPTH:
+            path = (*path, f"{tag}.{named[1].lower()}" if named else tag)
     text(page[at:])
     flush()
     return out

@@ -16,6 +16,8 @@ PAGES = [
     ("<nav>menu</nav><footer>foot</footer>", ""),
     (f"<article><p>{P}</p><!-- <p>no</p> --><p>a &lt; b &#233; &unknown;</p><scr", f"{P}\na < b é &unknown;"),
     (f'<article><p title="a > b">{P}</p><div hidden>{P}</div><div style="display: none">{P}</div></article>', P),
+    (f'<div class="page has-sidebar"><div class="site-header">Menu, here.</div><div><p>{P}</p></div></div>', P),
+    (f'<div class="sidebar-layout sidebar"><article><p>{P}</p></article></div><div class="comments"><article class="comment"><p>{P}</p></article></div>', P),
     (f"<article><header><h1>Title</h1></header><p>{P}</p></article>", f"Title\n{P}"),
 ]
 
@@ -45,6 +47,7 @@ def test_long_and_deep_pages():
     assert T.main_text("<div>" * 3000 + P + "</div>" * 3000) == P
     assert T.main_text(f"<p>{'word, ' * 200_000}</p>") == ("word, " * 200_000).strip()
     assert T.main_text("<p a='" + "x" * 100_000) == ""
+    assert T.main_text("<div>" * 60_000 + P + "</section>" * 60_000) == P
 
 
 def test_paths_are_scored_by_length_and_punctuation():
