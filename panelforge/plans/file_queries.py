@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -30,7 +32,11 @@ def query(name: str, sql: str | None = None):
 
 def folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; a temporary one where that is unset, in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='panelforge-')}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        own = tempfile.mkdtemp(prefix="panelforge-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        shared = f"file://{own}"
     return f"{shared}/files-{uuid.uuid4().hex}"
 
 
