@@ -44,6 +44,17 @@ def history_array(h: DataFrame, unit: str = "unit_id", epoch: str = "epoch") ->
     return h.groupBy(unit).agg(F.transform(F.array_sort(F.collect_list(F.struct(epoch, "h"))), lambda x: x["h"]).alias("H"))
 
 
+def trajectories(flow: DataFrame, values: Sequence[str], base_epoch: int, history_of: str, unit: str = "unit_id", epoch: str = "epoch") -> DataFrame:
+    """One row per unit from flows in one aggregation: the stocks at the base epoch, under the values' names, and the array `H` of stocks of `history_of` before it,
+    relative to it. Units without a flow in the base epoch have NULLs. The same as `cumulative`, `history` and `history_array`, without their windows and joins."""
+    rows = flow.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct(epoch, *values))).alias("_p"))
+    sum_to = lambda v, n: F.aggregate(F.slice(F.col(f"_p.{v}"), F.lit(1), n), F.lit(0.0), lambda s, x: s + x)
+    at = F.array_position(F.col(f"_p.{epoch}"), F.lit(base_epoch)).cast("int")
+    ends = rows.select(unit, "_p", *[F.when(at > 0, sum_to(v, at)).alias(v) for v in values], at.alias("_at"))
+    before = F.when(F.col("_at") > 1, F.sequence(F.lit(1), F.col("_at") - 1)).otherwise(F.array().cast("array<int>"))
+    return ends.select(unit, *values, F.when(F.col("_at") > 0, F.transform(before, lambda i: ratio(sum_to(history_of, i), F.col(history_of)))).alias("H"))
+
+
 def descriptors(panel: DataFrame, value: str, base_epoch: int, early: int, middle: int, unit: str = "unit_id", epoch: str = "epoch") -> DataFrame:
     """Levels at two epochs, late growth, and the growth-weighted mean time: midpoints of steps weighted by positive growth
     (NULL without growth)."""

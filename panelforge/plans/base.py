@@ -40,10 +40,7 @@ def stock(spark: SparkSession, sf: str) -> DataFrame:
 
 def wide(spark: SparkSession, sf: str) -> DataFrame:
     """One row per unit: attributes, the last epoch's values, the history array, and state and context arrays."""
-    s = stock(spark, sf)
-    end = s.where(F.col("epoch") == LAST).select("unit_id", *VALUES)
-    h = P.history_array(P.history(s, "bus", LAST))
-    u = units(spark, sf).join(end, "unit_id").join(h, "unit_id")
+    u = units(spark, sf).join(P.trajectories(flow(spark, sf), VALUES, LAST, "bus").where("H IS NOT NULL"), "unit_id")
     state = P.state_block(F.col("pop"), F.col("bus"), F.col("buv"), "S3", log=True)
     context = P.context_block(F.col("lat"), F.col("lon"), F.col("elev"))
     return u.withColumn("S", state).withColumn("C", context)

@@ -12,6 +12,7 @@ from panelforge.operators import panel as P
 from panelforge.operators import quality as Q
 from panelforge.operators import resampling as RS
 from panelforge.operators import summaries as A
+from panelforge.operators.ordering import settled
 from panelforge.plans import specs as X
 from panelforge.plans.base import LAST, STOCK, U, WIDE, stock, t, units, wide
 from panelforge.plans.relational_queries import _KM, _PAIRS, _emb, _pairs
@@ -129,7 +130,7 @@ def _(spark, sf):
 
 @query("ml15_reconstruction_grid")
 def _(spark, sf):
-    w = wide(spark, sf).withColumn("S1", F.slice("S", 1, 2)).withColumn("S2", F.slice("S", 1, 3))
+    w = settled(wide(spark, sf).withColumn("S1", F.slice("S", 1, 2)).withColumn("S2", F.slice("S", 1, 3)))
     return X.reconstruction_grid(w, {"S1": ("S1", 2), "S2": ("S2", 3), "S3": ("S", 4)}, ("C", 3), ("H", H))
 
 
@@ -147,7 +148,7 @@ _SPEC = X.Spec("primary", "y", (("S", 4), ("C", 3)), ("H", H))
 
 
 def _spec_frame(spark, sf):
-    return wide(spark, sf).withColumn("y", F.col("elev") / 1000 + F.col("H")[2])
+    return settled(wide(spark, sf).withColumn("y", F.col("elev") / 1000 + F.col("H")[2]))
 
 
 @query("ml21_specification")
@@ -183,7 +184,7 @@ def _(spark, sf):
     SELECT CAST(draw AS INTEGER) AS draw, round(avg(sqrt(list_sum(list_transform(list_zip(u.H, v.H), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))), 6) AS stat FROM pairs JOIN p u ON u.unit_id = i JOIN p v USING (draw) WHERE v.unit_id = j GROUP BY 1""",
 )
 def _(spark, sf):
-    return RS.permutation_pair_null(_pairs(spark, sf), wide(spark, sf), "H", 20, ["region"]).withColumn("stat", R("stat", 6))
+    return RS.permutation_pair_null(_pairs(spark, sf), settled(wide(spark, sf)), "H", 20, ["region"]).withColumn("stat", R("stat", 6))
 
 
 @query("rs3_matched_random")
@@ -322,7 +323,7 @@ def _(spark, sf):
         return N.divergent_rate(N.pair_distances(pairs, x, {"d_h": "H"}))
 
     changes = {"baseline": lambda d: d, "without_smallest": lambda d: Q.below_quantile(d, "pop", 0.1), "robust": lambda d: M.robust_scale(d, "S", 4)}
-    return X.sensitivity(wide(spark, sf), "variant", changes, rate)
+    return X.sensitivity(settled(wide(spark, sf)), "variant", changes, rate)
 
 
 @query("dr3_increment", "SELECT 'FAIL' AS gate, 'STOP' AS program, 'DISAPPEARS' AS strict_precedence, 'NULL' AS second_response, count(*) AS n FROM supplier")
@@ -363,7 +364,8 @@ def _(spark, sf):
 )
 def flagship(spark, sf):
     """Suppliers as cities: panel, histories, scaled states, mutual neighbours 200 km apart, distances of histories."""
-    w = M.block_scale(wide(spark, sf), {"S": 4})
+    # One row per unit, read several times: for the scaling, both sides of the search, and both ends of the pairs.
+    w = M.block_scale(settled(wide(spark, sf)), {"S": 4})
     twins = N.mutual_pairs(N.knn(w, w, 5, least_km=200.0))
     return N.pair_distances(twins, w, {"d_h": "H"}).select("i", "j", R("d", 5).alias("d_s"), R("d_h", 5).alias("d_h"))
 

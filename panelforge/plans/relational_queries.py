@@ -11,6 +11,7 @@ from panelforge.operators import panel as P
 from panelforge.operators import quality as Q
 from panelforge.operators import spatial as G
 from panelforge.operators import summaries as A
+from panelforge.operators.ordering import settled
 from panelforge.plans.base import LAST, LINKS, STOCK, U, WIDE, cluster_valid, link_countries, overlaps, stock, t, units, wide
 
 R = F.round
@@ -164,7 +165,7 @@ _PAIRS = f"""{WIDE}, pairs AS (SELECT a.unit_id AS i, b.unit_id AS j, sqrt(list_
 
 def _pairs(spark, sf):
     """Pairs of suppliers whose keys are up to three apart, as an equi-join on the key."""
-    w = wide(spark, sf)
+    w = settled(wide(spark, sf))
     ids = w.select(F.col("unit_id").alias("i"), F.explode(F.array(*[F.col("unit_id") + d for d in (1, 2, 3)])).alias("j"))
     both = ids.join(w.select(F.col("unit_id").alias("j")), "j", "left_semi").select("i", "j")
     return N.pair_distances(both, w, {"d_sc": "S", "d_h": "H"})
@@ -462,7 +463,7 @@ def _(spark, sf):
 
 @query("sl2_twin_candidates", f"WITH {_PAIRS} SELECT i, j, round(d_sc, 6) AS d_sc, round(d_h, 6) AS d_h, 'pop=' || CAST(CAST(a.pop AS BIGINT) AS VARCHAR) AS summary_i, 'pop=' || CAST(CAST(b.pop AS BIGINT) AS VARCHAR) AS summary_j FROM pairs JOIN wide a ON a.unit_id = i JOIN wide b ON b.unit_id = j WHERE d_sc <= (SELECT quantile_cont(d_sc, 0.25) FROM pairs) ORDER BY d_h DESC, i, j LIMIT 50")
 def _(spark, sf):
-    w = wide(spark, sf).withColumn("summary", F.format_string("pop=%.0f", "pop"))
+    w = settled(wide(spark, sf)).withColumn("summary", F.format_string("pop=%.0f", "pop"))
     return N.twin_candidates(_pairs(spark, sf), w).withColumn("d_sc", R("d_sc", 6)).withColumn("d_h", R("d_h", 6))
 
 

@@ -20,6 +20,18 @@ def test_history_is_between_zero_and_one(panel):
         assert all(0 < v < 1 for v in r["H"])
 
 
+def test_trajectories_equal_the_windows(spark):
+    rows = [(u, e, float(u + 1), float(e % 7), 1.0) for u in range(3) for e in (1990, 1995, 2000, 2005) if (u, e) not in ((1, 1995), (2, 2000))]
+    flow = spark.createDataFrame(rows, "unit_id long, epoch int, bus double, pop double, buv double")
+    stock = P.cumulative(flow, ("bus", "pop", "buv"))
+    want = {r["unit_id"]: r["H"] for r in P.history_array(P.history(stock, "bus", 2000)).collect()}
+    ends = {r["unit_id"]: r["pop"] for r in stock.where("epoch = 2000").collect()}
+    got = {r["unit_id"]: (r["H"], r["pop"]) for r in P.trajectories(flow, ("bus", "pop", "buv"), 2000, "bus").collect()}
+    assert got[2] == (None, None)
+    assert {k: v[0] for k, v in got.items() if k != 2} == {k: v for k, v in want.items() if k != 2}
+    assert {k: v[1] for k, v in got.items() if k != 2} == ends
+
+
 def test_later_epochs_dont_change_an_earlier_history(panel):
     """Precedence: corrupting what comes after the base leaves the history unchanged."""
     spoiled = panel.withColumn("bus", F.when(F.col("epoch") > 2000, -1.0).otherwise(F.col("bus")))
