@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -66,7 +68,7 @@ def batches(arrow: Iterator[pa.RecordBatch], text: str = "text", most: int = 12
     for batch in arrow:
         if not batch.num_rows:
             continue
-        lengths = [len(x) for x in utf8(batch.column(text))] if batch.nbytes > most else []
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist() if batch.nbytes > most else []
         start = used = 0
         for i, n in enumerate(lengths):
             if used + n > most and i > start:
@@ -76,9 +78,14 @@ def batches(arrow: Iterator[pa.RecordBatch], text: str = "text", most: int = 12
         yield batch.slice(start)
 
 
-def lower_ascii(text: bytes) -> bytes:
-    """A-Z to a-z; every other byte stays."""
-    return text.lower()
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system, where the C library can: workers live on between tasks, beside the executor's own heap."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def salted_partitions(spark: SparkSession, least: int = 12) -> int:
