@@ -305,7 +305,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         return pd.DataFrame({"u": names[u], "v": names[v]})
 
     pairs = store(cells.groupBy("i", "j").applyInPandas(compare, "u long, v long"), "candidates")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias(key)).distinct()
+    # A table of known size: Spark broadcasts it while it is small, and else shuffles the texts.
+    ends = store(pairs.select(F.explode(F.array("u", "v")).alias(key)).distinct(), "ends")
 
     def shingle(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(arrow, text):
@@ -333,7 +334,16 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 def representatives(docs: DataFrame, classed: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of `docs` that stand for their class: the one with the smallest key, one row of those that repeat it. Rows with a null key have no
-    class and stay."""
-    heads = classed.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    kept = docs.where(F.col(key).isNotNull()).join(heads, key, "left_semi").dropDuplicates([key]).select(docs.columns)
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    class and stay.
+
+    Only the keys that go, and those that repeat, are joined to the texts. They are tables of known size, so Spark sends them to the texts while they are under its
+    broadcast threshold, and shuffles both sides beyond it.
+    """
+    head = (F.col(key) == F.col("component_id")).cast("int")
+    odd = store(classed.groupBy(key).agg(F.max(head).alias("_head"), F.count(F.lit(1)).alias("_n")).where("_head = 0 OR _n > 1"), "odd")
+    left = docs.join(odd.where("_head = 0").select(key), key, "left_anti")
+    twice = odd.where("_head = 1").select(key)
+    if twice.isEmpty():
+        return left.select(docs.columns)
+    once = left.join(twice, key, "left_anti").select(docs.columns)
+    return once.unionByName(left.join(twice, key, "left_semi").dropDuplicates([key]).select(docs.columns))
