@@ -70,9 +70,11 @@ def batches(arrow: Iterator[pa.RecordBatch], text: str = "text", most: int = 12
             continue
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist() if batch.nbytes > most else []
         start = used = 0
+        release()
         for i, n in enumerate(lengths):
             if used + n > most and i > start:
                 yield batch.slice(start, i - start)
+                release()
                 start, used = i, 0
             used += n
         yield batch.slice(start)

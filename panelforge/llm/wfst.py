@@ -237,7 +237,7 @@ class Transducer:
                 limit, x = rank[x], int(self.right[x])
             else:
                 limit, y = rank[y] + 1, int(self.left[y])
-        if len(self.known_pairs) > 1 << 19:
+        if len(self.known_pairs) > 1 << 17:
             self.known_pairs.clear()
         self.known_pairs[key] = out
         return out
