@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm._base import batches, salted_partitions, store, utf8
+from panelforge.llm._base import batches, release, salted_partitions, store, utf8
 from panelforge.llm.components import connected_components
 
 #: Bytes of `[\x20\x09-\x0D]`, which separate words.
@@ -235,9 +235,9 @@ class _PairForest(_Forest):
             self.kept.append((a[first], b[first]))
 
 
-def forest_of_pairs(left: np.ndarray, right: np.ndarray | None, near: int, reaches: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+def forest_of_pairs(left: np.ndarray, right: np.ndarray | None, near: int, reaches: tuple[int, ...], spare: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Indices (into left, then right) of pairs that make a spanning forest of all pairs within the last reach, closer ones
-    first. Fingerprints are rows of 64-bit words; the first word alone sorts out pairs beyond `near`."""
+    first, and `spare` further forests of other pairs beyond the first reach, in case some of the first fail a later check. Fingerprints are rows of 64-bit words; the first word alone sorts out pairs beyond `near`."""
     marks = left if right is None else np.concatenate([left, right])
     if not len(left) or (right is not None and not len(right)):
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -261,21 +261,31 @@ def forest_of_pairs(left: np.ndarray, right: np.ndarray | None, near: int, reach
             rest = (distance > reaches[0]) & (distance <= reaches[-1])
             if rest.any():
                 later.append((distance[rest], x[rest], y[rest]))
-    for lo, hi in zip(reaches, reaches[1:], strict=False):
-        for distance, x, y in later:
-            at = (distance > lo) & (distance <= hi)
-            forest.link(x[at], y[at])
-    if not forest.kept:
+    kept = list(forest.kept)
+    close = forest.up.copy()
+    for _ in range(spare + 1):
+        # Each further forest starts from the close pairs and uses none of the pairs taken before.
+        forest.up, forest.kept = close.copy(), []
+        for lo, hi in zip(reaches, reaches[1:], strict=False):
+            for distance, x, y in later:
+                at = (distance > lo) & (distance <= hi)
+                forest.link(x[at], y[at])
+        if not forest.kept:
+            break
+        kept += forest.kept
+        taken = np.concatenate([x * len(marks) + y for x, y in forest.kept])
+        later = [(d[free], x[free], y[free]) for d, x, y in later for free in (~np.isin(x * len(marks) + y, taken),)]
+    if not kept:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate([x for x, _ in forest.kept]), np.concatenate([y for _, y in forest.kept])
+    return np.concatenate([x for x, _ in kept]), np.concatenate([y for _, y in kept])
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, words: int = 8, group_rows: int = 1 << 17) -> DataFrame:
     """One row per document with a key: key and component_id, the smallest key of its group. Documents are linked if their sets of word shingles have a Jaccard similarity
     of `similarity` or more.
 
-    Candidates come from the tiled comparison of wide fingerprints, with a reach that keeps nearly all similar pairs; each task returns a spanning forest of its
-    candidates, closest first, and each edge of it is checked exactly on the shingle sets (as 32-bit hashes), so no documents are grouped without a similar
+    Candidates come from the tiled comparison of wide fingerprints, with a reach that keeps nearly all similar pairs; each task returns a few spanning forests of its
+    candidates, closest first, and each of their edges is checked exactly on the shingle sets (as 32-bit hashes), so no documents are grouped without a similar
     pair. Texts of equal fingerprints are one group. Texts without words make one group. Rows with a null key are left out.
     """
     spark = docs.sparkSession
@@ -296,6 +306,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def compare(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        release()
         marks = np.frombuffer(b"".join(pdf["fp"]), "<u8").reshape(len(pdf), words)
         node, own = pdf["node"].to_numpy(np.int64), pdf["g"].to_numpy() == i
         # In order of nodes, so that a retry gives the same forest.
