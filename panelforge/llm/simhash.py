@@ -235,32 +235,44 @@ class _PairForest(_Forest):
             self.kept.append((a[first], b[first]))
 
 
-def forest_of_pairs(left: np.ndarray, right: np.ndarray | None, near: int, reaches: tuple[int, ...], spare: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (into left, then right) of pairs that make a spanning forest of all pairs within the last reach, closer ones
-    first, and `spare` further forests of other pairs beyond the first reach, in case some of the first fail a later check. Fingerprints are rows of 64-bit words; the first word alone sorts out pairs beyond `near`."""
+def _pairs(left: np.ndarray, right: np.ndarray | None, near: int, reach: int, rows: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Indices (into left, then right) and distances of all pairs within `reach`, block by block; within `left` alone where `right` is None (some in both
+    orders), else across. Fingerprints are rows of 64-bit words; the first word alone sorts out pairs beyond `near`."""
     marks = left if right is None else np.concatenate([left, right])
     if not len(left) or (right is not None and not len(right)):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return
     head = np.ascontiguousarray(marks[:, 0])
     a = _tiles(np.ascontiguousarray(left[:, 0]))
     b = a if right is None else [x + len(left) for x in _tiles(np.ascontiguousarray(right[:, 0]))]
     counts = np.bitwise_count(head).astype(np.int64)
-    forest, later = _PairForest(len(marks)), []
     for i, t in enumerate(a):
         for u in b[i:] if right is None else b:
             if counts[t].min() - counts[u].max() > near or counts[u].min() - counts[t].max() > near:
                 continue
-            x, y = np.nonzero(np.bitwise_count(head[t][:, None] ^ head[u][None, :]) <= near)
-            x, y = t[x], u[y]
-            keep = x != y
-            x, y = x[keep], y[keep]
-            if not len(x):
-                continue
-            distance = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1, dtype=np.int64)
-            forest.link(x[distance <= reaches[0]], y[distance <= reaches[0]])
-            rest = (distance > reaches[0]) & (distance <= reaches[-1])
-            if rest.any():
-                later.append((distance[rest], x[rest], y[rest]))
+            hit = np.bitwise_count(head[t][:, None] ^ head[u][None, :]) <= near
+            for at in range(0, len(t), rows):
+                x, y = np.nonzero(hit[at : at + rows])
+                x, y = t[x + at], u[y]
+                keep = x != y
+                x, y = x[keep], y[keep]
+                if not len(x):
+                    continue
+                distance = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1, dtype=np.int64)
+                keep = distance <= reach
+                if keep.any():
+                    yield x[keep], y[keep], distance[keep]
+
+
+def forest_of_pairs(left: np.ndarray, right: np.ndarray | None, near: int, reaches: tuple[int, ...], spare: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (into left, then right) of pairs that make a spanning forest of all pairs within the last reach, closer ones
+    first, and `spare` further forests of other pairs beyond the first reach, in case some of the first fail a later check. Every fingerprint that has a pair is in one of those returned."""
+    n = len(left) + (0 if right is None else len(right))
+    forest, later = _PairForest(n), []
+    for x, y, distance in _pairs(left, right, near, reaches[-1]):
+        forest.link(x[distance <= reaches[0]], y[distance <= reaches[0]])
+        rest = distance > reaches[0]
+        if rest.any():
+            later.append((distance[rest], x[rest], y[rest]))
     kept = list(forest.kept)
     close = forest.up.copy()
     for _ in range(spare + 1):
@@ -273,20 +285,68 @@ def forest_of_pairs(left: np.ndarray, right: np.ndarray | None, near: int, reach
         if not forest.kept:
             break
         kept += forest.kept
-        taken = np.concatenate([x * len(marks) + y for x, y in forest.kept])
-        later = [(d[free], x[free], y[free]) for d, x, y in later for free in (~np.isin(x * len(marks) + y, taken),)]
+        taken = np.concatenate([x * n + y for x, y in forest.kept])
+        later = [(d[free], x[free], y[free]) for d, x, y in later for free in (~np.isin(x * n + y, taken),)]
     if not kept:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate([x for x, _ in kept]), np.concatenate([y for _, y in kept])
 
 
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, words: int = 8, group_rows: int = 1 << 17) -> DataFrame:
+def open_documents(left: np.ndarray, right: np.ndarray | None, near: int, reach: int, roots: np.ndarray) -> np.ndarray:
+    """Indices of the fingerprints that have a pair within `reach` whose `roots` differ."""
+    found = np.zeros(len(roots), bool)
+    for x, y, _ in _pairs(left, right, near, reach):
+        apart = roots[x] != roots[y]
+        found[x[apart]] = True
+        found[y[apart]] = True
+    return np.flatnonzero(found)
+
+
+def joining_pairs(left: np.ndarray, right: np.ndarray | None, near: int, reach: int, roots: np.ndarray, sets: list[np.ndarray], similarity: float, at_once: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within `reach` whose distinct `sets` have that similarity, as far as they join trees that `roots` and earlier pairs leave apart. All other
+    pairs within reach are checked as well."""
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    ends = np.cumsum(size)
+    values, ids = np.unique(np.concatenate([*sets, np.empty(0, np.uint32)]), return_inverse=True)
+    ids = [ids[e - k : e].astype(np.int32) for e, k in zip(ends.tolist(), size.tolist(), strict=True)]
+    forest, mine = _PairForest(n), np.zeros(len(values), bool)
+    _, first, which = np.unique(roots, return_index=True, return_inverse=True)
+    forest.up = first[which]
+    for x, y, _ in _pairs(left, right, near, reach):
+        few, many = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+        keep = (few > 0) & (few >= similarity * many) & (forest.roots(x) != forest.roots(y))
+        x, y = x[keep], y[keep]
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        own, start = np.unique(x, return_index=True)
+        for v, ys in zip(own.tolist(), np.split(y, start[1:]), strict=True) if len(own) else ():
+            ys = ys[forest.roots(ys) != forest.roots(np.array([v]))]
+            mine[ids[v]] = True
+            for some in np.split(ys, np.flatnonzero(np.diff(np.cumsum(size[ys]) // at_once)) + 1) if len(ys) else ():
+                starts = np.cumsum(size[some]) - size[some]
+                common = np.add.reduceat(mine[np.concatenate([ids[w] for w in some])], starts, dtype=np.int64)
+                good = some[common >= similarity * (size[v] + size[some] - common)]
+                forest.link(np.full(len(good), v), good)
+            mine[ids[v]] = False
+    if not forest.kept:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([x for x, _ in forest.kept]), np.concatenate([y for _, y in forest.kept])
+
+
+def _cells(rows: DataFrame, groups: int) -> DataFrame:
+    """`rows` (with fp) once for each pair i <= j of groups that holds their group g."""
+    g = F.pmod(F.xxhash64("fp"), F.lit(groups)).cast("int")
+    return rows.withColumn("g", g).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("i", F.least("g", "h")).withColumn("j", F.greatest("g", "h")).drop("h")
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, words: int = 8, group_rows: int = 1 << 17, set_bytes: int = 1 << 24) -> DataFrame:
     """One row per document with a key: key and component_id, the smallest key of its group. Documents are linked if their sets of word shingles have a Jaccard similarity
     of `similarity` or more.
 
     Candidates come from the tiled comparison of wide fingerprints, with a reach that keeps nearly all similar pairs; each task returns a few spanning forests of its
     candidates, closest first, and each of their edges is checked exactly on the shingle sets (as 32-bit hashes), so no documents are grouped without a similar
-    pair. Texts of equal fingerprints are one group. Texts without words make one group. Rows with a null key are left out.
+    pair. Documents that still have a candidate in another group are then dealt out with their shingle sets, and all such candidates are checked. Texts of equal fingerprints are one group. Texts without words make one group. Rows with a null key are left out.
     """
     spark = docs.sparkSession
     bits = 64 * words
@@ -301,21 +361,24 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     distinct = store(marked.groupBy("fp").agg(F.min(key).alias("node")), "wide-distinct")
     rows = distinct.count()
     groups = max(4, int(np.ceil(np.sqrt(2 * salted_partitions(spark)))), -(-rows // group_rows))
-    cells = distinct.select("fp", "node", F.pmod(F.xxhash64("fp"), F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("h")).select("fp", "node", "g", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"))
     near, reaches = reach_of(similarity, 64, 3.6), tuple(reach_of(s, bits, z) for s, z in ((0.9, 0.0), (similarity, 0.0), (similarity, 3.3)))
 
-    def compare(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def sides(pdf: pd.DataFrame) -> tuple:
+        """The order of rows, by group and node so that a retry gives the same, and the fingerprints of both groups."""
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         release()
         marks = np.frombuffer(b"".join(pdf["fp"]), "<u8").reshape(len(pdf), words)
         node, own = pdf["node"].to_numpy(np.int64), pdf["g"].to_numpy() == i
-        # In order of nodes, so that a retry gives the same forest.
         a, b = (x[np.argsort(node[x], kind="stable")] for x in (np.flatnonzero(own), np.flatnonzero(~own)))
-        u, v = forest_of_pairs(marks[a], None if i == j else marks[b], near, reaches)
-        names = node[a] if i == j else np.concatenate([node[a], node[b]])
+        return np.concatenate([a, b]), marks[a], None if i == j else marks[b]
+
+    def compare(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        order, left, right = sides(pdf)
+        u, v = forest_of_pairs(left, right, near, reaches)
+        names = pdf["node"].to_numpy(np.int64)[order]
         return pd.DataFrame({"u": names[u], "v": names[v]})
 
-    pairs = store(cells.groupBy("i", "j").applyInPandas(compare, "u long, v long"), "candidates")
+    pairs = store(_cells(distinct.select("fp", "node"), groups).groupBy("i", "j").applyInPandas(compare, "u long, v long"), "candidates")
     # A table of known size: Spark broadcasts it while it is small, and else shuffles the texts.
     ends = store(pairs.select(F.explode(F.array("u", "v")).alias(key)).distinct(), "ends")
 
@@ -339,6 +402,28 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     both = pairs.join(sets.select(F.col(key).alias("u"), F.col("s").alias("su")), "u").join(sets.select(F.col(key).alias("v"), F.col("s").alias("sv")), "v")
     links = store(both.select("u", "v", "su", "sv").mapInArrow(verify, "u long, v long"), "similar")
     joined = connected_components(links)
+
+    # The forests leave out pairs, so those between groups are looked at again. All documents that have a candidate are among the ends.
+    def look(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        order, left, right = sides(pdf)
+        found = open_documents(left, right, near, reaches[-1], pdf["root"].to_numpy(np.int64)[order])
+        return pd.DataFrame({"node": pdf["node"].to_numpy(np.int64)[order][found]})
+
+    def settle(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        order, left, right = sides(pdf)
+        s = pdf["s"].to_numpy()
+        u, v = joining_pairs(left, right, near, reaches[-1], pdf["root"].to_numpy(np.int64)[order], [np.frombuffer(s[k], np.uint32) for k in order], similarity)
+        names = pdf["root"].to_numpy(np.int64)[order]
+        return pd.DataFrame({"u": names[u], "v": names[v]})
+
+    rooted = distinct.join(ends.withColumnRenamed(key, "node"), "node", "left_semi").join(joined.select("node", "root"), "node", "left").select("fp", "node", F.coalesce("root", "node").alias("root"))
+    rooted = store(rooted, "rooted")
+    unsettled = store(_cells(rooted, groups).groupBy("i", "j").applyInPandas(look, "node long").distinct(), "unsettled")
+    held = store(rooted.join(unsettled, "node", "left_semi").join(sets.select(F.col(key).alias("node"), "s").distinct(), "node"), "held")
+    octets = held.agg(F.sum(F.length("s"))).first()[0] or 0
+    parts = max(4, int(np.ceil(np.sqrt(2 * salted_partitions(spark)))), -(-octets // set_bytes))
+    further = store(_cells(held, parts).groupBy("i", "j").applyInPandas(settle, "u long, v long"), "further")
+    joined = connected_components(links.unionByName(further))
     named = distinct.join(joined.select("node", "root"), "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return marked.join(named, "fp").select(key, "component_id")
 

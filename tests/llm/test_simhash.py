@@ -139,6 +139,46 @@ def test_similar_documents_equal_brute_force(spark):
     assert len(set(got.values())) < len(ids)
 
 
+def family(n=400, length=120):
+    """A source text and variants of it that are similar to the source and not to each other."""
+    rng = random.Random(4)
+    source = [f"w{i}" for i in range(length)]
+    out = [(0, " ".join(source))]
+    for k in range(1, n + 1):
+        w = list(source)
+        for at in rng.sample(range(5, length - 5, 6), 2):
+            w[at] = f"x{k}_{at}"
+        out.append((k, " ".join(w)))
+    return out
+
+
+def test_variants_of_one_source_are_one_group(spark):
+    rows = family()
+    assert all(jaccard(rows[0][1], t) >= 0.8 for _, t in rows)
+    assert sum(jaccard(rows[k][1], rows[k + 1][1]) < 0.8 for k in range(1, 300)) > 200
+    got = {r["doc_id"]: r["component_id"] for r in S.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys(range(401), 0)
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_joining_pairs_equal_brute_force(two):
+    texts = [t.encode() for _, t in family(60)] + [t.encode() for _, t in variants()]
+    hashes = [np.unique(S._shingle_hashes(t, 5)) for t in texts]
+    marks = np.frombuffer(b"".join(S.wide_fingerprint(h, 8) for h in hashes), "<u8").reshape(-1, 8)
+    n = len(texts)
+    sets = [np.unique((h >> np.uint64(32)).astype(np.uint32)) for h in hashes]
+    left, right = (marks[: n // 2], marks[n // 2 :]) if two else (marks, None)
+    u, v = S.joining_pairs(left, right, 64, 512, np.arange(n), sets, 0.8, at_once=300)
+    got, want = S._Forest(n), S._Forest(n)
+    got.link(u, v)
+    for i in range(n):
+        for j in range(i + 1, n):
+            if jaccard(texts[i].decode(), texts[j].decode()) >= 0.8 and (not two or i < n // 2 <= j):
+                want.link(np.array([i]), np.array([j]))
+    assert (got.roots(np.arange(n)) == want.roots(np.arange(n))).all()
+    assert len(u) < n
+
+
 def test_representatives(spark):
     rows = [(1, "a b c d e f g", "x"), (2, "A b c d e f g", "y"), (2, "A b c d e f g", "y"), (3, "other words altogether in this one", "z"), (3, "other words altogether in this one", "z"), (None, "a b c d e f g", "n"), (4, None, None), (5, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
