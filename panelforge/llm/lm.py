@@ -1,13 +1,12 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Texts are cut into blocks; each block is tokenised once and kept as word numbers. Exact word counts and hashed n-gram counts are summed over
-hash buckets. Each bucket writes its own slice of the filter: an n-gram of quantised count level q is inserted once per level up to q, so its
-count is read back by probing level after level until the first miss. The filter has a fixed largest size and is broadcast; the score
-of a word is its smoothed probability given the one before, from repeated probes.
+hash buckets. Each bucket makes its own slice of the filter: an n-gram of quantised count level q is inserted once per level up to q, so its
+count is read back by probing level after level until the first miss. The bucket's task probes its slice for all n-grams that the blocks
+sent to it, and the levels go back to the blocks as the word counts do; the score of a word is its smoothed probability given the one before.
 
-Sizes: a slice keeps n-grams from the smallest count (2 for pairs, 1 for words, unless the slice would pass `_FILL`) that its share of `most_bits`
-allows, by its own exact histogram, so the broadcast has a proven bound while counts cover all training texts.
-What meets in one task is one hash bucket or one block. Hot words come once per block.
+Sizes: a slice is as large as its own exact histogram asks for a fill of `_FILL`, so n-grams of every count are kept whatever the input, and no slice leaves its task.
+The number of buckets follows the bytes of text. What meets in one task is one hash bucket or one block. Hot words come once per block.
 
 Defined cases: null and empty texts have one token, the end; without training texts every base probability is one; unknown words have
 the smoothed count zero; repeated rows count each; null keys belong to the fold of the empty text; empty tables give empty results; only key and text are read.
@@ -38,9 +37,12 @@ _PROBES = 4
 #: Bytes of text in a block, which bounds what a worker holds: some forty times as much.
 _BLOCK = 7 << 20
 _FILL = 0.35
+#: Bytes of text to a bucket, which bounds the n-grams that meet in a task.
+_BUCKET = 32 << 20
 #: Least counts of the levels: about half as much again each.
 LEVELS = np.unique(np.ceil(1.5 ** np.arange(100)).astype(np.float64))
 _MEAN = np.concatenate([[0.0], np.sqrt(LEVELS[:-1] * np.maximum(LEVELS[:-1], LEVELS[1:] - 1))])
+_ANSWER = ["kind", "block", "bucket", "counts", "levels", "tokens", "distinct"]
 _ROWS = "kind string, block string, bucket int, n long, a binary, b binary, c binary, d binary, e binary"
 
 
@@ -90,6 +92,17 @@ def _previous(ids: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
+def _pairs(ids: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of a block (the word before in the high half), and for each word the number of its pair."""
+    return np.unique((_previous(ids, starts, end).astype(np.int64) << 32) | ids, return_inverse=True)
+
+
+def _turned(hashes: np.ndarray, pairs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of a block's pairs, and the order in which they go to the buckets and come back."""
+    cells = _cells(_pair_hashes(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF]), buckets)
+    return cells, np.argsort(cells, kind="stable")
+
+
 def _tokenised(docs: DataFrame, key: str, text: str, folds: int, buckets: int) -> DataFrame:
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -117,35 +130,19 @@ def _tokenised(docs: DataFrame, key: str, text: str, folds: int, buckets: int) -
             for bucket, at in _by_bucket(of):
                 own = order[at]
                 rows.append(("word", block, bucket, len(own), zstandard.compress(b"\n".join([words[i] for i in own]), 1), _pack(counts[own].astype(np.int32)), None, None, None))
-            before = _previous(flat, np.cumsum(lengths) - lengths, int(place[0]))
-            pairs = (before[train].astype(np.int64) << 32) | flat[train]
-            pairs, times = np.unique(pairs, return_counts=True)
-            for order_, h, c in ((1, hashes[counts > 0], counts[counts > 0]), (2, _pair_hashes(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF]), times)):
-                cells = _cells(_mix(h) if order_ == 1 else h, buckets)
-                turn = np.argsort(cells)
-                cells, c = cells[turn], c[turn]
-                for bucket, at in _by_bucket(cells):
-                    low = (cells[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                    rows.append((f"gram{order_}", block, bucket, len(low), _pack(np.diff(low, prepend=0).astype(np.uint32)), _pack(c[at].astype(np.int32)), None, None, None))
+            # Pairs of held-out texts come with the count zero: they are asked for only.
+            pairs, back = _pairs(flat, np.cumsum(lengths) - lengths, int(place[0]))
+            times = np.bincount(back[train], minlength=len(pairs))
+            cells, turn = _turned(hashes, pairs, buckets)
+            cells, times = cells[turn], times[turn]
+            for bucket, at in _by_bucket(cells):
+                low = (cells[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                rows.append(("pair", block, bucket, len(low), _pack(np.diff(low, prepend=0).astype(np.uint32)), _pack(times[at].astype(np.int32)), None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], names=["kind", "block", "bucket", "n", "a", "b", "c", "d", "e"])
 
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, _ROWS)
 
 
-def _count_words(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exact counts of one bucket's words, given back to each block in its own order; one more row has the sums."""
-    release()
-    total: dict[bytes, int] = {}
-    lists = [zstandard.decompress(x).split(b"\n") for x in pdf["a"]]
-    for words, blob in zip(lists, pdf["b"], strict=True):
-        for w, c in zip(words, _unpack(blob, "<i4").tolist(), strict=True):
-            total[w] = total.get(w, 0) + c
-    bucket = int(pdf["bucket"].iloc[0])
-    out = [(b, bucket, _pack(np.array([total[w] for w in words], np.int64)), 0, 0) for b, words in zip(pdf["block"], lists, strict=True)]
-    out.append((None, bucket, None, sum(total.values()), sum(c > 0 for c in total.values())))
-    return pd.DataFrame(out, columns=["block", "bucket", "counts", "tokens", "distinct"])
-
-
 def _positions(keys: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
     a = _mix(keys.astype(np.uint64) + np.uint64(level * 0x5851F42D4C957F2D % 2**64))
     b = (a >> np.uint64(17)) | np.uint64(1)
@@ -154,17 +151,16 @@ def _positions(keys: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
         a = a + b
 
 
-def _slice_of(pdf: pd.DataFrame, bits: int, least: int) -> tuple[int, np.ndarray]:
-    """(first level held, slice) of one bucket's n-grams."""
-    release()
-    keys = np.concatenate([np.cumsum(_unpack(x, "<u4"), dtype=np.int64) for x in pdf["a"]])
-    counts = np.concatenate([_unpack(x, "<i4") for x in pdf["b"]]).astype(np.int64)
+def _slice(keys: np.ndarray, counts: np.ndarray, bits: int | None, least: int) -> tuple[int, np.ndarray]:
+    """(first level held, slice) of n-grams, of `bits` bits or, without it, as many as hold all of them."""
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     heads = np.flatnonzero(np.concatenate([[True], np.diff(keys) > 0]))
     keys, counts = keys[heads], np.add.reduceat(counts, heads)
     levels = np.searchsorted(LEVELS, counts, side="right")
     first = int(np.searchsorted(LEVELS, least, side="right"))
+    if bits is None:
+        bits = max(64, int(np.ceil(np.maximum(0, levels - first + 1).sum() * _PROBES / _FILL / 8)) * 8)
     while (np.maximum(0, levels - first + 1).sum() * _PROBES) > _FILL * bits:
         first += 1
     table = np.zeros(bits, bool)
@@ -175,6 +171,14 @@ def _slice_of(pdf: pd.DataFrame, bits: int, least: int) -> tuple[int, np.ndarray
     return first, np.packbits(table)
 
 
+def _slice_of(pdf: pd.DataFrame, bits: int | None = None, least: int = 1) -> tuple[int, np.ndarray]:
+    """The slice of one bucket's n-grams."""
+    release()
+    keys = np.concatenate([np.cumsum(_unpack(x, "<u4"), dtype=np.int64) for x in pdf["a"]])
+    counts = np.concatenate([_unpack(x, "<i4") for x in pdf["b"]]).astype(np.int64)
+    return _slice(keys, counts, bits, least)
+
+
 class LogFrequencyFilter:
     """Slices by bucket for one order of n-grams."""
 
@@ -209,28 +213,53 @@ class LogFrequencyFilter:
         return out
 
 
-def _filter(grams: DataFrame, buckets: int, most_bits: int, least: int, bits_each: int) -> LogFrequencyFilter:
-    entries = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = max(64, -(-min(most_bits, 2 ** int(np.ceil(np.log2(max(1, bits_each * entries))))) // buckets) // 64 * 64)
-    made = grams.select("bucket", "a", "b").groupBy("bucket").applyInPandas(lambda pdf: pd.DataFrame([(int(pdf["bucket"].iloc[0]), *(lambda x: (x[0], x[1].tobytes()))(_slice_of(pdf, bits, least)))], columns=["bucket", "first", "part"]), "bucket int, first int, part binary")
-    out = LogFrequencyFilter(buckets, bits)
-    # most_bits / 8 bytes in all, a slice at a time.
-    for row in made.toLocalIterator():
-        out.put(row["bucket"], row["first"], bytes(row["part"]))
-    return out
+def _probed(first: int, part: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Levels of the keys by a bucket's own slice."""
+    own = LogFrequencyFilter(1, 8 * len(part))
+    own.put(0, first, part.tobytes())
+    return np.searchsorted(_MEAN, own.counts(keys.astype(np.uint64))).astype(np.uint8)
+
+
+def _answer_words(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Exact counts and levels of one bucket's words, given back to each block in its own order; one more row has the sums."""
+    release()
+    total: dict[bytes, int] = {}
+    lists = [zstandard.decompress(x).split(b"\n") for x in pdf["a"]]
+    for words, blob in zip(lists, pdf["b"], strict=True):
+        for w, c in zip(words, _unpack(blob, "<i4").tolist(), strict=True):
+            total[w] = total.get(w, 0) + c
+    bucket, counts = int(pdf["bucket"].iloc[0]), np.fromiter(total.values(), np.int64, len(total))
+    keys = (_mix(_word_hashes(list(total))) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    levels = _probed(*_slice(keys, counts, None, 1), keys)
+    place = {w: i for i, w in enumerate(total)}
+    out = []
+    for b, words in zip(pdf["block"], lists, strict=True):
+        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        out.append(("word", b, bucket, _pack(counts[at]), _pack(levels[at]), 0, 0))
+    out.append(("word", None, bucket, None, None, int(counts.sum()), int((counts > 0).sum())))
+    return pd.DataFrame(out, columns=_ANSWER)
+
+
+def _answer_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Levels of one bucket's pairs, given back to each block in its own order."""
+    first, part = _slice_of(pdf)
+    bucket = int(pdf["bucket"].iloc[0])
+    asked = (np.cumsum(_unpack(x, "<u4"), dtype=np.int64) for x in pdf["a"])
+    out = [("pair", b, bucket, None, _pack(_probed(first, part, keys)), 0, 0) for b, keys in zip(pdf["block"], asked, strict=True)]
+    return pd.DataFrame(out, columns=_ANSWER)
 
 
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, most_bits: int = 1 << 28, weight: float = 0.3, smooth: float = 0.1) -> DataFrame:
+def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, weight: float = 0.3, smooth: float = 0.1) -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score. Learns from the rows outside the held-out fold."""
     spark = docs.sparkSession
-    buckets = max(64, salted_partitions(spark))
+    octets = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    buckets = max(64, salted_partitions(spark), -(-octets // _BUCKET))
     kept = store(_tokenised(docs, key, text, folds, buckets), "blocks", by="kind")
-    answers = store(kept.where("kind = 'word'").select("block", "bucket", "a", "b").groupBy("bucket").applyInPandas(_count_words, "block string, bucket int, counts binary, tokens long, distinct long"), "counts")
+    answer = lambda pdf: (_answer_words if pdf["kind"].iloc[0] == "word" else _answer_pairs)(pdf)
+    asked = kept.where("kind IN ('word', 'pair')").select("kind", "block", "bucket", "a", "b")
+    answers = store(asked.groupBy("kind", "bucket").applyInPandas(answer, "kind string, block string, bucket int, counts binary, levels binary, tokens long, distinct long"), "counts")
     sums = answers.where("block IS NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tokens, distinct = int(sums[0]), int(sums[1])
-    ones = _filter(kept.where("kind = 'gram1'"), buckets, most_bits // 2, 1, 16)
-    twos = _filter(kept.where("kind = 'gram2'"), buckets, most_bits, 2, 4)
-    sent = spark.sparkContext.broadcast((ones, twos))
     total = tokens + smooth * (distinct + 1)
 
     def run(doc: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
@@ -238,23 +267,23 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
         if not len(doc):
             return pd.DataFrame(columns=names)
         release()
-        one, two = sent.value
         row = doc.iloc[0]
         keys, held, lengths, ids, words = _unpack(row["a"], "<i8"), _unpack(row["b"], "u1") == 1, _unpack(row["c"], "<i8"), _unpack(row["d"], "<i4"), zstandard.decompress(row["e"]).split(b"\n")
         hashes = _word_hashes(words)
         order = np.argsort(hashes % np.uint64(buckets), kind="stable")
-        counts = np.empty(len(words), np.int64)
-        counts[order] = np.concatenate([_unpack(x, "<i8") for x in answer.sort_values("bucket")["counts"]])
+        of = {kind: own.sort_values("bucket") for kind, own in answer.groupby("kind")}
+        counts, plain = np.empty(len(words), np.int64), np.empty(len(words))
+        counts[order] = np.concatenate([_unpack(x, "<i8") for x in of["word"]["counts"]])
+        plain[order] = _MEAN[np.concatenate([_unpack(x, "u1") for x in of["word"]["levels"]])]
         starts = np.cumsum(lengths) - lengths
         summed = lambda v: np.add.reduceat(v, starts)
         base = np.log10((counts + smooth) / total)
-        # The model: probes for each distinct word and pair of the block.
-        plain = one.counts(_mix(hashes))
+        # The model: what the probes gave for each distinct word and pair of the block.
         single = (plain + smooth) / total
-        before = _previous(ids, starts, words.index(END))
-        pairs, back = np.unique((before.astype(np.int64) << 32) | ids, return_inverse=True)
+        pairs, back = _pairs(ids, starts, words.index(END))
         left, right = pairs >> 32, pairs & 0xFFFFFFFF
-        together = two.counts(_pair_hashes(hashes[left], hashes[right]))
+        together = np.empty(len(pairs))
+        together[_turned(hashes, pairs, buckets)[1]] = _MEAN[np.concatenate([_unpack(x, "u1") for x in of["pair"]["levels"]])]
         context = np.maximum(plain[left], together)
         given = np.divide(together, context, out=np.zeros(len(pairs)), where=context > 0)
         model = np.log10(np.minimum(1.0, weight * given + (1 - weight) * single[right]))
@@ -265,5 +294,5 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
         )
 
     blocks = kept.where("kind = 'doc'").select("block", "a", "b", "c", "d", "e")
-    given_back = answers.where("block IS NOT NULL").select("block", "bucket", "counts")
+    given_back = answers.where("block IS NOT NULL").select("kind", "block", "bucket", "counts", "levels")
     return blocks.groupBy("block").cogroup(given_back.groupBy("block")).applyInPandas(run, f"{key} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

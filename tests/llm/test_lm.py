@@ -71,6 +71,32 @@ def test_a_full_slice_raises_its_least_count():
     assert np.unpackbits(table).mean() <= 0.35
 
 
+def test_a_slice_follows_its_entries():
+    """Pairs of every count are kept, however many there are."""
+    import pandas as pd
+
+    for n in (1000, 400_000):
+        keys = np.arange(n, dtype=np.int64) * 7
+        counts = np.where(keys % 10 == 0, 50, 1).astype(np.int32)
+        first, part = lm._slice_of(pd.DataFrame({"bucket": [0], "a": [lm._pack(np.diff(keys, prepend=0).astype(np.uint32))], "b": [lm._pack(counts)]}))
+        assert first == 1 and np.unpackbits(part).mean() <= 0.35
+        levels = lm._probed(first, part, keys)
+        assert (levels >= np.searchsorted(lm.LEVELS, counts, side="right")).all()
+        assert (lm._probed(first, part, keys + 1) > 0).mean() < 0.02
+
+
+def test_pairs_seen_once_count(spark):
+    """Every word occurs twice and every pair once: the order of words decides, and nothing but pairs tells it."""
+    held = next(k for k in range(400) if zlib.crc32(str(k).encode()) % 10 == 0)
+    other = next(k for k in range(held + 1, 400) if zlib.crc32(str(k).encode()) % 10 == 0)
+    train = [k for k in range(1000, 1100) if zlib.crc32(str(k).encode()) % 10][:2]
+    a = [f"w{i}" for i in range(60)]
+    b = a[::7] + [w for i, w in enumerate(a) if i % 7]
+    rows = [(train[0], " ".join(a)), (train[1], " ".join(a[::-1])), (held, " ".join(a[10:40])), (other, " ".join(b[:1] + sorted(a[10:40], key=lambda w: zlib.crc32(w.encode()))[:29]))]
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held] > got[other] + 0.5
+
+
 def test_edge_cases(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "A a A", 0), (4, "\t\n b\x0b", 0), (5, "w" * 100_000 + " é É", 0), (30, "zzz", 0), (7, "a  a", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, bucket int")
