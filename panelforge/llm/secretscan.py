@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -63,8 +63,9 @@ def _alphabet(ch: str) -> float:
     return 10 if ch.isdigit() else 26 if ch.isalpha() else 33
 
 
-def _pieces(text: str, longest: int = 24) -> list[list[tuple[int, float]]]:
-    """For each end position, (start, log10 guesses) of the spans that end there."""
+def _pieces(text: str, longest: int = 24, widest: int = 48) -> list[list[tuple[int, float]]]:
+    """For each end position, (start, log10 guesses) of the spans that end there. Repeated blocks of more than `widest` characters are left out: they cost
+    10**`widest` guesses at least."""
     n, low = len(text), text.lower()
     plain, found = low.translate(_LEET), [[] for _ in range(n + 1)]
     log = math.log10
@@ -88,21 +89,23 @@ def _pieces(text: str, longest: int = 24) -> list[list[tuple[int, float]]]:
             found[m.end()].append((m.start(), min(5.0, 1.415 * len(m[0]))))
     # Runs: one character repeated, a step through the alphabet or digits, a walk over neighbouring keys.
     for same, cost in (
-        (lambda a, b: a == b, lambda s: log(_alphabet(s[0]) * len(s))),
-        (lambda a, b: ord(b) - ord(a) == 1 and a.isalnum() and b.isalnum(), lambda s: log(_alphabet(s[0]) * len(s))),
-        (lambda a, b: ord(a) - ord(b) == 1 and a.isalnum() and b.isalnum(), lambda s: log(2 * _alphabet(s[0]) * len(s))),
-        (_neighbours, lambda s: log(len(_AT) * len(s)) + 0.3 * sum(_AT[b][1] - _AT[a][1] != 1 for a, b in zip(s, s[1:], strict=False))),
+        (lambda a, b: a == b, lambda ch, n, turns: log(_alphabet(ch) * n)),
+        (lambda a, b: ord(b) - ord(a) == 1 and a.isalnum() and b.isalnum(), lambda ch, n, turns: log(_alphabet(ch) * n)),
+        (lambda a, b: ord(a) - ord(b) == 1 and a.isalnum() and b.isalnum(), lambda ch, n, turns: log(2 * _alphabet(ch) * n)),
+        (_neighbours, lambda ch, n, turns: log(len(_AT) * n) + 0.3 * turns),
     ):
         i = 0
         while i < n - 1:
-            j = i
+            j, turns = i, 0
             while j < n - 1 and same(low[j], low[j + 1]):
+                if same is _neighbours:
+                    turns += _AT[low[j + 1]][1] - _AT[low[j]][1] != 1
                 j += 1
-            for e in range(i + 3, j + 2):
-                found[e].append((i, cost(low[i:e])))
+                if j - i >= 2:
+                    found[j + 1].append((i, cost(low[i], j + 1 - i, turns)))
             i = max(j, i + 1)
     # A block repeated in full: the cost of one block and of the count.
-    for width in range(2, n // 2 + 1):
+    for width in range(2, min(widest, n // 2) + 1):
         i = 0
         while i + 2 * width <= n:
             times = 1
@@ -131,10 +134,8 @@ def log10_guesses(value: str) -> float:
 
 
 def guessable(value: str, least_log10: float, longest: int = 96) -> bool:
-    """Whether the value takes fewer guesses. Of values over `longest` characters each stretch is costed; the sum counts."""
-    if len(value) <= longest:
-        return log10_guesses(value) < least_log10
-    return sum(log10_guesses(value[i : i + longest]) for i in range(0, len(value), longest)) < least_log10
+    """Whether the value takes fewer guesses. Values over `longest` characters aren't kept in the cache."""
+    return (log10_guesses if len(value) <= longest else log10_guesses.__wrapped__)(value) < least_log10
 
 
 def find_spans(text: bytes, least_log10: float = 10.0) -> list[tuple[int, int, int]]:
@@ -160,7 +161,8 @@ def find_spans(text: bytes, least_log10: float = 10.0) -> list[tuple[int, int, i
         for m in CONTEXT.finditer(text):
             value = m.group(1).rstrip(b"\"',;:.)]}>")
             a, b = m.start(1), m.start(1) + len(value)
-            if len(value) >= 8 and not ((k := bisect_left(heads, b)) and stretches[k - 1][1] > a) and not guessable(value.decode("ascii"), least_log10):
+            # Values that base spans cover in part only are costed too.
+            if len(value) >= 8 and not ((k := bisect_right(heads, a)) and stretches[k - 1][1] >= b) and not guessable(value.decode("ascii"), least_log10):
                 spans.append((a, b, 3))
     return sorted(spans, key=lambda s: (s[0], s[2], s[1]))
 

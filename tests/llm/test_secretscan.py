@@ -73,6 +73,21 @@ def test_method_adds_strong_values_and_leaves_weak_ones(spark):
     assert got[2] == got[4] == got[5] == ""
 
 
+@pytest.mark.parametrize("text", ["password=Abc123def456!Tail$Part", "passphrase: deadbeefdeadbeef$Q9x!vR2m"])
+def test_values_that_base_spans_cover_in_part_go_whole(text):
+    kinds = [k for _, _, k in S.find_spans(text.encode())]
+    assert 3 in kinds and kinds != [3]
+    out = S.redacted(text.encode()).decode()
+    assert "Tail" not in out and "Q9x" not in out and "Abc" not in out and "dead" not in out
+
+
+def test_long_values_are_costed_whole():
+    assert S.log10_guesses("*" * 1000) < 5
+    assert S.find_spans(b"pwd: " + b"*" * 1000) == []
+    assert S.find_spans(b"pwd: " + b"xyz!" * 200) == []
+    assert S.find_spans(b"pwd: " + b"*" * 300 + b"xK9#qLm2$vTw") == [(5, 317, 3)]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é password: hunter2hunter2 ok", 99, "x"), (2, None, 7, "y"), (3, "clean", 5, None), (4, "token=0123456789abcdef0123", 1, "z")], "doc_id long, text string, n_chars long, source string")
     out = {r["doc_id"]: r for r in S.redact_secrets(df).collect()}
