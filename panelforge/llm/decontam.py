@@ -226,7 +226,7 @@ def phrase_hits(index: DataFrame, phrases: Phrases) -> tuple[DataFrame, Broadcas
 
 def proximity_hits(index: DataFrame, terms: list[bytes], within: int) -> DataFrame:
     """(doc_id, start, end): spans of at most `within` words that hold all the terms in any order, one for each occurrence of the rarest term in a
-    segment: the tightest choice of nearest occurrences on each side. From the same lists as phrases."""
+    segment that has any: the tightest one, of equally tight ones the last. From the same lists as phrases."""
     if within > _GAP:
         raise ValueError(f"spans of more than {_GAP} words need an index with wider gaps")
     wanted = [x for t in terms for x in tokens(t)]
@@ -239,15 +239,19 @@ def proximity_hits(index: DataFrame, terms: list[bytes], within: int) -> DataFra
                     continue
                 lists = [s.keys[h : h + n] & ((1 << 40) - 1) for h, n in zip(s.heads, s.df, strict=True)]
                 lists.sort(key=len)
-                low = high = lists[0]
-                for other in lists[1:]:
-                    after = np.searchsorted(other, low)
-                    right = other[np.minimum(after, len(other) - 1)]
-                    left = other[np.maximum(after - 1, 0)]
-                    # Of the occurrences next to the span so far, the one that widens it less.
-                    widths = [np.maximum(high, x) - np.minimum(low, x) for x in (left, right)]
-                    pick = np.where(widths[0] <= widths[1], left, right)
-                    low, high = np.minimum(low, pick), np.maximum(high, pick)
+                # A span starts at an occurrence of some term, and ends where the last of the terms comes first from there on.
+                starts, far = np.unique(np.concatenate(lists)), np.iinfo(np.int64).max
+                ends = np.max([np.append(x, far)[np.searchsorted(x, starts)] for x in lists], axis=0)
+                rare = lists[0]
+                low, high, last = rare - within, rare.copy(), np.searchsorted(starts, rare)
+                for back in range(within):
+                    at = np.maximum(last - back, 0)
+                    end = np.maximum(ends[at], rare)
+                    near = (last >= back) & (rare - starts[at] < within)
+                    if not near.any():
+                        break
+                    better = near & (end < far) & (end - starts[at] < high - low)
+                    low, high = np.where(better, starts[at], low), np.where(better, end, high)
                 good = high - low < within
                 doc = s.docs_of(low[good])
                 yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[doc]), pa.array(low[good] - s.starts[doc]), pa.array(high[good] - s.starts[doc])], names=["doc_id", "start", "end"])

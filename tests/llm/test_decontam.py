@@ -1,4 +1,6 @@
 import hashlib
+import itertools
+import random
 import re
 
 import pytest
@@ -96,3 +98,25 @@ def test_proximity(spark):
     index = D.build_index(docs)
     near = {r["doc_id"]: (r["start"], r["end"]) for r in D.proximity_hits(index, [b"red", b"green"], 3).collect()}
     assert near == {1: (0, 2), 3: (0, 2)}
+
+
+def test_proximity_of_three_terms_equals_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(0, " ".join({6: "b", 10: "a", 15: "b", 16: "c", 30: "c", 40: "c"}.get(i, "x") for i in range(45)))]
+    rows += [(k, " ".join(rng.choice("abcdxxxxxxxxxx") for _ in range(60))) for k in range(1, 40)]
+    for terms in ("abc", "abcd"):
+        want = []
+        for k, text in rows:
+            at = {t: [i for i, w in enumerate(text.split()) if w == t] for t in terms}
+            lists = [*at.values()]
+            # The rarest term is that of the whole segment.
+            rare = min(terms, key=lambda t: sum(x.split().count(t) for _, x in rows))
+            for r in at[rare]:
+                spans = [(max(p) - min(p), -min(p), max(p)) for p in itertools.product(*[[r] if t == rare else at[t] for t in terms])] if all(lists) else []
+                spans = [x for x in spans if x[0] < 8]
+                if spans:
+                    want.append((k, -min(spans)[1], min(spans)[2]))
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        got = [(r["doc_id"], r["start"], r["end"]) for r in D.proximity_hits(D.build_index(docs), [t.encode() for t in terms], 8).collect()]
+        assert sorted(got) == sorted(want) and want
+        assert terms != "abc" or (0, 10, 16) in got
