@@ -1,19 +1,20 @@
 """HTML main-text extraction by tag-path ratios.
 
-A page is read into blocks (text between block-level tags), each with its root-to-leaf tag path. Per path, text length and
-punctuation are aggregated over its blocks; the ratios are smoothed over neighbouring blocks in page order, fused
-with the share of text outside links, and thresholded to select content paths. The content region is the innermost element that holds the selected paths;
-short blocks inside it (headings, one-word paragraphs) come with it, and elements that mark themselves as menus, adverts, notices, forms, comments and
-the like never do.
+A page is read into blocks (text between block-level tags), each in a node of the page's tree. Text length and punctuation are aggregated per root-to-leaf
+tag path (over all nodes of the path) and per group of like siblings; both ratios are smoothed over neighbouring blocks in page order and fused with
+the share of text outside links. Names of classes and ids that speak of menus, adverts, notices, comments and the like, an open `article` or `main`, and
+copyright lines are weights in that fusion, no verdicts of their own. Groups under half of the best score carry no mass; the content node is found by walking down from the
+root as long as one child holds most of the mass. Of the parts inside it, those that score under a share of it go; the rest is the text.
+Only tags and attributes whose meaning is fixed by HTML (scripts, `nav`, `form`, `aside`, `hidden`, roles) exclude outright.
 
 Defined cases: null and empty pages give empty text; a page without markup is one block; unclosed tags are closed by their parents, truncated tags and comments
-are dropped; `<br>` is white space; repeated pages are read each; only key, url and html are read.
+are dropped; `<br>` is white space; of nodes that tie the first in page order is taken; pages of any length and depth are read whole, in time linear in their length; repeated
+pages are read each; a null key or url stays null; only key, url and html are read, so other columns don't matter; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import html as _html
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -44,42 +45,65 @@ _NAMED = re.compile(
 #: Names that tell of a layout (`has-sidebar`), not of the part itself.
 _LAYOUT = re.compile(r"(?:^|[_-])(?:has|with|no|without|wrap|wrapper|layout|grid)(?:$|[_-])", re.I)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_FIRST_NAME = re.compile(r"\b(?:class|id)\s*=\s*[\"']?([\w-]+)")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？·¿¡]")
 _MAIN = frozenset(("article", "main"))
-#: Deeper elements don't lengthen a path.
-_DEPTH = 256
+#: Elements whose own text stays with the node that holds them; all other block elements are containers.
+_TEXTUAL = HEADINGS | frozenset("header hgroup p li ul ol dl dt dd pre blockquote figure figcaption address table thead tbody tfoot tr td th caption hr".split())
+_LISTS = frozenset("ul ol dl table".split())
+_RIGHTS = re.compile(r"^\W*(?:©|\(c\)|copyright\b)|\ball rights reserved\b", re.I)
+#: Weights of the fusion, shares of the best score, and shares of the mass.
+FAINT, CENTRAL, HEADED, RIGHTS = 0.08, 2.0, 1.5, 0.05
+CARRIES, STAYS, LEAF = 0.5, 0.35, 0.12
+MOST, ARTICLE = 0.6, 0.25
 
 
-class _Block:
-    __slots__ = ("apart", "linked", "path", "text")
+class Page:
+    """The tree of a page's block-level elements (node 0 is the page itself; parents come before their children) and its blocks of text."""
 
-    def __init__(self, path, apart, text, linked):
-        self.path, self.apart, self.text, self.linked = path, apart, text, linked
+    def __init__(self) -> None:
+        self.tag, self.parent, self.path = [""], [0], [0]
+        #: Whether a node is excluded outright; whether names speak against it; whether it lies in an article.
+        self.barred, self.faint, self.central = [False], [False], [False]
+        self.nodes_of_path = Counter((0,))
+        self.paths: dict[tuple[int, str], int] = {}
+        #: Node, text, and characters inside links of each block.
+        self.node: list[int] = []
+        self.text: list[str] = []
+        self.linked: list[int] = []
 
+    def open(self, tag: str, parent: int, barred: bool, named: bool) -> int:
+        path = self.paths.setdefault((self.path[parent], tag), len(self.paths) + 1)
+        self.nodes_of_path[path] += 1
+        main = tag in _MAIN
+        # A whole article counts even in a container of a telling name, for names of wrappers mislead; an article in an article is a comment.
+        faint = named or (self.central[parent] and tag == "article" if main else self.faint[parent])
+        for column, value in ((self.tag, tag), (self.parent, parent), (self.path, path), (self.barred, barred or self.barred[parent]), (self.faint, faint), (self.central, main or self.central[parent])):
+            column.append(value)
+        return len(self.tag) - 1
 
-def _marked(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element says of itself that it is not the article. `inside`: an article is open."""
+
+def _marked(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is excluded outright, and whether its names speak against it. `inside`: an article is open."""
     if tag in APART or (tag == "header" and not inside):
-        return True
-    if not attrs or tag in ("html", "body"):
-        return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and any(_NAMED.search(x) and not _LAYOUT.search(x) for x in value.split()):
-            return True
-        if name == "role" and _ROLE.search(value.lower()) or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
-
-
-def blocks_of(page: str) -> list[_Block]:
-    out: list[_Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # (tag, whether it or an ancestor is marked, whether by a tag), block-level only
-    opened: Counter = Counter()
-    path: tuple[str, ...] = ()
+        return True, False
+    barred = named = False
+    if attrs and tag not in ("html", "body"):
+        for m in _ATTR.finditer(attrs):
+            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+            if name in ("class", "id"):
+                named = named or any(_NAMED.search(x) and not _LAYOUT.search(x) for x in value.split())
+            elif name == "role":
+                barred = barred or bool(_ROLE.search(value.lower()))
+            elif name == "style":
+                barred = barred or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+            else:
+                barred = barred or name == "hidden" or value.lower() == "true"
+    return barred, named
+
+
+def read(page: str) -> Page:
+    out = Page()
+    stack, opened = [0], Counter()
     parts: list[str] = []
     links = linked = inside = 0
 
@@ -88,17 +112,18 @@ def blocks_of(page: str) -> list[_Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(_Block(path, bool(stack) and stack[-1][1], text, linked))
+                out.node.append(stack[-1])
+                out.text.append(text)
+                out.linked.append(linked)
             parts = []
         linked = 0
 
     def leave(n: int) -> None:
-        nonlocal path, inside
-        for tag, *_ in stack[n:]:
-            inside -= tag in _MAIN
-            opened[tag] -= 1
+        nonlocal inside
+        for node in stack[n:]:
+            inside -= out.tag[node] in _MAIN
+            opened[out.tag[node]] -= 1
         del stack[n:]
-        path = path[:n]
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -131,91 +156,132 @@ def blocks_of(page: str) -> list[_Block]:
             continue
         if closing:
             if opened[tag] > 0:
-                leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+                leave(next(i for i in range(len(stack) - 1, 0, -1) if out.tag[stack[i]] == tag))
             continue
-        ends = _CLOSES.get(tag, ())
-        if stack and (stack[-1][0] == "p" or stack[-1][0] in ends or stack[-1][0] in HEADINGS and tag in HEADINGS):
+        ends, top = _CLOSES.get(tag, ()), out.tag[stack[-1]]
+        if top == "p" or top in ends or top in HEADINGS and tag in HEADINGS:
             leave(len(stack) - 1)
-        while ends and stack and stack[-1][0] in ends:
+        while ends and out.tag[stack[-1]] in ends:
             leave(len(stack) - 1)
-        own = _marked(tag, attrs, inside > 0)
-        # An article inside a part that is marked by its name alone counts: names of wrappers mislead.
-        strict = bool(stack) and stack[-1][2] or own and tag in APART
-        marked = own or bool(stack) and stack[-1][1] and (strict or tag not in _MAIN)
-        stack.append((tag, marked, strict))
+        stack.append(out.open(tag, stack[-1], *_marked(tag, attrs, inside > 0)))
         opened[tag] += 1
         inside += tag in _MAIN
-        # A container is told from others by its first name, so that paths through them differ.
-        named = _FIRST_NAME.search(attrs) if attrs and tag in ("div", "section") else None
-        if len(path) < _DEPTH:
-            path = (*path, f"{tag}.{named[1].lower()}" if named else tag)
     text(page[at:])
     flush()
     return out
 
 
-def path_scores(blocks: list[_Block], spread: float = 1.0) -> np.ndarray:
-    """Fused, smoothed ratio of each block: of its path's mean text length and punctuation, off links."""
-    stats: dict[tuple, list[float]] = {}
-    for b in blocks:
-        s = stats.setdefault(b.path, [0, 0, 0, 0])
-        n = len(b.text)
-        s[0] += 1
-        s[1] += n
-        s[2] += len(_PUNCTUATION.findall(b.text))
-        s[3] += min(n, b.linked)
-    ratios = {p: (s[1] / s[0], s[2] / s[0], 1 - s[3] / s[1]) for p, s in stats.items()}
-    raw = np.array([ratios[b.path] for b in blocks])
-    reach = min(2, (len(blocks) - 1) // 2)
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / spread) ** 2)
-    weight = np.convolve(np.ones(len(blocks)), kernel, "same")
-    length, stops = (np.convolve(raw[:, i], kernel, "same") / weight for i in (0, 1))
-    # Own and neighbourhood ratios count alike; logs keep one long block from drowning the rest.
-    fused = np.log1p((raw[:, 0] + length) / 2) * np.log1p((raw[:, 1] + stops) / 2) * raw[:, 2]
-    return fused
-
-
-def _common(paths: list[tuple]) -> tuple:
-    first, last = min(paths), max(paths)
-    n = 0
-    while n < min(len(first), len(last)) and first[n] == last[n]:
-        n += 1
-    return first[:n]
-
-
-def main_blocks(blocks: list[_Block]) -> list[_Block]:
-    fair = [i for i, b in enumerate(blocks) if not b.apart]
+def _smoothed(values: np.ndarray, spread: float) -> np.ndarray:
+    """Gaussian means over neighbouring blocks, two to each side at most."""
+    kernel = np.exp(-0.5 * (np.arange(-2, 3) / spread) ** 2)
+    return np.convolve(values, kernel)[2:-2] / np.convolve(np.ones(len(values)), kernel)[2:-2]
+
+
+def _headed(page: Page, fair: list[int]) -> set[int]:
+    """Nodes that have a heading among their children, the page and its body left out."""
+    return {up for i in fair if page.tag[page.node[i]] in HEADINGS for up in (page.parent[page.node[i]],) if page.tag[up] not in ("", "html", "body")}
+
+
+def path_scores(page: Page, fair: list[int], spread: float = 1.0) -> np.ndarray:
+    """Fused ratio of each block of `fair`. Its length ratio is the mean of three: characters per node of its tag path, characters per block of its like siblings, and the
+    latter smoothed in page order; its punctuation ratio likewise. Logs keep one long block from drowning the rest."""
+    paths, groups = [page.path[page.node[i]] for i in fair], [(page.parent[page.node[i]], page.tag[page.node[i]]) for i in fair]
+    by_path, by_group = {}, {}
+    for i, path, group in zip(fair, paths, groups, strict=True):
+        n, stops = len(page.text[i]), len(_PUNCTUATION.findall(page.text[i]))
+        a, b = by_path.setdefault(path, [0, 0]), by_group.setdefault(group, [0, 0, 0, 0])
+        a[0] += n
+        a[1] += stops
+        b[0] += 1
+        b[1] += n
+        b[2] += stops
+        b[3] += min(n, page.linked[i])
+    whole = np.array([(by_path[p][0] / page.nodes_of_path[p], by_path[p][1] / page.nodes_of_path[p]) for p in paths])
+    own = np.array([(b[1] / b[0], b[2] / b[0], 1 - b[3] / b[1]) for b in map(by_group.__getitem__, groups)])
+    length, stops = ((whole[:, k] + own[:, k] + _smoothed(own[:, k], spread)) / 3 for k in (0, 1))
+    headed = _headed(page, fair)
+    weight = [(FAINT if page.faint[v] else 1.0) * (CENTRAL if page.central[v] else 1.0) * (HEADED if page.parent[v] in headed else 1.0) * (RIGHTS if _RIGHTS.search(page.text[i]) and page.tag[v] not in HEADINGS else 1.0) for i in fair for v in (page.node[i],)]
+    return np.log1p(length) * np.log1p(stops) * own[:, 2] * np.array(weight)
+
+
+def _totals(page: Page, fair: list[int], values: np.ndarray) -> np.ndarray:
+    """Sums of the blocks' values below each node."""
+    out = np.zeros(len(page.tag))
+    np.add.at(out, [page.node[i] for i in fair], values)
+    out = out.tolist()
+    for node in range(len(out) - 1, 0, -1):
+        out[page.parent[node]] += out[node]
+    return np.array(out)
+
+
+def _content_node(page: Page, mass: np.ndarray, children: list[list[int]], headed: set[int], titled: set[int]) -> int:
+    """Down from the root, to the child that holds most of the mass, until none does or an article's own heading would be left behind."""
+    node = 0
+    while page.tag[node] != "article":
+        inner = [c for c in children[node] if mass[c] > 0 and (page.tag[c] not in _TEXTUAL or page.tag[c] in _LISTS or page.tag[node] in _LISTS or page.tag[node] in ("tbody", "thead", "tr"))]
+        articles = [c for c in inner if page.tag[c] in _MAIN and mass[c] >= ARTICLE * mass[node]]
+        if not articles and node not in headed and node not in titled:
+            # Of several parts without telling tags, the only one with a heading of its own is like an article.
+            own = [c for c in inner if c in headed]
+            articles = own if len(own) == 1 and mass[own[0]] >= ARTICLE * mass[node] else []
+        best = max(articles or inner, key=lambda c: mass[c], default=None)
+        if best is None or not articles and (mass[best] < MOST * mass[node] or page.tag[node] == "main"):
+            break
+        if not articles and (page.tag[best] in ("ul", "ol", "dl") or node in headed or node in titled and not headed & {best, *children[best]}):
+            break
+        node = best
+    return node
+
+
+def content(page: Page) -> list[int]:
+    """Numbers of the blocks that are the page's main text."""
+    fair = [i for i, v in enumerate(page.node) if not page.barred[v]]
     if not fair:
         return []
-    scores = path_scores(blocks)
-    # Per path, the mass-weighted mean; the threshold lies between the page's mean and its best path.
-    mass: dict[tuple, list[float]] = {}
-    for i in fair:
-        n = len(blocks[i].text)
-        s = mass.setdefault(blocks[i].path, [0.0, 0.0])
-        s[0] += n
-        s[1] += n * scores[i]
-    mean = {p: s[1] / s[0] for p, s in mass.items()}
-    best = max(mean, key=lambda p: (mean[p] * math.log1p(mass[p][0]), p))
-    threshold = 0.5 * mean[best]
-    chosen = {p for p in mean if mean[p] >= threshold and mean[p] > 0} | {best}
-    # The region: the article or main element of the best path if it has one, else what the chosen paths share.
-    outer = next((n for n, t in enumerate(best) if t in _MAIN), None)
-    if outer is not None:
-        region = best[: outer + 1]
-    else:
-        near = [p[:-1] for p in chosen]
-        region = _common(near)
-        if region in ((), ("html",), ("html", "body"), ("body",)) and len({p[: len(region) + 1] for p in chosen}) > 1:
-            # Nothing holds them all: the chosen paths alone, with headings beside them.
-            parents = {p[:-1] for p in chosen}
-            return [b for i, b in enumerate(blocks) if not b.apart and (b.path in chosen or b.path and b.path[:-1] in parents and (b.path[-1] in HEADINGS or b.path[-1] == "p"))]
-    n = len(region)
-    return [blocks[i] for i in fair if blocks[i].path[:n] == region]
+    scores = path_scores(page, fair)
+    sizes = np.array([len(page.text[i]) for i in fair], float)
+    # Per group of like siblings, the mean score; the best group is that of most score and text.
+    of_group: dict[tuple[int, str], list[float]] = {}
+    groups = [(page.parent[page.node[i]], page.tag[page.node[i]]) for i in fair]
+    for group, score, size in zip(groups, scores.tolist(), sizes.tolist(), strict=True):
+        g = of_group.setdefault(group, [0.0, 0.0])
+        g[0] += size
+        g[1] += size * score
+    mean = {g: s / n for g, (n, s) in of_group.items()}
+    best = mean[max(mean, key=lambda g: mean[g] * np.log1p(of_group[g][0]))]
+    carries = np.array([mean[g] >= CARRIES * best for g in groups])
+    mass = _totals(page, fair, np.where(carries, sizes * scores, 0.0))
+    if not mass[0] > 0:
+        # No punctuation anywhere, or nothing but links: what is left is the text.
+        mass = _totals(page, fair, sizes * np.array([FAINT if page.faint[page.node[i]] else 1.0 for i in fair]))
+        best = 0.0
+    held, gained = _totals(page, fair, sizes), _totals(page, fair, sizes * scores)
+    linked = _totals(page, fair, np.array([min(len(page.text[i]), page.linked[i]) for i in fair], float))
+    children: list[list[int]] = [[] for _ in page.tag]
+    for node in range(1, len(page.tag)):
+        if held[node] > 0:
+            children[page.parent[node]].append(node)
+    titled = {page.parent[page.node[i]] for i in fair if page.tag[page.node[i]] in HEADINGS}
+    region = _content_node(page, mass, children, _headed(page, fair), titled)
+    # Parts inside the region: containers and lone blocks under their share of the best score go, and lists of links.
+    stays = np.zeros(len(page.tag), bool)
+    stays[region] = True
+    for node in range(region + 1, len(page.tag)):
+        if not stays[page.parent[node]] or not held[node] > 0:
+            continue
+        tag, mean_score = page.tag[node], gained[node] / held[node]
+        if tag in HEADINGS or page.parent[node] != region and page.tag[page.parent[node]] in _TEXTUAL:
+            stays[node] = not page.faint[node] or page.faint[region]
+        elif tag in _TEXTUAL:
+            stays[node] = (tag not in _LISTS or linked[node] < 0.6 * held[node]) and (not page.faint[node] or page.faint[region] or mean_score >= STAYS * best)
+        else:
+            stays[node] = mean_score >= (STAYS if children[node] else LEAF) * best
+    return [i for i in fair if stays[page.node[i]]]
 
 
 def main_text(page: str) -> str:
-    return "\n".join(b.text for b in main_blocks(blocks_of(page)))
+    seen = read(page)
+    return "\n".join(seen.text[i] for i in content(seen))
 
 
 def extract_main(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

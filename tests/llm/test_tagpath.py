@@ -1,3 +1,10 @@
+import html as H
+import math
+import random
+import re
+from html.parser import HTMLParser
+
+import numpy as np
 import pytest
 
 from panelforge.llm import queries, tagpath as T
@@ -30,17 +37,126 @@ def test_templates(spark, html, want):
     assert r["n_chars"] == len(want)
 
 
-def test_pages_keep_exactly_their_article(spark, data):
-    import html as H
-    import re
+def article(page):
+    """The blocks of the page's article, by plain patterns."""
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    parts = [" ".join(H.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1|div)>", inner)]
+    return "\n".join(x for x in parts if x)
 
+
+def test_pages_keep_exactly_their_article(spark, data):
     rows = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     got = queries.op4_main_text(spark, data).collect()
     assert len(got) == len(rows)
     for r in got:
-        inner = re.search(r"<article>(.*?)</article>", rows[r["page_id"]], re.S)[1]
-        parts = [" ".join(H.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1|div)>", inner)]
-        assert r["text"] == "\n".join(x for x in parts if x)
+        assert r["text"] == article(rows[r["page_id"]])
+
+
+def anonymous(page, rng):
+    """The page with containers that tell nothing, and with a notice, a long menu of links, and reader comments that may hold more text than the article."""
+    pool = article(page).split()[:300]
+    some = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+    box = lambda body: f'<div class="x{rng.randrange(10**6)}">{body}</div>'
+    comments, most = "", min(6000, len(article(page)) * rng.choice([0.3, 1, 2]))
+    while len(comments) < most:
+        comments += box(f"<div>{some(2)}</div><p>{some(rng.randint(3, 14))}</p>")
+    links = "".join(f"<li><a href=/x>{some(8)}</a></li>" for _ in range(30))
+    page = page.replace("</article>", "</article>" + box(comments) + box(f"<ul>{links}</ul><p>{some(8)}.</p>"), 1)
+    page = page.replace("<nav>", box("<p>We use cookies, and so on. Accept them, please.</p>") + "<nav>", 1).replace('<div class="ad">', "<div>")
+    return re.sub(r"<(/?)(?:article|nav|footer)>", r"<\1div>", page)
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+
+
+def right(pages):
+    rng = random.Random(1)
+    return sum(T.main_text(anonymous(p, rng)) == article(p) for p in pages) / len(pages)
+
+
+def test_anonymous_containers(pages):
+    assert right(pages) >= 0.95
+
+
+@pytest.mark.parametrize(("noise", "most"), [(lambda real, g: g.permutation(real), 0.2), (lambda real, g: g.random(len(real)), 0.7), (lambda real, g: np.ones(len(real)), 0.85)])
+def test_ratios_decide(pages, monkeypatch, noise, most):
+    """With noise in the place of the ratios, or the amount of text alone, the same pages fail."""
+    g, real = np.random.default_rng(1), T.path_scores
+    monkeypatch.setattr(T, "path_scores", lambda page, fair: noise(real(page, fair), g))
+    assert right(pages) < most
+
+
+class Plain(HTMLParser):
+    """Blocks of well-formed pages: (elements from the root, as (tag, number) pairs, text)."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.stack, self.elements, self.blocks = [], [], []
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.stack.append((tag, len(self.elements)))
+        self.elements.append([t for t, _ in self.stack])
+
+    def handle_endtag(self, tag):
+        assert self.stack.pop()[0] == tag
+
+    def handle_data(self, text):
+        if text.strip():
+            self.blocks.append((list(self.stack), text))
+
+
+def brute_scores(page):
+    seen = Plain(page)
+    tags = lambda stack: [t for t, _ in stack]
+    stops = lambda text: sum(c in ".,;:!?" for c in text)
+    group = lambda stack: (stack[:-1], stack[-1][0])
+    kin = [[t for s, t in seen.blocks if group(s) == group(stack)] for stack, _ in seen.blocks]
+    own = [(sum(map(len, ts)) / len(ts), sum(map(stops, ts)) / len(ts)) for ts in kin]
+    out = []
+    for i, (stack, _) in enumerate(seen.blocks):
+        nodes = sum(e == tags(stack) for e in seen.elements)
+        same = [t for s, t in seen.blocks if tags(s) == tags(stack)]
+        ratio = []
+        for k, measure in enumerate((len, stops)):
+            near = [(math.exp(-0.5 * (j - i) ** 2), own[j][k]) for j in range(len(own)) if abs(i - j) <= 2]
+            ratio.append((sum(map(measure, same)) / nodes + own[i][k] + sum(w * v for w, v in near) / sum(w for w, _ in near)) / 3)
+        headed = any(s[:-1] == stack[:-1] and s[-1][0] == "h1" for s, _ in seen.blocks) and stack[-2][0] != "body"
+        out.append(math.log1p(ratio[0]) * math.log1p(ratio[1]) * (1.5 if headed else 1))
+    return out
+
+
+def test_scores_equal_a_plain_version():
+    rng = random.Random(2)
+    for _ in range(30):
+        body = ""
+        for _ in range(rng.randint(2, 5)):
+            head = "<h1>A, b</h1>" if rng.random() < 0.5 else ""
+            body += f"<div>{head}" + "".join(f"<{t}>{'word, ' * rng.randint(1, 9)}end.</{t}>" for t in rng.choices(["p", "li", "div"], k=rng.randint(1, 4))) + "<p></p></div>"
+        page = f"<html><body>{body}</body></html>"
+        seen = T.read(page)
+        assert T.path_scores(seen, list(range(len(seen.text)))) == pytest.approx(brute_scores(page))
+
+
+def test_ties_go_to_the_first():
+    part = f"<div><h2>T</h2><p>{P}</p></div>"
+    assert T.main_text(f"<body>{part}{part}</body>").startswith(f"T\n{P}")
+    assert T.main_text(f"<article><p>{P} One.</p></article><article><p>{P} Two.</p></article>") == f"{P} One."
+
+
+def test_names_weigh_but_ratios_may_outweigh_them():
+    assert T.main_text(f'<body><div class="x"><h1>H</h1><p>{P}</p><p>{P}</p></div><div class="related"><p>{P}</p></div></body>') == f"H\n{P}\n{P}"
+    assert T.main_text(f'<body><div class="notice"><h1>H</h1>{f"<p>{P}</p>" * 20}</div><div>Short.</div></body>') == "H\n" + "\n".join([P] * 20)
+
+
+def test_rows_and_columns(spark):
+    page = f"<article><p>{P}</p></article>"
+    df = spark.createDataFrame([(None, None, page, "a", 1), (1, "u", page, "b", 2), (1, "u", page, "c", 3), (2, "v", f"<article><p>{'word, ' * 200_000}</p></article>", "d", 4)], "page_id long, url string, html string, text string, n_chars int")
+    rows = sorted(T.extract_main(df).collect(), key=lambda r: (r["page_id"] or 0, r["url"] or ""))
+    assert [r["text"] for r in rows[:3]] == [P] * 3 and (rows[0]["page_id"], rows[0]["url"]) == (None, None)
+    assert rows[3]["n_chars"] == len("word, ") * 200_000 - 1
 
 
 def test_long_and_deep_pages():
@@ -51,8 +167,8 @@ def test_long_and_deep_pages():
 
 
 def test_paths_are_scored_by_length_and_punctuation():
-    blocks = T.blocks_of(f"<body><ul><li>one<li>two<li>three</ul><div><p>{P}</p><p>{P}</p></div>")
-    scores = dict(zip([b.path[-1] for b in blocks], T.path_scores(blocks), strict=True))
+    seen = T.read(f"<body><ul><li>one<li>two<li>three</ul><div><p>{P}</p><p>{P}</p></div>")
+    scores = dict(zip([seen.tag[v] for v in seen.node], T.path_scores(seen, list(range(len(seen.node)))), strict=True))
     assert scores["p"] > scores["li"]
 
 
