@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import importlib.util
 import os
 import shutil
 import tempfile
@@ -17,6 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
+#: File of the vocabulary, a parameter of the operators that read one. The installed package of public vocabularies tells where it is.
+PIECES = "piece_bpe_32k.model"
+
+
+def vocabulary(name: str = PIECES) -> str:
+    """Path of a vocabulary file: in the folder that PANELFORGE_VOCABULARIES names, or in the installed package."""
+    folder = os.environ.get("PANELFORGE_VOCABULARIES")
+    if folder:
+        return str(Path(folder) / name)
+    found = importlib.util.find_spec("public_tokenizers")
+    if found is None or found.origin is None:
+        raise FileNotFoundError(f"{name}: no package of vocabularies is installed, and PANELFORGE_VOCABULARIES names no folder")
+    return str(Path(found.origin).parent / name)
+
 
 def importable(spark: SparkSession) -> None:
     """Lets Python workers import this package wherever the driver was started from, as long as they see the same files."""

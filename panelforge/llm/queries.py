@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import decontam, gam, lm, secretscan, sharding, simhash, tagpath, topk, urlfilter, wfst
-
-#: File of the vocabulary, a parameter of the operator. The installed package of public vocabularies tells where it is.
-PIECES = "piece_bpe_32k.model"
-
+from panelforge.llm._base import vocabulary
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary(name: str = PIECES) -> str:
-    found = importlib.util.find_spec("public_tokenizers")
-    return str(Path(found.origin).parent / name if found else Path("/opt/tokenizers") / name)
-
-
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
@@ -34,7 +24,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secretscan.scan_secrets(table(spark, sf_dir, "documents"))
+    return secretscan.scan_secrets(table(spark, sf_dir, "documents"), words=secretscan.vocabulary_words(vocabulary()))
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -390,6 +390,13 @@ class Transducer:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+def pieces_of(path: str) -> list[str]:
+    """The ordinary pieces of a model file, in its order."""
+    with open(path, "rb") as f:
+        parts = [{k: v for k, _, v in _fields(value)} for field, _, value in _fields(f.read()) if field == 1]
+    return [x[1].decode("utf-8") for x in parts if x.get(3, NORMAL) == NORMAL]
+
+
 def load(path: str) -> Transducer:
     with open(path, "rb") as f:
         return Transducer(f.read())
