@@ -46,12 +46,14 @@ def wide(spark: SparkSession, sf: str) -> DataFrame:
     return u.withColumn("S", state).withColumn("C", context)
 
 
-#: Edges of a bipartite graph: orders and parts of some lineitems, with areas and overlaps from prices and quantities.
 def overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    x = t(spark, sf, "lineitem").where("l_quantity = 50 AND round(l_discount * 100) IN (5, 6, 7)")
-    g = x.groupBy(F.col("l_orderkey").alias("unit_id"), F.col("l_partkey").alias("cluster_id")).agg(F.max("l_extendedprice").alias("price"))
+    """Overlaps of a bipartite graph: every pair of an order and a part that has a lineitem. Areas and overlaps are arithmetic on the keys: about 6 in 100 pairs overlap enough
+    for a link, and two thirds of the pairs of every fiftieth part, which thereby becomes a hub."""
     u, c = F.col("unit_id"), F.col("cluster_id")
-    return g.select("unit_id", "cluster_id", (u % 7 * 100 + 500).cast("double").alias("a_unit"), (c % 5 * 150 + 600).cast("double").alias("a_cluster"), (((u + c) % 6 * 60 + 200)).cast("double").alias("inter"), ((u + c) % 40).cast("double").alias("distance_km"))
+    pairs = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("unit_id"), F.col("l_partkey").alias("cluster_id")).distinct()
+    sized = pairs.withColumn("a_unit", (u % 7 * 100 + 500).cast("double")).withColumn("a_cluster", (c % 5 * 150 + 600).cast("double"))
+    part = ((u * 31 + c * 17) % 101 + F.when(c % 50 == 7, 60).otherwise(0)).cast("double")
+    return sized.withColumn("inter", F.least("a_unit", "a_cluster") * part / 189).withColumn("distance_km", ((u + c) % 40).cast("double"))
 
 
 def link_countries(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,8 +78,8 @@ WIDE = U + ", " + HIST + f""", wide AS (
     SELECT u.*, e.bus, e.pop, e.buv, x.H, [ln(e.pop), ln(e.bus), ln(e.pop / e.bus), ln(e.buv)] AS S, [u.lat, u.lon, u.elev] AS C
     FROM units u JOIN (SELECT * FROM stock WHERE epoch = {LAST}) e USING (unit_id) JOIN (SELECT unit_id, list(h ORDER BY epoch) AS H FROM hist GROUP BY 1) x USING (unit_id))"""
 OVER = """ovl AS (
-    SELECT unit_id, cluster_id, CAST(unit_id % 7 * 100 + 500 AS DOUBLE) AS a_unit, CAST(cluster_id % 5 * 150 + 600 AS DOUBLE) AS a_cluster, CAST((unit_id + cluster_id) % 6 * 60 + 200 AS DOUBLE) AS inter, CAST((unit_id + cluster_id) % 40 AS DOUBLE) AS distance_km
-    FROM (SELECT DISTINCT l_orderkey AS unit_id, l_partkey AS cluster_id FROM lineitem WHERE l_quantity = 50 AND round(l_discount * 100) IN (5, 6, 7)))"""
+    SELECT *, least(a_unit, a_cluster) * CAST((unit_id * 31 + cluster_id * 17) % 101 + CASE WHEN cluster_id % 50 = 7 THEN 60 ELSE 0 END AS DOUBLE) / 189 AS inter, CAST((unit_id + cluster_id) % 40 AS DOUBLE) AS distance_km
+    FROM (SELECT DISTINCT l_orderkey AS unit_id, l_partkey AS cluster_id, CAST(l_orderkey % 7 * 100 + 500 AS DOUBLE) AS a_unit, CAST(l_partkey % 5 * 150 + 600 AS DOUBLE) AS a_cluster FROM lineitem))"""
 #: Links with their classes; components by a recursive walk.
 LINKS = OVER + """, sub AS (SELECT *, 'c' || CAST(unit_id % 3 AS VARCHAR) AS country, cluster_id % 11 <> 0 AS valid FROM ovl WHERE inter / least(a_unit, a_cluster) >= 0.5),
     walk(start, node) AS (SELECT DISTINCT unit_id, unit_id FROM sub UNION SELECT w.start, b.unit_id FROM walk w JOIN sub a ON a.unit_id = w.node JOIN sub b ON b.cluster_id = a.cluster_id),

@@ -14,7 +14,7 @@ from panelforge.operators import resampling as RS
 from panelforge.operators import summaries as A
 from panelforge.operators.ordering import settled
 from panelforge.plans import specs as X
-from panelforge.plans.base import LAST, STOCK, U, WIDE, stock, t, units, wide
+from panelforge.plans.base import EPOCHS, LAST, STOCK, U, WIDE, stock, t, units, wide
 from panelforge.plans.relational_queries import _KM, _PAIRS, _emb, _pairs
 
 R = F.round
@@ -267,10 +267,11 @@ def _(spark, sf):
     return X.quadratic_study(_spec_frame(spark, sf), _SPEC)
 
 
-@query("rs17_agreement", f"WITH {STOCK}, w AS (SELECT unit_id, max(bus) FILTER (epoch = 1996) AS a, max(pop) FILTER (epoch = 1996) AS b FROM stock GROUP BY 1) SELECT 'e1996' AS epoch, round(corr(a, b), 7) AS pearson, count(*) AS n FROM w")
+@query("rs17_agreement", f"WITH {STOCK} SELECT 'e' || CAST(epoch AS VARCHAR) AS epoch, round(corr(bus, pop), 7) AS pearson, count(*) AS n FROM stock GROUP BY epoch")
 def _(spark, sf):
-    w = P.widen(stock(spark, sf), (1996,), ("bus", "pop"))
-    return X.agreement(w.select("unit_id", F.col("bus_1996").alias("e1996")), w.select("unit_id", F.col("pop_1996").alias("e1996")), ["e1996"]).select("epoch", R("pearson", 7).alias("pearson"), "n")
+    w = P.widen(stock(spark, sf), EPOCHS, ("bus", "pop"))
+    side = lambda v: w.select("unit_id", *[F.col(f"{v}_{e}").alias(f"e{e}") for e in EPOCHS])
+    return X.agreement(side("bus"), side("pop"), [f"e{e}" for e in EPOCHS]).select("epoch", R("pearson", 7).alias("pearson"), "n")
 
 
 @query("rs17_residual_autocorrelation")
