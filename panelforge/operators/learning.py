@@ -40,8 +40,10 @@ def zscore(df: DataFrame, x: str, width: int, out: str | None = None, fit_on: Da
 
 def robust_scale(df: DataFrame, x: str, width: int, out: str | None = None) -> DataFrame:
     """(value - median) / interquartile range, exact."""
-    q = lambda p: lambda c: F.percentile(c, F.lit(p))
-    stats = column_stats(df, x, width, q(0.5), lambda c: F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25)))
+    cells = df.select(F.posexplode(F.slice(x, 1, width)).alias("_at", "_v"))
+    # One row per column reaches the driver.
+    cuts = {r["_at"]: r["_q"] for r in exact_quantiles(cells, "_v", [0.25, 0.5, 0.75], "_q", ["_at"]).collect()}
+    stats = [(q[1] or 0.0, ((q[2] or 0.0) - (q[0] or 0.0)) or 1.0) for q in (cuts.get(i, [None] * 3) for i in range(width))]
     return df.withColumn(out or x, scaled(x, stats))
 
 

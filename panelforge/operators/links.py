@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import is_link, join_ids, ratio, split_ids, strict_pair
+from panelforge.operators.graph import connected
+from panelforge.operators.ordering import settled
 
 
 @dataclass(frozen=True)
@@ -43,29 +45,19 @@ def correspond(left: DataFrame, right: DataFrame, key: str = "key", check: str |
     return out
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(side, id, component) of a bipartite graph; component is the smallest `a` node of each.
 
-    Labels spread by smallest neighbour, each round followed by a jump to the label's own label, so long chains settle in few rounds. Each round is
-    checkpointed to the reliable folder when one is set.
+    Every `b` node is replaced by edges from its `a` nodes to the smallest of them, so hubs never meet in one task, and the components of what is left are found by star
+    contraction. Edges with a null end don't count.
     """
-    spark = edges.sparkSession
-    keep = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.persist())
-    pairs = keep(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct())
-    label = pairs.select("a", F.col("a").alias("c")).distinct()
-    for _ in range(rounds):
-        via = pairs.join(label, "a").groupBy("b").agg(F.min("c").alias("c"))
-        near = pairs.join(via, "b").groupBy("a").agg(F.min("c").alias("c"))
-        jump = near.join(near.select(F.col("a").alias("c"), F.col("c").alias("cc")), "c").select("a", F.least("c", "cc").alias("c"))
-        new = keep(jump)
-        if new.join(label.withColumnRenamed("c", "old"), "a").where(F.col("c") != F.col("old")).isEmpty():
-            break
-        label = new
-    else:
-        raise RuntimeError("components did not settle")
-    return label.select(F.lit("a").alias("side"), F.col("a").alias("id"), F.col("c").alias("component")).unionByName(
-        pairs.join(label, "a").groupBy("b").agg(F.min("c").alias("component")).select(F.lit("b").alias("side"), F.col("b").alias("id"), "component")
-    )
+    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct()
+    pairs = settled(pairs)
+    least = pairs.groupBy("b").agg(F.min("a").alias("m"))
+    joined = connected(pairs.join(least, "b").select(F.col("a").alias("u"), F.col("m").alias("v")))
+    of_a = pairs.select("a").distinct().join(joined.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("root", "a").alias("component"))
+    of_b = least.join(of_a.withColumnRenamed("a", "m"), "m")
+    return of_a.select(F.lit("a").alias("side"), F.col("a").alias("id"), "component").unionByName(of_b.select(F.lit("b").alias("side"), F.col("b").alias("id"), "component"))
 
 
 def classify(overlaps: DataFrame, countries: DataFrame, rules: LinkRules = LinkRules()) -> DataFrame:
@@ -74,12 +66,12 @@ def classify(overlaps: DataFrame, countries: DataFrame, rules: LinkRules = LinkR
     `overlaps`: unit_id, cluster_id, inter, a_unit, a_cluster, distance_km. `countries`: unit_id, country. Adds the degrees of both ends, the share of
     the cluster's total overlap, its coverage, the component with its sizes, and pair_class.
     """
-    links = overlaps.where(is_link(ratio(F.col("inter"), F.least("a_unit", "a_cluster")), rules.link_overlap)).join(countries, "unit_id", "left")
-    per_cluster, per_unit = Window.partitionBy("cluster_id"), Window.partitionBy("unit_id")
-    # An edge is one row per pair, so counts of rows are counts of partners.
-    links = links.withColumn("n_units", F.count(F.lit(1)).over(per_cluster)).withColumn("n_clusters", F.count(F.lit(1)).over(per_unit))
-    links = links.withColumn("share", ratio(F.col("inter"), F.sum("inter").over(per_cluster))).withColumn("coverage", ratio(F.sum("inter").over(per_cluster), F.col("a_cluster")))
-    links = links.withColumn("n_countries", F.size(F.collect_set("country").over(per_cluster)))
+    links = settled(overlaps.where(is_link(ratio(F.col("inter"), F.least("a_unit", "a_cluster")), rules.link_overlap)).join(countries, "unit_id", "left"))
+    # An edge is one row per pair, so counts of rows are counts of partners. Aggregates per node are partial before they are shuffled, and their joins can split a hub.
+    n = F.count(F.lit(1))
+    of_cluster = links.groupBy("cluster_id").agg(n.alias("n_units"), F.sum("inter").alias("_all"), F.max("inter").alias("_most"), F.size(F.collect_set("country")).alias("n_countries"))
+    links = links.join(of_cluster, "cluster_id").join(links.groupBy("unit_id").agg(n.alias("n_clusters")), "unit_id")
+    links = links.withColumn("share", ratio(F.col("inter"), F.col("_all"))).withColumn("coverage", ratio(F.col("_all"), F.col("a_cluster")))
     graph = components(links, "unit_id", "cluster_id")
     sizes = graph.groupBy("component").agg(F.count_if(F.col("side") == "a").alias("comp_units"), F.count_if(F.col("side") == "b").alias("comp_clusters"))
     of_unit = graph.where("side = 'a'").select(F.col("id").alias("unit_id"), "component")
@@ -87,7 +79,7 @@ def classify(overlaps: DataFrame, countries: DataFrame, rules: LinkRules = LinkR
     iou, frac_cluster = ratio(F.col("inter"), F.col("a_unit") + F.col("a_cluster") - F.col("inter")), ratio(F.col("inter"), F.col("a_cluster"))
     strict = strict_pair(iou, ratio(F.col("a_unit"), F.col("a_cluster")), F.col("distance_km"), rules.strict_iou, rules.strict_ratios, rules.strict_km)
     top = F.col("share") >= rules.dominant_share
-    some_top = F.max(F.col("share")).over(per_cluster) >= rules.dominant_share
+    some_top = ratio(F.col("_most"), F.col("_all")) >= rules.dominant_share
     one_unit, one_cluster = F.col("comp_units") == 1, F.col("comp_clusters") == 1
     pair_class = (
         F.when(one_unit & one_cluster, F.when(strict, "A_strict_1to1").otherwise("H_footprint_mismatch_1to1"))
@@ -96,7 +88,7 @@ def classify(overlaps: DataFrame, countries: DataFrame, rules: LinkRules = LinkR
         .when(one_unit, "C_ambiguous_one_to_many")
         .otherwise("J_complex_many_to_many")
     )
-    return links.withColumn("iou", iou).withColumn("pair_class", pair_class)
+    return links.withColumn("iou", iou).withColumn("pair_class", pair_class).drop("_all", "_most")
 
 
 def unit_classes(links: DataFrame) -> DataFrame:

@@ -3,61 +3,161 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from panelforge.functions.scalars import EARTH_KM, distance
-from panelforge.operators.ordering import exact_quantiles
+from panelforge.operators.ordering import exact_quantiles, settled
+
+
+@dataclass(frozen=True)
+class _Rules:
+    """Which candidates a query may have."""
+
+    least_km: float | None
+    same_group: str | None
+    other_group: str | None
+
+    def columns(self) -> list[str]:
+        return [c for c in ("lat", "lon") if self.least_km is not None] + [c for c in (self.same_group, self.other_group) if c]
+
+    def barred(self, q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
+        bad = q["id"].to_numpy()[:, None] == c["id"].to_numpy()[None, :]
+        if self.least_km is not None:
+            la, lo, lb, mo = (np.radians(v.to_numpy(float)) for v in (q["lat"], q["lon"], c["lat"], c["lon"]))
+            h = np.sin((lb[None] - la[:, None]) / 2) ** 2 + np.cos(la)[:, None] * np.cos(lb)[None] * np.sin((mo[None] - lo[:, None]) / 2) ** 2
+            bad |= 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, h))) < self.least_km
+        for column, wrong in ((self.same_group, np.not_equal), (self.other_group, np.equal)):
+            if column:
+                bad |= wrong(q[column].to_numpy()[:, None], c[column].to_numpy()[None, :])
+        return bad
+
+
+_FOUND = "i long, j long, d double"
+
+
+def _nearest_of(q: pd.DataFrame, c: pd.DataFrame, k: int, rules: _Rules, rows: int = 256, pairs: int = 1 << 16) -> pd.DataFrame:
+    """The k nearest of `c` for each row of `q`. Products of matrices pick the candidates; their distances are then taken anew, difference by difference, so that equal vectors tie."""
+    out = [pd.DataFrame({"i": np.empty(0, np.int64), "j": np.empty(0, np.int64), "d": np.empty(0)})]
+    if len(q) and len(c):
+        c = c.sort_values("id")
+        b, ids = np.array(c["x"].tolist(), float), c["id"].to_numpy(np.int64)
+        norms = (b * b).sum(axis=1)
+    for at in range(0, len(q) if len(c) else 0, rows):
+        own = q.iloc[at : at + rows]
+        a = np.array(own["x"].tolist(), float)
+        mine = (a * a).sum(axis=1)
+        rough = mine[:, None] + norms[None, :] - 2 * (a @ b.T)
+        rough[rules.barred(own, c)] = np.inf
+        kth = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(b) > k else np.full(len(a), np.inf)
+        slack = 1e-9 * (1 + mine + norms.max())
+        r, s = np.nonzero((rough <= (kth + slack)[:, None]) & np.isfinite(rough))
+        d = np.concatenate([np.sqrt(((a[r[x : x + pairs]] - b[s[x : x + pairs]]) ** 2).sum(axis=1)) for x in range(0, len(r), pairs)] or [np.empty(0)])
+        order = np.lexsort((s, d, r))
+        r, s, d = r[order], s[order], d[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        out.append(pd.DataFrame({"i": own["id"].to_numpy(np.int64)[r[keep]], "j": ids[s[keep]], "d": d[keep]}))
+    return pd.concat(out)
+
+
+def _search(queries: DataFrame, candidates: DataFrame, on: list[str], k: int, rules: _Rules) -> DataFrame:
+    """`_nearest_of` in each group of the columns `on`."""
+    names = ["id", "x", *rules.columns(), *on]
+    rows = queries.select(*names, F.lit(True).alias("asks")).unionByName(candidates.select(*names, F.lit(False).alias("asks")))
+    return rows.groupBy(*on).applyInPandas(lambda pdf: _nearest_of(pdf[pdf["asks"]], pdf[~pdf["asks"]], k, rules), _FOUND)
 
 
 def knn(queries: DataFrame, candidates: DataFrame, k: int, x: str = "x", key: str = "unit_id", least_km: float | None = None, same_group: str | None = None, other_group: str | None = None, block_rows: int = 8192) -> DataFrame:
     """(i, j, d, rank): the k nearest candidates of each query by Euclidean distance of arrays `x`, ties to smaller ids, never itself.
 
     `least_km`: candidates at least so far away on the sphere (columns lat, lon). `other_group`: candidates must differ in that column; `same_group`: must
-    agree. Both sides are dealt into blocks and each pair of blocks is one task, so nothing grows beyond two blocks in memory; only k rows per
-    query and block are shuffled.
+    agree. A few candidates are compared with blocks of queries. More of them are dealt to the cells of pivots, where each stays, whatever the number of queries: a query first asks a block of
+    its own cell, and the distance found there tells, by the triangle inequality, which other cells can hold a nearer one. Cells and their queries are split into blocks of bounded size, and only k
+    rows per query and block are shuffled.
     """
-    extra = [c for c in ("lat", "lon") if least_km is not None] + [c for c in (same_group, other_group) if c]
+    rules = _Rules(least_km, same_group, other_group)
+    side = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(x).cast("array<double>").alias("x"), *rules.columns())
+    q, c = side(queries), side(candidates)
     nq, nc = queries.count(), candidates.count()
-    gq, gc = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nc / block_rows))
-    side = lambda df, role, own, n_own, other, n_other: df.select(F.col(key).cast("long").alias("id"), F.col(x).alias("x"), *extra, F.lit(role).alias("role"), F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
-    cells = side(queries, "q", "a", gq, "b", gc).unionByName(side(candidates, "c", "b", gc, "a", gq))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, c = pdf[pdf["role"] == "q"], pdf[pdf["role"] == "c"].sort_values("id")
-        out = pd.DataFrame({"i": [], "j": [], "d": []}).astype({"i": "int64", "j": "int64", "d": "float64"})
-        if not len(q) or not len(c):
-            return out
-        a, b = np.array(q["x"].tolist(), float), np.array(c["x"].tolist(), float)
-        qi, ci = q["id"].to_numpy(), c["id"].to_numpy()
-        found = []
-        for at in range(0, len(a), 256):
-            own = a[at : at + 256]
-            d = np.sqrt(np.stack([((own - row) ** 2).sum(axis=1) for row in b], axis=1) if len(b) < len(own) else np.stack([((b - row) ** 2).sum(axis=1) for row in own]))
-            bad = qi[at : at + 256, None] == ci[None, :]
-            if least_km is not None:
-                la, lo, lb, mo = (np.radians(v.to_numpy(float)) for v in (q["lat"].iloc[at : at + 256], q["lon"].iloc[at : at + 256], c["lat"], c["lon"]))
-                h = np.sin((lb[None] - la[:, None]) / 2) ** 2 + np.cos(la)[:, None] * np.cos(lb)[None] * np.sin((mo[None] - lo[:, None]) / 2) ** 2
-                bad |= 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, h))) < least_km
-            for column, wrong in ((same_group, np.not_equal), (other_group, np.equal)):
-                if column:
-                    bad |= wrong(q[column].to_numpy()[at : at + 256, None], c[column].to_numpy()[None, :])
-            d[bad] = np.inf
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows = np.arange(len(own))[:, None]
-            near = d[rows, order]
-            r, s = np.nonzero(np.isfinite(near))
-            found.append(pd.DataFrame({"i": qi[at : at + 256][r], "j": ci[order[r, s]], "d": near[r, s]}))
-        return pd.concat(found) if found else out
-
-    best = cells.groupBy("a", "b").applyInPandas(run, "i long, j long, d double")
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / block_rows)).cast("int")
+    if nc <= 2 * block_rows:
+        blocks = max(1, math.ceil(nq / block_rows))
+        dealt = c.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        best = _search(q.withColumn("a", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), dealt, ["a"], k, rules)
+    else:
+        # At most 4096 pivots: a proven bound for what is collected and sent.
+        pivots = np.array([r[0] for r in c.orderBy(F.xxhash64("id"), "id").select("x").limit(min(4096, math.ceil(nc / block_rows) * 2)).collect()], float)
+        q, c = (settled(_with_cell(df, pivots)) for df in (q, c))
+        hashed = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
+        cells = c.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).select("cell", parts(F.col("n")).alias("subs"), "radius").collect()
+        subs, radius = np.zeros(len(pivots), np.int64), np.full(len(pivots), -np.inf)
+        for r in cells:
+            subs[r["cell"]], radius[r["cell"]] = r["subs"], r["radius"]
+        split = F.broadcast(q.sparkSession.createDataFrame([(r["cell"], r["subs"]) for r in cells], "cell int, subs int"))
+        placed = c.join(split, "cell").withColumn("sub", hashed(F.col("subs"), 1))
+        first = _blockwise(q.join(split, "cell").withColumn("sub", hashed(F.col("subs"), 2)), placed, k, rules, block_rows)
+        bound = first.groupBy("i").agg(F.when(F.count("d") >= k, F.max("d")).otherwise(float("inf")).alias("bound"))
+        asking = q.join(bound.withColumnRenamed("i", "id"), "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+        spread = _with_near_cells(asking, pivots, subs, radius, rules)
+        best = _blockwise(spread, placed, k, rules, block_rows)
     w = Window.partitionBy("i").orderBy("d", "j")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _distances(a: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, (a * a).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * (a @ pivots.T)))
+
+
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 2048) -> Iterator[pd.DataFrame]:
+    return (pdf.iloc[at : at + rows] for pdf in batches for at in range(0, len(pdf), rows))
+
+
+def _with_cell(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Adds the nearest pivot and the distance to it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _slices(batches):
+            d = _distances(np.array(pdf["x"].tolist(), float), pivots)
+            cell = d.argmin(axis=1)
+            yield pdf.assign(cell=cell.astype(np.int32), away=d[np.arange(len(d)), cell])
+
+    return df.mapInPandas(run, StructType([*df.schema.fields, StructField("cell", IntegerType()), StructField("away", DoubleType())]))
+
+
+def _with_near_cells(df: DataFrame, pivots: np.ndarray, subs: np.ndarray, radius: np.ndarray, rules: _Rules) -> DataFrame:
+    """Each query once for each block of the cells that its bound doesn't rule out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _slices(batches, 256):
+            a = np.array(pdf["x"].tolist(), float)
+            # Products lose some digits, which the slack makes up for.
+            slack = 1e-6 * (1 + np.abs(a).max() + np.abs(pivots).max())
+            r, cell = np.nonzero((_distances(a, pivots) - radius[None, :] <= (pdf["bound"].to_numpy() + slack)[:, None]) & (subs > 0)[None, :])
+            n = subs[cell]
+            at = np.repeat(r, n)
+            sub = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            for x in range(0, len(at), 1 << 14):
+                yield pdf.iloc[at[x : x + (1 << 14)]][["id", "x", *rules.columns()]].assign(cell=np.repeat(cell, n)[x : x + (1 << 14)].astype(np.int32), sub=sub[x : x + (1 << 14)].astype(np.int32))
+
+    fields = [f for f in df.schema.fields if f.name in ("id", "x", *rules.columns())]
+    return df.mapInPandas(run, StructType([*fields, StructField("cell", IntegerType()), StructField("sub", IntegerType())]))
+
+
+def _blockwise(queries: DataFrame, placed: DataFrame, k: int, rules: _Rules, block_rows: int) -> DataFrame:
+    """`_search` of queries (with cell and sub) against the candidates of the same block; many queries of one block are split, and meet copies of it."""
+    queries = settled(queries)
+    asked = queries.groupBy("cell", "sub").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / (4 * block_rows))).cast("int").alias("parts"))
+    own = queries.join(asked, ["cell", "sub"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts")).cast("int"))
+    there = placed.join(asked, ["cell", "sub"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return _search(own, there, ["cell", "sub", "part"], k, rules)
+
+
 def mutual_pairs(neighbours: DataFrame) -> DataFrame:
     """(i, j, d), i < j: pairs that are in each other's neighbourhoods."""
     back = neighbours.select(F.col("i").alias("j"), F.col("j").alias("i"))

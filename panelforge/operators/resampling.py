@@ -14,26 +14,37 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import distance, hash_draw, unit_xyz
 from panelforge.operators.neighbours import knn, neighbour_mean
+from panelforge.operators.ordering import few, row_numbers
 
 
 def draws(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
 
 
-def shuffled(df: DataFrame, value: str, n_draws: int, strata: Sequence[str] = (), least: int = 1, key: str = "unit_id", out: str = "value_perm") -> DataFrame:
+def shuffled(df: DataFrame, value: str, n_draws: int, strata: Sequence[str] = (), least: int = 1, key: str = "unit_id", out: str = "value_perm", window_rows: int = 1 << 20) -> DataFrame:
     """(draw, key, out): the column's values dealt anew within strata, for each draw. In strata with fewer than `least` rows values stay.
 
-    Receivers are ranked by key, givers by the hash of draw and key, and ranks are matched: two windows partitioned by draw and stratum, so strata
-    and draws spread over tasks.
+    Receivers are ranked by key, givers by the hash of draw and key, and ranks are matched. Strata of up to `window_rows` rows are ranked by windows, each draw and stratum in one task;
+    if any is larger, all are ranked over range partitions, with the same result.
     """
     groups = ["draw", *strata]
-    own = draws(df.select(key, value, *strata), n_draws)
-    hashed = F.md5(F.concat_ws(":", F.col("draw").cast("string"), F.col(key).cast("string")))
-    ranked = own.withColumn("_to", F.row_number().over(Window.partitionBy(*groups).orderBy(key))).withColumn("_from", F.row_number().over(Window.partitionBy(*groups).orderBy(hashed, key))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*groups)))
-    giver = ranked.select(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_from").alias("_given_to"), F.col(value).alias("_given"))
+    # One number reaches the driver.
+    largest = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    own = draws(df.select(key, value, *strata), n_draws).withColumn("_hash", F.md5(F.concat_ws(":", F.col("draw").cast("string"), F.col(key).cast("string"))))
+    if largest <= window_rows:
+        number = lambda rows, order, name: rows.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)) - 1)
+    else:
+        number = lambda rows, order, name: row_numbers(rows, order, name, groups)
+    takers = number(own.drop("_hash"), [key], "_to")
+    givers = number(own.select(*groups, key, "_hash", value), ["_hash", key], "_from").select(*[F.col(g).alias(f"_g_{g}") for g in groups], "_from", F.col(value).alias("_given"))
     # Null-safe on strata, which may be missing.
-    cond = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups] + [F.col("_to") == F.col("_given_to")]
-    return ranked.join(giver, cond).select("draw", key, F.when(F.col("_n") >= least, F.col("_given")).otherwise(F.col(value)).alias(out))
+    cond = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups] + [F.col("_to") == F.col("_from")]
+    dealt = takers.join(givers, cond).select("draw", key, *strata, value, "_given")
+    if least <= 1:
+        return dealt.select("draw", key, F.col("_given").alias(out))
+    sizes = few(df.groupBy(*[F.col(g).alias(f"_s_{g}") for g in strata]).agg(F.count(F.lit(1)).alias("_n")))
+    sized = dealt.join(sizes, [F.col(g).eqNullSafe(F.col(f"_s_{g}")) for g in strata]) if strata else dealt.crossJoin(sizes)
+    return sized.select("draw", key, F.when(F.col("_n") >= least, F.col("_given")).otherwise(F.col(value)).alias(out))
 
 
 def permutation_pair_null(pairs: DataFrame, units: DataFrame, vector: str, n_draws: int, strata: Sequence[str] = (), least: int = 5, key: str = "unit_id") -> DataFrame:
@@ -122,17 +133,18 @@ def morans_i(df: DataFrame, value: str, k: int = 8, n_draws: int = 99, key: str
     return permutation_summary(null, observed, plus_one=True, lower=False).select(F.col("observed").alias("morans_i"), "null_mean", "null_sd", "p_value")
 
 
-def matched_random(df: DataFrame, x: str, width: int, seed: int = 7, out: str = "x_random") -> DataFrame:
-    """Normal vectors with the mean and covariance of the array column."""
+def matched_random(df: DataFrame, x: str, width: int, seed: int = 7, out: str = "x_random", key: str = "unit_id") -> DataFrame:
+    """Normal vectors with the mean and covariance of the array column: its lower Cholesky factor times independent normals, each made of two hash draws of seed, place and key by the
+    Box-Muller transform. Covariances of less than full rank get 1e-12 of their trace on the diagonal."""
     from panelforge.functions.scalars import dot
     from panelforge.operators.learning import gram
 
     n, s, p = gram(df, x, width)[None]
-    mean = s / n
+    mean = s / max(1, n)
     cov = (p - n * np.outer(mean, mean)) / max(1, n - 1)
-    values, vectors = np.linalg.eigh(cov)
-    root = vectors * np.sqrt(np.maximum(values, 0))
-    normal = F.array(*[F.randn(seed + i) for i in range(width)])
+    root = np.linalg.cholesky(cov + (1e-12 * np.trace(cov) + 1e-300) * np.eye(width))
+    uniform = lambda i, half: (hash_draw(F.concat(F.lit(f"{seed}:{2 * i + half}:"), F.col(key).cast("string")), 2**32) + 0.5) / 2.0**32
+    normal = F.array(*[F.sqrt(-2 * F.ln(uniform(i, 0))) * F.cos(F.lit(2 * np.pi) * uniform(i, 1)) for i in range(width)])
     drawn = df.withColumn("_e", normal)
     return drawn.withColumn(out, F.array(*[F.lit(float(mean[i])) + dot(F.col("_e"), F.array(*[F.lit(float(v)) for v in root[i]])) for i in range(width)])).drop("_e")
 

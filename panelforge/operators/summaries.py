@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import ratio
-from panelforge.operators.ordering import exact_quantiles, prefix_sums, row_numbers
+from panelforge.operators.ordering import exact_quantiles, group_prefix_sums, join_counted, row_numbers
 
 
 def weighted_mean(x: Column, w: Column) -> Column:
@@ -34,7 +36,7 @@ def top_counts(df: DataFrame, by: str, n: int = 5) -> DataFrame:
 
 
 def quantile_summary(x: Column, quantiles: Sequence[float] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> list[Column]:
-    """Aggregates: valid and missing counts, extremes, exact quantiles, mean, counts by sign."""
+    """Aggregates: valid and missing counts, extremes, exact quantiles (of groups whose distinct values fit a buffer; `quantile_table` has no such limit), mean, counts by sign."""
     v = F.when(~F.isnan(x), x)
     return [
         F.count(v).alias("n_valid"), F.count_if(v.isNull()).alias("n_missing"), F.min(v).alias("min"),
@@ -43,6 +45,15 @@ def quantile_summary(x: Column, quantiles: Sequence[float] = (0.01, 0.05, 0.25,
     ]
 
 
+def quantile_table(df: DataFrame, column: str, by: Sequence[str] = (), quantiles: Sequence[float] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
+    """`quantile_summary` for groups of any size, one row each: quantiles by ranks of distinct values in place of a buffer per group."""
+    sums = df.groupBy(*by).agg(*quantile_summary(F.col(column).cast("double"), ()), F.stddev_samp(F.when(~F.isnan(F.col(column).cast("double")), F.col(column))).alias("sd"))
+    own = exact_quantiles(df, column, quantiles, "_q", by).select(*[F.col(c).alias(f"_by_{c}") for c in by], *[F.col("_q")[i].alias(f"p{round(q * 100):02d}") for i, q in enumerate(quantiles)])
+    if not by:
+        return sums.join(F.broadcast(own))
+    return sums.join(own, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])).drop(*[f"_by_{c}" for c in by])
+
+
 def profile(df: DataFrame, sentinels: Sequence[int] = (-999, -1)) -> DataFrame:
     """One row per column: type, rows, missing and distinct values, sentinels, whether it could be a key. One scan, unpivoted after aggregation."""
     kinds = dict(df.dtypes)
@@ -71,10 +82,12 @@ def bias_table(df: DataFrame, variables: Sequence[str], group: str) -> DataFrame
     """One row per variable: means, medians and standardised differences of both groups, also on log10 of positive values."""
     long = df.select(F.col(group).alias("_g"), F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in variables])).alias("p")).select("_g", "p.*")
     g = F.col("_g")
-    return long.groupBy("variable").agg(
-        F.avg(F.when(g, F.col("x"))).alias("mean_in"), F.avg(F.when(~g, F.col("x"))).alias("mean_out"), F.percentile(F.when(g, F.col("x")), F.lit(0.5)).alias("median_in"), F.percentile(F.when(~g, F.col("x")), F.lit(0.5)).alias("median_out"),
-        mean_difference(F.col("x"), g).alias("smd"), mean_difference(F.when(F.col("x") > 0, F.log10("x")), g).alias("smd_log10"),
+    middle = exact_quantiles(long, "x", [0.5], "_q", ["variable", "_g"]).groupBy("variable").agg(*[F.max(F.when(side, F.col("_q")[0])).alias(name) for side, name in ((g, "median_in"), (~g, "median_out"))])
+    means = long.groupBy("variable").agg(
+        F.avg(F.when(g, F.col("x"))).alias("mean_in"), F.avg(F.when(~g, F.col("x"))).alias("mean_out"), mean_difference(F.col("x"), g).alias("smd"), mean_difference(F.when(F.col("x") > 0, F.log10("x")), g).alias("smd_log10"),
     )
+    # One row per variable on either side.
+    return means.join(F.broadcast(middle), "variable")
 
 
 def match_rates(df: DataFrame, by: str, matched: str) -> DataFrame:
@@ -85,15 +98,12 @@ def match_rates(df: DataFrame, by: str, matched: str) -> DataFrame:
 
 
 def average_rank(df: DataFrame, column: str, out: str, by: Sequence[str] = ()) -> DataFrame:
-    """Ranks from 1, ties sharing their mean. Distinct values are counted first, so the running sum is over values, not rows."""
-    counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_c"))
-    if by:
-        before = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.withColumn("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    else:
-        counts = prefix_sums(counts, [column], F.col("_c"), "_b")
-    ranks = counts.withColumn(out, (F.col("_b") + (F.col("_c") + 1) / 2).cast("double")).drop("_c", "_b")
-    return df.join(ranks, [*by, column])
+    """Ranks from 1, ties sharing their mean, in each group. Distinct values are counted first, so the running sum is over values, not rows; frequent values don't gather
+    their rows in one task. Rows without a value, or with a NULL group, are left out."""
+    whole = reduce(and_, [F.col(c).isNotNull() for c in [*by, column]])
+    counts = df.where(whole).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_c"))
+    ranks = group_prefix_sums(counts, by, [column], F.col("_c"), "_b").withColumn(out, (F.col("_b") + (F.col("_c") + 1) / 2).cast("double"))
+    return join_counted(df, ranks.drop("_b"), [*by, column], "_c")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -266,20 +266,21 @@ def _(spark, sf):
 
 @query("ag11_quantile_summary", "SELECT l_returnflag, count(*) AS n_valid, 0::BIGINT AS n_missing, min(l_discount) AS min, round(quantile_cont(l_extendedprice, 0.05), 4) AS p05, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99, round(avg(l_extendedprice), 4) AS mean, count(*) FILTER (l_extendedprice > 0) AS n_positive FROM lineitem GROUP BY 1")
 def _(spark, sf):
-    own = t(spark, sf, "lineitem").groupBy("l_returnflag").agg(*A.quantile_summary(F.col("l_extendedprice")), F.min("l_discount").alias("least"))
+    x = t(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice", "l_discount")
+    own = A.quantile_table(x, "l_extendedprice", ["l_returnflag"], (0.05, 0.5, 0.99)).join(F.broadcast(x.groupBy("l_returnflag").agg(F.min("l_discount").alias("least"))), "l_returnflag")
     return own.select("l_returnflag", "n_valid", "n_missing", F.col("least").alias("min"), R("p05", 4).alias("p05"), R("p50", 4).alias("p50"), R("p99", 4).alias("p99"), R("mean", 4).alias("mean"), "n_positive")
 
 
 @query("ag12_region_quantiles", f"WITH {U} SELECT region, count(*) AS n, round(quantile_cont(elev, 0.5), 4) AS median, round(quantile_cont(elev, 0.05), 4) AS p05, round(quantile_cont(elev, 0.95), 4) AS p95 FROM units GROUP BY 1")
 def _(spark, sf):
-    p = lambda q: R(F.percentile("elev", F.lit(q)), 4)
-    return units(spark, sf).groupBy("region").agg(F.count(F.lit(1)).alias("n"), p(0.5).alias("median"), p(0.05).alias("p05"), p(0.95).alias("p95"))
+    own = A.quantile_table(units(spark, sf).select("region", "elev"), "elev", ["region"], (0.05, 0.5, 0.95))
+    return own.select("region", F.col("n_valid").alias("n"), R("p50", 4).alias("median"), R("p05", 4).alias("p05"), R("p95", 4).alias("p95"))
 
 
 @query("ag13_describe", "SELECT count(o_totalprice) AS n, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd, round(min(o_totalprice), 2) AS min, round(quantile_cont(o_totalprice, 0.25), 4) AS p25, round(quantile_cont(o_totalprice, 0.75), 4) AS p75, round(max(o_totalprice), 2) AS max FROM orders")
 def _(spark, sf):
-    x = "o_totalprice"
-    return t(spark, sf, "orders").agg(F.count(x).alias("n"), R(F.avg(x), 4).alias("mean"), R(F.stddev_samp(x), 4).alias("sd"), R(F.min(x), 2).alias("min"), R(F.percentile(x, F.lit(0.25)), 4).alias("p25"), R(F.percentile(x, F.lit(0.75)), 4).alias("p75"), R(F.max(x), 2).alias("max"))
+    own = A.quantile_table(t(spark, sf, "orders").select("o_totalprice"), "o_totalprice", (), (0.25, 0.75))
+    return own.select(F.col("n_valid").alias("n"), *[R(c, d).alias(c) for c, d in (("mean", 4), ("sd", 4), ("min", 2), ("p25", 4), ("p75", 4), ("max", 2))])
 
 
 @query(

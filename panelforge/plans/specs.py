@@ -14,6 +14,7 @@ from panelforge.operators import neighbours as N
 from panelforge.operators import quality as Q
 from panelforge.operators import resampling as RS
 from panelforge.operators import summaries as A
+from panelforge.operators.ordering import settled
 
 
 @dataclass(frozen=True)
@@ -90,9 +91,9 @@ def null_battery(df: DataFrame, spec: Spec, n_draws: int, strata: Sequence[str],
     """(null, draw, delta_r2): histories shuffled within strata, random ones of the same moments, and ones predicted from the base blocks. The base
     model is fitted once."""
     name, width = spec.history
-    based = predictions(with_folds(df, spec), spec, False, "p0").persist()
+    based = settled(predictions(with_folds(df, spec), spec, False, "p0"))
     rows = []
-    perm = RS.shuffled(based, name, n_draws, strata, key=key, out="_perm").persist()
+    perm = settled(RS.shuffled(based, name, n_draws, strata, key=key, out="_perm"))
     for d in range(1, n_draws + 1):
         rows.append(evaluate(based.join(perm.where(F.col("draw") == d).select(key, "_perm"), key), spec, "_perm", "p0").select(F.lit("shuffled").alias("null"), F.lit(d).alias("draw"), "delta_r2"))
         rows.append(evaluate(RS.matched_random(based, name, width, seed=100 * d), spec, "x_random", "p0").select(F.lit("random").alias("null"), F.lit(d).alias("draw"), "delta_r2"))
@@ -139,10 +140,10 @@ def twin_block(df: DataFrame, spec: Spec, k: int = 10, least_km: float = 200.0,
     from panelforge.functions.scalars import haversine_km
 
     own = with_folds(df, spec)
-    x = M.block_scale(own, dict(spec.blocks), "_tx").persist()
-    pairs = N.mutual_pairs(N.knn(x, x, k, "_tx", least_km=least_km)).persist()
+    x = settled(M.block_scale(own, dict(spec.blocks), "_tx"))
+    pairs = settled(N.mutual_pairs(N.knn(x, x, k, "_tx", least_km=least_km)))
     full = N.pair_distances(pairs.withColumnRenamed("d", "d_sc"), x, {"d_h": spec.history[0]})
-    full = N.with_ends(full, x, ["lat", "lon", spec.y]).withColumn("d_geo", haversine_km(F.col("lat_i"), F.col("lon_i"), F.col("lat_j"), F.col("lon_j"))).withColumn("d_r", F.abs(F.col(f"{spec.y}_i") - F.col(f"{spec.y}_j"))).persist()
+    full = settled(N.with_ends(full, x, ["lat", "lon", spec.y]).withColumn("d_geo", haversine_km(F.col("lat_i"), F.col("lon_i"), F.col("lat_j"), F.col("lon_j"))).withColumn("d_r", F.abs(F.col(f"{spec.y}_i") - F.col(f"{spec.y}_j"))))
     rho = RS.partial_spearman(full, "d_r", "d_h", ["d_sc", "d_geo"])
     null = RS.permutation_pair_null(pairs, x, spec.history[0], n_draws)
     observed = full.agg(F.avg("d_h").alias("m")).first()["m"]
@@ -155,7 +156,7 @@ def twin_block(df: DataFrame, spec: Spec, k: int = 10, least_km: float = 200.0,
 
 def residual_autocorrelation(df: DataFrame, spec: Spec, ks: Sequence[int] = (4, 8), n_draws: int = 99) -> DataFrame:
     """Moran's I of both models' residuals for several neighbourhood sizes."""
-    own = predictions(predictions(with_folds(df, spec), spec, False, "p0"), spec, True, "p1").persist()
+    own = settled(predictions(predictions(with_folds(df, spec), spec, False, "p0"), spec, True, "p1"))
     out = None
     for k in ks:
         for m in ("p0", "p1"):
@@ -170,7 +171,7 @@ def reconstruction_grid(df: DataFrame, blocks: dict[str, tuple[str, int]], conte
     outs = [f"_h{i}" for i in range(width)]
     rows = []
     for scheme in schemes:
-        folded = (M.random_folds(df, "unit_id") if scheme == "random" else df.withColumn("fold", F.col("region"))).withColumns({o: F.col(name)[i] for i, o in enumerate(outs)}).persist()
+        folded = settled((M.random_folds(df, "unit_id") if scheme == "random" else df.withColumn("fold", F.col("region"))).withColumns({o: F.col(name)[i] for i, o in enumerate(outs)}))
         for label, (block, n) in blocks.items():
             for with_context in (False, True):
                 x = folded.withColumn("_x", F.concat(F.col(block), F.col(context[0])) if with_context else F.col(block))
@@ -213,9 +214,9 @@ def boundary_distance(a: DataFrame, b: DataFrame, vector: str, key: str = "unit_
 
 def transfer_nulls(df: DataFrame, spec: Spec, n_draws: int, strata: Sequence[str], k: int = 10, key: str = "unit_id") -> DataFrame:
     """(null, draw, rmse) of transfer with histories shuffled within strata, random ones, and ones predicted from the base blocks."""
-    own = with_folds(df, spec).persist()
+    own = settled(with_folds(df, spec))
     name, width = spec.history
-    perm = RS.shuffled(own, name, n_draws, strata, key=key, out="_perm").persist()
+    perm = settled(RS.shuffled(own, name, n_draws, strata, key=key, out="_perm"))
     rows = []
     for d in range(1, n_draws + 1):
         rows.append(("shuffled", d, own.join(perm.where(F.col("draw") == d).select(key, "_perm"), key), "_perm"))
@@ -231,11 +232,14 @@ def transfer_nulls(df: DataFrame, spec: Spec, n_draws: int, strata: Sequence[str
 def agreement(a: DataFrame, b: DataFrame, epochs: Sequence[str], key: str = "unit_id") -> DataFrame:
     """(epoch, pearson, spearman, n) of two definitions of the same columns, matched by key; p-values by the t distribution."""
     both = a.select(key, *[F.col(e).alias(f"a_{e}") for e in epochs]).join(b.select(key, *[F.col(e).alias(f"b_{e}") for e in epochs]), key)
-    rows = []
-    for e in epochs:
-        r = both.agg(F.corr(f"a_{e}", f"b_{e}").alias("r")).first()["r"]
-        s = A.spearman(both, f"a_{e}", f"b_{e}").first()
-        rows.append((e, r, A.correlation_p(r, s["n"]) if r is not None else None, s["rho"], A.correlation_p(s["rho"], s["n"]) if s["rho"] is not None else None, s["n"]))
+    cells = F.explode(F.array(*[F.struct(F.lit(e).alias("epoch"), F.col(f"a_{e}").alias("a"), F.col(f"b_{e}").alias("b")) for e in epochs]))
+    long = settled(both.select(cells.alias("_e")).select("_e.*").where("a IS NOT NULL AND b IS NOT NULL"))
+    ranked = A.average_rank(A.average_rank(long, "a", "_ra", ["epoch"]), "b", "_rb", ["epoch"])
+    # One row per epoch reaches the driver.
+    sums = ranked.groupBy("epoch").agg(F.corr("a", "b").alias("r"), F.corr("_ra", "_rb").alias("s"), F.count(F.lit(1)).alias("n"))
+    found = {r["epoch"]: r for r in sums.collect()}
+    p = lambda r, n: A.correlation_p(r, n) if r is not None else None
+    rows = [(e, r["r"], p(r["r"], r["n"]), r["s"], p(r["s"], r["n"]), r["n"]) if (r := found.get(e)) else (e, None, None, None, None, 0) for e in epochs]
     return a.sparkSession.createDataFrame(rows, "epoch string, pearson double, pearson_p double, spearman double, spearman_p double, n long")
 
 

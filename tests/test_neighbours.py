@@ -36,6 +36,21 @@ def test_knn_matches_brute_force_for_any_blocks(spark, points):
         assert got == want
 
 
+def test_pivots_bear_repeated_points_and_groups(spark):
+    """A third of all points are one; blocks are far smaller than the table."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.zeros((60, 3)), rng.normal(size=(60, 3)), rng.normal(loc=9, size=(60, 3))])
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], i % 4) for i in range(len(x))], "unit_id long, x array<double>, g int")
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    for settings, bad in (({}, np.eye(len(x), dtype=bool)), ({"other_group": "g"}, np.subtract.outer(np.arange(180) % 4, np.arange(180) % 4) == 0), ({"same_group": "g"}, (np.subtract.outer(np.arange(180) % 4, np.arange(180) % 4) != 0) | np.eye(180, dtype=bool))):
+        left = np.where(bad, np.inf, d)
+        want = {i: [int(j) for j in np.argsort(left[i], kind="stable")[:7] if np.isfinite(left[i, j])] for i in range(len(x))}
+        got = {}
+        for r in N.knn(df, df, 7, block_rows=16, **settings).orderBy("i", "rank").collect():
+            got.setdefault(r["i"], []).append(r["j"])
+        assert got == want
+
+
 def test_mutual_pairs_are_far_apart_and_mutual(spark, points):
     df = frame(spark, points)
     want, km = brute(points, 10, 2000.0)

@@ -30,3 +30,24 @@ def test_no_task_gets_all_rows(spark, capsys):
     plan = capsys.readouterr().out
     # One row per partition is all that meets in one place.
     assert plan.count("Exchange SinglePartition") == 1
+
+
+def test_groups_of_any_size(spark):
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 9 == 0 else f"g{i % 3}", int(rng.integers(0, 20)), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, x int, id int")
+    numbered = {r["id"]: r["r"] for r in O.row_numbers(df, ["x", "id"], "r", ["g"]).collect()}
+    for g in {r[0] for r in rows}:
+        own = sorted((x, i) for h, x, i in rows if h == g)
+        assert [numbered[i] for _, i in own] == list(range(len(own)))
+    got = {r["g"]: r["q"] for r in O.exact_quantiles(df, "x", [0.1, 0.5], "q", ["g"]).collect()}
+    assert got.keys() == {r[0] for r in rows}
+    for g, q in got.items():
+        assert np.allclose(q, np.quantile([x for h, x, _ in rows if h == g], [0.1, 0.5]))
+
+
+def test_joins_of_hot_keys_lose_nothing(spark):
+    df = spark.range(9000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k", "id")
+    table = df.groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "k * 2 AS v")
+    out = O.join_counted(df, table, ["k"], "n")
+    assert out.count() == 9000 and out.where("v <> k * 2").count() == 0
