@@ -1,58 +1,7 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds.
-
-DataFrame operations only. Each round is checkpointed to the shared folder, so lineage stays short and a lost
-executor costs one round at most. A node that is the centre of a third of all edges is pre-aggregated (its smallest neighbour is a
-`min`), and its label reaches its edges by a broadcast of the few hot nodes, so no task gets all of them.
-"""
+"""Connected components of an edge table: the library's own star contraction, in DataFrame operations only, each round in the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from panelforge.llm._base import checkpointed
-
-
-#: A node is hot if it has more than this share of all edge ends; so there are fewer than 1 / HOT of them.
-HOT = 1 / 512
-
-
-def _with_least(rows: DataFrame, least: DataFrame, ends: int) -> DataFrame:
-    """`rows` with the label m of their node u. Hot nodes are few by definition, whatever the input, so their labels are broadcast and their rows stay where
-    they are; all others are joined by a shuffle."""
-    hot = least.where(F.col("n") > max(64, int(ends * HOT))).select("u", "m")
-    cold = least.where(F.col("n") <= max(64, int(ends * HOT))).select("u", "m")
-    few = F.broadcast(hot)
-    return rows.join(few, "u").unionByName(rows.join(F.broadcast(hot.select("u")), "u", "left_anti").join(cold, "u"))
-
-
-def _large_star(edges: DataFrame, count: int) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return _with_least(both.where(F.col("v") > F.col("u")), least, 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small_star(edges: DataFrame, count: int) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    return _with_least(down, least, count).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).unionByName(least.select("u", F.col("m").alias("v")))
-
+from panelforge.operators.graph import connected as connected_components
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """`edges` has columns u and v of one ordered type. Returns (node, root), root being the smallest node of the
-    component, for every node of an edge. Self-edges and nulls are ignored; repeated edges don't matter; no edges
-    give an empty table."""
-    edges = checkpointed(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    seen = mark(edges)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
-        edges = checkpointed(_small_star(checkpointed(_large_star(edges, seen[0])), seen[0]).where(F.col("u") != F.col("v")).distinct())
-        now = mark(edges)
-        if seen == now:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root")))
+__all__ = ["connected_components"]

@@ -4,8 +4,8 @@ Fingerprints (64 bits over word shingles) are compared exactly: sorted into tile
 pairs whose counts differ by more than the radius are skipped (the sum over quarters of the least difference bounds
 the Hamming distance from below, and so does that of the whole count), and the rest are compared by numpy exclusive-or and bit counts.
 
-Scale: only distinct fingerprints are compared, so exact copies collapse first. They are dealt into groups, each pair
-of groups is one task, and a task returns a spanning forest of the links it found (fewer rows than it has
+Scale: only distinct fingerprints are compared, so exact copies collapse first. They are dealt into groups by the same bit counts, each pair
+of groups that can hold a link is one task, and a task returns a spanning forest of the links it found (fewer rows than it has
 fingerprints), never all pairs. Components of the forests are found by star contraction.
 
 Defined cases: null and empty texts, and texts without words, have fingerprint zero, linked like any other; fewer words than a shingle
@@ -16,6 +16,7 @@ and the text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm._base import batches, release, salted_partitions, store, utf8
 from panelforge.llm.components import connected_components
+from panelforge.operators.ordering import join_counted
 
 #: Bytes of `[\x20\x09-\x0D]`, which separate words.
 SPACES = b" \t\n\v\f\r"
@@ -140,15 +142,61 @@ def forest_of_links(left: np.ndarray, right: np.ndarray | None, radius: int) ->
     return marks[moved], marks[roots[moved]]
 
 
-def near_links(marks: DataFrame, radius: int = 4, group_rows: int = 1 << 18) -> DataFrame:
-    """(u, v): a spanning forest's edges per task over the distinct fingerprints of `marks` (column fp)."""
+def _quarters(fp: Column) -> Column:
+    """The bit counts of the four 16-bit quarters as one number below 17**4."""
+    counts = [F.bit_count(F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(4)]
+    return reduce(lambda a, b: a * 17 + b, counts).cast("int")
+
+
+def deal(cells: np.ndarray, counts: np.ndarray, group_rows: int, radius: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """Cells (numbers of `_quarters`, with their fingerprints counted) to groups of about `group_rows` at most: per cell its first group and how many it is dealt over, and
+    per group the later groups, itself included, that are within the radius by the bit counts."""
+    at = np.stack([cells // 17**k % 17 for k in (3, 2, 1, 0)], axis=1).astype(np.int64)
+    first, parts = np.zeros(len(cells), np.int64), np.ones(len(cells), np.int64)
+    lows, highs, todo = [], [], [np.arange(len(cells))] if len(cells) else []
+    while todo:
+        own = todo.pop()
+        total = counts[own].sum()
+        if total > group_rows and len(own) > 1:
+            axis = int(np.argmax(at[own].max(axis=0) - at[own].min(axis=0)))
+            order = own[np.argsort(at[own, axis], kind="stable")]
+            cut = int(np.clip(np.searchsorted(np.cumsum(counts[order]), total / 2), 1, len(order) - 1))
+            todo += [order[:cut], order[cut:]]
+            continue
+        first[own], parts[own] = len(lows), -(-total // group_rows)
+        for _ in range(int(parts[own[0]])):
+            lows.append(at[own].min(axis=0))
+            highs.append(at[own].max(axis=0))
+    low, high = np.array(lows).reshape(-1, 4), np.array(highs).reshape(-1, 4)
+    near = [(i + np.flatnonzero(np.maximum(0, np.maximum(low[i] - high[i:], low[i:] - high[i])).sum(axis=1) <= radius)).tolist() for i in range(len(low))]
+    return first, parts, near
+
+
+def near_links(marks: DataFrame, radius: int = 4, group_rows: int | None = None) -> DataFrame:
+    """(u, v): a spanning forest's edges per task over the distinct fingerprints of `marks` (column fp).
+
+    Fingerprints are dealt to groups that are compact in the bit counts of their quarters. A histogram of these counts, which has 17**4 rows at most, tells the groups, and which pairs of them can
+    hold a link; each such pair is one task. Groups grow with the table between 2**14 and 2**18 rows, so a task's work is bounded.
+    """
     spark = marks.sparkSession
-    rows = marks.count()
-    # Groups g make g(g+1)/2 tasks; each group goes to g of them. At least enough to occupy the tasks, more as memory asks.
-    groups = max(4, int(np.ceil(np.sqrt(2 * salted_partitions(spark)))), -(-rows // group_rows))
-    spread = marks.select("fp", F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(groups)).cast("int").alias("g"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("h")
-    cells = spread.select("fp", "g", others).select("fp", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), F.col("g"))
+    seen = marks.select("fp", _quarters(F.col("fp")).alias("cell"))
+    histogram = np.array([tuple(r) for r in seen.groupBy("cell").count().orderBy("cell").collect()], np.int64).reshape(-1, 2)
+    rows = int(histogram[:, 1].sum())
+    # At least as many groups as occupy the tasks, for small tables.
+    groups = max(4, int(np.ceil(np.sqrt(2 * salted_partitions(spark)))))
+    most = group_rows or min(1 << 18, max(1 << 14, rows // 64))
+    first, parts, near = deal(histogram[:, 0], histogram[:, 1], max(1, min(most, -(-rows // groups))), radius)
+    partners = [[] for _ in near]
+    for i, others in enumerate(near):
+        for j in others:
+            partners[i].append((i, j))
+            if i != j:
+                partners[j].append((i, j))
+    table = spark.createDataFrame([(int(c), int(f), int(n)) for c, f, n in zip(histogram[:, 0], first, parts, strict=True)], "cell int, first int, parts int")
+    # Both tables are bounded by the histogram and the number of groups.
+    pairs = spark.createDataFrame([(g, own) for g, own in enumerate(partners)], "g int, cells array<struct<i:int,j:int>>")
+    spread = seen.join(F.broadcast(table), "cell").select("fp", (F.col("first") + F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts"))).cast("int").alias("g"))
+    cells = spread.join(F.broadcast(pairs), "g").select("fp", "g", F.explode("cells").alias("c")).select("fp", "g", "c.i", "c.j")
 
     def run(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
@@ -167,14 +215,14 @@ def hex_of(fp: Column) -> Column:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """One row per document: key, fingerprint (16 hex digits) and component_id, the smallest key of its class."""
     marked = store(fingerprints(docs, key, text, width), "fingerprints")
-    distinct = store(marked.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
+    distinct = store(marked.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     links = store(near_links(distinct, radius), "near")
     joined = connected_components(links)
     classed = distinct.join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # Classes of one fingerprint keep their own least key; only the rest meet by root, pre-aggregated.
     least = joined.join(distinct.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classed.join(least, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(named, "fp").select(key, hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+    named = classed.join(least, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
+    return join_counted(marked, named, ["fp"], "n").select(key, hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 # ------------------------------------------------------------------ similarity of word shingles, by wide fingerprints and an exact check
@@ -263,30 +311,65 @@ def _pairs(left: np.ndarray, right: np.ndarray | None, near: int, reach: int, ro
                     yield x[keep], y[keep], distance[keep]
 
 
+class _Later:
+    """Pairs of several levels (closer first), of which only `forests` nested spanning forests are kept: each holds no pair of those before it, and prefers closer levels. Whenever there are
+    many, they are cut down to these; a pair whose ends the last forest connects already, at its level or below, can't be in any, and isn't taken."""
+
+    def __init__(self, n: int, levels: int, forests: int):
+        self.n, self.levels, self.forests = n, levels, forests
+        self.most = max(1 << 18, 4 * forests * n)
+        self.pairs: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(levels)]
+        self.held, self.kept = 0, []
+        self.last: list[_Forest] | None = None
+
+    def add(self, level: int, x: np.ndarray, y: np.ndarray, close: np.ndarray) -> None:
+        if self.last is not None and len(x):
+            new = self.last[level].roots(x) != self.last[level].roots(y)
+            x, y = x[new], y[new]
+        if len(x):
+            self.pairs[level].append((x.astype(np.int32), y.astype(np.int32)))
+            self.held += len(x)
+        if self.held > self.most:
+            self.settle(close)
+
+    def settle(self, close: np.ndarray) -> None:
+        """`close`: the forest of pairs that are closer than any level; no pair inside one of its trees is kept."""
+        left = [[(x.astype(np.int64), y.astype(np.int64)) for x, y in own] for own in self.pairs]
+        self.kept, self.last = [[] for _ in range(self.levels)], None
+        for _ in range(self.forests):
+            forest, tops, taken = _PairForest(self.n), [], []
+            forest.up = close.copy()
+            for level, own in enumerate(left):
+                forest.kept = []
+                for x, y in own:
+                    forest.link(x, y)
+                self.kept[level] += forest.kept
+                taken += [x * self.n + y for x, y in forest.kept]
+                top = _Forest(self.n)
+                top.up = forest.up.copy()
+                tops.append(top)
+            self.last = tops
+            if not taken:
+                break
+            gone = np.concatenate(taken)
+            left = [[(x[free], y[free]) for x, y in own for free in (~np.isin(x * self.n + y, gone),)] for own in left]
+        self.pairs = [[(x.astype(np.int32), y.astype(np.int32)) for x, y in own] for own in self.kept]
+        self.held = sum(len(x) for own in self.pairs for x, _ in own)
+
+
 def forest_of_pairs(left: np.ndarray, right: np.ndarray | None, near: int, reaches: tuple[int, ...], spare: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Indices (into left, then right) of pairs that make a spanning forest of all pairs within the last reach, closer ones
-    first, and `spare` further forests of other pairs beyond the first reach, in case some of the first fail a later check. Every fingerprint that has a pair is in one of those returned."""
+    first, and `spare` further forests of other pairs beyond the first reach, in case some of the first fail a later check. Every fingerprint that has a pair is in one of those returned. What is held
+    follows the number of fingerprints, not of pairs."""
     n = len(left) + (0 if right is None else len(right))
-    forest, later = _PairForest(n), []
+    forest, later = _PairForest(n), _Later(n, len(reaches) - 1, spare + 1)
     for x, y, distance in _pairs(left, right, near, reaches[-1]):
         forest.link(x[distance <= reaches[0]], y[distance <= reaches[0]])
-        rest = distance > reaches[0]
-        if rest.any():
-            later.append((distance[rest], x[rest], y[rest]))
-    kept = list(forest.kept)
-    close = forest.up.copy()
-    for _ in range(spare + 1):
-        # Each further forest starts from the close pairs and uses none of the pairs taken before.
-        forest.up, forest.kept = close.copy(), []
-        for lo, hi in zip(reaches, reaches[1:], strict=False):
-            for distance, x, y in later:
-                at = (distance > lo) & (distance <= hi)
-                forest.link(x[at], y[at])
-        if not forest.kept:
-            break
-        kept += forest.kept
-        taken = np.concatenate([x * n + y for x, y in forest.kept])
-        later = [(d[free], x[free], y[free]) for d, x, y in later for free in (~np.isin(x * n + y, taken),)]
+        for level, (lo, hi) in enumerate(zip(reaches, reaches[1:], strict=False)):
+            own = (distance > lo) & (distance <= hi)
+            later.add(level, x[own], y[own], forest.up)
+    later.settle(forest.up)
+    kept = [*forest.kept, *(pair for own in later.kept for pair in own)]
     if not kept:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate([x for x, _ in kept]), np.concatenate([y for _, y in kept])
@@ -358,7 +441,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     keyed = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), text)
     marked = store(keyed.mapInArrow(mark, f"{key} long, fp binary"), "wide-fingerprints")
-    distinct = store(marked.groupBy("fp").agg(F.min(key).alias("node")), "wide-distinct")
+    distinct = store(marked.groupBy("fp").agg(F.min(key).alias("node"), F.count(F.lit(1)).alias("n")), "wide-distinct")
     rows = distinct.count()
     groups = max(4, int(np.ceil(np.sqrt(2 * salted_partitions(spark)))), -(-rows // group_rows))
     near, reaches = reach_of(similarity, 64, 3.6), tuple(reach_of(s, bits, z) for s, z in ((0.9, 0.0), (similarity, 0.0), (similarity, 3.3)))
@@ -424,8 +507,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     parts = max(4, int(np.ceil(np.sqrt(2 * salted_partitions(spark)))), -(-octets // set_bytes))
     further = store(_cells(held, parts).groupBy("i", "j").applyInPandas(settle, "u long, v long"), "further")
     joined = connected_components(links.unionByName(further))
-    named = distinct.join(joined.select("node", "root"), "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return marked.join(named, "fp").select(key, "component_id")
+    named = distinct.join(joined.select("node", "root"), "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"), "n")
+    return join_counted(marked, named, ["fp"], "n").select(key, "component_id")
 
 
 def representatives(docs: DataFrame, classed: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -79,6 +79,74 @@ def test_tiles_miss_no_link(two):
     assert len(u) < len(marks)
 
 
+def test_groups_keep_every_pair_within_the_radius():
+    """Any two cells whose bit counts differ by no more than the radius meet, in whatever groups they are."""
+    rng = np.random.default_rng(2)
+    cells = np.unique(rng.binomial(16, 0.5, size=(400, 4)) @ np.array([17**3, 17**2, 17, 1]))
+    counts = rng.integers(1, 60, len(cells))
+    counts[7] = 5000  # one hot cell
+    first, parts, near = S.deal(cells, counts, 300, 4)
+    assert parts[7] >= 16 and max(np.bincount(first, counts, len(near))[first[parts == 1]]) <= 300 + counts.max()
+    at = np.stack([cells // 17**k % 17 for k in (3, 2, 1, 0)], axis=1)
+    met = {(i, j) for i, own in enumerate(near) for j in own}
+    for a in range(len(cells)):
+        for b in range(a, len(cells)):
+            if np.abs(at[a] - at[b]).sum() <= 4:
+                for x in range(first[a], first[a] + parts[a]):
+                    for y in range(first[b], first[b] + parts[b]):
+                        assert (min(x, y), max(x, y)) in met
+    assert len(met) < len(near) * (len(near) + 1) / 2
+    assert S.deal(cells[:0], counts[:0], 300, 4)[2] == []
+
+
+@pytest.mark.parametrize("group_rows", [1, 5, 40])
+def test_small_groups_give_the_same_components(spark, group_rows):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    marks = np.unique(np.concatenate([base ^ np.uint64(0), base ^ np.uint64(0b101), base ^ np.uint64(0b1111 << 40), np.arange(30, dtype=np.uint64)]))
+    df = spark.createDataFrame([(int(m.view(np.int64)),) for m in marks], "fp long")
+    from panelforge.llm.components import connected_components
+
+    got = {r["node"]: r["root"] for r in connected_components(S.near_links(df, 4, group_rows)).collect()}
+    want = classes({int(m): int(m) for m in marks})
+    groups = lambda of: sorted(sorted(k for k in of if of[k] == r) for r in set(of.values()))
+    assert [g for g in groups({k & (2**64 - 1): v for k, v in got.items()}) if len(g) > 1] == [g for g in groups(want) if len(g) > 1]
+
+
+def test_later_pairs_are_cut_down_to_nested_forests():
+    """Cutting down along the way gives as many pairs, of the same levels and reach, as keeping all of them to the end."""
+    rng = np.random.default_rng(4)
+    n, close = 60, np.arange(60)
+    chunks = [(int(rng.integers(0, 2)), rng.integers(0, n, 50), rng.integers(0, n, 50)) for _ in range(60)]
+    found = []
+    for most in (100, 10**9):
+        later = S._Later(n, 2, 3)
+        later.most = most
+        for level, x, y in chunks:
+            keep = x < y
+            later.add(level, x[keep], y[keep], close)
+        later.settle(close)
+        found.append(later)
+    sizes = [[sum(len(x) for x, _ in own) for own in later.kept] for later in found]
+    assert sizes[0] == sizes[1] and sum(sizes[0]) <= 3 * (n - 1)
+    for level in range(2):
+        assert len({tuple(later.last[level].roots(np.arange(n)).tolist()) for later in found}) == 1
+
+
+def test_a_template_cluster_stays_small():
+    """3,000 fingerprints that are all candidates of each other: millions of pairs, none of them kept beyond a few forests."""
+    rng = np.random.default_rng(5)
+    bits = np.tile(rng.integers(0, 2, 512).astype(np.uint8), (3000, 1))
+    for row in bits:
+        row[rng.choice(512, 36, replace=False)] ^= 1
+    marks = np.packbits(bits, axis=1).view("<u8")
+    u, v = S.forest_of_pairs(marks, None, 21, (54, 78, 105))
+    assert len(u) <= 4 * 3000
+    forest = S._Forest(3000)
+    forest.link(u, v)
+    assert len(np.unique(forest.roots(np.arange(3000)))) == 1
+
+
 def test_chains_and_signed_order(spark):
     """Chains of small steps join, also across the sign bit."""
     marks = [0, 0b1111, 0xFF, 2**63, 2**63 | 0b11, 2**40 - 1]
