@@ -128,7 +128,9 @@ def _(spark, sf):
 
 @query(
     "jn11_mutual_knn",
-    f"""{_E}, k AS (SELECT a.unit_id AS i, b.unit_id AS j, {_D} AS d FROM e a JOIN e b ON a.unit_id <> b.unit_id AND {_KM} >= 200 QUALIFY row_number() OVER (PARTITION BY a.unit_id ORDER BY {_D}, b.unit_id) <= 10)
+    f"""{_E}, far AS MATERIALIZED (SELECT a.unit_id AS i, b.unit_id AS j, a.x AS x, b.x AS y FROM e a JOIN e b ON a.unit_id <> b.unit_id WHERE {_KM} >= 200),
+    m AS MATERIALIZED (SELECT i, j, sqrt(list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM far),
+    k AS MATERIALIZED (SELECT i, j, d FROM m QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 10)
     SELECT m.i, m.j, round(m.d, 6) AS d FROM k m JOIN k n ON m.i = n.j AND m.j = n.i WHERE m.i < m.j""",
 )
 def _(spark, sf):
