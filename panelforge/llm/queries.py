@@ -72,17 +72,49 @@ ORACLE_SQL: dict[str, str] = {
         ), r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
-    "op8_url_verdicts": """
-        WITH a AS (
-            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
-        ), b AS (
-            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                   regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM a
-        ), rules(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+    # CRC-32 by its table, which the first step makes from the polynomial; shards by the running bytes before the middle of each row.
+    "op7_shards": """
+        WITH tab AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END)) AS t
+        ), h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), d AS (
+            SELECT doc_id, CAST(length(x) // 2 + 16 AS BIGINT) AS size,
+                   CAST(xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(x, '..'), lambda y: ('0x' || y)::UBIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::INTEGER + 1]))) AS BIGINT) AS text_crc32
+            FROM h, tab
+        ), r AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size + size // 2 AS middle, sum(size) OVER () AS total FROM d),
+        p AS (SELECT doc_id, size, text_crc32, CAST(least(39, floor(middle * 40 / total)) AS INTEGER) AS shard FROM r)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
+    """,
+    # Keys of urls, links by canonical and refresh tags, classes of linked keys by a recursive walk, and rules; a block in a class reaches its members without a rule.
+    "op8_url_verdicts": r"""
+        WITH RECURSIVE rules(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+        tags AS (
+            SELECT url, unnest(list_concat(
+                list_transform(regexp_extract_all(seen, '(?is)<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda x: regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+                list_transform(regexp_extract_all(seen, '(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda x: trim(regexp_extract(x, '(?is)\burl\s*=\s*["'']?([^"''>]+)', 1))))) AS link
+            FROM (SELECT url, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<(?:script|style|noscript|template)\b.*?</(?:script|style|noscript|template)\s*>', ' ', 'g') AS seen FROM pages WHERE instr(url, '://') > 0)
+        ), parts AS (
+            SELECT url, replace(link, '&amp;', '&') AS link, regexp_extract(url, '^[^:/?#]*:') AS scheme, regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) AS site, regexp_extract(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '(?s)^.*/') AS folder FROM tags
+        ), ends AS (
+            SELECT url AS a, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN scheme || link WHEN starts_with(link, '/') THEN scheme || '//' || site || link WHEN link = '' THEN NULL
+                ELSE scheme || '//' || site || CASE WHEN folder = '' THEN '/' ELSE folder END || link END AS b FROM parts
+        ), named AS (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT a FROM ends UNION ALL SELECT b FROM ends) WHERE instr(url, '://') > 0),
+        split AS (
+            SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1) AS query FROM named
+        ), keys AS (
+            SELECT url, host, CASE WHEN path = '' THEN '/' WHEN regexp_matches(path, '/\.\.?(?:/|$)') THEN array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(path || CASE WHEN regexp_matches(path, '/\.\.?$') THEN '/' ELSE '' END, '/'), lambda x: [x])),
+                lambda a, x: CASE WHEN x[1] = '.' THEN a WHEN x[1] = '..' THEN CASE WHEN len(a) > 1 THEN a[:-2] ELSE a END ELSE list_concat(a, x) END), '/') ELSE path END AS path, query FROM split
+        ), nodes AS (SELECT url, host || path || query AS k, host, path FROM keys),
+        edges AS (SELECT x.k AS u, y.k AS v FROM ends JOIN nodes x ON x.url = a JOIN nodes y ON y.url = b WHERE x.k <> y.k), twoway AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+        walk(start, node) AS (SELECT DISTINCT u, u FROM twoway UNION SELECT start, v FROM walk JOIN twoway ON u = node),
+        ruled AS (SELECT k, max_by(r.verdict, length(h || p)) AS verdict FROM nodes JOIN rules r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k),
+        spread AS (SELECT DISTINCT start AS k FROM walk JOIN ruled ON ruled.k = node WHERE verdict = 'block'),
+        a AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        b AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM a),
         fit AS (
             SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict
             FROM (SELECT DISTINCT page_id, host, path FROM b) b JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
         )
-        SELECT b.page_id, b.host, b.path, fit.rule, coalesce(fit.verdict, 'allow') AS verdict FROM b LEFT JOIN fit USING (page_id)
+        SELECT b.page_id, b.host, b.path, fit.rule, coalesce(fit.verdict, CASE WHEN spread.k IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+        FROM b LEFT JOIN fit USING (page_id) LEFT JOIN nodes ON nodes.url = b.url LEFT JOIN spread ON spread.k = nodes.k
     """,
 }

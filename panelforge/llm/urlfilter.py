@@ -5,8 +5,10 @@ decision of their aliases: pages linked by a redirect (`<meta http-equiv=refresh
 a given redirect table, form components, and a block of any member reaches the members without a rule. A member with an
 explicit allow rule stays allowed.
 
+Links in comments and scripts don't count; relative links and dot segments are resolved; of several rules of one length the first in order of host and path decides.
+
 Defined cases: a url that is null or has no `://` has an empty host and path, no rule, and verdict allow; null html has
-no links; repeated rows get the same verdict each; an empty table gives an empty result; extra columns are not read.
+no links; repeated rows get the same verdict each; hosts, paths and pages of any length are read whole; null page ids stay null; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ _TO = r"(?is)\burl\s*=\s*[\"']?([^\"'>]+)"
 #: The parts of a url after its first `://`: host, path, query.
 _HOST = r"(?s)^.*?://([^/?#]*)"
 _PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
-_REST = r"(?s)^.*?://[^/?#]*([^#]*)"
+_QUERY = r"(?s)^.*?://[^/?#]*+[^?#]*+(\?[^#]*)"
+#: Parts of a page that a reader doesn't parse as tags.
+_HIDDEN = r"(?is)<(?:script|style|noscript|template)\b.*?</(?:script|style|noscript|template)\s*>"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -46,9 +50,18 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _PATH, 1), F.lit(""))
 
 
+def clean_path(path: Column) -> Column:
+    """The path with its `.` and `..` segments resolved, and `/` for an empty one."""
+    whole = F.when(path.rlike(r"/\.\.?$"), F.concat(path, F.lit("/"))).otherwise(path)
+    parent = lambda kept: F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+    fold = lambda kept, x: F.when(x == ".", kept).when(x == "..", parent(kept)).otherwise(F.concat(kept, F.array(x)))
+    folded = F.aggregate(F.split(whole, "/", -1), F.array().cast("array<string>"), fold, lambda kept: F.array_join(kept, "/"))
+    return F.when(path == "", "/").when(path.rlike(r"/\.\.?(?:/|$)"), folded).otherwise(path)
+
+
 def url_key(url: Column) -> Column:
-    """Identity of a url as a graph node: without scheme, fragment and the case of its host; null without `://`."""
-    return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), F.regexp_extract(url, _REST, 1)))
+    """Identity of a url as a graph node: without scheme, fragment, dot segments and the case of its host; null without `://`."""
+    return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), clean_path(path_of(url)), F.regexp_extract(url, _QUERY, 1)))
 
 
 def resolved(link: Column, base: Column) -> Column:
@@ -70,8 +83,9 @@ def rule_verdict(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def html_links(pages: DataFrame) -> DataFrame:
-    """(u, v): keys of the urls that a page declares to be itself, by redirect or canonical link."""
-    tagged = pages.where(F.col("html").rlike("(?i)canonical|http-equiv")).select(
+    """(u, v): keys of the urls that a page declares to be itself, by redirect or canonical link, outside comments and scripts."""
+    seen = F.regexp_replace(F.regexp_replace("html", "(?s)<!--.*?-->", " "), _HIDDEN, " ")
+    tagged = pages.where(F.col("html").rlike("(?i)canonical|http-equiv")).select("url", seen.alias("html")).select(
         F.col("url"),
         F.explode(F.concat(F.transform(F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(0)), lambda t: F.regexp_extract(t, _HREF, 1)), F.transform(F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(0)), lambda t: F.trim(F.regexp_extract(t, _TO, 1))))).alias("link"),
     )
@@ -94,4 +108,5 @@ def url_verdicts(pages: DataFrame, redirects: DataFrame | None = None, rules=RUL
     ruled = members.withColumn("own", rule_verdict(host_of(as_url), path_of(as_url), rules))
     bad = ruled.where("own.verdict = 'block'").select("root").distinct()
     blocked = members.join(bad, "root", "left_semi").select(F.col("node").alias("key"), F.lit("block").alias("spread"))
+    # Only the keys that rows without a rule need are joined; a key of many rows can be split, for `blocked` has each key once.
     return judged.join(blocked, "key", "left").select("page_id", "host", "path", "rule", F.coalesce("own", "spread", F.lit("allow")).alias("verdict"))

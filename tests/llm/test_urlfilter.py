@@ -37,6 +37,26 @@ def test_decisions_spread_to_aliases(spark):
     assert got == {1: (None, "block"), 2: (None, "block"), 3: (None, "block"), 4: (None, "block"), 5: (None, "allow"), 6: ("net/de/", "allow"), 7: (None, "allow"), 8: (None, "block"), 9: (None, "block")}
 
 
+def test_links_that_readers_do_not_see(spark):
+    bad = '<link rel="canonical" href="http://x.org/es/1">'
+    rows = [page(1, "http://a.test/1", f"<!-- {bad} -->"), page(2, "http://a.test/2", f"<script>var x = '{bad}'</script>"), page(3, "http://a.test/3", f"<!-- a --><head>{bad}</head>"), page(4, "http://a.test/4", f"<noscript>{bad}</noscript>")]
+    assert {k: r["verdict"] for k, r in judge(spark, rows).items()} == {1: "allow", 2: "allow", 3: "block", 4: "allow"}
+
+
+def test_dot_segments_and_empty_paths_are_one_page(spark):
+    rows = [page(1, "http://a.test/x/y/p", '<link rel=canonical href="../z">'), page(2, "http://a.test/x/z", '<link rel=canonical href="http://b.test">'), page(3, "http://b.test/", '<link rel=canonical href="./../es/../q/.">'), page(4, "http://b.test/q/", '<link rel=canonical href="http://y.org/./es/1">')]
+    assert {r["verdict"] for r in judge(spark, rows).values()} == {"block"}
+
+
+def test_long_pages_hosts_and_equal_rules(spark):
+    long_host = "a" * 50_000 + ".org"
+    rows = [page(1, f"http://{long_host}/es/" + "p" * 50_000, "x" * 200_000 + '<link rel=canonical href="http://q.test/">'), page(None, "http://q.test/", None)]
+    got = judge(spark, rows)
+    assert got[1]["host"] == long_host and got[1]["verdict"] == "block" and got[None]["verdict"] == "block"
+    rules = (("block", "a.b", "/c"), ("allow", "b", "/c/d"), ("allow", "a.b", "/c"))
+    assert judge(spark, [page(1, "http://a.b/c/d")], rules=rules)[1]["rule"] == "a.b/c"
+
+
 def test_given_redirects(spark):
     moves = spark.createDataFrame([("http://a.test/", "http://b.test/"), ("http://b.test/", "http://x.com/en/"), (None, "http://x.com/en/")], "from_url string, to_url string")
     assert judge(spark, [page(1, "http://a.test/"), page(2, "http://z.test/")], redirects=moves)[1]["verdict"] == "block"
