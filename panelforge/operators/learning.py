@@ -6,13 +6,15 @@ rows), and what goes back are coefficients as literals.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from panelforge.functions.scalars import dot
 from panelforge.operators.ordering import exact_quantiles, row_numbers
@@ -84,20 +86,46 @@ def balanced_group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
 # ------------------------------------------------------------------ linear algebra on small matrices
 
 
+def _grid(pdf: pd.DataFrame, x: str, width: int, more: Sequence[str] = ()) -> np.ndarray:
+    """Rows by columns; what is missing counts as zero."""
+    grid = np.zeros((len(pdf), width + len(more)))
+    for i, row in enumerate(pdf[x]):
+        if row is not None:
+            grid[i, :width] = row[:width]
+    for j, c in enumerate(more):
+        grid[:, width + j] = pdf[c].to_numpy(float, na_value=np.nan)
+    return np.nan_to_num(grid, copy=False, nan=0.0, posinf=np.inf, neginf=-np.inf)
+
+
 def gram(df: DataFrame, x: str, width: int, ys: Sequence[str] = (), by: str | None = None) -> dict:
-    """Per value of `by`: n, sums, cross products of [x, ys], in one aggregation. The result's size depends on the width only."""
-    cols = [F.col(x)[i].cast("double") for i in range(width)] + [F.col(y).cast("double") for y in ys]
-    m = len(cols)
-    aggregates = [F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in cols]).alias("s"), F.array(*[F.sum(cols[i] * cols[j]) for i in range(m) for j in range(i, m)]).alias("p")]
-    rows = df.groupBy(by).agg(*aggregates).collect() if by else df.agg(*aggregates).collect()
+    """Per value of `by`: n, sums, cross products of [x, ys], in one pass. Partitions give their own sums, which are added up by place before they are fetched, so what reaches the driver
+    depends on the width and the number of groups only."""
+    m = width + len(ys)
+    upper = np.triu_indices(m)
+    key = df.schema[by] if by else StructField("_by", IntegerType())
+    rows = df.select(F.col(x).cast("array<double>").alias("_x"), *[F.col(y).cast("double").alias(f"_y{i}") for i, y in enumerate(ys)], F.col(by).alias("_by") if by else F.lit(0).alias("_by"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for pdf in batches:
+            for k, own in pdf.groupby("_by", dropna=False, sort=False):
+                grid = _grid(own, "_x", width, [f"_y{i}" for i in range(len(ys))])
+                found = np.concatenate([[len(grid)], grid.sum(axis=0), (grid.T @ grid)[upper]])
+                k = None if pd.isna(k) else k
+                held[k] = held.get(k, 0.0) + found
+        for k, found in held.items():
+            yield pd.DataFrame({"_by": pd.Series([k] * len(found), dtype=object if k is None or isinstance(k, str) else None), "at": np.arange(len(found)), "v": found})
+
+    sums = rows.mapInPandas(run, StructType([StructField("_by", key.dataType), StructField("at", LongType()), StructField("v", DoubleType())])).groupBy("_by", "at").agg(F.sum("v").alias("v"))
+    found: dict = {}
+    for r in sums.collect():
+        found.setdefault(r["_by"], np.zeros(1 + m + len(upper[0])))[r["at"]] = r["v"]
     out = {}
-    for r in rows:
-        full, at = np.zeros((m, m)), iter(r["p"])
-        for i in range(m):
-            for j in range(i, m):
-                full[i, j] = full[j, i] = next(at) or 0.0
-        out[r[by] if by else None] = (r["n"], np.array([v or 0.0 for v in r["s"]]), full)
-    return out
+    for k, v in found.items():
+        full = np.zeros((m, m))
+        full[upper] = v[1 + m :]
+        out[k if by else None] = (int(v[0]), v[1 : 1 + m], np.triu(full) + np.triu(full, 1).T)
+    return out if by else out or {None: (0, np.zeros(m), np.zeros((m, m)))}
 
 
 def _others(parts: dict, fold) -> tuple:
@@ -130,37 +158,57 @@ def ridge_oof(df: DataFrame, x: str, width: int, ys: Sequence[str], fold: str =
     return df.withColumns({f"pred_{y}": c for y, c in picks.items()})
 
 
+def _loo_errors(df: DataFrame, x: str, width: int, y: str, parts: dict, alphas: Sequence[float], fold: str | None = None) -> dict:
+    """Mean squared leave-one-out errors of each penalty, for models on the rows of all folds but one, by e / (1 - h) with the hat diagonal from one eigendecomposition.
+    `parts`: by fold, (n, sums, products) of the model's rows. One pass for all models and penalties."""
+    models, grid = {}, np.array(alphas, float)
+    for f, (n, s, p) in parts.items():
+        mean = s / n
+        cov = p / n - np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(cov)[:width], 0))
+        sd[sd == 0] = 1
+        values, vectors = np.linalg.eigh(cov[:width, :width] / np.outer(sd, sd) * n)
+        models[f] = (n, mean, sd, values, vectors, vectors.T @ (cov[:width, width] / sd * n))
+    names = list(models)
+    rows = df.select(F.col(x).cast("array<double>").alias("_x"), F.col(y).cast("double").alias("_y"), F.col(fold).alias("_f") if fold else F.lit(None).cast("int").alias("_f"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(names), len(grid)))
+        for pdf in batches:
+            data = _grid(pdf, "_x", width, ["_y"])
+            for i, f in enumerate(names):
+                n, mean, sd, values, vectors, g = models[f]
+                own = data if f is None else data[(pdf["_f"] != f).to_numpy()]
+                u = (own[:, :width] - mean[:width]) / sd @ vectors
+                shrunk = 1 / (values[:, None] + grid[None, :])
+                e = (own[:, width:] - mean[width] - u @ (g[:, None] * shrunk)) / (1 - 1 / n - (u * u) @ shrunk)
+                sums[i] += (e * e).sum(axis=0)
+        at = np.indices(sums.shape).reshape(2, -1)
+        yield pd.DataFrame({"m": at[0], "a": at[1], "v": sums.ravel()})
+
+    errors = np.zeros((len(names), len(grid)))
+    for r in rows.mapInPandas(run, "m long, a long, v double").groupBy("m", "a").agg(F.sum("v").alias("v")).collect():
+        errors[r["m"], r["a"]] = r["v"]
+    return {f: errors[i] / models[f][0] for i, f in enumerate(names)}
+
+
 def ridge_loo_alpha(train: DataFrame, x: str, width: int, y: str, alphas: Sequence[float] = ALPHAS) -> tuple[float, np.ndarray, float]:
-    """(alpha, coefficients, intercept): the penalty with the least leave-one-out error, by e / (1 - h) with the hat diagonal from one
-    eigendecomposition. Two passes over the rows, whatever the number of penalties."""
-    n, s, p = gram(train, x, width, [y])[None]
-    mean = s / n
-    cov = p / n - np.outer(mean, mean)
-    sd = np.sqrt(np.maximum(np.diag(cov)[:width], 0))
-    sd[sd == 0] = 1
-    values, vectors = np.linalg.eigh(cov[:width, :width] / np.outer(sd, sd) * n)
-    g = vectors.T @ (cov[:width, width] / sd * n)
-    # Row in the eigenbasis, as one array expression; then errors of all penalties in one aggregation.
-    z = F.array(*[(F.col(x)[i] - float(mean[i])) / float(sd[i]) for i in range(width)])
-    rotated = train.select(F.col(y).cast("double").alias("_y"), z.alias("_z")).select("_y", F.array(*[dot(F.col("_z"), F.array(*[F.lit(float(v)) for v in vectors[:, k]])) for k in range(width)]).alias("_u"))
-    errors = []
-    for i, a in enumerate(alphas):
-        fit = dot(F.col("_u"), F.array(*[F.lit(float(c)) for c in g / (values + a)]))
-        hat = F.lit(1.0 / n) + F.aggregate(F.zip_with("_u", F.array(*[F.lit(float(1 / (v + a))) for v in values]), lambda u, w: u * u * w), F.lit(0.0), lambda t, v: t + v)
-        e = (F.col("_y") - float(mean[width]) - fit) / (1 - hat)
-        errors.append(F.avg(e * e).alias(f"e{i}"))
-    row = rotated.agg(*errors).first()
-    best = alphas[int(np.argmin([row[f"e{i}"] for i in range(len(alphas))]))]
-    beta, intercept = ridge_from_gram(n, s, p, width, best)
+    """(alpha, coefficients, intercept): the penalty with the least leave-one-out error. Two passes over the rows, whatever the number of penalties."""
+    parts = gram(train, x, width, [y])
+    best = alphas[int(np.argmin(_loo_errors(train, x, width, y, parts, alphas)[None]))]
+    beta, intercept = ridge_from_gram(*parts[None], width, best)
     return best, beta[:, 0], float(intercept[0])
 
 
 def ridgecv_oof(df: DataFrame, x: str, width: int, y: str, fold: str = "fold", alphas: Sequence[float] = ALPHAS) -> DataFrame:
-    """Adds `pred_<y>`: per fold, the penalty is chosen by leave-one-out error on the other folds."""
+    """Adds `pred_<y>`: per fold, the penalty is chosen by leave-one-out error on the other folds. Two passes over the rows, whatever the number of folds and penalties."""
+    parts = gram(df, x, width, [y], fold)
+    rest = {f: _others(parts, f) for f in sorted(parts)} if len(parts) > 1 else {}
+    errors = _loo_errors(df, x, width, y, rest, alphas, fold) if rest else {}
     pred = F.lit(None).cast("double")
-    for f in [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]:
-        _, beta, intercept = ridge_loo_alpha(df.where(F.col(fold) != f), x, width, y, alphas)
-        pred = F.when(F.col(fold) == f, F.lit(intercept) + dot(F.col(x), F.array(*[F.lit(float(b)) for b in beta]))).otherwise(pred)
+    for f, own in rest.items():
+        beta, intercept = ridge_from_gram(*own, width, alphas[int(np.argmin(errors[f]))])
+        pred = F.when(F.col(fold) == f, F.lit(float(intercept[0])) + dot(F.col(x), F.array(*[F.lit(float(b)) for b in beta[:, 0]]))).otherwise(pred)
     return df.withColumn(f"pred_{y}", pred)
 
 

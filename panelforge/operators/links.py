@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import is_link, join_ids, ratio, split_ids, strict_pair
 from panelforge.operators.graph import connected
-from panelforge.operators.ordering import settled
+from panelforge.operators.ordering import row_numbers, settled
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,25 @@ def correspond(left: DataFrame, right: DataFrame, key: str = "key", check: str |
     return out
 
 
+def matched_pull(matched: DataFrame, left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of two tables through their correspondence (columns l_<key>, r_<key>), in the order of the left key: `at` is the row's place from 0, the same for both sides, whose columns come
+    as l_<column> and r_<column>. A matched key without a row raises."""
+    side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
+    a, b = side(left, "l"), side(right, "r")
+    pairs = row_numbers(matched.select(f"l_{key}", f"r_{key}"), [f"l_{key}", f"r_{key}"], "at")
+    out = pairs.join(a, f"l_{key}", "left").join(b, f"r_{key}", "left")
+    for df, p in ((a, "l"), (b, "r")):
+        gone = pairs.join(df, f"{p}_{key}", "left_anti")
+        if not gone.isEmpty():
+            raise KeyError(f"matched keys without a row: {[r[0] for r in gone.select(f'{p}_{key}').limit(5).collect()]}")
+    return out
+
+
+def positional_concat(left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:
+    """The columns of both tables side by side, rows matched by place in the given orders; `at` is the place from 0. Tables of unlike length keep all rows."""
+    return row_numbers(left, left_order, "at").join(row_numbers(right, right_order, "at"), "at", "full_outer")
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(side, id, component) of a bipartite graph; component is the smallest `a` node of each.
 

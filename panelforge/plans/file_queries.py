@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import io
+import json
 import shutil
 import tempfile
 import uuid
@@ -14,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.operators import spatial as G
+from panelforge.operators import summaries as A
 from panelforge.plans.base import t
 from panelforge.sources import files as S
+from panelforge.sources import gpkg as K
 from panelforge.sources import sinks as W
-from panelforge.sources.writers import dbf_bytes, put, shp_bytes, tiff_bytes
+from panelforge.sources.writers import dbf_bytes, gpkg_bytes, put, shp_bytes, tiff_bytes
 
 Q_ = {}
 
@@ -31,9 +34,11 @@ def query(name: str, sql: str | None = None):
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one where that is unset, in local mode."""
+    """A new folder under spark.checkpoint.dir; a temporary one where that is unset, on a local master."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="panelforge-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         shared = f"file://{own}"
@@ -125,6 +130,64 @@ def _(spark, sf):
     return S.verify_files(_archive(spark, sf), {"a.zip": "0" * 64}, expected=["a.zip", "b.zip"]).select("check", "ok")
 
 
+def _geopackage(spark: SparkSession, sf: str) -> str:
+    """Layers of nations: boundaries with places, a climate layer that lacks every fifth, points, and a table without geometry."""
+    rows = nations(spark, sf)
+    square = lambda k: S.wkb([[[(k, 0.0), (k, k + 1.0), (k + 2.0, k + 1.0), (k + 2.0, 0.0), (k, 0.0)]]])
+    layers = {
+        "uc_boundaries": ("MULTIPOLYGON", [("ID", "INTEGER"), ("name", "TEXT"), ("region", "MEDIUMINT"), ("area", "REAL")], [(r["n_nationkey"], r["n_name"], r["n_regionkey"], r["n_nationkey"] / 4, square(float(r["n_nationkey"]))) for r in rows]),
+        "climate": ("MULTIPOLYGON", [("ID", "INTEGER"), ("temp", "DOUBLE")], [(r["n_nationkey"], r["n_nationkey"] / 8, None) for r in rows if r["n_nationkey"] % 5]),
+        "centres": ("POINT", [("ID", "INTEGER")], []), "notes": ("", [("ID", "INTEGER"), ("note", "TEXT")], [(1, "x")]), "other_boundaries": ("POLYGON", [("code", "TEXT")], []),
+    }
+    return put(spark, f"{folder(spark)}/a.gpkg", gpkg_bytes(layers))
+
+
+@query("sc1_gpkg_scan", 'SELECT CAST(n_nationkey AS BIGINT) AS "ID", n_name AS name, n_nationkey / 4 AS area FROM nation')
+def _(spark, sf):
+    return K.read_layer(spark, _geopackage(spark, sf), "uc_boundaries", ["ID", "name", "area"])
+
+
+@query("sc6_climate_layer", 'SELECT CAST(n_nationkey AS BIGINT) AS "ID", n_name AS name, CASE WHEN n_nationkey % 5 <> 0 THEN n_nationkey / 8 END AS temp FROM nation')
+def _(spark, sf):
+    path = _geopackage(spark, sf)
+    return K.read_layer(spark, path, "uc_boundaries", ["ID", "name"]).join(K.read_layer(spark, path, "climate", ["ID", "temp"]), "ID", "left")
+
+
+@query("sc10_polygon_layers", "SELECT * FROM (VALUES ('climate', 'MULTIPOLYGON', true, false), ('other_boundaries', 'POLYGON', false, false), ('uc_boundaries', 'MULTIPOLYGON', true, true)) v(layer, type, has_id, best)")
+def _(spark, sf):
+    path = _geopackage(spark, sf)
+    best = K.best_layer(path, "ID")
+    rows = [(x["layer"], x["type"], "ID" in x["columns"], x["layer"] == best) for x in K.layers(path) if "POLYGON" in x["type"]]
+    return spark.createDataFrame(rows, "layer string, type string, has_id boolean, best boolean")
+
+
+@query("sc11_polygon_subset", 'SELECT CAST(n_nationkey AS BIGINT) AS "ID", 2.0 * (n_nationkey + 1)::DOUBLE AS area FROM nation WHERE n_regionkey = 2')
+def _(spark, sf):
+    path = _geopackage(spark, sf)
+    ids = K.read_layer(spark, path, "uc_boundaries", ["ID", "region"]).where("region = 2")
+    return K.polygons_of(spark, path, "uc_boundaries", "ID", ids).select("ID", G.area(G.wkb_rings("wkb")).alias("area"))
+
+
+@query(
+    "sc16_completeness",
+    """SELECT lower(c_mktsegment) || '_' || CAST(c_custkey AS VARCHAR) AS stem, c_custkey % 7 <> 0 AS complete, CASE WHEN c_custkey % 7 = 0 THEN ['.dbf'] ELSE []::VARCHAR[] END AS missing, CASE WHEN c_custkey % 3 = 0 THEN ['.prj'] ELSE []::VARCHAR[] END AS optional
+    FROM customer""",
+)
+def _(spark, sf):
+    k = F.col("c_custkey")
+    stem = F.concat(F.col("c_mktsegment"), F.lit("_"), k.cast("string"))
+    ends = F.array_compact(F.array(F.lit(".SHP"), F.lit(".shx"), F.when(k % 7 != 0, ".Dbf"), F.when(k % 3 == 0, ".prj"), F.lit(".txt")))
+    return A.completeness(t(spark, sf, "customer").select(stem.alias("stem"), F.explode(ends).alias("end")).select(F.concat("stem", "end").alias("name")))
+
+
+@query("sc21_result_documents", "SELECT r_name AS stage, CAST(count(*) AS BIGINT) AS n, CAST(min(n_nationkey) AS DOUBLE) / 4 AS low FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def _(spark, sf):
+    to, rows = folder(spark), t(spark, sf, "nation").join(t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count(F.lit(1)).alias("n"), F.min("n_nationkey").alias("low"))
+    for i, r in enumerate(rows.orderBy("r_name").collect()):
+        put(spark, f"{to}/{i}.json", json.dumps({"stage": r["r_name"], "figures": {"n": r["n"], "low": r["low"] / 4}, "more": [1]}, indent=1).encode())
+    return S.read_result(spark, to, "stage string, figures struct<n: long, low: double>").select("stage", "figures.n", "figures.low")
+
+
 @query("sk1_csv", "SELECT r_name AS name, CAST(r_regionkey AS VARCHAR) AS key FROM region")
 def _(spark, sf):
     path = f"{folder(spark)}/out"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from panelforge.functions import scalars as S
@@ -81,20 +83,20 @@ def _(spark, sf):
 
 @query("ml7_ridge")
 def _(spark, sf):
-    e = _emb(spark, sf).withColumn("y", F.col("x")[0]).withColumn("f", F.slice("x", 2, 16)).withColumn("fold", (F.col("unit_id") % 5).cast("int"))
-    return M.metrics(M.ridge_oof(e, "f", 16, ["y"]), "y", "pred_y")
+    e = _emb(spark, sf).withColumn("y", F.col("x")[0]).withColumn("f", F.slice("x", 2, 63)).withColumn("fold", (F.col("unit_id") % 5).cast("int"))
+    return M.metrics(M.ridge_oof(e, "f", 63, ["y"]), "y", "pred_y")
 
 
 @query("ml8_ridge_cv")
 def _(spark, sf):
-    e = _emb(spark, sf).withColumn("y", F.col("x")[0]).withColumn("f", F.slice("x", 2, 8)).withColumn("fold", (F.col("unit_id") % 5).cast("int"))
-    return M.metrics(M.ridgecv_oof(e, "f", 8, "y"), "y", "pred_y")
+    e = _emb(spark, sf).withColumn("y", F.col("x")[0]).withColumn("f", F.slice("x", 2, 63)).withColumn("fold", (F.col("unit_id") % 5).cast("int"))
+    return M.metrics(M.ridgecv_oof(e, "f", 63, "y"), "y", "pred_y")
 
 
 @query("ml9_forest")
 def _(spark, sf):
-    e = _emb(spark, sf).withColumn("y", F.col("x")[0]).withColumn("f", F.slice("x", 2, 8)).withColumn("fold", (F.col("unit_id") % 2).cast("int"))
-    return M.metrics(M.forest_oof(e, "f", "y", trees=10, depth=5), "y", "pred_y")
+    e = _emb(spark, sf).withColumn("y", F.col("x")[0]).withColumn("f", F.slice("x", 2, 63)).withColumn("fold", (F.col("unit_id") % 5).cast("int"))
+    return M.metrics(M.forest_oof(settled(e), "f", "y", trees=200, depth=10), "y", "pred_y")
 
 
 @query("ml10_random_folds", "SELECT s_suppkey AS unit_id, CAST((row_number() OVER (ORDER BY md5(CAST(s_suppkey AS VARCHAR)), s_suppkey) - 1) % 5 AS INTEGER) AS fold FROM supplier")
@@ -108,12 +110,33 @@ def _(spark, sf):
     return u.where(F.col("region").isin(M.group_out_folds(u, "region"))).groupBy("region").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ml12_balanced_folds")
+@query(
+    "ml12_balanced_folds",
+    f"""WITH RECURSIVE {U}, u AS (SELECT *, CAST(floor((lat + 90) / 10) * 1000 + floor((lon + 180) / 10) AS BIGINT) AS tile FROM units),
+    g AS (SELECT tile, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, tile) AS r FROM u GROUP BY 1),
+    w(r, loads, tile, fold) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], NULL::BIGINT, NULL::INTEGER UNION ALL
+        SELECT g.r, list_transform(range(1, 6), lambda i: loads[i] + CASE WHEN i = list_position(loads, list_min(loads)) THEN g.n ELSE 0 END), g.tile, CAST(list_position(loads, list_min(loads)) - 1 AS INTEGER) FROM w JOIN g ON g.r = w.r + 1)
+    SELECT unit_id, u.tile, fold FROM u JOIN w ON w.tile = u.tile""",
+)
 def _(spark, sf):
     u = units(spark, sf).withColumn("tile", S.tile_id(F.col("lat"), F.col("lon")))
     return M.balanced_group_folds(u, "tile").select("unit_id", "tile", "fold")
 
 
+@query("ml13_out_of_fold")
+def _(spark, sf):
+    own = X.with_folds(_spec_frame(spark, sf), _SPEC)
+    return X.predictions(X.predictions(own, _SPEC, False, "p0"), _SPEC, True, "p1").select("unit_id", "fold", R("p0", 6).alias("p0"), R("p1", 6).alias("p1"))
+
+
+@query("rs16_second_response")
+def _(spark, sf):
+    """The compact replication: the same specification with another response."""
+    own = _spec_frame(spark, sf).withColumn("y2", F.log(F.col("pop")) + F.col("H")[1])
+    second = replace(_SPEC, label="second", y="y2")
+    return X.evaluate(X.with_folds(own, second), second, boot=200)
+
+
 @query("ml14_metrics", "SELECT l_returnflag, count(*) AS n, round(1 - sum(pow(l_tax - l_discount, 2)) / (var_pop(l_tax) * count(*)), 6) AS r2, round(sqrt(avg(pow(l_tax - l_discount, 2))), 8) AS rmse, round(avg(abs(l_tax - l_discount)), 8) AS mae FROM lineitem GROUP BY 1")
 def _(spark, sf):
     return M.metrics(t(spark, sf, "lineitem"), "l_tax", "l_discount", ["l_returnflag"]).select("l_returnflag", "n", R("r2", 6).alias("r2"), R("rmse", 8).alias("rmse"), R("mae", 8).alias("mae"))
@@ -153,7 +176,7 @@ def _spec_frame(spark, sf):
 
 @query("ml21_specification")
 def _(spark, sf):
-    return X.evaluate(X.with_folds(_spec_frame(spark, sf), _SPEC), _SPEC, boot=200)
+    return X.evaluate(X.with_folds(_spec_frame(spark, sf), _SPEC), _SPEC, boot=2000)
 
 
 @query("ml21_variants")
@@ -178,13 +201,13 @@ def _(spark, sf):
 
 @query(
     "rs1_permutation_null",
-    f"""WITH {_PAIRS}, d AS (SELECT unit_id, region, H, draw FROM wide, range(1, 21) d(draw)),
+    f"""WITH {_PAIRS}, d AS (SELECT unit_id, region, H, draw FROM wide, range(1, 301) d(draw)),
     r AS (SELECT *, row_number() OVER (PARTITION BY draw, region ORDER BY unit_id) AS a, row_number() OVER (PARTITION BY draw, region ORDER BY md5(CAST(draw AS VARCHAR) || ':' || CAST(unit_id AS VARCHAR)), unit_id) AS b, count(*) OVER (PARTITION BY draw, region) AS n FROM d),
     p AS (SELECT x.draw, x.unit_id, CASE WHEN x.n >= 5 THEN y.H ELSE x.H END AS H FROM r x JOIN r y ON x.draw = y.draw AND x.region = y.region AND x.a = y.b)
     SELECT CAST(draw AS INTEGER) AS draw, round(avg(sqrt(list_sum(list_transform(list_zip(u.H, v.H), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))), 6) AS stat FROM pairs JOIN p u ON u.unit_id = i JOIN p v USING (draw) WHERE v.unit_id = j GROUP BY 1""",
 )
 def _(spark, sf):
-    return RS.permutation_pair_null(_pairs(spark, sf), settled(wide(spark, sf)), "H", 20, ["region"]).withColumn("stat", R("stat", 6))
+    return RS.permutation_pair_null(_pairs(spark, sf), settled(wide(spark, sf)), "H", 300, ["region"]).withColumn("stat", R("stat", 6))
 
 
 @query("rs3_matched_random")
@@ -199,14 +222,14 @@ _TILES = """tl AS (SELECT tile, row_number() OVER (ORDER BY tile) - 1 AS no, cou
 
 @query(
     "rs4_tile_bootstrap",
-    f"""WITH b AS (SELECT CAST(o_custkey % 40 AS BIGINT) AS tile, o_totalprice / 1000 AS y, 150.0 AS p0, CASE o_orderpriority WHEN '1-URGENT' THEN 160.0 ELSE 148.0 END AS p1 FROM orders), {_TILES.format(n=100)},
+    f"""WITH b AS (SELECT CAST(o_custkey % 40 AS BIGINT) AS tile, o_totalprice / 1000 AS y, 150.0 AS p0, CASE o_orderpriority WHEN '1-URGENT' THEN 160.0 ELSE 148.0 END AS p1 FROM orders), {_TILES.format(n=2000)},
     s AS (SELECT tile, count(*) AS n, sum(y) AS s, sum(y * y) AS q, sum(pow(y - p0, 2)) AS a, sum(pow(y - p1, 2)) AS b FROM b GROUP BY 1),
     d AS (SELECT draw, (sum(a * w) - sum(b * w)) / (sum(q * w) - pow(sum(s * w), 2) / sum(n * w)) AS dr, sqrt(sum(b * w) / sum(n * w)) - sqrt(sum(a * w) / sum(n * w)) AS de FROM tm JOIN s USING (tile) GROUP BY 1)
     SELECT count(*) AS n_draws, round(avg(dr), 7) AS delta_r2_mean, round(stddev_samp(dr), 7) AS delta_r2_sd, round(quantile_cont(dr, 0.025), 7) AS delta_r2_lo, round(quantile_cont(dr, 0.975), 7) AS delta_r2_hi, round(avg(de), 7) AS delta_rmse_mean FROM d""",
 )
 def _(spark, sf):
     o = t(spark, sf, "orders").select((F.col("o_custkey") % 40).alias("tile"), (F.col("o_totalprice") / 1000).alias("y"), F.lit(150.0).alias("p0"), F.when(F.col("o_orderpriority") == "1-URGENT", 160.0).otherwise(148.0).alias("p1"))
-    b = RS.tile_bootstrap_delta(o, "y", "p0", "p1", 100)
+    b = RS.tile_bootstrap_delta(o, "y", "p0", "p1", 2000)
     return b.select("n_draws", *[R(c, 7).alias(c) for c in ("delta_r2_mean", "delta_r2_sd", "delta_r2_lo", "delta_r2_hi", "delta_rmse_mean")])
 
 
@@ -240,9 +263,19 @@ def _(spark, sf):
     return N.divergent_rate(_pairs(spark, sf)).select(R("near_cut", 6).alias("near_cut"), R("far_cut", 6).alias("far_cut"), "n_near", R("divergent_rate", 8).alias("divergent_rate"))
 
 
-@query("rs9_morans_i")
+@query(
+    "rs9_morans_i",
+    f"""WITH {WIDE}, p AS (SELECT unit_id, elev - avg(elev) OVER () AS z, [cos(radians(lat)) * cos(radians(lon)), cos(radians(lat)) * sin(radians(lon)), sin(radians(lat))] AS x FROM wide),
+    m AS MATERIALIZED (SELECT a.unit_id AS i, b.unit_id AS j, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda q: (q[1] - q[2]) * (q[1] - q[2])))) AS d FROM p a JOIN p b ON a.unit_id <> b.unit_id),
+    k AS MATERIALIZED (SELECT i, j FROM m QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 8),
+    o AS (SELECT sum(a.z * n.zbar) / sum(a.z * a.z) AS i FROM p a JOIN (SELECT k.i, avg(z) AS zbar FROM k JOIN p ON p.unit_id = j GROUP BY 1) n ON n.i = a.unit_id),
+    s AS (SELECT unit_id, z, draw, row_number() OVER (PARTITION BY draw ORDER BY unit_id) AS a, row_number() OVER (PARTITION BY draw ORDER BY md5(CAST(draw AS VARCHAR) || ':' || CAST(unit_id AS VARCHAR)), unit_id) AS b FROM p, range(1, 500) d(draw)),
+    h AS MATERIALIZED (SELECT x.draw, x.unit_id, y.z FROM s x JOIN s y ON x.draw = y.draw AND x.a = y.b),
+    t AS (SELECT g.draw, sum(g.z * n.zbar) / sum(g.z * g.z) AS stat FROM h g JOIN (SELECT draw, k.i, avg(z) AS zbar FROM k JOIN h ON h.unit_id = j GROUP BY 1, 2) n ON n.draw = g.draw AND n.i = g.unit_id GROUP BY 1)
+    SELECT round(o.i, 6) AS morans_i, round(avg(stat), 6) AS null_mean, round(stddev_pop(stat), 6) AS null_sd, (count(*) FILTER (stat >= o.i) + 1) / (count(*) + 1) AS p_value FROM t, o GROUP BY o.i""",
+)
 def _(spark, sf):
-    return RS.morans_i(wide(spark, sf), "elev", 8, 49)
+    return RS.morans_i(settled(wide(spark, sf)), "elev", 8, 499).select(R("morans_i", 6).alias("morans_i"), R("null_mean", 6).alias("null_mean"), R("null_sd", 6).alias("null_sd"), "p_value")
 
 
 @query("rs10_null_battery")
@@ -258,7 +291,10 @@ def _(spark, sf):
 
 @query("rs12_sensitivity")
 def _(spark, sf):
-    changes = {"all": lambda d: d, "without_smallest": lambda d: Q.below_quantile(d, "bus", 0.1), "one_region": lambda d: d.where("region = 'nowhere'")}
+    changes = {
+        "all": lambda d: d, "without_smallest": lambda d: Q.below_quantile(d, "bus", 0.1), "north": lambda d: d.where("lat >= 0"), "south": lambda d: d.where("lat < 0"),
+        "early": lambda d: d.where("born < 1990"), **{f"without_{r.lower()}": lambda d, r=r: d.where(F.col("region") != r) for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")},
+    }
     return X.sensitivity(_spec_frame(spark, sf), "variant", changes, lambda d: X.evaluate(X.with_folds(d, _SPEC), _SPEC))
 
 

@@ -61,6 +61,14 @@ _A = "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'a|' ELSE '' END
 _B = "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'b|' ELSE '' END || lower(c_mktsegment) || '|' || CAST(c_custkey // 2 AS VARCHAR) AS key, c_acctbal + 1200 AS v FROM customer"
 
 
+def _registries(spark, sf):
+    c = t(spark, sf, "customer")
+    key = F.concat(F.lower("c_mktsegment"), F.lit("|"), F.expr("c_custkey div 2").cast("string"))
+    spelled = lambda mark, every: F.concat(F.when(F.col("c_custkey") % every == 0, mark).otherwise(""), key).alias("key")
+    side = lambda mark, every, more: c.select(F.col("c_custkey").alias("id"), spelled(mark, every), (F.col("c_acctbal") + more).alias("v"))
+    return side("a|", 3, 1000), side("b|", 4, 1200)
+
+
 @query(
     "jn7_correspondence",
     f"""WITH a AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM ({_A})), b AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM ({_B}))
@@ -69,14 +77,28 @@ _B = "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'b|' ELSE '' END
     FROM a FULL OUTER JOIN b ON a.key = b.key""",
 )
 def _(spark, sf):
-    c = t(spark, sf, "customer")
-    key = F.concat(F.lower("c_mktsegment"), F.lit("|"), F.expr("c_custkey div 2").cast("string"))
-    spelled = lambda mark, every: F.concat(F.when(F.col("c_custkey") % every == 0, mark).otherwise(""), key).alias("key")
-    a = c.select(F.col("c_custkey").alias("id"), spelled("a|", 3), (F.col("c_acctbal") + 1000).alias("v"))
-    b = c.select(F.col("c_custkey").alias("id"), spelled("b|", 4), (F.col("c_acctbal") + 1200).alias("v"))
+    a, b = _registries(spark, sf)
     return L.correspond(a, b, "key", "v", core=F.col("r_v") > 2000).select("l_id", "r_id", "match", "corroborated", "core")
 
 
+@query(
+    "jn5_matched_pull",
+    f"""WITH a AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM ({_A})), b AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM ({_B}))
+    SELECT row_number() OVER (ORDER BY a.id, b.id) - 1 AS at, a.id AS l_id, b.id AS r_id, a.v AS l_v, b.v AS r_v FROM a JOIN b ON a.key = b.key WHERE a.n = 1 AND b.n = 1""",
+)
+def _(spark, sf):
+    a, b = _registries(spark, sf)
+    matched = L.correspond(a, b, "key").where("match = 'one_to_one'")
+    return L.matched_pull(matched, a.select("id", "v"), b.select("id", "v"))
+
+
+@query("jn16_positional_concat", "SELECT a.at, p_partkey, s_suppkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS at FROM part) a FULL JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1 AS at FROM supplier) b ON a.at = b.at")
+def _(spark, sf):
+    p = t(spark, sf, "part").select("p_partkey", (-F.col("p_retailprice")).alias("_o"))
+    s = t(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
+    return L.positional_concat(p, s, ["_o", "p_partkey"], ["s_acctbal", "s_suppkey"]).select("at", "p_partkey", "s_suppkey")
+
+
 _RECT = "x0, y0, x0 + w AS x1, y0 + h AS y1"
 _L = "SELECT p_partkey AS left_id, (p_partkey * 37 % 1000)::DOUBLE AS x0, (p_partkey * 53 % 1000)::DOUBLE AS y0, (p_size % 9 + 2)::DOUBLE AS w, (p_size % 7 + 2)::DOUBLE AS h FROM part"
 _Rr = "SELECT s_suppkey AS right_id, (s_suppkey * 91 % 1000)::DOUBLE AS x0, (s_suppkey * 17 % 1000)::DOUBLE AS y0, (s_suppkey % 23 + 10)::DOUBLE AS w, (s_suppkey % 31 + 10)::DOUBLE AS h FROM supplier"

@@ -295,6 +295,14 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", columns: S
     return df if columns is None else df.select(*columns)
 
 
+def read_result(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents of an earlier stage, one a file over any number of lines; a document that doesn't parse, or lacks all of the fields, raises."""
+    found = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    if not found.where(F.coalesce(*[F.col(c).cast("string") for c in found.columns]).isNull()).isEmpty():
+        raise ValueError(f"a document of {path} has none of the fields")
+    return found
+
+
 def read_registry(spark: SparkSession, path: str, texts: Sequence[str], numbers: Sequence[str]) -> DataFrame:
     """A Latin-1 table: texts repaired, numbers with thousands commas parsed."""
     df = read_csv(spark, path, "ISO-8859-1", [*texts, *numbers])

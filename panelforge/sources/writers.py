@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sqlite3
 import struct
 from collections.abc import Sequence
 
@@ -57,6 +58,24 @@ def tiff_bytes(values: np.ndarray, x0: float, y0: float, dx: float, dy: float, n
     return {"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HIH", 42, 8, len(tags)) + entries + b"\0" * 4 + rest + data
 
 
+def gpkg_bytes(layers: dict[str, tuple[str, Sequence[tuple[str, str]], Sequence[Sequence]]]) -> bytes:
+    """A GeoPackage: per layer the type of its geometry column `geom` (empty: a table of attributes), its other columns with their SQL types, and its rows, geometries (WKB) last."""
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT)")
+    db.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT, geometry_type_name TEXT)")
+    for name, (kind, columns, rows) in layers.items():
+        own = [f'"{c}" {t}' for c, t in columns] + (["geom BLOB"] if kind else [])
+        db.execute(f'CREATE TABLE "{name}" ({", ".join(own)})')
+        db.execute("INSERT INTO gpkg_contents VALUES (?, ?)", (name, "features" if kind else "attributes"))
+        if kind:
+            db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom', ?)", (name, kind))
+        # A blob is a header of eight bytes without an envelope, then WKB.
+        made = ((*r[:-1], None if r[-1] is None else b"GP\0\1\0\0\0\0" + bytes(r[-1])) if kind else tuple(r) for r in rows)
+        db.executemany(f'INSERT INTO "{name}" VALUES ({", ".join("?" * len(own))})', made)
+    db.commit()
+    return db.serialize()
+
+
 def put(spark: SparkSession, path: str, content: bytes) -> str:
     """Writes a small file through Hadoop's file systems; its path."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
