@@ -42,11 +42,13 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, a folder of our own, for local mode."""
+    """The folder in spark.checkpoint.dir; where that is unset, a folder of our own, on a local master only: executors elsewhere would not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    app = spark.sparkContext.applicationId
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="panelforge-")
         atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
@@ -66,12 +68,6 @@ def store(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None)
     return spark.read.schema(fields).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def utf8(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null gives empty bytes."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

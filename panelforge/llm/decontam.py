@@ -10,7 +10,7 @@ Scale: building and searching are map-only; nothing but the results of items tha
 where the items take more than one block. Test items are sent to the workers in blocks of bounded size.
 
 Defined cases: null, empty and word-free texts have no words, are never hit, and as items have no window; an item shorter than the window
-is one window; repeated items count by item id; repeated documents are judged each; empty tables give empty or all-clean results;
+is one window; repeated items count by item id; repeated documents are judged each; long documents lie whole in one segment, long items are cut into overlapping parts; empty tables give empty or all-clean results;
 only the keys and texts are read.
 """
 
@@ -173,16 +173,27 @@ class Segment:
         return np.searchsorted(self.starts, positions, side="right") - 1
 
 
-def _blocks(items: DataFrame, key: str, text: str, most: int) -> Iterator[list[tuple[str, bytes]]]:
-    """Items in blocks of about `most` bytes at most, fetched a partition at a time."""
+def _pieces(body: bytes, window: int, most: int) -> Iterator[bytes]:
+    """An item's text in parts of about `most` bytes that overlap by a window less one word, so that each of its windows is in one of them."""
+    if len(body) <= most:
+        yield body
+        return
+    words = tokens(body)
+    step = max(1, len(words) * most // len(body))
+    for at in range(0, max(1, len(words) - window + 1), step):
+        yield b" ".join(words[at : at + step + window - 1])
+
+
+def _blocks(items: DataFrame, key: str, text: str, most: int, window: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Items in blocks of about `most` bytes at most, fetched a partition at a time; longer items are cut."""
     block, used = [], 0
     for row in items.where(F.col(text).isNotNull()).select(F.col(key).cast("string"), F.col(text).cast("binary")).toLocalIterator():
-        body = bytes(row[1])
-        if block and used + len(body) > most:
-            yield block
-            block, used = [], 0
-        block.append(("" if row[0] is None else row[0], body))
-        used += len(body)
+        for body in _pieces(bytes(row[1]), window, most):
+            if block and used + len(body) > most:
+                yield block
+                block, used = [], 0
+            block.append(("" if row[0] is None else row[0], body))
+            used += len(body)
     yield block
 
 
@@ -259,13 +270,13 @@ def proximity_hits(index: DataFrame, terms: list[bytes], within: int) -> DataFra
     return index.mapInArrow(run, "doc_id long, start long, end long")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", window: int = WINDOW, share: int = 20, block_bytes: int = 8 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", window: int = WINDOW, share: int = 20, block_bytes: int = 2 << 20) -> DataFrame:
     """Per document: doc_id, n_words, hits (sorted word positions inside an occurrence of an item's window), items (their ids,
     sorted as strings), n_hit, contaminated (hit, and at least one word in `share` is)."""
     if window > _GAP:
         raise ValueError(f"windows of more than {_GAP} words need an index with wider gaps")
     index = store(build_index(docs, key, text), "index")
-    blocks = _blocks(benchmark, item_key, text, block_bytes)
+    blocks = _blocks(benchmark, item_key, text, block_bytes, window)
     first, second = next(blocks), next(blocks, None)
     if second is None:
         merged, _ = phrase_hits(index, Phrases(first, window))

@@ -8,7 +8,8 @@ Training reads features of a bounded sample of labelled rows (`most_labelled`, t
 workers is a few tables of fixed size. Everything else runs over whole texts of all rows.
 
 Defined cases: null and empty texts have all-zero features and get the score the model gives those; without labels of both classes every
-score is the share of ones (0.5 without labels); a document with several labels counts with each distinct one; repeated rows score alike; empty tables give
+score is the share of ones (0.5 without labels); a document with several labels counts with each distinct one, and with the smallest of its texts if rows repeat its key; repeated rows score alike; texts of any length are read whole;
+of features that split as well the first is taken; empty tables give
 empty results; only key and text are read of the documents.
 """
 
@@ -171,8 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (remainder(F.col(key).cast("long"), folds) != 0)).select(F.col(key).cast("long").alias("_k"), F.col(label).cast("int").alias("_y")).distinct()
     sample = known.orderBy(F.xxhash64("_k"), "_k", "_y").limit(most_labelled)
     # At most `most_labelled` rows of two numbers: a proven bound for the broadcast, and for what is collected.
-    rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_text")).join(F.broadcast(sample.groupBy("_k").agg(F.collect_set("_y").alias("_y"))), "_k").dropDuplicates(["_k"])
-    marked = _mapped(rows.select("_k", "_y", "_text").select("_k", "_text"), "_k", "_text", lambda x: [pa.array(list(x), pa.list_(pa.float64()))], "x array<double>", ["x"])
+    rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).alias("_text")).join(F.broadcast(sample.groupBy("_k").agg(F.collect_set("_y").alias("_y"))), "_k").groupBy("_k").agg(F.min("_text").alias("_text"))
+    marked = _mapped(rows, "_k", "_text", lambda x: [pa.array(list(x), pa.list_(pa.float64()))], "x array<double>", ["x"])
     fitted = marked.join(F.broadcast(sample), "_k").select("_k", "_y", "x").toPandas().sort_values(["_k", "_y"])
     return Gam(**settings).fit(np.array(fitted["x"].tolist(), float).reshape(len(fitted), len(FEATURES)), fitted["_y"].to_numpy(float))
 

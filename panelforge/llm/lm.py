@@ -151,73 +151,41 @@ def _positions(keys: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
         a = a + b
 
 
-def _slice(keys: np.ndarray, counts: np.ndarray, bits: int | None, least: int) -> tuple[int, np.ndarray]:
-    """(first level held, slice) of n-grams, of `bits` bits or, without it, as many as hold all of them."""
+def _slice(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The slice that holds all these n-grams, filled to `_FILL`."""
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     heads = np.flatnonzero(np.concatenate([[True], np.diff(keys) > 0]))
     keys, counts = keys[heads], np.add.reduceat(counts, heads)
     levels = np.searchsorted(LEVELS, counts, side="right")
-    first = int(np.searchsorted(LEVELS, least, side="right"))
-    if bits is None:
-        bits = max(64, int(np.ceil(np.maximum(0, levels - first + 1).sum() * _PROBES / _FILL / 8)) * 8)
-    while (np.maximum(0, levels - first + 1).sum() * _PROBES) > _FILL * bits:
-        first += 1
-    table = np.zeros(bits, bool)
-    for level in range(first, int(levels.max(initial=0)) + 1):
-        own = keys[levels >= level]
-        for at in _positions(own, level, bits):
+    table = np.zeros(max(64, int(np.ceil(levels.sum() * _PROBES / _FILL / 8)) * 8), bool)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        for at in _positions(keys[levels >= level], level, len(table)):
             table[at] = True
-    return first, np.packbits(table)
+    return np.packbits(table)
 
 
-def _slice_of(pdf: pd.DataFrame, bits: int | None = None, least: int = 1) -> tuple[int, np.ndarray]:
+def _slice_of(pdf: pd.DataFrame) -> np.ndarray:
     """The slice of one bucket's n-grams."""
     release()
     keys = np.concatenate([np.cumsum(_unpack(x, "<u4"), dtype=np.int64) for x in pdf["a"]])
     counts = np.concatenate([_unpack(x, "<i4") for x in pdf["b"]]).astype(np.int64)
-    return _slice(keys, counts, bits, least)
-
-
-class LogFrequencyFilter:
-    """Slices by bucket for one order of n-grams."""
-
-    def __init__(self, buckets: int, bits: int):
-        self.buckets, self.bits = buckets, bits
-        self.first = np.full(buckets, len(LEVELS) + 1, np.int64)
-        self.table = np.zeros(buckets * bits // 8, np.uint8)
-
-    def put(self, bucket: int, first: int, part: bytes) -> None:
-        n = self.bits // 8
-        self.first[bucket], self.table[bucket * n : (bucket + 1) * n] = first, np.frombuffer(part, np.uint8)
-
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """The mean count of the highest level reached by probing level after level."""
-        cells = _cells(hashes, self.buckets)
-        bucket, keys = (cells >> np.uint64(32)).astype(np.int64), cells & np.uint64(0xFFFFFFFF)
-        out, first = np.zeros(len(hashes)), self.first[bucket]
-        for start in np.unique(first):
-            if start > len(LEVELS):
-                continue
-            alive = np.flatnonzero(first == start)
-            level = int(start)
-            while len(alive) and level < len(_MEAN):
-                offset = bucket[alive] * self.bits
-                held = np.ones(len(alive), bool)
-                for at in _positions(keys[alive], level, self.bits):
-                    spot = offset + at.astype(np.int64)
-                    held &= (self.table[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1 == 1
-                alive = alive[held]
-                out[alive] = _MEAN[level]
-                level += 1
-        return out
-
-
-def _probed(first: int, part: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Levels of the keys by a bucket's own slice."""
-    own = LogFrequencyFilter(1, 8 * len(part))
-    own.put(0, first, part.tobytes())
-    return np.searchsorted(_MEAN, own.counts(keys.astype(np.uint64))).astype(np.uint8)
+    return _slice(keys, counts)
+
+
+def _probed(part: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Levels of the keys by a bucket's own slice: the highest that probing level after level reaches."""
+    bits, out = 8 * len(part), np.zeros(len(keys), np.uint8)
+    alive, level = np.arange(len(keys)), 1
+    while len(alive) and level < len(_MEAN):
+        held = np.ones(len(alive), bool)
+        for at in _positions(keys[alive], level, bits):
+            spot = at.astype(np.int64)
+            held &= (part[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1 == 1
+        alive = alive[held]
+        out[alive] = level
+        level += 1
+    return out
 
 
 def _answer_words(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -230,7 +198,7 @@ def _answer_words(pdf: pd.DataFrame) -> pd.DataFrame:
             total[w] = total.get(w, 0) + c
     bucket, counts = int(pdf["bucket"].iloc[0]), np.fromiter(total.values(), np.int64, len(total))
     keys = (_mix(_word_hashes(list(total))) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    levels = _probed(*_slice(keys, counts, None, 1), keys)
+    levels = _probed(_slice(keys, counts), keys)
     place = {w: i for i, w in enumerate(total)}
     out = []
     for b, words in zip(pdf["block"], lists, strict=True):
@@ -242,10 +210,10 @@ def _answer_words(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _answer_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     """Levels of one bucket's pairs, given back to each block in its own order."""
-    first, part = _slice_of(pdf)
+    part = _slice_of(pdf)
     bucket = int(pdf["bucket"].iloc[0])
     asked = (np.cumsum(_unpack(x, "<u4"), dtype=np.int64) for x in pdf["a"])
-    out = [("pair", b, bucket, None, _pack(_probed(first, part, keys)), 0, 0) for b, keys in zip(pdf["block"], asked, strict=True)]
+    out = [("pair", b, bucket, None, _pack(_probed(part, keys)), 0, 0) for b, keys in zip(pdf["block"], asked, strict=True)]
     return pd.DataFrame(out, columns=_ANSWER)
 
 

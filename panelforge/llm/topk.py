@@ -9,7 +9,7 @@ one group against one block, and only k rows per query and group are shuffled.
 
 Defined cases: components become floor(scale * x) as integers; vectors that are null, or hold a null or non-finite component, take no part;
 vectors of different lengths are compared as if the shorter ended in zeros; a candidate row with the query's id is
-the query's own; a repeated query row is one query; repeated candidate rows count each; equal scores go to the smaller id; scores beyond
+the query's own; of query rows that repeat an id the one with the smallest vector asks; repeated candidate rows count each; equal scores go to the smaller id; scores beyond
 64 bits stop at the limits of long; with fewer than k candidates all are returned; empty tables give empty results.
 """
 
@@ -96,10 +96,10 @@ def _search_exact(query_ids, queries, ids, rows, k):
     return tuple(np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 2048, group_rows: int = 1 << 15) -> DataFrame:
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 8192, group_rows: int = 1 << 15) -> DataFrame:
     """`candidates` and `queries` have columns id (long) and v (array of whole doubles). Returns query_id, rank, vec_id, score."""
     spark = candidates.sparkSession
-    candidates, queries = candidates.where("id IS NOT NULL"), queries.where("id IS NOT NULL").dropDuplicates(["id"])
+    candidates, queries = candidates.where("id IS NOT NULL"), queries.where("id IS NOT NULL").groupBy("id").agg(F.min("v").alias("v"))
     groups = max(2, salted_partitions(spark) // 2, -(-candidates.count() // group_rows))
     blocks = max(1, -(-queries.count() // block_rows))
     # Every (group, block) cell is one task: candidates go to each block of queries, queries to each group of candidates.

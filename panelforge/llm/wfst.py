@@ -8,7 +8,7 @@ merges would keep them apart, infinite if they would join across the border. The
 weight, so shortest paths give BPE exactly. No piece has the word mark after another character, so the lattice falls apart at word starts:
 each distinct word's path is found once and kept in a bounded table. Short words are solved together in arrays, long ones one by one, in time linear in their length.
 
-Defined cases: null and empty texts have no pieces; a mark in the input reads as a blank after decoding; malformed UTF-8 is replaced; repeated rows are encoded each; models that bring
+Defined cases: null and empty texts have no pieces; a mark in the input reads as a blank after decoding; malformed UTF-8 is replaced; of unigram paths of equal weight the one found first stays, the same in every batch; texts and words of any length are read whole; repeated rows are encoded each; models that bring
 their own character map or suffix marks are refused; only key and text are read.
 """
 

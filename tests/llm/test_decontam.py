@@ -120,3 +120,20 @@ def test_proximity_of_three_terms_equals_brute_force(spark):
         got = [(r["doc_id"], r["start"], r["end"]) for r in D.proximity_hits(D.build_index(docs), [t.encode() for t in terms], 8).collect()]
         assert sorted(got) == sorted(want) and want
         assert terms != "abc" or (0, 10, 16) in got
+
+
+@pytest.mark.parametrize("most", [40, 200])
+def test_long_items_are_cut_without_losing_windows(spark, most):
+    rng = random.Random(7)
+    item = " ".join(rng.choice("abcd") + str(rng.randrange(9)) for _ in range(300))
+    w = item.split()
+    docs = [(i, " ".join(["x", *w[i * 20 : i * 20 + 12 + i], "y"])) for i in range(12)] + [(99, item), (99, item)]
+    got, want = run(spark, docs, [(1, item), (2, LONG), (3, "short item")], block_bytes=most)
+    assert got == want and sum(r[-1] for r in got) > 8
+    assert sorted({tuple(p.split()[i : i + 13]) for p in D._pieces(item.encode(), 13, most) for i in range(len(p.split()) - 12)}) == sorted({tuple(x.encode() for x in w[i : i + 13]) for i in range(len(w) - 12)})
+
+
+def test_texts_beyond_a_segment(spark):
+    docs = [(1, "a b " * 2_500_000 + LONG), (2, LONG), (2, LONG)]
+    got, want = run(spark, docs, [(5, LONG)])
+    assert got == want

@@ -43,46 +43,30 @@ def test_model_prefers_held_out_text_to_its_shuffle(spark):
     assert total(held) > total(mixed)
 
 
-def test_counts_are_read_back_by_levels():
+@pytest.mark.parametrize("n", [1, 2000, 400_000])
+def test_counts_are_read_back_by_levels(n):
+    """N-grams of every count are kept, however many there are."""
     import pandas as pd
 
-    keys = np.arange(2000)
-    counts = np.array([1, 2, 3, 5, 9, 20, 50, 1000] * 250, np.int32)
-    pdf = pd.DataFrame({"bucket": [0], "a": [lm._pack(np.diff(keys, prepend=0).astype(np.uint32))], "b": [lm._pack(counts)]})
-    f = lm.LogFrequencyFilter(1, 1 << 18)
-    first, table = lm._slice_of(pdf, 1 << 18, 1)
-    f.put(0, first, table.tobytes())
-    got = f.counts(keys.astype(np.uint64))
-    ratio = got / counts
-    assert first == 1
-    assert ((ratio > 0.6) & (ratio < 1.7)).mean() > 0.99
-    missing = f.counts(np.arange(10**6, 10**6 + 5000).astype(np.uint64))
-    assert (missing > 0).mean() < 0.02
-
-
-def test_a_full_slice_raises_its_least_count():
-    import pandas as pd
-
-    keys = np.arange(5000)
-    counts = np.where(keys % 100 == 0, 50, 1).astype(np.int32)
-    pdf = pd.DataFrame({"bucket": [0], "a": [lm._pack(np.diff(keys, prepend=0).astype(np.uint32))], "b": [lm._pack(counts)]})
-    first, table = lm._slice_of(pdf, 1 << 13, 1)
-    assert first > 1
-    assert np.unpackbits(table).mean() <= 0.35
-
-
-def test_a_slice_follows_its_entries():
-    """Pairs of every count are kept, however many there are."""
-    import pandas as pd
-
-    for n in (1000, 400_000):
-        keys = np.arange(n, dtype=np.int64) * 7
-        counts = np.where(keys % 10 == 0, 50, 1).astype(np.int32)
-        first, part = lm._slice_of(pd.DataFrame({"bucket": [0], "a": [lm._pack(np.diff(keys, prepend=0).astype(np.uint32))], "b": [lm._pack(counts)]}))
-        assert first == 1 and np.unpackbits(part).mean() <= 0.35
-        levels = lm._probed(first, part, keys)
-        assert (levels >= np.searchsorted(lm.LEVELS, counts, side="right")).all()
-        assert (lm._probed(first, part, keys + 1) > 0).mean() < 0.02
+    keys = np.arange(n, dtype=np.int64) * 7
+    counts = np.resize(np.array([1, 2, 3, 5, 9, 20, 50, 1000], np.int32), n)
+    part = lm._slice_of(pd.DataFrame({"bucket": [0], "a": [lm._pack(np.diff(keys, prepend=0).astype(np.uint32))], "b": [lm._pack(counts)]}))
+    assert np.unpackbits(part).mean() <= 0.35
+    levels = lm._probed(part, keys)
+    assert (levels >= np.searchsorted(lm.LEVELS, counts, side="right")).all()
+    if n > 1:
+        ratio = lm._MEAN[levels] / counts
+        assert ((ratio > 0.6) & (ratio < 1.7)).mean() > 0.97
+        assert (lm._probed(part, keys + 1) > 0).mean() < 0.02
+
+
+def test_texts_longer_than_a_block(spark):
+    rows = [(1, "a b " * 3_000_000), (2, "a b c"), (3, "b a")]
+    want = brute(rows)
+    for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        h, n, k, total, base = want[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (h, n, k, total)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9)
 
 
 def test_pairs_seen_once_count(spark):

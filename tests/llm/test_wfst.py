@@ -79,6 +79,21 @@ def test_unigram_shortest_paths():
         assert m.decode(m.encode(text)) == text
 
 
+def test_very_long_words_and_texts(model, library):
+    rng = random.Random(6)
+    word = "".join(rng.choice("abcdefgh") for _ in range(30_000))
+    assert model.encode(word) == library.encode(word)
+    text = word + " é日" * 20_000
+    assert model.decode(model.encode(text)) == text
+
+
+def test_ties_of_unigram_paths():
+    """Any of the lightest paths may be taken, the same one however texts are batched."""
+    m = wfst.Transducer(message([("<unk>", 0.0, 2), ("▁", -1.0, 1), ("a", -1.0, 1), ("aa", -2.0, 1)], 1))
+    assert [m.pieces[i] for i in m.encode("aaa")] == [m.pieces[i] for i in m.encode_all(["aaa"] * 3)[0]]
+    assert sum({"▁": 1, "a": 1, "aa": 2}[m.pieces[i]] for i in m.encode("aaa")) == 4
+
+
 def test_unsupported_models_are_refused():
     with pytest.raises(ValueError, match="only unigram and BPE"):
         wfst.Transducer(message([("<unk>", 0.0, 2), ("a", -1.0, 1)], 4))
