@@ -95,17 +95,24 @@ def intersection_area(a, b) -> float:
 
 
 def overlay(left: DataFrame, right: DataFrame, cell: float, left_id: str = "left_id", right_id: str = "right_id", rings: str = "rings") -> DataFrame:
-    """(left_id, right_id, inter, a_left, a_right) of pairs whose common area is positive."""
-    a = _cells(left.select(left_id, F.col(rings).alias("ra"), area(F.col(rings)).alias("a_left")).withColumns(box(F.col("ra"))), cell).withColumnsRenamed({c: f"a{c}" for c in ("x0", "y0", "x1", "y1")})
-    b = _cells(right.select(right_id, F.col(rings).alias("rb"), area(F.col(rings)).alias("a_right")).withColumns(box(F.col("rb"))), cell).withColumnsRenamed({c: f"b{c}" for c in ("x0", "y0", "x1", "y1")})
-    near = a.join(b, ["_cx", "_cy"]).where("ax0 < bx1 AND bx0 < ax1 AND ay0 < by1 AND by0 < ay1")
+    """(left_id, right_id, inter, a_left, a_right) of pairs whose common area is positive. Ids tell rows apart.
+
+    Boxes meet on grid cells, without their polygons. Two polygons that fill their boxes are rectangles, whose common area is an expression; only the other pairs fetch their rings and are clipped.
+    """
+    side = lambda df, key, p: df.select(key, area(F.col(rings)).alias(f"a_{p}"), *[c.alias(n) for n, c in box(F.col(rings)).items()])
+    cells = lambda df, p: _cells(df, cell).withColumnsRenamed({c: f"{p}{c}" for c in ("x0", "y0", "x1", "y1")})
+    near = cells(side(left, left_id, "left"), "a").join(cells(side(right, right_id, "right"), "b"), ["_cx", "_cy"]).where("ax0 < bx1 AND bx0 < ax1 AND ay0 < by1 AND by0 < ay1")
     once = near.where((F.floor(F.greatest("ax0", "bx0") / cell) == F.col("_cx")) & (F.floor(F.greatest("ay0", "by0") / cell) == F.col("_cy")))
+    filled = F.expr("a_left = (ax1 - ax0) * (ay1 - ay0) AND a_right = (bx1 - bx0) * (by1 - by0)")
+    across = (F.least("ax1", "bx1") - F.greatest("ax0", "bx0")) * (F.least("ay1", "by1") - F.greatest("ay0", "by0"))
+    names = [left_id, right_id, "inter", "a_left", "a_right"]
 
     @F.pandas_udf("double")
     def common(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([intersection_area(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
 
-    return once.select(left_id, right_id, common("ra", "rb").alias("inter"), "a_left", "a_right").where("inter > 0")
+    other = once.where(~filled).join(left.select(left_id, F.col(rings).alias("_ra")), left_id).join(right.select(right_id, F.col(rings).alias("_rb")), right_id)
+    return once.where(filled).withColumn("inter", across).select(names).unionByName(other.withColumn("inter", common("_ra", "_rb")).select(names)).where("inter > 0")
 
 
 def zonal_mean(pixels: DataFrame, zones: DataFrame, cell: float, zone_id: str = "zone_id", rings: str = "rings", scale: float = 1.0, offset: float = 0.0, nodata: float | None = None) -> DataFrame:

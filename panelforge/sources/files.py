@@ -12,6 +12,7 @@ import struct
 import zipfile
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,18 +22,29 @@ from panelforge.functions.scalars import parse_flag, parse_number, repair_mojiba
 # ------------------------------------------------------------------ DBF and shapefiles
 
 
+#: The layout of a DBF's head and of its field descriptors, 32 bytes each, and the byte that ends the descriptors.
+_DBF_HEAD = np.dtype([("version", "u1"), ("changed", "u1", 3), ("records", "<u4"), ("header", "<u2"), ("record", "<u2"), ("reserved", "V20")])
+_DBF_FIELD = np.dtype([("name", "V11"), ("kind", "S1"), ("address", "<u4"), ("width", "u1"), ("decimals", "u1"), ("reserved", "V14")])
+_DBF_END = 0x0D
+
+
 def dbf_header(data: bytes) -> dict:
     """Record count, header and record sizes, fields as (name, type, width, decimals)."""
-    if len(data) < 33:
+    if len(data) <= _DBF_HEAD.itemsize:
         raise ValueError("not a DBF: too short")
-    n, head, size = struct.unpack_from("<IHH", data, 4)
-    fields, at = [], 32
-    while at + 32 <= min(head, len(data)) and data[at] != 13:
-        fields.append((data[at : at + 11].split(b"\0")[0].decode("latin-1"), chr(data[at + 11]), data[at + 16], data[at + 17]))
-        at += 32
-    if not fields:
+    head = np.frombuffer(data, _DBF_HEAD, count=1)[0]
+    area = np.frombuffer(data[_DBF_HEAD.itemsize : int(head["header"])], np.uint8)
+    whole = len(area) // _DBF_FIELD.itemsize
+    # Descriptors start at whole steps, so the end mark counts only there.
+    marks = np.flatnonzero(area[:: _DBF_FIELD.itemsize] == _DBF_END)
+    table = area[: _DBF_FIELD.itemsize * min([whole, *marks[:1].tolist()])].view(_DBF_FIELD)
+    if not len(table):
         raise ValueError("not a DBF: no fields")
-    return {"records": n, "header": head, "size": size, "fields": fields}
+    name = lambda f: f["name"].tobytes().partition(bytes(1))[0].decode("latin-1")
+    return {
+        "records": int(head["records"]), "header": int(head["header"]), "size": int(head["record"]),
+        "fields": [(name(f), f["kind"].decode("latin-1"), int(f["width"]), int(f["decimals"])) for f in table],
+    }
 
 
 def dbf_rows(data: bytes, columns: Sequence[str] | None = None, encoding: str = "utf-8") -> Iterator[dict]:
@@ -108,7 +120,9 @@ def binary(spark: SparkSession, path: str | Sequence[str], glob: str | None = No
 
 
 def read_shapefile(spark: SparkSession, stem: str, columns: Sequence[str] | None = None, geometry: bool = True, encoding: str = "utf-8") -> DataFrame:
-    """Records of `stem`.dbf, with a `wkb` column from `stem`.shp unless `geometry` is off. The schema comes from the DBF's header."""
+    """Records of `stem`.dbf, with a `wkb` column from `stem`.shp unless `geometry` is off. The schema comes from the DBF's header.
+
+    The two files meet in one row, for their records pair by place; the format's 32-bit offsets bound either at 2 GB."""
     head = binary(spark, f"{stem}.dbf").select(F.substring("content", 1, 1 << 16).alias("h")).first()
     info = dbf_header(bytes(head["h"]))
     if columns is not None and (gone := set(columns) - {f[0] for f in info["fields"]}):
@@ -210,7 +224,6 @@ def raster_metadata(files: DataFrame, prefix: int = 1 << 16) -> DataFrame:
 
 def raster_pixels(files: DataFrame, every: int = 1) -> DataFrame:
     """(path, row, col, x, y, value) of uncompressed one-band strips, or of every n-th row and column; no-data values are NULL. Compressed files raise."""
-    import numpy as np
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:

@@ -96,11 +96,11 @@ def test_zip_inventory(spark, tmp_path):
 
 
 def test_text_tables(spark, tmp_path):
-    (tmp_path / "r.csv").write_bytes(' name ,GC_UCB_YOB _2025,pop\nMÃ©xico,"1,990","1,234,567"\nTokyo,,nan\n'.encode("latin-1"))
-    rows = S.read_registry(spark, f"file://{tmp_path}/r.csv", ["name"], ["GC_UCB_YOB _2025", "pop"]).collect()
+    (tmp_path / "r.csv").write_bytes(' name ,Founded _2025,pop\nMÃ©xico,"1,990","1,234,567"\nTokyo,,nan\n'.encode("latin-1"))
+    rows = S.read_registry(spark, f"file://{tmp_path}/r.csv", ["name"], ["Founded _2025", "pop"]).collect()
     assert [tuple(r) for r in rows] == [("México", 1990.0, 1234567.0), ("Tokyo", None, None)]
-    (tmp_path / "l.csv").write_text("object_type,ucdb_id,iou,valid,country\nlink,1,0.5, True ,x\nnode,2,0.1,True,y\nlink,3.0,,0,\n")
-    rows = S.read_links(spark, f"file://{tmp_path}/l.csv", ["ucdb_id"], ["iou"], ["valid"], ["country"]).collect()
+    (tmp_path / "l.csv").write_text("object_type,unit_id,iou,valid,country\nlink,1,0.5, True ,x\nnode,2,0.1,True,y\nlink,3.0,,0,\n")
+    rows = S.read_links(spark, f"file://{tmp_path}/l.csv", ["unit_id"], ["iou"], ["valid"], ["country"]).collect()
     assert [tuple(r) for r in rows] == [(1, 0.5, True, "x"), (3, None, False, None)]
     with pytest.raises(ValueError, match="missing columns"):
         S.read_csv(spark, f"file://{tmp_path}/l.csv", columns=["nope"])
