@@ -30,7 +30,7 @@ def stage(f):
 
 @stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.3) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Null and empty texts score as the model scores all-zero features; rows that repeat are judged each."""
     model = gam.train(docs, table(spark, sf_dir, "labels"))
     return gam.filtered(docs, model, threshold)
 
@@ -38,30 +38,37 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id; of rows that repeat a doc_id, one. Grouped are texts whose sets
-    of five-word shingles have a similarity of 0.8 or more."""
+    of five-word shingles have a similarity of 0.8 or more. Texts without words, null ones included, are one group; rows without a doc_id stay."""
     return simhash.representatives(docs, simhash.similar_documents(docs, width=5, similarity=0.8))
 
 
 @stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a share of benchmark text go."""
+    """Documents that hold a share of benchmark text go. The decision is by doc_id, which the stage before leaves once: of rows that repeat one all go if any is contaminated; rows
+    without a doc_id stay, as do null and word-free texts."""
     found = store(decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct(), "contaminated")
     return docs.join(found, "doc_id", "left_anti").select(docs.columns)
 
 
 @stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind in brackets; n_chars follows."""
+    """Secrets are replaced by their kind in brackets; n_chars follows where the text changes. Every row stays; null texts stay null."""
     return secretscan.redact_secrets(docs)
 
 
 @stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text."""
+    """Token ids of each text, one row each; null and empty texts have none."""
     return wfst.encode_texts(docs, wfst.load(vocabulary())).select("doc_id", "n_tokens", F.col("ids").alias("token_ids"), "round_trip")
 
 
-STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_duplicates), ("benchmark decontamination", decontaminate), ("secret scans", secrets), ("SentencePiece encoding and decoding", encode)]
+STAGES = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("secret scans", secrets),
+    ("SentencePiece encoding and decoding", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
