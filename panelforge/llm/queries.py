@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontam, gam, lm, secretscan, sharding, simhash, tagpath, topk, urlfilter, wfst
+from panelforge.llm import decontam, fim, gam, lm, secretscan, sharding, simhash, tagpath, topk, urlfilter, variants, wfst
 from panelforge.llm._base import vocabulary
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +56,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform_texts(table(spark, sf_dir, "documents"))
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    digests = [digest(F.col("output")).alias("output_sha256"), digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_top_k, op2_sentencepiece, op3_secrets, op4_main_text, op5_quality, op6_lm_score, op7_shards, op8_url_verdicts, op9_near_duplicates, op10_decontaminate)
+    f.__name__: f
+    for f in (
+        op1_top_k, op2_sentencepiece, op3_secrets, op4_main_text, op5_quality, op6_lm_score, op7_shards, op8_url_verdicts, op9_near_duplicates, op10_decontaminate,
+        op12_spelling_variants, op13_fill_in_middle,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -117,4 +132,44 @@ ORACLE_SQL: dict[str, str] = {
         SELECT b.page_id, b.host, b.path, fit.rule, coalesce(fit.verdict, CASE WHEN spread.k IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
         FROM b LEFT JOIN fit USING (page_id) LEFT JOIN nodes ON nodes.url = b.url LEFT JOIN spread ON spread.k = nodes.k
     """,
+    # Runs and their checksums per document, words, their neighbours by the strings that one removal leaves, and chains of forms by a recursive walk.
+    "op12_spelling_variants": r"""
+        WITH RECURSIVE tab AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END)) AS t
+        ), runs AS (
+            SELECT doc_id, run, count(*) AS n FROM (
+                SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents
+            ) WHERE length(run) >= 6 GROUP BY ALL
+        ), sums AS (
+            SELECT run, n, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'), lambda y: ('0x' || y)::UBIGINT)),
+                   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::INTEGER + 1]))) AS h FROM runs, tab
+        ), words AS (
+            SELECT word, CAST(sum(n) AS BIGINT) AS n
+            FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM sums)
+            WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+        ), gone AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS d FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+        indel AS (SELECT DISTINCT g.word AS a, w.word AS b FROM gone g JOIN words w ON w.word = g.d),
+        near AS (
+            SELECT g.word AS a, o.word AS b FROM gone g JOIN gone o ON o.d = g.d AND o.i = g.i AND o.word <> g.word
+            UNION ALL SELECT a, b FROM indel UNION ALL SELECT b, a FROM indel
+        ), best AS (SELECT a, count(*) AS n_near, min({'m': -n, 'w': b}) AS best FROM near JOIN words ON word = b GROUP BY a),
+        forms AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 5 * n THEN best.w END AS form, CASE WHEN -best.m >= 5 * n THEN -best.m END AS form_n
+            FROM words LEFT JOIN best ON a = word
+        ), walk(word, root) AS (SELECT word, word FROM words UNION ALL SELECT walk.word, form FROM walk JOIN forms ON forms.word = root WHERE form IS NOT NULL)
+        SELECT word, form, walk.root, n, n_near, CAST(form_n AS BIGINT) AS form_n
+        FROM forms JOIN walk USING (word) JOIN forms AS f(last, _n, _m, end_form, _fn) ON last = walk.root WHERE end_form IS NULL
+    """,
+    # Units by the pattern, draws from the digest of seed and key, and the parts as lists of units.
+    "op13_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+        h AS (SELECT *, len(u) AS n, list_transform(range(4), lambda k: ('0x' || substr(s, 8 * k + 1, 8))::UBIGINT) AS h FROM d),
+        c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1))::BIGINT AS a, greatest(h[1] % (n + 1), h[2] % (n + 1))::BIGINT AS b, text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 AS plain FROM h),
+        p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM c),
+        o AS (SELECT *, CASE WHEN plain THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM p)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM o
+    """,
 }
