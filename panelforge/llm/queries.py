@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontam, fim, gam, lm, secretscan, sharding, simhash, tagpath, topk, urlfilter, variants, wfst
+from panelforge.llm import decontam, fim, gam, jaccard, lm, secretscan, sharding, simhash, tagpath, topk, urlfilter, variants, wfst
 from panelforge.llm._base import vocabulary
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_texts(table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(variants.word_counts(table(spark, sf_dir, "documents")))
 
@@ -71,7 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_top_k, op2_sentencepiece, op3_secrets, op4_main_text, op5_quality, op6_lm_score, op7_shards, op8_url_verdicts, op9_near_duplicates, op10_decontaminate,
-        op12_spelling_variants, op13_fill_in_middle,
+        op11_ngram_jaccard, op12_spelling_variants, op13_fill_in_middle,
     )
 }
 
