@@ -5,8 +5,8 @@ n - ceil(t * n) + 1 tokens. Three orders are used: by frequency, by hash, and by
 that one set alone holds, so these need not be kept: a set in which they fill the prefix has no partner. Candidates share a prefix token
 under the first order; where both sets are at hand, those that share none under the second and third go before the overlap is counted.
 
-Scale: equal sets collapse by their digest. Tokens meet in buckets by hash, packed, and only those that several sets hold come back. Tokens that many
-sets of one block hold are counted per block and dealt by token and set, so no bucket gets a frequent token's sets. Large families of near
+Scale: tokens meet in buckets by hash, packed, six bytes and the place in their block each, and only those that several sets hold come back to their block. Tokens that
+many sets of one block hold are counted per block and dealt by token and block, so no bucket gets a frequent token's sets. Equal sets collapse by their digest. Large families of near
 copies are joined by stars to a few centres per token first; then only pairs of documents that are still apart are made, tile by tile,
 and all of them are. Sets travel to cells of bounded size, once for all their pairs there, so no document or token is a hot key.
 
@@ -28,17 +28,19 @@ from pyspark.sql import functions as F
 
 from panelforge.llm._base import batches, importable, release, salted_partitions, store, utf8
 from panelforge.llm.components import connected_components
-from panelforge.llm.simhash import _shingle_hashes
+from panelforge.llm.simhash import PairForest, _shingle_hashes
 from panelforge.operators.ordering import join_counted
 
-#: Bytes of text whose tokens make one bucket.
-BUCKET_BYTES = 32 << 20
-#: Rows of `cut` and `counted`: tokens with their sets, totals of frequent tokens, frequent tokens with their sets, and documents.
+#: Bytes of text whose tokens make one bucket, and bytes of one block of texts.
+BUCKET_BYTES, BLOCK_BYTES = 32 << 20, 12 << 20
+#: Rows of one token that a bucket may get from all blocks.
+TOKEN_ROWS = 1 << 22
+#: Rows of `_cut` and `_counted`: tokens with their sets, totals of frequent tokens, frequent tokens with their sets, and documents.
 TOKENS, TOTALS, SPREAD, DOCUMENTS = range(4)
 _DIGEST = np.dtype("V16")
-_CUT = "kind byte, target int, a binary, b binary, c binary, d binary"
-_COUNTED = "kind byte, part int, token long, level int, a binary, b binary, c binary, d binary, e binary"
-_PACKED = "part int, a binary, b binary, c binary, d binary, e binary"
+_CUT = "kind byte, target int, block long, a binary, b binary, c binary, d binary"
+_COUNTED = "kind byte, block long, token long, level int, a binary, b binary, c binary, d binary"
+_HELD = "block long, a binary, b binary, c binary, d binary"
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -46,105 +48,74 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def _digests(joined: bytes) -> np.ndarray:
-    return np.frombuffer(joined, _DIGEST)
+def canonical(token: np.ndarray, buckets: int) -> np.ndarray:
+    """Tokens as a multiple of the number of buckets below 2**48, plus the bucket: within a bucket six bytes tell them apart. From 2**16 buckets on all 64 bits stay."""
+    b = np.uint64(buckets)
+    return (token // b & np.uint64((1 << 48) - 1)) * b + token % b
 
 
-def _low(digests: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(digests).view("<u8").reshape(-1, 2)[:, 0]
+def six_bytes(x: np.ndarray) -> bytes:
+    return (x & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (x >> np.uint64(32)).astype("<u2").tobytes()
 
 
-def _named(digests: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct digests in order, the first index of each, and the number of each row."""
-    pairs = np.ascontiguousarray(digests).view("<u8").reshape(-1, 2)
-    order = np.lexsort((pairs[:, 0], pairs[:, 1]))
-    own = pairs[order]
-    new = np.ones(len(own), bool)
-    new[1:] = (own[1:] != own[:-1]).any(axis=1)
-    number = np.empty(len(own), np.int64)
-    number[order] = np.cumsum(new) - 1
-    first = order[new]
-    return digests[first], first, number
+def from_six_bytes(raw: bytes) -> np.ndarray:
+    n = len(raw) // 6
+    return np.frombuffer(raw, "<u4", n).astype(np.uint64) | np.frombuffer(raw, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
-def _packs(target: np.ndarray, doc: np.ndarray, digests: np.ndarray, sizes: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-    """Rows (target, digests, sizes, index, columns) of incidents, packed per target."""
-    order = np.argsort(target, kind="stable")
-    ends = np.flatnonzero(np.diff(target[order], append=-1)) + 1
-    for a, b in zip([0, *ends[:-1]], ends, strict=False) if len(order) else ():
-        at = order[a:b]
-        own, index = np.unique(doc[at], return_inverse=True)
-        packed = (digests[own].tobytes(), sizes[own].astype("<u4").tobytes(), index.astype("<u4").tobytes(), *(c[at].tobytes() for c in columns))
-        yield int(target[at[0]]), *packed
-
-
-class _Incidents:
-    """Packed rows unpacked: which set (by number) holds which token."""
-
-    def __init__(self, rows: pd.DataFrame):
-        a = [np.frombuffer(x, _DIGEST) for x in rows["a"]]
-        before = np.cumsum([0, *map(len, a)])
-        self.digests, first, number = _named(np.concatenate(a) if a else np.empty(0, _DIGEST))
-        sizes = np.frombuffer(b"".join(rows["b"]), "<u4")
-        self.sizes = sizes[first].astype(np.int64)
-        index = [np.frombuffer(x, "<u4").astype(np.int64) + k for x, k in zip(rows["c"], before, strict=False)]
-        self.doc = number[np.concatenate(index)] if index else np.empty(0, np.int64)
-        self.token = np.frombuffer(b"".join(rows["d"]), "<u8")
-
-    def keep(self, which: np.ndarray) -> None:
-        self.doc, self.token = self.doc[which], self.token[which]
-
-    def distinct(self) -> None:
-        """By token and set, each once."""
-        order = np.lexsort((self.doc, self.token))
-        self.keep(order)
-        new = np.ones(len(order), bool)
-        new[1:] = (self.token[1:] != self.token[:-1]) | (self.doc[1:] != self.doc[:-1])
-        self.keep(new)
+def _runs(x: np.ndarray) -> Iterator[slice]:
+    """Slices of equal neighbours."""
+    ends = np.flatnonzero(x[1:] != x[:-1]) + 1 if len(x) else []
+    return (slice(a, b) for a, b in zip([0, *ends], [*ends, len(x)], strict=True) if b > a)
 
 
 def _cut(width: int, buckets: int, text: str, frequent: int):
-    """Blocks of texts to rows of _CUT: their tokens dealt to buckets, those that `frequent` sets of a block hold by set as well."""
+    """Blocks of texts to rows of _CUT: their tokens dealt to buckets, with the place of their set in the block; those that `frequent` sets of the block hold are dealt by token and block, and
+    only counted in their bucket. A block is named by its contents, so a retry names it alike."""
 
     def rows(keys: pa.Array, texts: list[bytes]) -> Iterator[tuple]:
-        sets = [np.unique(_shingle_hashes(x, width)) for x in texts]
-        every = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else bytes(16) for x in sets), _DIGEST)
+        sets = [canonical(_shingle_hashes(x, width), buckets) for x in texts]
+        sets = [np.unique(x) for x in sets]
+        digests = b"".join(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else bytes(16) for x in sets)
         size = np.fromiter(map(len, sets), np.int64, len(sets))
         known = np.array(keys.is_valid(), bool)
         names = keys.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
-        salt = xxhash.xxh32_intdigest(every.tobytes()) % buckets
-        yield DOCUMENTS, salt, every.tobytes(), size.astype("<u4").tobytes(), names.tobytes(), known.tobytes()
-        digests, first, _ = _named(every)
-        digests, first = digests[size[first] > 0], first[size[first] > 0]
+        block = int(np.int64(xxhash.xxh64_intdigest(digests + names.tobytes()) - (1 << 63)))
+        yield DOCUMENTS, block % buckets, block, digests, size.astype("<u4").tobytes(), names.tobytes(), known.tobytes()
+        # Equal sets of a block are one.
+        _, first = np.unique(np.frombuffer(digests, "<u8").reshape(-1, 2), axis=0, return_index=True)
+        first = np.sort(first[size[first] > 0])
         if not len(first):
             return
-        sizes = size[first]
-        token, doc = np.concatenate([sets[k] for k in first]), np.repeat(np.arange(len(first)), sizes)
+        token, place = np.concatenate([sets[k] for k in first]), np.repeat(first, size[first]).astype("<u2")
         del sets
-        values, number, count = np.unique(token, return_inverse=True, return_counts=True)
-        often = count[number] >= frequent
-        dealt = (token[~often] % np.uint64(buckets)).astype(np.int64)
-        for target, *packed in _packs(dealt, doc[~often], digests, sizes, token[~often].astype("<u8")):
-            yield TOKENS, target, *packed
+        order = np.argsort(token % np.uint64(buckets), kind="stable")
+        token, place = token[order], place[order]
+        home = (token % np.uint64(buckets)).astype(np.int64)
+        often = np.zeros(len(token), bool)
+        if len(first) >= frequent:
+            values, number, count = np.unique(token, return_inverse=True, return_counts=True)
+            often = count[number] >= frequent
+        for s in _runs(home):
+            own = ~often[s]
+            yield TOKENS, int(home[s.start]), block, None, None, place[s][own].tobytes(), six_bytes(token[s][own] // np.uint64(buckets))
         if often.any():
             common = count >= frequent
             values, count = values[common], count[common]
-            home = (values % np.uint64(buckets)).astype(np.int64)
-            for target in np.unique(home).tolist():
-                own = home == target
-                yield TOTALS, target, b"", b"", count[own].astype("<i8").tobytes(), values[own].astype("<u8").tobytes()
-            spread = ((token[often] ^ _low(digests)[doc[often]]) % np.uint64(buckets)).astype(np.int64)
-            for target, *packed in _packs(spread, doc[often], digests, sizes, token[often].astype("<u8")):
-                yield SPREAD, target, *packed
+            for s in _runs((values[np.argsort(values % np.uint64(buckets), kind="stable")] % np.uint64(buckets)).astype(np.int64)):
+                own = np.argsort(values % np.uint64(buckets), kind="stable")[s]
+                yield TOTALS, int(values[own[0]] % np.uint64(buckets)), block, None, None, count[own].astype("<i8").tobytes(), values[own].astype("<u8").tobytes()
+            order = np.argsort(token[often], kind="stable")
+            token, place = token[often][order], place[often][order]
+            for s in _runs(token):
+                yield SPREAD, int((int(token[s.start]) ^ block) % buckets), block, None, None, place[s].tobytes(), token[s.start : s.start + 1].astype("<u8").tobytes()
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(arrow, text):
+        for batch in batches(arrow, text, BLOCK_BYTES):
             for part in (batch.slice(at, 1 << 15) for at in range(0, batch.num_rows, 1 << 15)):
                 made = list(rows(part.column("_key"), utf8(part.column(text))))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, kind) for x, kind in zip(zip(*made, strict=True), (pa.int8(), pa.int32(), *[pa.binary()] * 4), strict=True)],
-                    names=["kind", "target", "a", "b", "c", "d"],
-                )
+                kinds = (pa.int8(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*made, strict=True), kinds, strict=True)], names=["kind", "target", "block", "a", "b", "c", "d"])
                 del made
                 release()
 
@@ -156,89 +127,65 @@ def levels_of(sets: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.rint(8 * np.log2(np.maximum(sets, 1)))).astype(np.uint8)
 
 
-def _counted(parts: int):
-    """A bucket's rows to rows of _COUNTED: tokens of several sets with their level, dealt to parts by set."""
+def _counted(buckets: int):
+    """A bucket's rows to rows of _COUNTED: tokens of several sets with their level, by block; the levels of frequent tokens; the rest as it is."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         release()
-        out = [(DOCUMENTS, 0, None, None, r.a, r.b, r.c, r.d, None) for r in pdf[pdf["kind"] == DOCUMENTS].itertuples()]
-        totals = pdf[pdf["kind"] == TOTALS]
+        out = [(DOCUMENTS, r.block, None, None, r.a, r.b, r.c, r.d) for r in pdf[pdf["kind"] == DOCUMENTS].itertuples()]
+        out += [(SPREAD, r.block, int(np.frombuffer(r.d, "<i8")[0]), None, None, None, r.c, None) for r in pdf[pdf["kind"] == SPREAD].itertuples()]
+        totals, held = pdf[pdf["kind"] == TOTALS], pdf[pdf["kind"] == TOKENS]
         often, number = np.unique(np.frombuffer(b"".join(totals["d"]), "<u8"), return_inverse=True)
         more = np.bincount(number, np.frombuffer(b"".join(totals["c"]), "<i8"), len(often)).astype(np.int64)
-        held = _Incidents(pdf[pdf["kind"] == TOKENS])
-        order = np.argsort(held.token, kind="stable")
-        token = held.token[order]
-        # Tokens of several rows, or frequent elsewhere; what one set alone holds goes here.
-        same = token[1:] == token[:-1]
-        several = np.zeros(len(token), bool)
-        several[1:] |= same
-        several[:-1] |= same
-        if len(often):
-            several |= often[np.minimum(np.searchsorted(often, token), len(often) - 1)] == token
-        held.keep(order[several])
-        held.distinct()
-        values, number, count = np.unique(np.concatenate([held.token, often]), return_inverse=True, return_counts=True)
-        count[number[len(held.token) :]] += more - 1
-        level = levels_of(count)
-        own = level[number[: len(held.token)]]
-        out += [(TOTALS, 0, t, v, *[None] * 5) for t, v in zip(often.view(np.int64).tolist(), level[number[len(held.token) :]].tolist(), strict=True)]
-        held.keep(own > 0)
-        part = (_low(held.digests) % np.uint64(parts)).astype(np.int64)
-        for target, *packed in _packs(part[held.doc], held.doc, held.digests, held.sizes, held.token, own[own > 0]):
-            out.append((TOKENS, target, None, None, *packed))
-        spread = _Incidents(pdf[pdf["kind"] == SPREAD])
-        spread.distinct()
-        starts = np.flatnonzero(np.diff(spread.token.astype(np.int64), prepend=~spread.token[:1].astype(np.int64)))
-        for a, b in zip(starts, [*starts[1:], len(spread.token)], strict=False):
-            own = spread.doc[a:b]
-            out.append((SPREAD, 0, int(spread.token[a].astype(np.int64)), None, spread.digests[own].tobytes(), spread.sizes[own].astype("<u4").tobytes(), None, None, None))
-        columns = dict(zip(("kind", "part", "token", "level", "a", "b", "c", "d", "e"), zip(*out, strict=True), strict=True)) if out else {}
-        kinds = {"kind": "int8", "part": "int32", "token": "Int64", "level": "Int32"}
-        return pd.DataFrame({c: pd.array(columns.get(c, []), kinds.get(c, "object")) for c in ("kind", "part", "token", "level", "a", "b", "c", "d", "e")})
-
-    return run
-
-
-def _repacked(parts: int):
-    """Rows of one frequent token with its level and sets, to packed rows per part."""
-
-    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow:
-            if not batch.num_rows:
-                continue
-            a = batch.column("a").to_pylist()
-            each = np.fromiter((len(x) // 16 for x in a), np.int64, len(a))
-            digests, first, doc = _named(_digests(b"".join(a)))
-            sizes = np.frombuffer(b"".join(batch.column("b").to_pylist()), "<u4")[first].astype(np.int64)
-            token = np.repeat(batch.column("token").to_numpy().view(np.uint64), each)
-            level = np.repeat(batch.column("level").to_numpy().astype(np.uint8), each)
-            part = (_low(digests) % np.uint64(parts)).astype(np.int64)
-            made = list(_packs(part[doc], doc, digests, sizes, token, level))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, kind) for x, kind in zip(zip(*made, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["part", "a", "b", "c", "d", "e"]
-            )
+        if len(held):
+            home = np.uint64(held["target"].iloc[0])
+            each = np.fromiter((len(x) // 2 for x in held["c"]), np.int64, len(held))
+            token = np.concatenate([from_six_bytes(x) for x in held["d"]]) * np.uint64(buckets) + home
+            values, number, count = np.unique(token, return_inverse=True, return_counts=True)
+            del token
+            at = np.searchsorted(values, often)
+            here = at < len(values)
+            here[here] = values[at[here]] == often[here]
+            count[at[here]] += more[here]
+            more = more.copy()
+            more[here] = count[at[here]]
+            shared = count[number] > 1
+            level = levels_of(count)
+            starts = np.cumsum(each) - each
+            for block, a, n, places in zip(held["block"], starts.tolist(), each.tolist(), held["c"], strict=True):
+                keep = np.flatnonzero(shared[a : a + n])
+                if len(keep):
+                    own = number[a + keep]
+                    out.append((TOKENS, block, None, None, np.frombuffer(places, "<u2")[keep].tobytes(), values[own].astype("<u8").tobytes(), level[own].tobytes(), None))
+        out += [(TOTALS, 0, t, v, *[None] * 4) for t, v in zip(often.view(np.int64).tolist(), levels_of(more).tolist(), strict=True)]
+        columns = dict(zip(("kind", "block", "token", "level", "a", "b", "c", "d"), zip(*out, strict=True), strict=True)) if out else {}
+        kinds = {"kind": "int8", "block": "int64", "token": "Int64", "level": "Int32"}
+        return pd.DataFrame({c: pd.array(columns.get(c, []), kinds.get(c, "object")) for c in ("kind", "block", "token", "level", "a", "b", "c", "d")})
 
     return run
 
 
 def _surviving(percent: int):
-    """A part's rows to its sets that may have a partner: digest, n, and the tokens they share with others, in the first order."""
+    """A block's rows to its sets that may have a partner: digest, n, and the tokens they share with others, in the first order."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         release()
-        held = _Incidents(pdf)
-        level = np.frombuffer(b"".join(pdf["e"]), np.uint8)
-        order = np.lexsort((held.token, level, held.doc))
-        doc, token, level = held.doc[order], held.token[order], level[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (token[1:] != token[:-1])
-        doc, token, level = doc[new], token[new], level[new]
-        shared = np.bincount(doc, minlength=len(held.sizes))
+        documents, tokens = pdf[pdf["a"].notna() & pdf["d"].notna()], pdf[pdf["d"].isna()]
+        # A block that a retry or a repeated file made twice is there twice, with equal rows.
+        digests, size = np.frombuffer(documents["a"].iloc[0], _DIGEST), np.frombuffer(documents["b"].iloc[0], "<u4").astype(np.int64)
+        place = np.frombuffer(b"".join(tokens["a"]), "<u2").astype(np.int64)
+        token, level = np.frombuffer(b"".join(tokens["b"]), "<u8"), np.frombuffer(b"".join(tokens["c"]), np.uint8)
+        order = np.lexsort((token, level, place))
+        place, token, level = place[order], token[order], level[order]
+        new = np.ones(len(place), bool)
+        new[1:] = (place[1:] != place[:-1]) | (token[1:] != token[:-1])
+        place, token, level = place[new], token[new], level[new]
+        shared = np.bincount(place, minlength=len(size))
         ends = np.cumsum(shared)
-        alive = np.flatnonzero(shared >= needed(held.sizes, percent))
+        alive = np.flatnonzero((shared > 0) & (shared >= needed(size, percent)))
         spans = [slice(e - k, e) for e, k in zip(ends[alive], shared[alive], strict=True)]
         return pd.DataFrame({
-            "digest": [x.tobytes() for x in held.digests[alive]], "n": held.sizes[alive].astype(np.int32),
+            "digest": [digests[k].tobytes() for k in alive], "n": size[alive].astype(np.int32),
             "tokens": [token[s].tobytes() for s in spans], "levels": [level[s].tobytes() for s in spans],
         })
 
@@ -257,6 +204,18 @@ def prefixes(token: np.ndarray, level: np.ndarray, count: int) -> tuple[np.ndarr
     return token[:count], token[second], token[third]
 
 
+def _repacked(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A frequent token's rows, with their level, like rows of other tokens."""
+    for batch in arrow:
+        if not batch.num_rows:
+            continue
+        places = batch.column("c").to_pylist()
+        tokens = [np.full(len(p) // 2, t, "<i8").tobytes() for p, t in zip(places, batch.column("token").to_pylist(), strict=True)]
+        levels = [np.full(len(p) // 2, v, np.uint8).tobytes() for p, v in zip(places, batch.column("level").to_pylist(), strict=True)]
+        columns = [pa.array(x, pa.binary()) for x in (places, tokens, levels, [None] * len(places))]
+        yield pa.RecordBatch.from_arrays([batch.column("block"), *columns], names=["block", "a", "b", "c", "d"])
+
+
 def _postings(percent: int):
     """Prefix tokens of sets under the first order."""
 
@@ -340,18 +299,21 @@ def verified(pairs: DataFrame, sets: DataFrame, grid: int, percent: int) -> Data
         order = np.argsort(node)
         u, v = (order[np.searchsorted(node[order], own[c].to_numpy(np.int64))] for c in ("u", "v"))
         tokens, levels = [np.frombuffer(x, "<u8") for x in held["tokens"]], [np.frombuffer(x, np.uint8) for x in held["levels"]]
-        return own.loc[linked(tokens, levels, held["n"].to_numpy(np.int64), u, v, percent), ["u", "v"]]
+        good = linked(tokens, levels, held["n"].to_numpy(np.int64), u, v, percent)
+        # Of the links a spanning forest tells all that components need.
+        forest = PairForest(len(node))
+        forest.link(u[good], v[good])
+        a, b = (np.concatenate([pair[k] for pair in forest.kept] or [np.empty(0, np.int64)]) for k in (0, 1))
+        return pd.DataFrame({"u": node[a], "v": node[b]})
 
     return dealt.groupBy("i", "j").cogroup(there.groupBy("ci", "cj")).applyInPandas(check, "u long, v long")
 
 
-def _star_pairs(rooted: DataFrame, seeds: range) -> DataFrame:
-    """Pairs of each document with the centres of its tokens that are in other components. The document that is first by a hash is the centre, so a family has few."""
-    first = [F.min(F.struct(F.xxhash64("node", F.lit(s)).alias("h"), "node", "root")).alias(f"c{s}") for s in seeds]
-    table = rooted.groupBy("token").agg(F.count(F.lit(1)).alias("_m"), F.min("root").alias("lo"), F.max("root").alias("hi"), *first).where("lo <> hi")
-    near = join_counted(rooted, table.select("token", "_m", F.array(*[F.col(f"c{s}") for s in seeds]).alias("centres")), ["token"], "_m")
-    out = near.select("node", "root", F.explode("centres").alias("c")).where(F.col("c.root") != F.col("root"))
-    return out.select(F.col("c.node").alias("u"), F.col("node").alias("v")).distinct()
+def _with_centres(postings: DataFrame, seeds: int) -> DataFrame:
+    """Postings of tokens that several sets have in their prefix, with centres of the token: the sets that are first by as many hashes, so a family of copies has few."""
+    first = [F.min(F.struct(F.xxhash64("node", F.lit(s)), "node"))["node"] for s in range(seeds)]
+    table = postings.groupBy("token").agg(F.count(F.lit(1)).alias("_m"), F.array(*first).alias("centres")).where("_m > 1")
+    return join_counted(postings, table, ["token"], "_m")
 
 
 def _all_pairs(rooted: DataFrame, percent: int, chunk: int = 256) -> DataFrame:
@@ -365,43 +327,45 @@ def _all_pairs(rooted: DataFrame, percent: int, chunk: int = 256) -> DataFrame:
     return both.where("i <= j").select("x", "y").mapInArrow(_cross_pairs(percent), "u long, v long").distinct()
 
 
-def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, frequent: int = 64, cell_bytes: int = 1 << 24) -> DataFrame:
+def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, frequent: int | None = None, cell_bytes: int = 1 << 24) -> DataFrame:
     """One row per row of `docs`: key, n_shingles and component_id, the smallest key that links lead to. Two texts are linked if the intersection of their
-    sets of distinct shingles has `percent` hundredths of the union or more."""
+    sets of distinct shingles has `percent` hundredths of the union or more.
+
+    `frequent`: sets of a block that must hold a token for it to be dealt by block; by default as many as keep its rows of all blocks below TOKEN_ROWS."""
     spark = docs.sparkSession
     importable(spark)
     own = docs.select(F.col(key).cast("long").alias("_key"), text)
     octets = own.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(salted_partitions(spark), -(-octets // BUCKET_BYTES))
-    cut = own.mapInArrow(_cut(width, buckets, text, frequent), _CUT)
+    often = frequent or max(2, TOKEN_ROWS // max(1, octets // BLOCK_BYTES))
+    cut = own.mapInArrow(_cut(width, buckets, text, often), _CUT)
     counted = store(cut.groupBy("target").applyInPandas(_counted(buckets), _COUNTED), "counted")
 
-    packed = counted.where(F.col("kind") == TOKENS).select("part", "a", "b", "c", "d", "e")
-    often = counted.where(F.col("kind") == TOTALS).select("token", "level")
-    if not often.isEmpty():
-        spread = counted.where(F.col("kind") == SPREAD).select("token", "a", "b")
-        table = often.join(spread.groupBy("token").agg(F.count(F.lit(1)).alias("_m")), "token")
-        packed = packed.unionByName(join_counted(spread, table, ["token"], "_m").select("token", "level", "a", "b").mapInArrow(_repacked(buckets), _PACKED))
-    alive = packed.groupBy("part").applyInPandas(_surviving(percent), "digest binary, n int, tokens binary, levels binary")
-    sets = store(alive.withColumn("node", F.monotonically_increasing_id()), "sets")
+    held = counted.where(F.col("kind").isin(TOKENS, DOCUMENTS)).select("block", "a", "b", "c", "d")
+    levels = counted.where(F.col("kind") == TOTALS).select("token", "level")
+    if not levels.isEmpty():
+        spread = counted.where(F.col("kind") == SPREAD).select("token", "block", "c")
+        table = levels.join(spread.groupBy("token").agg(F.count(F.lit(1)).alias("_m")), "token")
+        held = held.unionByName(join_counted(spread, table, ["token"], "_m").select("token", "level", "block", "c").mapInArrow(_repacked, _HELD))
+    alive = held.groupBy("block").applyInPandas(_surviving(percent), "digest binary, n int, tokens binary, levels binary")
+    sets = store(alive.dropDuplicates(["digest"]).withColumn("node", F.monotonically_increasing_id()), "sets")
 
     postings = sets.select("node", "n", "tokens").mapInArrow(_postings(percent), "token long, node long, n int")
-    sizes = postings.groupBy("token").agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
-    postings = store(join_counted(postings, sizes, ["token"], "_m"), "postings")
-    held = sets.agg(F.sum(F.length("tokens"))).first()[0] or 0
-    grid = max(int(np.ceil(np.sqrt(2 * salted_partitions(spark)))), -(-held // cell_bytes))
-    links, roots = None, None
-    # Stars from three centres of each token, stars between components from two more, then all pairs that are left.
-    for seeds in (range(3), range(3, 5), None):
-        rooted = postings.withColumn("root", F.col("node"))
-        if roots is not None:
-            rooted = store(postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-        pairs = store(_all_pairs(rooted, percent) if seeds is None else _star_pairs(rooted, seeds), "pairs")
-        if pairs.isEmpty():
-            break
-        found = store(verified(pairs, sets, grid, percent), "links")
+    postings = store(_with_centres(postings, 3), "postings")
+    octets = sets.agg(F.sum(F.length("tokens"))).first()[0] or 0
+    grid = max(int(np.ceil(np.sqrt(2 * salted_partitions(spark)))), -(-octets // cell_bytes))
+    stars = postings.select("node", F.explode("centres").alias("u")).where("u <> node").select("u", F.col("node").alias("v")).distinct()
+    links, roots = store(verified(stars, sets, grid, percent), "links"), None
+    if not links.isEmpty():
+        roots = store(connected_components(links), "roots")
+    # All pairs that share a prefix token and are still apart.
+    rooted = postings.select("token", "node", "n")
+    rooted = rooted.withColumn("root", F.col("node")) if roots is None else rooted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    pairs = store(_all_pairs(store(rooted, "rooted"), percent), "pairs")
+    if not pairs.isEmpty():
+        found = store(verified(pairs, sets, grid, percent), "further")
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
+            links = links.unionByName(found)
             roots = store(connected_components(links), "roots")
 
     texts = store(counted.where(F.col("kind") == DOCUMENTS).select("a", "b", "c", "d").mapInArrow(_texts, "_key long, n_shingles long, digest binary"), "texts")

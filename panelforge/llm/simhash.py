@@ -264,7 +264,7 @@ def reach_of(similarity: float, bits: int, sigmas: float) -> int:
     return int(np.ceil(bits * p + sigmas * np.sqrt(bits * p * (1 - p))))
 
 
-class _PairForest(_Forest):
+class PairForest(_Forest):
     """Keeps, of the pairs it is given, those that joined two trees."""
 
     def __init__(self, n: int):
@@ -337,7 +337,7 @@ class _Later:
         left = [[(x.astype(np.int64), y.astype(np.int64)) for x, y in own] for own in self.pairs]
         self.kept, self.last = [[] for _ in range(self.levels)], None
         for _ in range(self.forests):
-            forest, tops, taken = _PairForest(self.n), [], []
+            forest, tops, taken = PairForest(self.n), [], []
             forest.up = close.copy()
             for level, own in enumerate(left):
                 forest.kept = []
@@ -362,7 +362,7 @@ def forest_of_pairs(left: np.ndarray, right: np.ndarray | None, near: int, reach
     first, and `spare` further forests of other pairs beyond the first reach, in case some of the first fail a later check. Every fingerprint that has a pair is in one of those returned. What is held
     follows the number of fingerprints, not of pairs."""
     n = len(left) + (0 if right is None else len(right))
-    forest, later = _PairForest(n), _Later(n, len(reaches) - 1, spare + 1)
+    forest, later = PairForest(n), _Later(n, len(reaches) - 1, spare + 1)
     for x, y, distance in _pairs(left, right, near, reaches[-1]):
         forest.link(x[distance <= reaches[0]], y[distance <= reaches[0]])
         for level, (lo, hi) in enumerate(zip(reaches, reaches[1:], strict=False)):
@@ -393,7 +393,7 @@ def joining_pairs(left: np.ndarray, right: np.ndarray | None, near: int, reach:
     ends = np.cumsum(size)
     values, ids = np.unique(np.concatenate([*sets, np.empty(0, np.uint32)]), return_inverse=True)
     ids = [ids[e - k : e].astype(np.int32) for e, k in zip(ends.tolist(), size.tolist(), strict=True)]
-    forest, mine = _PairForest(n), np.zeros(len(values), bool)
+    forest, mine = PairForest(n), np.zeros(len(values), bool)
     _, first, which = np.unique(roots, return_index=True, return_inverse=True)
     forest.up = first[which]
     for x, y, _ in _pairs(left, right, near, reach):

@@ -8,7 +8,7 @@ explicit allow rule stays allowed.
 Links in comments and scripts don't count; relative links and dot segments are resolved; of several rules of one length the first in order of host and path decides.
 
 Defined cases: a url that is null or has no `://` has an empty host and path, no rule, and verdict allow; null html has
-no links; repeated rows get the same verdict each; hosts, paths and pages of any length are read whole; null page ids stay null; an empty table gives an empty result; extra columns are not read.
+no links; comments and scripts that never end hide nothing, and tags that never end are none; repeated rows get the same verdict each; hosts, paths and pages of any length are read whole; null page ids stay null; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from panelforge.llm.components import connected_components
 #: (verdict, host, path) of the production rules.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
-_CANONICAL = r"(?is)<link\b[^>]*?\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_REFRESH = r"(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+#: A tag up to its end, and what a canonical link and a redirect say within one.
+_LINK, _META = r"(?i)<link\b[^>]*+>", r"(?i)<meta\b[^>]*+>"
+_CANONICAL = r"(?is)\brel\s*+=\s*+[\"']?canonical\b"
+_REFRESH = r"(?is)\bhttp-equiv\s*+=\s*+[\"']?refresh\b"
 _HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _TO = r"(?is)\burl\s*=\s*[\"']?([^\"'>]+)"
 
@@ -34,8 +36,9 @@ _TO = r"(?is)\burl\s*=\s*[\"']?([^\"'>]+)"
 _HOST = r"(?s)^.*?://([^/?#]*)"
 _PATH = r"(?s)^.*?://[^/?#]*([^?#]*)"
 _QUERY = r"(?s)^.*?://[^/?#]*+[^?#]*+(\?[^#]*)"
-#: Parts of a page that a reader doesn't parse as tags.
-_HIDDEN = r"(?is)<(?:script|style|noscript|template)\b.*?</(?:script|style|noscript|template)\s*>"
+#: Parts of a page that a reader doesn't parse as tags, and where the last of them can end.
+_HIDDEN = r"(?is)<(?:script|style|noscript|template)\b.*?</(?:script|style|noscript|template)\s*+>"
+_LAST_HIDDEN = r"(?is)^.*</(?:script|style|noscript|template)\s*+>"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -82,14 +85,30 @@ def rule_verdict(host: Column, path: Column, rules=RULES) -> Column:
     return reduce(lambda case, x: case.when(*x), zip(fits[1:], found[1:], strict=True), F.when(fits[0], found[0]))
 
 
+def shown(html: Column) -> Column:
+    """The page without comments, scripts and the like; what is opened and never closed stays. Patterns see the page up to the last end only, so every opening they try
+    finds an end, and pages of unclosed tags take linear time too."""
+    rest = F.substring_index(html, "-->", -1)
+    plain = F.concat(F.regexp_replace(F.left(html, F.length(html) - F.length(rest)), "(?s)<!--.*?-->", " "), rest)
+    return _without_hidden(plain)
+
+
+def _without_hidden(html: Column) -> Column:
+    closed = F.regexp_extract(html, _LAST_HIDDEN, 0)
+    return F.concat(F.regexp_replace(closed, _HIDDEN, " "), F.substr(html, F.length(closed) + 1))
+
+
 def html_links(pages: DataFrame) -> DataFrame:
     """(u, v): keys of the urls that a page declares to be itself, by redirect or canonical link, outside comments and scripts."""
-    seen = F.regexp_replace(F.regexp_replace("html", "(?s)<!--.*?-->", " "), _HIDDEN, " ")
-    tagged = pages.where(F.col("html").rlike("(?i)canonical|http-equiv")).select("url", seen.alias("html")).select(
-        F.col("url"),
-        F.explode(F.concat(F.transform(F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(0)), lambda t: F.regexp_extract(t, _HREF, 1)), F.transform(F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(0)), lambda t: F.trim(F.regexp_extract(t, _TO, 1))))).alias("link"),
-    )
-    return tagged.select(url_key(F.col("url")).alias("u"), url_key(resolved(F.regexp_replace("link", "&amp;", "&"), F.col("url"))).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    page = pages.where(F.col("html").rlike("(?i)canonical|http-equiv")).select("url", shown(F.col("html")).alias("html"))
+    # No tag ends behind the last `>`.
+    ended = page.select("url", F.left("html", F.length("html") - F.length(F.substring_index("html", ">", -1))).alias("html"))
+    tags = lambda tag, test: F.filter(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: t.rlike(test))
+    canonical = F.transform(tags(_LINK, _CANONICAL), lambda t: F.regexp_extract(t, _HREF, 1))
+    refresh = F.transform(tags(_META, _REFRESH), lambda t: F.trim(F.regexp_extract(t, _TO, 1)))
+    tagged = ended.select("url", F.explode(F.concat(canonical, refresh)).alias("link"))
+    target = resolved(F.regexp_replace("link", "&amp;", "&"), F.col("url"))
+    return tagged.select(url_key(F.col("url")).alias("u"), url_key(target).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
 
 
 def url_verdicts(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) -> DataFrame:

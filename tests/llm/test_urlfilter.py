@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from panelforge.llm import urlfilter as U
@@ -103,3 +105,21 @@ def test_main_path_has_no_python(spark, data, capsys):
     queries.op8_url_verdicts(spark, data).explain()
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize("piece", ["<link rel=canonical ", "<meta http-equiv=refresh ", "<script ", "<!-- ", "<style>--", "rel = ", "</script ", "<link rel=", "<!-->", "\t"])
+def test_unclosed_tags_take_linear_time(spark, piece):
+    """Pages of ten megabytes of one opening, before and behind a link; a cubic or quadratic pattern doesn't end here."""
+    size = 10_000_000 // len(piece)
+    html = [piece * size + "<link rel=canonical href=http://b.test/>", "<link rel=canonical href=http://b.test/>" + piece * size, "canonical" + piece * size]
+    pages = spark.createDataFrame([(i, f"http://a.test/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").coalesce(1)
+    started = time.monotonic()
+    links = U.html_links(pages).collect()
+    assert time.monotonic() - started < 20
+    assert ("a.test/1", "b.test/") in {(r["u"], r["v"]) for r in links}
+
+
+def test_what_is_shown(spark):
+    cases = {"a<!-- x -->b<!-- c": "a b<!-- c", "<script>x</script>y<script>z": " y<script>z", "<!--a--><!--b-->c": "  c", "none": "none", "": "", "<style a></script >t": " t"}
+    df = spark.createDataFrame([(k,) for k in cases], "html string").select("html", U.shown(F.col("html")).alias("s"))
+    assert {r["html"]: r["s"] for r in df.collect()} == cases
