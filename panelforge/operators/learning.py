@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from panelforge.functions.scalars import dot
-from panelforge.operators.ordering import exact_quantiles, row_numbers
+from panelforge.operators.ordering import exact_quantiles, few, row_numbers, settled
 
 ALPHAS = tuple(float(a) for a in np.logspace(-3, 3, 13))
 
@@ -64,23 +64,35 @@ def random_folds(df: DataFrame, key: str, k: int = 5, seed: str = "") -> DataFra
     return row_numbers(hashed, ["_hash", key], "_r").withColumn("fold", (F.col("_r") % k).cast("int")).drop("_hash", "_r")
 
 
-def group_out_folds(df: DataFrame, group: str, least_test: int = 5, least_train: int = 50) -> list[str]:
-    """Groups that can be held out: enough rows inside and outside. One row per group reaches the driver."""
-    counts = {r[0]: r[1] for r in df.groupBy(group).count().collect()}
-    total = sum(counts.values())
-    return sorted(g for g, n in counts.items() if g is not None and n >= least_test and total - n >= least_train)
+def group_out_folds(df: DataFrame, group: str, least_test: int = 5, least_train: int = 50, most: int = 10_000) -> list[str]:
+    """Groups that can be held out: enough rows inside and outside. One row per group that can be reaches the driver; more than `most` are refused, as each is a model."""
+    sizes = settled(df.groupBy(group).count())
+    total = F.lit(sizes.agg(F.sum("count")).first()[0] or 0)
+    held = sizes.where(F.col(group).isNotNull() & (F.col("count") >= least_test) & (total - F.col("count") >= least_train)).limit(most + 1).collect()
+    if len(held) > most:
+        raise ValueError(f"more than {most} groups of {group} can be held out")
+    return sorted(r[0] for r in held)
 
 
-def balanced_group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """Whole groups to folds, the largest first, each to the fold with the fewest rows. Greedy assignment is sequential, over one row
-    per group (tiles of a grid: at most 648 at ten degrees)."""
-    loads, fold = [0] * k, {}
-    for g, n in sorted(((r[0], r[1]) for r in df.groupBy(group).count().collect()), key=lambda x: (-x[1], x[0])):
-        least = min(range(k), key=lambda i: loads[i])
-        fold[g] = least
-        loads[least] += n
-    pairs = df.sparkSession.createDataFrame(list(fold.items()), f"{group} {dict(df.dtypes)[group]}, fold int")
-    return df.join(F.broadcast(pairs), group)
+def balanced_assignment(counts: Sequence[tuple], k: int) -> list[int]:
+    """The fold of each (group, n), in the order given: the largest group first, ties by name, each to the fold with the fewest rows."""
+    loads, fold = [0] * k, [0] * len(counts)
+    for i in sorted(range(len(counts)), key=lambda i: (-counts[i][1], counts[i][0])):
+        least = min(range(k), key=lambda f: loads[f])
+        fold[i] = least
+        loads[least] += counts[i][1]
+    return fold
+
+
+def balanced_group_folds(df: DataFrame, group: str, k: int = 5, most: int = 1_000_000) -> DataFrame:
+    """Whole groups to folds, the largest first, each to the fold with the fewest rows. Greedy assignment is sequential, over one row per group (tiles of a grid: at most 648
+    at ten degrees), so more than `most` groups are refused."""
+    sizes = settled(df.groupBy(group).count())
+    if sizes.count() > most:
+        raise ValueError(f"more than {most} groups of {group}: greedy folds are for tiles or regions")
+    counts = [(r[0], r[1]) for r in sizes.collect()]
+    rows = [(g, f) for (g, _), f in zip(counts, balanced_assignment(counts, k), strict=True)]
+    return df.join(few(df.sparkSession.createDataFrame(rows, f"{group} {dict(df.dtypes)[group]}, fold int")), group)
 
 
 # ------------------------------------------------------------------ linear algebra on small matrices
@@ -291,9 +303,16 @@ LEARNERS: dict[str, Callable] = {
     "ridge": lambda df, x, width, y, fold="fold": ridge_oof(df, x, width, [y], fold),
     "ridge_cv": lambda df, x, width, y, fold="fold": ridgecv_oof(df, x, width, y, fold),
     "forest": lambda df, x, width, y, fold="fold": forest_oof(df, x, y, fold),
+    "deep_forest": lambda df, x, width, y, fold="fold": _deep_forest(df, x, width, y, fold),
 }
 
 
+def _deep_forest(df: DataFrame, x: str, width: int, y: str, fold: str) -> DataFrame:
+    from panelforge.operators.forest import forest_oof as deep
+
+    return deep(df, x, width, [y], fold)
+
+
 # ------------------------------------------------------------------ metrics and support
 
 
@@ -327,6 +346,12 @@ def mean_row_l2(actual: Column, predicted: Column) -> Column:
     return F.avg(F.sqrt(F.aggregate(F.zip_with(actual, predicted, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)))
 
 
+def row_error(actual: Column, predicted: Column, width: int) -> Column:
+    """Euclidean norm of the difference of two arrays over their first `width` elements; missing ones count as zero."""
+    at = lambda x, i: F.coalesce(F.try_element_at(x, F.lit(i + 1)), F.lit(0.0))
+    return F.sqrt(sum(((at(actual, i) - at(predicted, i)) ** 2 for i in range(width)), F.lit(0.0)))
+
+
 def mahalanobis(df: DataFrame, x: str, width: int, q: float = 0.95, ridge: float = 1e-6, out: str = "m_distance") -> DataFrame:
     """Adds the distance from the centre of standardised columns and `supported`: within its exact q-quantile."""
     n, s, p = gram(df, x, width)[None]

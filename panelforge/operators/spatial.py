@@ -48,56 +48,92 @@ def _cells(df: DataFrame, cell: float) -> DataFrame:
     return df.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
 
 
-def _clip(subject: list, a, b) -> list:
-    """The part of a convex polygon to the left of the line a-b."""
-    out = []
-    side = lambda p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
-    for p, q in zip(subject, subject[1:] + subject[:1], strict=True):
-        s, t = side(p), side(q)
-        if s >= 0:
-            out.append(p)
-        if (s > 0 > t) or (s < 0 < t):
-            f = s / (s - t)
-            out.append((p[0] + f * (q[0] - p[0]), p[1] + f * (q[1] - p[1])))
-    return out
-
-
-def _signed(points: list) -> float:
-    return sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(points, points[1:] + points[:1], strict=True)) / 2
-
-
-def _fan(rings, origin) -> list[tuple[int, list]]:
-    """Signed triangles from the origin over every edge: their signed sum is the polygon, concave parts and holes included."""
-    out = []
+def _edge_table(rings) -> np.ndarray:
+    """Edges (x1, y1, x2, y2) of closed rings, lower end first; level ones bound no area between heights and are left out."""
+    parts = []
     for ring in rings:
-        pts = [(p["x"] - origin[0], p["y"] - origin[1]) for p in ring]
-        for p, q in zip(pts, pts[1:] + pts[:1], strict=True):
-            twice = p[0] * q[1] - q[0] * p[1]
-            if twice:
-                out.append((1, [(0.0, 0.0), p, q]) if twice > 0 else (-1, [(0.0, 0.0), q, p]))
-    return out
-
-
-def intersection_area(a, b) -> float:
-    """Exact area of the common part of two polygons with holes, from intersections of signed triangles."""
-    xs, ys = [p["x"] for r in a for p in r], [p["y"] for r in a for p in r]
-    origin = (sum(xs) / len(xs), sum(ys) / len(ys))
-    fa, fb = _fan(a, origin), _fan(b, origin)
-    total = 0.0
-    for s, t in fa:
-        for r, u in fb:
-            part = t
-            for k in range(3):
-                part = _clip(part, u[k], u[(k + 1) % 3]) if part else part
-            if len(part) > 2:
-                total += s * r * _signed(part)
-    return abs(total)
+        p = np.array([(q["x"], q["y"]) for q in ring], float).reshape(-1, 2)
+        parts.append(np.hstack([p, np.roll(p, -1, axis=0)]))
+    e = np.concatenate(parts) if parts else np.empty((0, 4))
+    e = e[e[:, 1] != e[:, 3]]
+    return np.where((e[:, 1] > e[:, 3])[:, None], e[:, [2, 3, 0, 1]], e)
+
+
+def intersection_area(a, b, rounds: int = 64, most: int = 1 << 20) -> float:
+    """Area of the common part of two polygons with holes, concave or not.
+
+    Heights of all corners cut the plane into slabs. In a slab whose edges keep their order, the length of the common part changes linearly with the height, so its area is
+    that length at half height times the slab's height. Slabs where neighbouring edges change places are cut at those crossings and looked at again. Slabs are handled
+    together in arrays, as long as they have no more than `most` edges: the work is that of sorting pairs of slabs and edges in them, n log n where a level line meets few edges.
+    """
+    ea, eb = _edge_table(a), _edge_table(b)
+    if not len(ea) or not len(eb):
+        return 0.0
+    low, high = max(ea[:, 1].min(), eb[:, 1].min()), min(ea[:, 3].max(), eb[:, 3].max())
+    if not low < high:
+        return 0.0
+    e = np.concatenate([ea, eb])
+    first = np.arange(len(e)) < len(ea)
+    slope = (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1])
+    heights = np.unique(np.clip(np.concatenate([e[:, 1], e[:, 3]]), low, high))
+    todo, total = [(heights[:-1], heights[1:], rounds)], 0.0
+    least = 1e-12 * max(1.0, float(np.abs(e).max()))
+    while todo:
+        bottom, top, left = todo.pop()
+        if len(bottom) > 1 and _pairs_of_slabs(bottom, top, e) > most:
+            half = len(bottom) // 2
+            todo += [(bottom[:half], top[:half], left), (bottom[half:], top[half:], left)]
+            continue
+        slab, edge = _edges_of_slabs(bottom, top, e)
+        x0 = e[edge, 0] + slope[edge] * (bottom[slab] - e[edge, 1])
+        x1 = e[edge, 0] + slope[edge] * (top[slab] - e[edge, 1])
+        order = np.lexsort((x1, x0, slab))
+        slab, edge, x0, x1 = slab[order], edge[order], x0[order], x1[order]
+        gap0, gap1 = x0[1:] - x0[:-1], x1[:-1] - x1[1:]
+        crossed = np.flatnonzero((slab[1:] == slab[:-1]) & (gap1 > least) & (gap0 > least)) if left else np.empty(0, np.int64)
+        at = bottom[slab[crossed]] + (top - bottom)[slab[crossed]] * gap0[crossed] / (gap0[crossed] + gap1[crossed])
+        inside = (at > bottom[slab[crossed]]) & (at < top[slab[crossed]])
+        crossed, at = crossed[inside], at[inside]
+        uncertain = np.zeros(len(bottom), bool)
+        uncertain[slab[crossed]] = True
+        total += _common(slab, first[edge], (x0 + x1) / 2, (top - bottom) * ~uncertain)
+        if len(crossed):
+            # The cuts of each such slab, between its own bottom and top.
+            own = np.flatnonzero(uncertain)
+            owner, cut = np.concatenate([own, own, slab[crossed]]), np.concatenate([bottom[own], top[own], at])
+            order = np.lexsort((cut, owner))
+            owner, cut = owner[order], cut[order]
+            keep = (owner[1:] == owner[:-1]) & (cut[1:] > cut[:-1])
+            todo.append((cut[:-1][keep], cut[1:][keep], left - 1))
+    return total
+
+
+def _pairs_of_slabs(bottom: np.ndarray, top: np.ndarray, e: np.ndarray) -> int:
+    return int(np.maximum(np.searchsorted(top, e[:, 3], side="right") - np.searchsorted(bottom, e[:, 1], side="left"), 0).sum())
+
+
+def _edges_of_slabs(bottom: np.ndarray, top: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slab, edge) of every edge that spans a slab; slabs are in order and don't overlap."""
+    lo, hi = np.searchsorted(bottom, e[:, 1], side="left"), np.searchsorted(top, e[:, 3], side="right")
+    n = np.maximum(hi - lo, 0)
+    edge = np.repeat(np.arange(len(e)), n)
+    return np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n) + lo[edge], edge
+
+
+def _common(slab: np.ndarray, first: np.ndarray, x: np.ndarray, weight: np.ndarray) -> float:
+    """Sum over slabs of their weight times the length that is inside both polygons, by even-odd counts of edges to the left."""
+    order = np.lexsort((x, slab))
+    slab, first, x = slab[order], first[order], x[order]
+    inside = np.logical_and(np.cumsum(first) % 2, np.cumsum(~first) % 2)
+    same = slab[1:] == slab[:-1]
+    return float(((x[1:] - x[:-1]) * weight[slab[1:]])[inside[:-1] & same].sum())
 
 
 def overlay(left: DataFrame, right: DataFrame, cell: float, left_id: str = "left_id", right_id: str = "right_id", rings: str = "rings") -> DataFrame:
     """(left_id, right_id, inter, a_left, a_right) of pairs whose common area is positive. Ids tell rows apart.
 
-    Boxes meet on grid cells, without their polygons. Two polygons that fill their boxes are rectangles, whose common area is an expression; only the other pairs fetch their rings and are clipped.
+    Boxes meet on grid cells, without their polygons. Two polygons that fill their boxes are rectangles, whose common area is an expression; only the other pairs fetch their rings, and
+    their areas are summed over slabs.
     """
     side = lambda df, key, p: df.select(key, area(F.col(rings)).alias(f"a_{p}"), *[c.alias(n) for n, c in box(F.col(rings)).items()])
     cells = lambda df, p: _cells(df, cell).withColumnsRenamed({c: f"{p}{c}" for c in ("x0", "y0", "x1", "y1")})

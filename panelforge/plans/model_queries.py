@@ -7,7 +7,9 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from panelforge.functions import scalars as S
+from panelforge.operators import batched as B
 from panelforge.operators import decisions as D
+from panelforge.operators import forest as T
 from panelforge.operators import learning as M
 from panelforge.operators import neighbours as N
 from panelforge.operators import panel as P
@@ -99,6 +101,21 @@ def _(spark, sf):
     return M.metrics(M.forest_oof(settled(e), "f", "y", trees=200, depth=10), "y", "pred_y")
 
 
+@query("ml9_deep_forest")
+def _(spark, sf):
+    """500 trees without a limit of depth, half the features at each node, leaves of five rows or more, for two outputs together."""
+    e = _emb(spark, sf).withColumn("y", F.col("x")[0]).withColumn("z", F.col("x")[1]).withColumn("f", F.slice("x", 3, 62)).withColumn("fold", (F.col("unit_id") % 5).cast("int"))
+    own = settled(T.forest_oof(settled(e), "f", 62, ["y", "z"]))
+    return M.metrics(own, "y", "pred_y").withColumn("output", F.lit("y")).unionByName(M.metrics(own, "z", "pred_z").withColumn("output", F.lit("z")))
+
+
+@query("ml17_pseudo_history")
+def _(spark, sf):
+    """One forest of all elements predicts the history out of fold."""
+    own = X.pseudo_history(settled(X.with_folds(_spec_frame(spark, sf), _SPEC)), _SPEC, "forest")
+    return own.select("unit_id", "fold", F.size("pseudo").alias("width"), M.row_error(F.col("H"), F.col("pseudo"), H).alias("error"))
+
+
 @query("ml10_random_folds", "SELECT s_suppkey AS unit_id, CAST((row_number() OVER (ORDER BY md5(CAST(s_suppkey AS VARCHAR)), s_suppkey) - 1) % 5 AS INTEGER) AS fold FROM supplier")
 def _(spark, sf):
     return M.random_folds(t(spark, sf, "supplier").select(F.col("s_suppkey").alias("unit_id")), "unit_id")
@@ -154,7 +171,7 @@ def _(spark, sf):
 @query("ml15_reconstruction_grid")
 def _(spark, sf):
     w = settled(wide(spark, sf).withColumn("S1", F.slice("S", 1, 2)).withColumn("S2", F.slice("S", 1, 3)))
-    return X.reconstruction_grid(w, {"S1": ("S1", 2), "S2": ("S2", 3), "S3": ("S", 4)}, ("C", 3), ("H", H))
+    return X.reconstruction_grid(w, {"S1": ("S1", 2), "S2": ("S2", 3), "S3": ("S", 4)}, ("C", 3), ("H", H), learners=("mean", "ridge", "forest"))
 
 
 @query("ml19_transfer")
@@ -280,7 +297,26 @@ def _(spark, sf):
 
 @query("rs10_null_battery")
 def _(spark, sf):
-    return X.null_battery(_spec_frame(spark, sf), _SPEC, 2, ["region"])
+    """300 shuffled and 50 random histories, the predicted and the redundant one, against the observed one."""
+    own = X.size_strata(_spec_frame(spark, sf))
+    return B.null_summary(X.null_battery(own, _SPEC, 300, 50, ["stratum"], redundant="S"), "delta_r2")
+
+
+@query(
+    "rs10_one_column_nulls",
+    """WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS y, embedding[2]::DOUBLE AS x, embedding[3]::DOUBLE AS h, vec_id % 5 AS fold, label FROM embeddings), d AS (SELECT *, draw FROM e, range(1, 21) d(draw)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY draw, label ORDER BY vec_id) AS a, row_number() OVER (PARTITION BY draw, label ORDER BY md5(CAST(draw AS VARCHAR) || ':' || CAST(vec_id AS VARCHAR)), vec_id) AS b FROM d),
+    p AS (SELECT u.draw, u.vec_id, u.fold, u.y, u.x, v.h FROM r u JOIN r v ON u.draw = v.draw AND u.label IS NOT DISTINCT FROM v.label AND u.a = v.b UNION ALL SELECT 0, vec_id, fold, y, x, h FROM e),
+    m AS (SELECT draw, k, count(*) AS n, avg(x) AS mx, avg(h) AS mh, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(h) AS sh, covar_pop(x, y) AS xy, covar_pop(h, y) AS hy, covar_pop(x, h) AS xh FROM p, (SELECT DISTINCT fold AS k FROM e) WHERE fold <> k GROUP BY 1, 2),
+    c AS (SELECT *, n + 1.0 AS a, n * xh / sx / sh AS b, n * xy / sx AS p1, n * hy / sh AS p2 FROM m), w AS (SELECT *, (p1 * a - p2 * b) / (a * a - b * b) AS w1, (p2 * a - p1 * b) / (a * a - b * b) AS w2, p1 / a AS w0 FROM c),
+    s AS (SELECT p.draw, count(*) AS n, sum(pow(y - my - w0 * (x - mx) / sx, 2)) AS e0, sum(pow(y - my - w1 * (x - mx) / sx - w2 * (h - mh) / sh, 2)) AS e1, var_pop(y) * count(*) AS t FROM p JOIN w ON w.draw = p.draw AND fold = k GROUP BY 1)
+    SELECT CASE WHEN draw = 0 THEN 'observed' ELSE 'shuffled' END AS "null", CAST(draw AS INTEGER) AS draw, n, round(1 - e0 / t, 7) AS r2_m0, round((e0 - e1) / t, 7) AS delta_r2 FROM s""",
+)
+def _(spark, sf):
+    e = settled(_emb(spark, sf).select("unit_id", F.col("x")[0].alias("y"), F.array(F.col("x")[1]).alias("b"), F.array(F.col("x")[2]).alias("h"), (F.col("unit_id") % 5).cast("int").alias("fold"), "label"))
+    perm = RS.shuffled(e, "h", 20, ["label"], out="h").select(F.lit("shuffled").alias("null"), F.col("draw").cast("int").alias("draw"), "unit_id", "h")
+    nulls = perm.unionByName(e.select(F.lit("observed").alias("null"), F.lit(0).alias("draw"), "unit_id", "h"))
+    return B.null_deltas(e, "b", 1, "y", nulls, 1).select("null", "draw", "n", R("r2_m0", 7).alias("r2_m0"), R("delta_r2", 7).alias("delta_r2"))
 
 
 @query("rs13_subgroups", "SELECT 'flag' AS dimension, l_returnflag AS level, count(*) AS n, round((sum(pow(l_tax - l_discount, 2)) - sum(pow(l_tax - 0.04, 2))) / (var_pop(l_tax) * count(*)), 6) AS delta_r2 FROM lineitem GROUP BY 2 UNION ALL SELECT 'status', l_linestatus, count(*), round((sum(pow(l_tax - l_discount, 2)) - sum(pow(l_tax - 0.04, 2))) / (var_pop(l_tax) * count(*)), 6) FROM lineitem GROUP BY 2")
@@ -337,9 +373,9 @@ def _(spark, sf):
 @query("ml16_two_definitions")
 def _(spark, sf):
     w = wide(spark, sf)
-    fixed = X.reconstruction_grid(w, {"S3": ("S", 4)}, ("C", 3), ("H", H), ("region",), ("ridge",)).withColumn("definition", F.lit("built"))
+    fixed = X.reconstruction_grid(w, {"S3": ("S", 4)}, ("C", 3), ("H", H), learners=("ridge", "forest")).withColumn("definition", F.lit("built"))
     other = w.drop("H").join(_pop_history(spark, sf), "unit_id")
-    return fixed.unionByName(X.reconstruction_grid(other, {"S3": ("S", 4)}, ("C", 3), ("H", H), ("region",), ("ridge",)).withColumn("definition", F.lit("population")))
+    return fixed.unionByName(X.reconstruction_grid(other, {"S3": ("S", 4)}, ("C", 3), ("H", H), learners=("ridge", "forest")).withColumn("definition", F.lit("population")))
 
 
 @query("ml22_key_reconstruction")
@@ -349,7 +385,23 @@ def _(spark, sf):
 
 @query("rs11_transfer_nulls")
 def _(spark, sf):
-    return X.transfer_nulls(_spec_frame(spark, sf), _SPEC, 2, ["region"])
+    """100 shuffled and 100 random histories, and the predicted one; small errors speak for the history."""
+    return B.null_summary(X.transfer_nulls(X.size_strata(_spec_frame(spark, sf)), _SPEC, 100, ["stratum"]), "delta_rmse", lower=True)
+
+
+@query(
+    "rs11_one_column_transfer",
+    f"""WITH e AS (SELECT vec_id AS i, embedding[1]::DOUBLE AS y, embedding[2]::DOUBLE AS x, embedding[3]::DOUBLE AS h, vec_id % 5 AS fold FROM embeddings), d AS (SELECT *, draw FROM e, range(1, 4) d(draw)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY i) AS a, row_number() OVER (PARTITION BY draw ORDER BY md5(CAST(draw AS VARCHAR) || ':' || CAST(i AS VARCHAR)), i) AS b FROM d),
+    p AS (SELECT u.draw, u.i, u.y, u.fold, u.x, (v.h - avg(v.h) OVER (PARTITION BY u.draw)) / stddev_pop(v.h) OVER (PARTITION BY u.draw) AS h FROM r u JOIN r v ON u.draw = v.draw AND u.a = v.b),
+    k AS (SELECT a.draw, a.i, a.y, b.y AS z, sqrt(pow(a.x - b.x, 2) + pow(a.h - b.h, 2)) AS d FROM p a JOIN p b ON a.draw = b.draw AND a.fold <> b.fold QUALIFY row_number() OVER (PARTITION BY a.draw, a.i ORDER BY d, b.i) <= 10),
+    t AS (SELECT draw, i, y - sum(z / (d + 1e-9)) / sum(1 / (d + 1e-9)) AS e FROM k GROUP BY draw, i, y)
+    SELECT CAST(draw AS INTEGER) AS draw, count(*) AS n, round(sqrt(avg(e * e)), 7) AS rmse, round(avg(abs(e)), 7) AS mae FROM t GROUP BY 1""",
+)
+def _(spark, sf):
+    e = settled(_emb(spark, sf).select("unit_id", F.col("x")[0].alias("y"), F.array(F.col("x")[1]).alias("b"), F.array(F.col("x")[2]).alias("h"), (F.col("unit_id") % 5).alias("fold")))
+    nulls = RS.shuffled(e, "h", 3, out="h").select(F.lit("shuffled").alias("null"), F.col("draw").cast("int").alias("draw"), "unit_id", "h")
+    return B.transfer_errors(e, "b", "y", nulls, 1).select("draw", "n", R("rmse", 7).alias("rmse"), R("mae", 7).alias("mae"))
 
 
 @query("rs14_separability_variants")

@@ -8,7 +8,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.functions.scalars import distance, quadratic, tile_id
+from panelforge.functions.scalars import cross_products, distance, quadratic, tile_id
+from panelforge.operators import batched as B
+from panelforge.operators import forest as T
 from panelforge.operators import learning as M
 from panelforge.operators import neighbours as N
 from panelforge.operators import quality as Q
@@ -87,29 +89,44 @@ def subgroup_deltas(df: DataFrame, y: str, p0: str, p1: str, dimensions: dict[st
     return M.delta_metrics(levels.select("*", "_k.dimension", "_k.level"), y, p0, p1, ["dimension", "level"])
 
 
-def null_battery(df: DataFrame, spec: Spec, n_draws: int, strata: Sequence[str], key: str = "unit_id") -> DataFrame:
-    """(null, draw, delta_r2): histories shuffled within strata, random ones of the same moments, and ones predicted from the base blocks. The base
-    model is fitted once."""
+def size_strata(df: DataFrame, region: str = "region", size: str = "bus", out: str = "stratum") -> DataFrame:
+    """Strata of region and size tercile, within which histories are shuffled."""
+    binned = A.bins_left_closed(df, size, ("0", "1", "2"), "_tercile")
+    return binned.withColumn(out, F.concat_ws("||", F.col(region), "_tercile")).drop("_tercile")
+
+
+def histories(df: DataFrame, spec: Spec, n_shuffled: int, n_random: int, strata: Sequence[str], key: str = "unit_id", redundant: str | None = None) -> DataFrame:
+    """(null, draw, key, h): the observed history (draw 0), histories shuffled within strata, random ones of the same moments, the one predicted from the base blocks, and
+    products of the state block `redundant`. Draws are rows, so batteries pass over them once."""
     name, width = spec.history
-    based = settled(predictions(with_folds(df, spec), spec, False, "p0"))
-    rows = []
-    perm = settled(RS.shuffled(based, name, n_draws, strata, key=key, out="_perm"))
-    for d in range(1, n_draws + 1):
-        rows.append(evaluate(based.join(perm.where(F.col("draw") == d).select(key, "_perm"), key), spec, "_perm", "p0").select(F.lit("shuffled").alias("null"), F.lit(d).alias("draw"), "delta_r2"))
-        rows.append(evaluate(RS.matched_random(based, name, width, seed=100 * d), spec, "x_random", "p0").select(F.lit("random").alias("null"), F.lit(d).alias("draw"), "delta_r2"))
-    rows.append(evaluate(pseudo_history(based, spec), spec, "pseudo", "p0").select(F.lit("pseudo").alias("null"), F.lit(1).alias("draw"), "delta_r2"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+    own = lambda null, draw, h: (F.lit(null).alias("null"), F.lit(draw).cast("int").alias("draw"), F.col(key), h.alias("h"))
+    out = df.select(*own("observed", 0, F.col(name)))
+    out = out.unionByName(pseudo_history(df, spec).select(*own("pseudo", 1, F.col("pseudo"))))
+    if redundant:
+        out = out.unionByName(M.zscore(df, redundant, 4, "_z").select(*own("redundant", 1, cross_products(F.col("_z")))))
+    if n_shuffled:
+        perm = RS.shuffled(df, name, n_shuffled, strata, key=key, out="h")
+        out = out.unionByName(perm.select(F.lit("shuffled").alias("null"), F.col("draw").cast("int").alias("draw"), key, "h"))
+    if n_random:
+        drawn = B.random_histories(df, name, width, n_random, "h", key)
+        out = out.unionByName(drawn.select(F.lit("random").alias("null"), F.col("draw").cast("int").alias("draw"), key, "h"))
     return out
 
 
-def pseudo_history(df: DataFrame, spec: Spec) -> DataFrame:
-    """Column `pseudo`: the history as ridge predicts it, out of fold, from the base blocks."""
+def null_battery(df: DataFrame, spec: Spec, n_shuffled: int, n_random: int, strata: Sequence[str], key: str = "unit_id", redundant: str | None = None) -> DataFrame:
+    """(null, draw, n, r2_m0, r2_m1, delta_r2, delta_rmse) for the histories of `histories`, ridge out of fold: one pass, whatever the number of draws."""
+    own = settled(with_folds(df, spec).withColumn("_base", F.concat(*[F.col(b) for b, _ in spec.blocks])))
+    width = max(spec.history[1], 9 if redundant else 0)
+    nulls = histories(own, spec, n_shuffled, n_random, strata, key, redundant)
+    return B.null_deltas(own, "_base", sum(n for _, n in spec.blocks), spec.y, nulls, width, key=key)
+
+
+def pseudo_history(df: DataFrame, spec: Spec, learner: str = "ridge", key: str = "unit_id", trees: int = 500) -> DataFrame:
+    """Column `pseudo`: the history as ridge, or one forest of all its elements, predicts it, out of fold, from the base blocks."""
     name, width = spec.history
-    outs = [f"_h{i}" for i in range(width)]
-    parts = df.withColumn("_x", F.concat(*[F.col(b) for b, _ in spec.blocks])).withColumns({o: F.col(name)[i] for i, o in enumerate(outs)})
-    fitted = M.ridge_oof(parts, "_x", sum(n for _, n in spec.blocks), outs)
+    outs, n = [f"_h{i}" for i in range(width)], sum(n for _, n in spec.blocks)
+    parts = df.withColumn("_x", F.concat(*[F.col(b) for b, _ in spec.blocks])).withColumns({o: F.coalesce(F.try_element_at(name, F.lit(i + 1)), F.lit(0.0)) for i, o in enumerate(outs)})
+    fitted = M.ridge_oof(parts, "_x", n, outs) if learner == "ridge" else T.forest_oof(parts, "_x", n, outs, key=key, trees=trees)
     return fitted.withColumn("pseudo", F.array(*[F.col(f"pred_{o}") for o in outs])).drop("_x", *outs, *[f"pred_{o}" for o in outs])
 
 
@@ -165,13 +182,15 @@ def residual_autocorrelation(df: DataFrame, spec: Spec, ks: Sequence[int] = (4,
     return out
 
 
-def reconstruction_grid(df: DataFrame, blocks: dict[str, tuple[str, int]], context: tuple[str, int], history: tuple[str, int], schemes: Sequence[str] = ("random", "region"), learners: Sequence[str] = ("mean", "ridge")) -> DataFrame:
-    """How well each state, with and without context, rebuilds the history: mean R2 over its elements and mean row error, per learner and scheme."""
+def reconstruction_grid(df: DataFrame, blocks: dict[str, tuple[str, int]], context: tuple[str, int], history: tuple[str, int], schemes: Sequence[str] = ("random", "region"), learners: Sequence[str] = ("mean", "ridge"), trees: int = 200) -> DataFrame:
+    """How well each state, with and without context, rebuilds the history: mean R2 over its elements and mean row error, per learner and scheme. The learner `forest`
+    is one forest of all elements."""
     name, width = history
     outs = [f"_h{i}" for i in range(width)]
     rows = []
     for scheme in schemes:
-        folded = settled((M.random_folds(df, "unit_id") if scheme == "random" else df.withColumn("fold", F.col("region"))).withColumns({o: F.col(name)[i] for i, o in enumerate(outs)}))
+        folded = M.random_folds(df, "unit_id") if scheme == "random" else df.withColumn("fold", F.col("region"))
+        folded = settled(folded.withColumns({o: F.try_element_at(name, F.lit(i + 1)) for i, o in enumerate(outs)}))
         for label, (block, n) in blocks.items():
             for with_context in (False, True):
                 x = folded.withColumn("_x", F.concat(F.col(block), F.col(context[0])) if with_context else F.col(block))
@@ -183,8 +202,7 @@ def reconstruction_grid(df: DataFrame, blocks: dict[str, tuple[str, int]], conte
                     elif learner == "mean":
                         fit = M.mean_oof_all(x, outs)
                     else:
-                        for o in outs:
-                            fit = M.LEARNERS[learner](fit, "_x", w, o)
+                        fit = T.forest_oof(x, "_x", w, outs, trees=trees)
                     r2 = [1 - F.sum((F.col(o) - F.col(f"pred_{o}")) ** 2) / F.nullif(F.var_pop(o) * F.count(F.lit(1)), F.lit(0.0)) for o in outs]
                     error = M.mean_row_l2(F.array(*outs), F.array(*[F.col(f"pred_{o}") for o in outs]))
                     rows.append(fit.agg(F.aggregate(F.array(*r2), F.lit(0.0), lambda s, v: s + v / width).alias("mean_r2"), error.alias("mean_row_error")).select(F.lit(scheme).alias("scheme"), F.lit(label).alias("state"), F.lit(with_context).alias("context"), F.lit(learner).alias("learner"), "mean_r2", "mean_row_error"))
@@ -213,20 +231,14 @@ def boundary_distance(a: DataFrame, b: DataFrame, vector: str, key: str = "unit_
 
 
 def transfer_nulls(df: DataFrame, spec: Spec, n_draws: int, strata: Sequence[str], k: int = 10, key: str = "unit_id") -> DataFrame:
-    """(null, draw, rmse) of transfer with histories shuffled within strata, random ones, and ones predicted from the base blocks."""
-    own = settled(with_folds(df, spec))
-    name, width = spec.history
-    perm = settled(RS.shuffled(own, name, n_draws, strata, key=key, out="_perm"))
-    rows = []
-    for d in range(1, n_draws + 1):
-        rows.append(("shuffled", d, own.join(perm.where(F.col("draw") == d).select(key, "_perm"), key), "_perm"))
-        rows.append(("random", d, RS.matched_random(own, name, width, seed=100 * d), "x_random"))
-    rows.append(("pseudo", 1, pseudo_history(own, spec), "pseudo"))
-    out = None
-    for null, d, frame, column in rows:
-        row = M.metrics(transfer(frame, replace(spec, history=(column, width)), k), spec.y, "transferred").select(F.lit(null).alias("null"), F.lit(d).alias("draw"), "rmse")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """(null, draw, n, rmse, mae, delta_rmse) of transfer under shuffled, random and predicted histories, and under the observed one; `delta_rmse` is the difference to
+    transfer without any history (null `none`). Distances on the base blocks are found once for all draws."""
+    own = settled(M.block_scale(with_folds(df, spec), dict(spec.blocks), "_base"))
+    nulls = histories(own, spec, n_draws, n_draws, strata, key)
+    none = own.select(F.lit("none").alias("null"), F.lit(0).alias("draw"), key, F.array_repeat(F.lit(0.0), spec.history[1]).alias("h"))
+    found = settled(B.transfer_errors(own, "_base", spec.y, nulls.unionByName(none), spec.history[1], k, key=key))
+    base = found.where(F.col("null") == "none").select(F.col("rmse").alias("_r"))
+    return found.where(F.col("null") != "none").join(F.broadcast(base)).withColumn("delta_rmse", F.col("rmse") - F.col("_r")).drop("_r")
 
 
 def agreement(a: DataFrame, b: DataFrame, epochs: Sequence[str], key: str = "unit_id") -> DataFrame:

@@ -50,29 +50,36 @@ def dbf_header(data: bytes) -> dict:
 def dbf_rows(data: bytes, columns: Sequence[str] | None = None, encoding: str = "utf-8") -> Iterator[dict]:
     """Records as typed values; deleted ones are left out; blank and overflowing numbers are None."""
     info = dbf_header(data)
-    for i in range(info["records"]):
-        at = info["header"] + i * info["size"]
-        if at + info["size"] > len(data):
-            raise ValueError("DBF ends within a record")
-        if data[at] == 42:
-            continue
-        row, at = {}, at + 1
-        for name, kind, width, decimals in info["fields"]:
-            raw = data[at : at + width]
-            at += width
-            if columns is not None and name not in columns:
-                continue
-            said = raw.decode(encoding, "replace").strip("\0 ").strip()
-            if kind in "NF":
-                try:
-                    row[name] = (int(said) if kind == "N" and not decimals else float(said)) if said else None
-                except ValueError:
-                    row[name] = None
-            elif kind == "L":
-                row[name] = {"T": True, "Y": True, "F": False, "N": False}.get(said[:1].upper())
-            else:
-                row[name] = said or None
-        yield row
+    names = [n for n, *_ in info["fields"] if columns is None or n in columns]
+    records = data[info["header"] : info["header"] + info["records"] * info["size"]]
+    if len(records) < info["records"] * info["size"]:
+        raise ValueError("DBF ends within a record")
+    for _, row in dbf_records(records, info, columns, encoding):
+        yield dict(zip(names, row, strict=True))
+
+
+def dbf_records(data: bytes, info: dict, columns: Sequence[str] | None = None, encoding: str = "utf-8", keep: Sequence[bool] | None = None) -> Iterator[tuple[int, tuple]]:
+    """(number, typed values) of whole records that lie one after the other in `data`, without deleted ones and those not to keep."""
+    places, at = [], 1
+    for name, kind, width, decimals in info["fields"]:
+        if columns is None or name in columns:
+            places.append((slice(at, at + width), kind, decimals))
+        at += width
+    for i in range(len(data) // info["size"]):
+        own = data[i * info["size"] : (i + 1) * info["size"]]
+        if own[0] != 42 and (keep is None or keep[i]):
+            yield i, tuple(_dbf_value(own[s].decode(encoding, "replace").strip("\0 ").strip(), kind, decimals) for s, kind, decimals in places)
+
+
+def _dbf_value(said: str, kind: str, decimals: int):
+    if kind in "NF":
+        try:
+            return (int(said) if kind == "N" and not decimals else float(said)) if said else None
+        except ValueError:
+            return None
+    if kind == "L":
+        return {"T": True, "Y": True, "F": False, "N": False}.get(said[:1].upper())
+    return said or None
 
 
 def dbf_schema(info: dict, columns: Sequence[str] | None = None) -> str:
@@ -89,24 +96,28 @@ def shapes(data: bytes) -> Iterator[bytes | None]:
         words = struct.unpack_from(">ii", data, at)[1]
         body = data[at + 8 : at + 8 + 2 * words]
         at += 8 + 2 * words
-        kind = struct.unpack_from("<i", body)[0]
-        if kind == 0:
-            yield None
-            continue
-        if kind not in (5, 15, 25):
-            raise ValueError(f"shape type {kind} is not a polygon")
-        parts, points = struct.unpack_from("<ii", body, 36)
-        starts = [*struct.unpack_from(f"<{parts}i", body, 44), points]
-        flat = struct.unpack_from(f"<{2 * points}d", body, 44 + 4 * parts)
-        polygons: list[list] = []
-        for a, b in zip(starts, starts[1:], strict=False):
-            ring = [(flat[2 * i], flat[2 * i + 1]) for i in range(a, b)]
-            turn = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:], strict=False))
-            if turn <= 0 or not polygons:
-                polygons.append([ring])
-            else:
-                polygons[-1].append(ring)
-        yield wkb(polygons)
+        yield polygon_wkb(body)
+
+
+def polygon_wkb(body: bytes) -> bytes | None:
+    """WKB of one polygon record's content."""
+    kind = struct.unpack_from("<i", body)[0]
+    if kind == 0:
+        return None
+    if kind not in (5, 15, 25):
+        raise ValueError(f"shape type {kind} is not a polygon")
+    parts, points = struct.unpack_from("<ii", body, 36)
+    starts = [*struct.unpack_from(f"<{parts}i", body, 44), points]
+    flat = struct.unpack_from(f"<{2 * points}d", body, 44 + 4 * parts)
+    polygons: list[list] = []
+    for a, b in zip(starts, starts[1:], strict=False):
+        ring = [(flat[2 * i], flat[2 * i + 1]) for i in range(a, b)]
+        turn = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:], strict=False))
+        if turn <= 0 or not polygons:
+            polygons.append([ring])
+        else:
+            polygons[-1].append(ring)
+    return wkb(polygons)
 
 
 def wkb(polygons: list) -> bytes:
@@ -145,10 +156,10 @@ def read_shapefile(spark: SparkSession, stem: str, columns: Sequence[str] | None
 
 # ------------------------------------------------------------------ TIFF
 
-_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
-_CODE = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
+TIFF_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+TIFF_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
 #: The tags that describe a grid and its layout.
-TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 262: "photometric", 273: "strip_offsets", 277: "bands", 278: "rows_per_strip", 279: "strip_bytes", 317: "predictor", 322: "tile_width", 323: "tile_height", 339: "sample_format", 33550: "pixel_scale", 33922: "tiepoint", 34735: "geo_keys", 42112: "metadata", 42113: "nodata"}
+TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 262: "photometric", 273: "strip_offsets", 277: "bands", 278: "rows_per_strip", 279: "strip_bytes", 284: "planar", 317: "predictor", 322: "tile_width", 323: "tile_height", 324: "tile_offsets", 325: "tile_bytes", 339: "sample_format", 33550: "pixel_scale", 33922: "tiepoint", 34735: "geo_keys", 42112: "metadata", 42113: "nodata"}
 
 
 def tiff_tags(data: bytes) -> dict:
@@ -170,16 +181,16 @@ def tiff_tags(data: bytes) -> dict:
     out = {"order": order}
     for i in range(n):
         tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-        if tag not in TAGS or kind not in _SIZE:
+        if tag not in TAGS or kind not in TIFF_SIZES:
             continue
-        size = _SIZE[kind] * count
+        size = TIFF_SIZES[kind] * count
         where = at + 10 + 12 * i if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * i)[0]
         if where + size > len(data):
             continue
         if kind in (2, 7):
             out[TAGS[tag]] = data[where : where + count].rstrip(b"\0").decode("latin-1")
-        elif kind in _CODE:
-            values = struct.unpack_from(f"{order}{count}{_CODE[kind]}", data, where)
+        elif kind in TIFF_CODES:
+            values = struct.unpack_from(f"{order}{count}{TIFF_CODES[kind]}", data, where)
             out[TAGS[tag]] = values[0] if count == 1 else list(values)
     return out
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sqlite3
 import struct
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -38,6 +39,64 @@ def shp_bytes(rings_of: Sequence) -> bytes:
     return struct.pack(">i20xi", 9994, (100 + len(body)) // 2) + struct.pack("<ii", 1000, 5) + b"\0" * 64 + body
 
 
+def shx_bytes(rings_of: Sequence) -> bytes:
+    """The index of `shp_bytes`: offset and length of each record in 16-bit words."""
+    at, body = 50, b""
+    for rings in rings_of:
+        words = 2 if rings is None else (44 + 4 * len(rings) + 16 * sum(map(len, rings))) // 2
+        body += struct.pack(">ii", at, words)
+        at += 4 + words
+    return struct.pack(">i20xi", 9994, (100 + len(body)) // 2) + struct.pack("<ii", 1000, 5) + b"\0" * 64 + body
+
+
+def tiled_tiff_bytes(
+    values: np.ndarray, x0: float, y0: float, dx: float, dy: float, tile: tuple[int, int] | None = (16, 16), compression: int = 8, predictor: int = 1, planar: int = 1, order: str = "<", nodata: float = -9999, strip: int = 8
+) -> bytes:
+    """A grid (rows, columns, bands) of whole or floating-point numbers in tiles, or in strips where `tile` is None, uncompressed (1) or deflated (8)."""
+    h, w, bands = values.shape
+    kind = values.dtype.kind + str(values.dtype.itemsize)
+    th, tw = tile or (strip, w)
+    grids = [values[:, :, b : b + 1] for b in range(bands)] if planar == 2 else [values]
+    blocks = []
+    for grid in grids:
+        for r in range(0, h, th):
+            for c in range(0, w, tw):
+                own = grid[r : r + th, c : c + tw]
+                if tile:
+                    own = np.pad(own, ((0, th - own.shape[0]), (0, tw - own.shape[1]), (0, 0)))
+                blocks.append(_block_bytes(own, predictor, order, kind, compression))
+    many = lambda v: [v] * bands
+    place, size = (324, 325) if tile else (273, 279)
+    shape = [(322, 3, [tw]), (323, 3, [th])] if tile else [(278, 3, [th])]
+    tags = sorted([
+        (256, 4, [w]), (257, 4, [h]), (258, 3, many(8 * values.dtype.itemsize)), (259, 3, [compression]), (277, 3, [bands]), (284, 3, [planar]), (317, 3, [predictor]), *shape, (place, 4, [0] * len(blocks)),
+        (size, 4, [len(b) for b in blocks]), (339, 3, many({"u": 1, "i": 2, "f": 3}[values.dtype.kind])), (33550, 12, [dx, dy, 0.0]), (33922, 12, [0.0, 0.0, 0.0, x0, y0, 0.0]), (42113, 2, f"{nodata:g}".encode() + b"\0"),
+    ])
+    pack = lambda kind, v: v if kind == 2 else struct.pack(order + str(len(v)) + {3: "H", 4: "I", 12: "d"}[kind], *v)
+    # Blocks first, the directory behind them.
+    starts = (8 + np.cumsum([0, *map(len, blocks)])[:-1]).tolist()
+    data = b"".join(blocks)
+    data += b"\0" * (len(data) % 2)
+    at = 8 + len(data)
+    entries, rest, beyond = b"", b"", at + 2 + 12 * len(tags) + 4
+    for tag, k, v in tags:
+        raw = pack(k, starts if tag == place else v)
+        entries += struct.pack(order + "HHI", tag, k, len(v)) + (raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(order + "I", beyond + len(rest)))
+        rest += raw if len(raw) > 4 else b""
+    return {"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HI", 42, at) + data + struct.pack(order + "H", len(tags)) + entries + b"\0" * 4 + rest
+
+
+def _block_bytes(own: np.ndarray, predictor: int, order: str, kind: str, compression: int) -> bytes:
+    rows, columns, samples = own.shape
+    if predictor == 3:
+        octets = own.astype(f">{kind}").reshape(rows, columns * samples, 1).view(np.uint8).transpose(0, 2, 1).reshape(rows, -1, samples)
+        raw = np.diff(octets, axis=1, prepend=np.zeros((rows, 1, samples), np.uint8)).tobytes()
+    else:
+        own = np.diff(own, axis=1, prepend=np.zeros((rows, 1, samples), own.dtype)) if predictor == 2 else own
+        raw = own.astype(f"{order}{kind}").tobytes()
+    return zlib.compress(raw) if compression == 8 else raw
+
+
 def tiff_bytes(values: np.ndarray, x0: float, y0: float, dx: float, dy: float, nodata: float = -9999, order: str = "<") -> bytes:
     """An uncompressed 32-bit float grid in one strip."""
     h, w = values.shape
