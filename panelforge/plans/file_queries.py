@@ -1,4 +1,4 @@
-"""Queries of file sources and sinks. Each writes a small file made from a driver table into the shared folder and reads it back."""
+"""Queries of file sources and sinks. Each writes files made from a table into the shared folder and reads them back: a small one from the driver, or one per range of keys from tasks."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ import uuid
 import zipfile
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,10 @@ from panelforge.operators import summaries as A
 from panelforge.plans.base import t
 from panelforge.sources import files as S
 from panelforge.sources import gpkg as K
+from panelforge.sources import ranged as RG
 from panelforge.sources import sinks as W
-from panelforge.sources.writers import dbf_bytes, gpkg_bytes, put, shp_bytes, tiff_bytes
+from panelforge.sources.ranged import written
+from panelforge.sources.writers import dbf_bytes, gpkg_bytes, put, shp_bytes, shx_bytes, tiff_bytes, tiled_tiff_bytes
 
 Q_ = {}
 
@@ -89,6 +92,42 @@ def _(spark, sf):
     return S.read_shapefile(spark, _shapefile(spark, sf), geometry=False)
 
 
+def _stems(spark: SparkSession, sf: str) -> list[str]:
+    """A shapefile of customers per 500 keys, each written by a task: squares, with a hole where the key is even; every seventh shape is null, every tenth record deleted."""
+    to = folder(spark)
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("c_custkey")
+        square = lambda k: [(k, 0.0), (k, 5.0), (k + 4.0, 5.0), (k + 4.0, 0.0), (k, 0.0)]
+        hole = lambda k: [(k + 1.0, 1.0), (k + 2.0, 1.0), (k + 2.0, 2.0), (k + 1.0, 2.0), (k + 1.0, 1.0)]
+        keys = pdf["c_custkey"].tolist()
+        rings = [None if k % 7 == 3 else [square(float(k)), hole(float(k))] if k % 2 == 0 else [square(float(k))] for k in keys]
+        rows = [("*" if k % 10 == 9 else " ", k, n, f"{b:.2f}") for k, n, b in zip(keys, pdf["c_name"], pdf["c_acctbal"], strict=True)]
+        stem = f"{to}/customers-{int(pdf['file'].iloc[0])}"
+        written(f"{stem}.dbf", dbf_bytes([("KEY", "N", 12, 0), ("NAME", "C", 25, 0), ("BALANCE", "N", 14, 2)], rows))
+        written(f"{stem}.shp", shp_bytes(rings))
+        written(f"{stem}.shx", shx_bytes(rings))
+        return pd.DataFrame({"stem": [stem]})
+
+    rows = t(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", F.floor(F.col("c_custkey") / 500).alias("file"))
+    # One name per file reaches the driver, which plans the scan.
+    return sorted(r["stem"] for r in rows.groupBy("file").applyInPandas(write, "stem string").collect())
+
+
+@query("sc7_shapefile_ranges", 'SELECT CAST(c_custkey AS BIGINT) AS "KEY", CAST(c_acctbal AS DOUBLE) AS "BALANCE", CASE WHEN c_custkey % 7 <> 3 THEN 20.0 - CAST(c_custkey % 2 = 0 AS INTEGER) END::DOUBLE AS area, CASE WHEN c_custkey % 7 <> 3 THEN c_custkey END::DOUBLE AS x0 FROM customer WHERE c_custkey % 10 <> 9')
+def _(spark, sf):
+    rows = RG.scan_shapefile(spark, _stems(spark, sf), ["KEY", "BALANCE"], boxes=True, records=64)
+    return rows.select("KEY", "BALANCE", G.area(G.wkb_rings("wkb")).alias("area"), "x0")
+
+
+@query("sc8_shapefile_box", "SELECT c_name AS \"NAME\" FROM customer WHERE c_custkey % 10 <> 9 AND c_custkey % 7 <> 3 AND c_custkey + 4 >= (SELECT max(c_custkey) FROM customer) / 2 AND c_custkey <= (SELECT max(c_custkey) FROM customer) * 0.9")
+def _(spark, sf):
+    """The box test is pushed to the scan, which skips records by their heads."""
+    top = t(spark, sf, "customer").agg(F.max("c_custkey")).first()[0]
+    rows = RG.scan_shapefile(spark, _stems(spark, sf), ["NAME"], geometry=False, boxes=True, records=64)
+    return rows.where((F.col("x1") >= float(top / 2)) & (F.col("x0") <= float(top * 0.9))).select("NAME")
+
+
 @query("sc9_dbf_header", "SELECT count(*) AS records, 3 AS fields, 'KEY:N:6:0' AS first FROM nation")
 def _(spark, sf):
     data = S.binary(spark, f"{_shapefile(spark, sf)}.dbf").select(F.substring("content", 1, 1 << 16).alias("h")).first()["h"]
@@ -112,6 +151,64 @@ def _(spark, sf):
     return S.raster_pixels(_raster(spark, sf)).drop("path")
 
 
+_ROWS, _COLUMNS = 150, 220
+
+
+@query(
+    "sc14_raster_blocks",
+    """WITH g AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(o_custkey % 150 AS BIGINT) AS row, CAST(o_orderkey % 220 AS BIGINT) AS col, count(*) AS n FROM orders GROUP BY 1, 2, 3),
+    w AS (SELECT year, r.row, c.col FROM (SELECT DISTINCT year FROM g), range(10, 130, 3) r(row), range(7, 200, 3) c(col))
+    SELECT w.year, w.row, w.col, CAST(10 + (w.col + 0.5) * 0.5 AS DOUBLE) AS x, CAST(50 - (w.row + 0.5) * 0.25 AS DOUBLE) AS y, CAST(n AS DOUBLE) AS value FROM w LEFT JOIN g USING (year, row, col)""",
+)
+def _(spark, sf):
+    """Orders per cell and year as tiled, deflated rasters with a predictor, each written by a task; every third pixel of a window is read back, from the tiles that hold one."""
+    to = folder(spark)
+    cells = t(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year"), (F.col("o_custkey") % _ROWS).cast("int").alias("row"), (F.col("o_orderkey") % _COLUMNS).cast("int").alias("col")).agg(F.count(F.lit(1)).alias("n"))
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        year, grid = int(pdf["year"].iloc[0]), np.full((_ROWS, _COLUMNS, 1), -9999, np.int32)
+        grid[pdf["row"], pdf["col"], 0] = pdf["n"]
+        written(f"{to}/{year}.tif", tiled_tiff_bytes(grid, 10.0, 50.0, 0.5, 0.25, (32, 48), 8, 2))
+        return pd.DataFrame({"year": [year]})
+
+    out = None
+    for year in sorted(r["year"] for r in cells.groupBy("year").applyInPandas(write, "year int").collect()):
+        own = RG.scan_raster(spark, f"{to}/{year}.tif", window=(10, 7, 130, 200), every=3, blocks=2).withColumn("year", F.lit(year))
+        out = own if out is None else out.unionByName(own)
+    return out.select("year", "row", "col", "x", "y", "value")
+
+
+def _archives(spark: SparkSession, sf: str) -> list[str]:
+    """An archive per 400 suppliers, each written by a task, a member per supplier."""
+    to = folder(spark)
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = io.BytesIO()
+        with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+            for key, name in sorted(zip(pdf["s_suppkey"], pdf["s_name"], strict=True)):
+                z.writestr(f"d/{key}.txt", name * 3)
+        return pd.DataFrame({"path": [written(f"{to}/{int(pdf['file'].iloc[0])}.zip", made.getvalue())]})
+
+    rows = t(spark, sf, "supplier").select("s_suppkey", "s_name", F.floor(F.col("s_suppkey") / 400).alias("file"))
+    return sorted(r["path"] for r in rows.groupBy("file").applyInPandas(write, "path string").collect())
+
+
+@query("sc15_archive_members", "SELECT 'd/' || CAST(s_suppkey AS VARCHAR) || '.txt' AS name, CAST(3 * length(s_name) AS BIGINT) AS size, true AS ok, sha256(repeat(s_name, 3)) AS sha256 FROM supplier")
+def _(spark, sf):
+    return RG.scan_archives(spark, _archives(spark, sf), members=50).select("name", "size", "ok", "sha256")
+
+
+@query("sc20_streamed_digests", "SELECT CAST(s_suppkey // 400 AS BIGINT) AS file, count(*) AS members, true AS same FROM supplier GROUP BY 1")
+def _(spark, sf):
+    """Digests of whole files, read in chunks, against those of their contents as one value."""
+    paths = _archives(spark, sf)
+    name = lambda c: F.regexp_extract(c, r"([0-9]+)\.zip$", 1).cast("long")
+    streamed = RG.file_digests(spark, paths).select(name(F.col("path")).alias("file"), "sha256")
+    whole = S.binary(spark, paths).select(name(F.col("path")).alias("file"), F.sha2("content", 256).alias("_whole"))
+    members = RG.scan_archives(spark, paths).groupBy(name(F.col("path")).alias("file")).agg(F.count(F.lit(1)).alias("members"))
+    return streamed.join(whole, "file").join(members, "file").select("file", "members", (F.col("sha256") == F.col("_whole")).alias("same"))
+
+
 def _archive(spark: SparkSession, sf: str) -> DataFrame:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

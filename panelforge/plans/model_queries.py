@@ -325,13 +325,77 @@ def _(spark, sf):
     return d.select("dimension", "level", "n", R("delta_r2", 6).alias("delta_r2"))
 
 
+#: Rules that decide which sales make a unit: the primary one, a looser and a stricter one, and one without its second condition.
+_GEOMETRY = {"primary": F.lit(True), "looser": F.col("l_quantity") <= 45, "stricter": F.col("l_quantity") <= 25, "no_floor": F.col("l_discount") <= 0.08}
+_EARLY = 1999
+
+
+def _union_frame(spark, sf):
+    """One row per unit with the blocks of all variants: states and histories at two base epochs, of other definitions, of a unit's largest part and under other rules, contexts of three levels, and two
+    responses. The rows of sales are read once."""
+    lines = t(spark, sf, "lineitem").withColumn("epoch", F.year("l_shipdate")).withColumn("part", F.col("l_linenumber") == 1)
+    values = lambda name, keep: [F.sum(F.when(keep, v)).alias(f"{c}_{name}") for c, v in (("bus", F.col("l_extendedprice")), ("pop", F.col("l_quantity")), ("buv", F.lit(1.0)))]
+    rules = _GEOMETRY | {"dominant": F.col("part")}
+    flows = settled(lines.groupBy(F.col("l_suppkey").alias("unit_id"), "epoch").agg(*[a for n, k in rules.items() for a in values(n, k)]))
+    own = lambda rule: flows.select("unit_id", "epoch", *[F.coalesce(f"{v}_{rule}", F.lit(0.0)).alias(v) for v in ("bus", "pop", "buv")])
+    state = P.state_block(F.col("pop"), F.col("bus"), F.col("buv"), "S3", log=True)
+
+    def made(rule, base, value, name, with_state=True):
+        x = P.trajectories(own(rule), ("bus", "pop", "buv"), base, value)
+        return x.select("unit_id", F.col("H").alias(f"H_{name}"), *([state.alias(f"S_{name}"), F.col("bus").alias(f"bus_{name}")] if with_state else []))
+
+    out = units(spark, sf).join(made("primary", LAST, "bus", "primary"), "unit_id").where("H_primary IS NOT NULL")
+    parts = [made("primary", _EARLY, "bus", "early"), made("primary", LAST, "pop", "people", False), made("dominant", LAST, "bus", "dominant", False)]
+    for x in [*parts, *(made(r, LAST, "bus", r) for r in ("looser", "stricter", "no_floor"))]:
+        out = out.join(x, "unit_id", "left")
+    context = lambda level: P.context_block(F.col("lat"), F.col("lon"), F.col("elev"), F.col("temp"), F.col("rain"), (F.col("temp") / 2, F.col("rain") / 2), S.climate_group(F.col("climate")), level)
+    out = out.withColumns({"S": F.col("S_primary"), "H": F.col("H_primary"), "bus": F.col("bus_primary"), "H_late": F.slice("H_primary", 4, 3), "C0": context("C0"), "C1": context("C1"), "C2": context("C2")})
+    response = F.col("elev") / 1000 + F.coalesce(F.try_element_at("H", F.lit(3)), F.lit(0.0))
+    return settled(out.withColumn("y", response).withColumn("y2", F.log(F.element_at("S", 1) + 1) + F.coalesce(F.try_element_at("H", F.lit(2)), F.lit(0.0))))
+
+
+#: Blocks of the union frame: column and width.
+_BLOCKS = {
+    "S1": ("S", 2), "S2": ("S", 3), "S3": ("S", 4), "S_early": ("S_early", 4), "S_looser": ("S_looser", 4), "S_stricter": ("S_stricter", 4), "S_no_floor": ("S_no_floor", 4), "C0": ("C0", 3), "C1": ("C1", 5), "C2": ("C2", 12),
+    "H": ("H", 6), "H_early": ("H_early", 4), "H_late": ("H_late", 3), "H_people": ("H_people", 6), "H_dominant": ("H_dominant", 6), "H_looser": ("H_looser", 6), "H_stricter": ("H_stricter", 6), "H_no_floor": ("H_no_floor", 6),
+}
+
+
+def _families(y):
+    """The five families of sensitivity comparisons: time, boundary, geometry, context and state, and common support."""
+    c = lambda label, base, h, sample="all": B.Comparison(label, sample, tuple(base.split("+")), (h,), y)
+    return [
+        c("temporal|primary", "S3+C1", "H"), c("temporal|strict_early_history", "S3+C1", "H_early"), c("temporal|strict_early_history_and_state", "S_early+C1", "H_early", "early"), c("temporal|overlapping_only", "S3+C1", "H_late"),
+        c("temporal|early_base", "S_early+C1", "H_early"), c("boundary|aggregate", "S3+C1", "H"), c("boundary|dominant_part", "S3+C1", "H_dominant"), c("boundary|aggregate_of_several", "S3+C1", "H", "several"), c("boundary|dominant_of_several", "S3+C1", "H_dominant", "several"),
+        c("boundary|other_definition", "S3+C1", "H_people"), *[c(f"geometry|{r}", f"S_{r}+C1", f"H_{r}", r) for r in ("looser", "stricter", "no_floor")],
+        *[c(f"context|{s}+{k}", f"{s}+{k}", "H") for s, k in (("S1", "C1"), ("S2", "C1"), ("S3", "C0"), ("S3", "C1"), ("S3", "C2"))], c("support|full", "S3+C1", "H"), c("support|supported", "S3+C1", "H", "supported"), c("support|without_smallest", "S3+C1", "H", "large"),
+    ]
+
+
+def _samples(frame):
+    """The union frame with its cuts, and the samples as conditions."""
+    x = M.mahalanobis(frame.withColumn("_sc", F.concat("S", "C1")), "_sc", 9)
+    cut = A.exact_quantiles(x, "bus", [0.1], "_q")
+    x = settled(x.join(F.broadcast(cut)))
+    there = lambda c: F.col(c).isNotNull()
+    samples = {"all": F.lit(True), "early": there("H_early"), "several": F.col("unit_id") % 3 != 0, "supported": F.col("supported"), "large": F.col("bus") >= F.col("_q")[0]}
+    return x, samples | {r: there(f"H_{r}") for r in ("looser", "stricter", "no_floor")}
+
+
 @query("rs12_sensitivity")
 def _(spark, sf):
-    changes = {
-        "all": lambda d: d, "without_smallest": lambda d: Q.below_quantile(d, "bus", 0.1), "north": lambda d: d.where("lat >= 0"), "south": lambda d: d.where("lat < 0"),
-        "early": lambda d: d.where("born < 1990"), **{f"without_{r.lower()}": lambda d, r=r: d.where(F.col("region") != r) for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")},
-    }
-    return X.sensitivity(_spec_frame(spark, sf), "variant", changes, lambda d: X.evaluate(X.with_folds(d, _SPEC), _SPEC))
+    """All five families from one pass over the union of their blocks; samples of fewer than 50 units have NULLs."""
+    frame, samples = _samples(_union_frame(spark, sf))
+    out = B.compare_all(frame, _BLOCKS, ["y"], samples, _families("y"), boot=200)
+    return out.select(F.split("label", r"\|")[0].alias("family"), "label", "n", *[R(c, 7).alias(c) for c in ("r2_m0", "r2_m1", "delta_r2", "delta_rmse", "delta_r2_lo", "delta_r2_hi")])
+
+
+@query("rs16_compact_battery")
+def _(spark, sf):
+    """The second response through the whole battery: fit, shuffled and predicted histories, early history, context, regions, twins, transfer and autocorrelation, as (experiment, statistic, value)."""
+    frame, samples = _samples(_union_frame(spark, sf))
+    spec = replace(_SPEC, label="second", y="y2", blocks=(("S", 4), ("C1", 5)))
+    return X.compact_battery(frame, spec, _BLOCKS, samples, 300, 50)
 
 
 @query("rs15_quadratic_study")

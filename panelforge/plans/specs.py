@@ -121,6 +121,30 @@ def null_battery(df: DataFrame, spec: Spec, n_shuffled: int, n_random: int, stra
     return B.null_deltas(own, "_base", sum(n for _, n in spec.blocks), spec.y, nulls, width, key=key)
 
 
+def long_rows(df: DataFrame, experiment: Column, statistics: Sequence[str]) -> DataFrame:
+    """(experiment, statistic, value): a row per figure of each row."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("statistic"), F.col(c).cast("double").alias("value")) for c in statistics]))
+    return df.select(experiment.alias("experiment"), cells.alias("_c")).select("experiment", "_c.statistic", "_c.value")
+
+
+def compact_battery(df: DataFrame, spec: Spec, blocks: dict[str, tuple[str, int]], samples: dict[str, Column], n_draws: int, n_transfer: int, region: str = "region", key: str = "unit_id") -> DataFrame:
+    """(experiment, statistic, value) of one response: the comparison and its variants, shuffled and predicted histories, regions held out, twins, transfer, and residual autocorrelation."""
+    own = settled(size_strata(df, region))
+    one = lambda label, base, h, sample="all": B.Comparison(label, sample, base, (h,), spec.y)
+    specs = [one("ridge", ("S3", "C1"), "H"), one("strict_early_history", ("S3", "C1"), "H_early"), one("wide_context", ("S3", "C2"), "H")]
+    fits = B.compare_all(own, blocks, [spec.y], samples, specs, boot=500)
+    out = long_rows(fits, F.concat(F.lit("E1_"), "label"), ("n", "r2_m0", "r2_m1", "delta_r2", "delta_rmse", "delta_r2_lo", "delta_r2_hi"))
+    nulls = B.null_summary(null_battery(own, spec, n_draws, 0, ["stratum"]), "delta_r2")
+    out = out.unionByName(long_rows(nulls, F.concat(F.lit("E1_null_"), F.col("null")), ("n_draws", "observed", "null_mean", "null_q95", "percentile_of_observed", "p_value")))
+    out = out.unionByName(long_rows(region_holdout(own, spec, region), F.concat(F.lit("E1_region_"), region), ("n", "r2_m0", "r2_m1", "delta_r2", "delta_rmse")))
+    twins = twin_block(own, spec, k=5, n_draws=100, boot=100)
+    out = out.unionByName(long_rows(twins, F.lit("E2_twins"), ("n_pairs", "partial_rho", "p_value", "d_r_lo", "d_r_hi", "high_minus_low")))
+    moved = B.null_summary(transfer_nulls(own, spec, n_transfer, ["stratum"], key=key), "delta_rmse", lower=True).where(F.col("null") == "shuffled")
+    out = out.unionByName(long_rows(moved, F.lit("E3_transfer"), ("observed", "null_mean", "null_q05", "p_value")))
+    moran = residual_autocorrelation(own, spec, (8,), 99)
+    return out.unionByName(long_rows(moran, F.concat_ws("_", F.lit("moran"), "model", F.concat(F.lit("k"), F.col("k").cast("string"))), ("morans_i", "p_value")))
+
+
 def pseudo_history(df: DataFrame, spec: Spec, learner: str = "ridge", key: str = "unit_id", trees: int = 500) -> DataFrame:
     """Column `pseudo`: the history as ridge, or one forest of all its elements, predicts it, out of fold, from the base blocks."""
     name, width = spec.history

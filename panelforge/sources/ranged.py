@@ -363,7 +363,7 @@ class _ArchiveReader(DataSourceReader):
                 with opened(path) as f, zipfile.ZipFile(f) as z:
                     n = len(z.infolist())
                 out += [_Range(path, a, min(a + self.members, n)) for a in range(0, n, self.members)]
-            except zipfile.BadZipFile:
+            except (zipfile.BadZipFile, pa.ArrowInvalid):
                 out.append(_Range(path, 0, -1))
         return out or [_Range("", 0, 0)]
 
