@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import is_link, join_ids, ratio, split_ids, strict_pair
 from panelforge.operators.graph import connected
-from panelforge.operators.ordering import row_numbers, settled
+from panelforge.operators.ordering import exact_quantiles, join_counted, row_numbers, settled
 
 
 @dataclass(frozen=True)
@@ -26,16 +26,47 @@ class LinkRules:
     unit_coverage: float = 0.5
 
 
+def _counted_keys(df: DataFrame, key: str) -> DataFrame:
+    """Adds n, the rows of the key; 1 for NULL keys. Counts are partial before they are shuffled, and hot keys' rows stay where they are."""
+    named = df.where(F.col(key).isNotNull())
+    counts = named.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("_rows", F.col("n"))
+    columns = [*df.columns, "n"]
+    return join_counted(named, counts, [key], "_rows").select(columns).unionByName(df.where(F.col(key).isNull()).withColumn("n", F.lit(1).cast("long")).select(columns))
+
+
+def key_classes(left: DataFrame, right: DataFrame, key: str = "key", id: str = "id", check: str | None = None, corroborated: tuple[float, float] = (0.2, 5.0)) -> DataFrame:
+    """One row per key: (key, match, n_left, n_right, l_id, r_id), the ids where the key is single on their side; with `check`, the ratio of that column for one-to-one keys and whether it is
+    corroborated. A key that repeats on both sides is one row, not all of its pairs. Rows with a NULL key are one row per side."""
+    more = [check] if check else []
+    one = lambda c, name: F.when(F.count(F.lit(1)) == 1, F.min(c)).alias(name)
+    side = lambda df, p, n: df.groupBy(F.col(key).alias(f"_{p}")).agg(F.count(F.lit(1)).alias(n), one(id, f"{p}_id"), *[one(c, f"_{p}_{c}") for c in more])
+    both = side(left, "l", "n_left").join(side(right, "r", "n_right"), F.col("_l") == F.col("_r"), "full_outer")
+    match = F.when(F.col("n_right").isNull(), "left_only").when(F.col("n_left").isNull(), "right_only").when((F.col("n_left") > 1) | (F.col("n_right") > 1), "ambiguous_many_sided").otherwise("one_to_one")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = both.select(F.coalesce("_l", "_r").alias(key), match.alias("match"), zero("n_left"), zero("n_right"), "l_id", "r_id", *[f"_{p}_{c}" for p in "lr" for c in more])
+    if not check:
+        return out
+    r = F.when(F.col("match") == "one_to_one", ratio(F.col(f"_l_{check}"), F.col(f"_r_{check}")))
+    return out.withColumn("check_ratio", r).withColumn("corroborated", F.coalesce(r.between(*corroborated), F.lit(False))).drop(f"_l_{check}", f"_r_{check}")
+
+
+def member_lists(members: DataFrame, by: str = "cluster_id", id: str = "unit_id", chunk: int = 4096) -> DataFrame:
+    """(by, unit_ids): each group's ids in order, `;`-joined. Ids are numbered over range partitions, so a group of any size is joined from pieces of `chunk` ids; only the text itself is one value."""
+    placed = row_numbers(members.select(by, id).distinct(), [id], "_at", by=[by]).withColumn("_piece", F.floor(F.col("_at") / chunk))
+    pieces = placed.groupBy(by, "_piece").agg(join_ids(F.collect_list(id)).alias("_text"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_piece", "_text"))), lambda x: x["_text"])
+    return pieces.groupBy(by).agg(F.array_join(ordered, ";").alias("unit_ids"))
+
+
 def correspond(left: DataFrame, right: DataFrame, key: str = "key", check: str | None = None, corroborated: tuple[float, float] = (0.2, 5.0), core: Column | None = None) -> DataFrame:
     """Full outer match of two registries on a key.
 
     match: `one_to_one`, `ambiguous_many_sided`, `left_only` or `right_only`. With `check`, the ratio of that
     column (left over right) must lie in `corroborated`; `core` is a further condition, over l_ and r_ columns, for the core sample. NULL keys
-    match nothing.
+    match nothing. A key that repeats on both sides has a row for each of its pairs; where that is too many, `key_classes` has one row per key.
     """
     tag = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
-    n = lambda df: df.withColumn("n", F.when(F.col(key).isNotNull(), F.count(F.lit(1)).over(Window.partitionBy(key))).otherwise(F.lit(1)))
-    a, b = tag(n(left), "l"), tag(n(right), "r")
+    a, b = tag(_counted_keys(left, key), "l"), tag(_counted_keys(right, key), "r")
     both = a.join(b, a[f"l_{key}"] == b[f"r_{key}"], "full_outer")
     match = F.when(F.col("r_n").isNull(), "left_only").when(F.col("l_n").isNull(), "right_only").when((F.col("l_n") > 1) | (F.col("r_n") > 1), "ambiguous_many_sided").otherwise("one_to_one")
     out = both.withColumn("match", match)
@@ -127,44 +158,50 @@ def cluster_classes(links: DataFrame, valid: DataFrame) -> DataFrame:
 def usable_units(links: DataFrame, valid: DataFrame, sample: DataFrame, rules: LinkRules = LinkRules()) -> DataFrame:
     """Clusters that can serve as units: stars of one country with a valid response, all members in the sample, covered enough."""
     marked = links.join(sample.select("unit_id", F.lit(True).alias("_in")).distinct(), "unit_id", "left").join(valid, "cluster_id", "left")
-    own = marked.groupBy("cluster_id").agg(
-        F.bool_and((F.col("comp_clusters") == 1) & (F.col("n_clusters") == 1) & (F.col("pair_class") != "E_cross_country_cluster") & F.coalesce("_in", F.lit(False)) & F.coalesce("valid", F.lit(False))).alias("ok"),
-        F.countDistinct("unit_id").alias("n_units"), F.collect_set("unit_id").alias("ids"), ratio(F.sum("inter"), F.first("a_cluster")).alias("coverage"),
-    )
-    return own.where(F.col("ok") & (F.col("coverage") >= rules.unit_coverage)).select("cluster_id", "n_units", join_ids(F.col("ids")).alias("unit_ids"), "coverage", unit_type(F.col("n_units")))
+    fits = (F.col("comp_clusters") == 1) & (F.col("n_clusters") == 1) & (F.col("pair_class") != "E_cross_country_cluster") & F.coalesce("_in", F.lit(False)) & F.coalesce("valid", F.lit(False))
+    own = marked.groupBy("cluster_id").agg(F.bool_and(fits).alias("ok"), F.count(F.lit(1)).alias("n_units"), ratio(F.sum("inter"), F.first("a_cluster")).alias("coverage"))
+    usable = settled(own.where(F.col("ok") & (F.col("coverage") >= rules.unit_coverage)))
+    lists = member_lists(links.join(usable.select("cluster_id"), "cluster_id", "left_semi"))
+    return usable.join(lists, "cluster_id").select("cluster_id", "n_units", "unit_ids", "coverage", unit_type(F.col("n_units")))
 
 
 def unit_type(n: Column) -> Column:
     return F.when(n == 1, "single_city").otherwise("multi_city_aggregate").alias("unit_type")
 
 
-def cluster_status(links: DataFrame, coverage: Column | float, iou: Column | float | None = None, require_valid: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
-    """One row per cluster (and per value of `by`, for sweeps): coverage, unit IoU, and the first status that holds of
-    invalid_R, cross_country, ambiguous_nonstar, low_coverage, low_iou, unit. `coverage` and `iou` may be literal or a column."""
+def cluster_status(links: DataFrame, coverage: Column | float, iou: Column | float | None = None, require_valid: bool = True, lists: bool = True) -> DataFrame:
+    """One row per cluster: coverage, unit IoU, and the first status that holds of
+    invalid_R, cross_country, ambiguous_nonstar, low_coverage, low_iou, unit. `coverage` and `iou` may be literal or a column. `lists` adds unit_ids, made last; without
+    it a hub's members never meet. A link is one row per pair of unit and cluster."""
     lift = lambda x: x if isinstance(x, Column) else F.lit(x)
-    own = links.groupBy("cluster_id", *by).agg(
-        F.countDistinct("unit_id").alias("n_units"), join_ids(F.collect_set("unit_id")).alias("unit_ids"), F.first("a_cluster").alias("a_cluster"),
-        F.sum("inter").alias("_i"), F.sum("a_unit").alias("_u"), F.first("valid").alias("valid"), F.countDistinct("country").alias("_c"),
+    own = links.groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("n_units"), F.first("a_cluster").alias("a_cluster"),
+        F.sum("inter").alias("_i"), F.sum("a_unit").alias("_u"), F.first("valid").alias("valid"), (F.min("country") < F.max("country")).alias("_c"),
         F.bool_and((F.col("comp_clusters") == 1) & (F.col("n_clusters") == 1)).alias("_star"),
     )
     own = own.withColumn("coverage", ratio(F.col("_i"), F.col("a_cluster"))).withColumn("unit_iou", ratio(F.col("_i"), F.col("_u") + F.col("a_cluster") - F.col("_i")))
-    status = F.when(F.lit(require_valid) & ~F.coalesce("valid", F.lit(False)), "invalid_R").when(F.col("_c") > 1, "cross_country").when(~F.col("_star"), "ambiguous_nonstar").when(F.col("coverage") < lift(coverage) - 1e-12, "low_coverage")
+    status = F.when(F.lit(require_valid) & ~F.coalesce("valid", F.lit(False)), "invalid_R").when(F.col("_c"), "cross_country").when(~F.col("_star"), "ambiguous_nonstar").when(F.col("coverage") < lift(coverage) - 1e-12, "low_coverage")
     if iou is not None:
         status = status.when(F.col("unit_iou") < lift(iou) - 1e-12, "low_iou")
-    return own.withColumn("status", status.otherwise("unit")).drop("_i", "_u", "_c", "_star")
+    out = own.withColumn("status", status.otherwise("unit")).drop("_i", "_u", "_c", "_star")
+    return out.join(member_lists(links), "cluster_id") if lists else out
 
 
 def sweep(links: DataFrame, rules: DataFrame) -> DataFrame:
     """Statistics of many rules in one pass: `rules` has rule, min_coverage and min_iou (NULL: none); a few rows, which are broadcast. Clusters are
     aggregated once; only their statuses multiply with the rules."""
-    own = cluster_status(links, 0.0)
+    own = settled(cluster_status(links, 0.0, lists=False))
     crossed = own.join(F.broadcast(rules))
     status = F.when(F.col("status") != "unit", F.col("status")).when(F.col("coverage") < F.col("min_coverage") - 1e-12, "low_coverage").when(F.col("unit_iou") < F.col("min_iou") - 1e-12, "low_iou").otherwise("unit")
     good = F.col("s") == "unit"
-    return crossed.withColumn("s", status).groupBy("rule").agg(
+    judged = crossed.withColumn("s", status)
+    sums = judged.groupBy("rule").agg(
         F.count_if(good).alias("n_units"), F.count_if(good & (F.col("n_units") == 1)).alias("n_single"), F.count_if(good & (F.col("n_units") > 1)).alias("n_multi"),
-        F.coalesce(F.sum(F.when(good, F.col("n_units"))), F.lit(0)).alias("n_members"), F.avg(F.when(good, F.col("coverage"))).alias("mean_coverage"), F.percentile(F.when(good, F.col("unit_iou")), F.lit(0.5)).alias("median_iou"),
+        F.coalesce(F.sum(F.when(good, F.col("n_units"))), F.lit(0)).alias("n_members"), F.avg(F.when(good, F.col("coverage"))).alias("mean_coverage"),
     )
+    # One row per rule.
+    medians = exact_quantiles(judged.where(good), "unit_iou", [0.5], "_q", ["rule"]).select(F.col("rule").alias("_rule"), F.col("_q")[0].alias("median_iou"))
+    return sums.join(F.broadcast(medians), F.col("rule") == F.col("_rule"), "left").drop("_rule")
 
 
 def aggregate_units(units: DataFrame, members: DataFrame, sums: dict[str, str], weight: str, means: list[str], carried: list[str]) -> DataFrame:

@@ -49,24 +49,30 @@ def _cells(df: DataFrame, cell: float) -> DataFrame:
 
 
 def _edge_table(rings) -> np.ndarray:
-    """Edges (x1, y1, x2, y2) of closed rings, lower end first; level ones bound no area between heights and are left out."""
-    parts = []
-    for ring in rings:
-        p = np.array([(q["x"], q["y"]) for q in ring], float).reshape(-1, 2)
-        parts.append(np.hstack([p, np.roll(p, -1, axis=0)]))
-    e = np.concatenate(parts) if parts else np.empty((0, 4))
+    """Edges (x1, y1, x2, y2) of closed rings."""
+    parts = [np.array([(q["x"], q["y"]) for q in ring], float).reshape(-1, 2) for ring in rings]
+    return np.concatenate([np.hstack([p, np.roll(p, -1, axis=0)]) for p in parts]) if parts else np.empty((0, 4))
+
+
+def intersection_area(a, b) -> float:
+    """Area of the common part of two polygons given as rings."""
+    return common_area(_edge_table(a), _edge_table(b))
+
+
+def _upwards(e: np.ndarray) -> np.ndarray:
+    """Edges with their lower end first; level ones bound no area between heights and are left out."""
     e = e[e[:, 1] != e[:, 3]]
     return np.where((e[:, 1] > e[:, 3])[:, None], e[:, [2, 3, 0, 1]], e)
 
 
-def intersection_area(a, b, rounds: int = 64, most: int = 1 << 20) -> float:
+def common_area(ea: np.ndarray, eb: np.ndarray, rounds: int = 64, most: int = 1 << 20) -> float:
     """Area of the common part of two polygons with holes, concave or not.
 
     Heights of all corners cut the plane into slabs. In a slab whose edges keep their order, the length of the common part changes linearly with the height, so its area is
     that length at half height times the slab's height. Slabs where neighbouring edges change places are cut at those crossings and looked at again. Slabs are handled
     together in arrays, as long as they have no more than `most` edges: the work is that of sorting pairs of slabs and edges in them, n log n where a level line meets few edges.
     """
-    ea, eb = _edge_table(a), _edge_table(b)
+    ea, eb = _upwards(ea), _upwards(eb)
     if not len(ea) or not len(eb):
         return 0.0
     low, high = max(ea[:, 1].min(), eb[:, 1].min()), min(ea[:, 3].max(), eb[:, 3].max())
@@ -145,9 +151,11 @@ def overlay(left: DataFrame, right: DataFrame, cell: float, left_id: str = "left
 
     @F.pandas_udf("double")
     def common(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([intersection_area(p, q) for p, q in zip(x, y, strict=True)], dtype=float)
+        return pd.Series([common_area(np.reshape(p, (-1, 4)), np.reshape(q, (-1, 4))) for p, q in zip(x, y, strict=True)], dtype=float)
 
-    other = once.where(~filled).join(left.select(left_id, F.col(rings).alias("_ra")), left_id).join(right.select(right_id, F.col(rings).alias("_rb")), right_id)
+    # Flat arrays of ends: rings of unlike lengths don't make an array of arrays.
+    flat = F.flatten(F.transform(edges(F.col(rings)), lambda e: F.array(e["x1"], e["y1"], e["x2"], e["y2"])))
+    other = once.where(~filled).join(left.select(left_id, flat.alias("_ra")), left_id).join(right.select(right_id, flat.alias("_rb")), right_id)
     return once.where(filled).withColumn("inter", across).select(names).unionByName(other.withColumn("inter", common("_ra", "_rb")).select(names)).where("inter > 0")
 
 

@@ -81,6 +81,18 @@ def _(spark, sf):
     return L.correspond(a, b, "key", "v", core=F.col("r_v") > 2000).select("l_id", "r_id", "match", "corroborated", "core")
 
 
+@query(
+    "jn7_key_classes",
+    f"""WITH a AS (SELECT key, count(*) AS n_left, min(id) AS id, min(v) AS v FROM ({_A}) GROUP BY 1), b AS (SELECT key, count(*) AS n_right, min(id) AS id, min(v) AS v FROM ({_B}) GROUP BY 1)
+    SELECT coalesce(a.key, b.key) AS key, CASE WHEN n_right IS NULL THEN 'left_only' WHEN n_left IS NULL THEN 'right_only' WHEN n_left > 1 OR n_right > 1 THEN 'ambiguous_many_sided' ELSE 'one_to_one' END AS match,
+        coalesce(n_left, 0) AS n_left, coalesce(n_right, 0) AS n_right, CASE WHEN n_left = 1 THEN a.id END AS l_id, CASE WHEN n_right = 1 THEN b.id END AS r_id, coalesce(n_left = 1 AND n_right = 1 AND a.v / nullif(b.v, 0) BETWEEN 0.2 AND 5, false) AS corroborated
+    FROM a FULL OUTER JOIN b ON a.key = b.key""",
+)
+def _(spark, sf):
+    a, b = _registries(spark, sf)
+    return L.key_classes(a, b, "key", "id", "v").drop("check_ratio")
+
+
 @query(
     "jn5_matched_pull",
     f"""WITH a AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM ({_A})), b AS (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM ({_B}))
@@ -122,6 +134,35 @@ def _(spark, sf):
     return G.overlay(a, b, 25.0).select("left_id", "right_id", R("inter", 6).alias("inter"))
 
 
+# A frame with a notch and a hole: its box less two rectangles. A shear moves no area, so slanted outlines have the areas of the upright ones.
+_FRAME = """f AS (SELECT {id}, x0, y0, x1, y1, 1 AS s FROM ({sql}) UNION ALL SELECT {id}, x0, y0 + 0.75 * (y1 - y0), x0 + 0.5 * (x1 - x0), y1, -1 FROM ({sql}) UNION ALL SELECT {id}, x0 + 0.25 * (x1 - x0), y0 + 0.25 * (y1 - y0), x0 + 0.5 * (x1 - x0), y0 + 0.5 * (y1 - y0), -1 FROM ({sql}))"""
+_BOXED = lambda sql: f"SELECT *, {_RECT} FROM ({sql})"
+
+
+def _frames(df, key, name, a, b, w, h, shear=0.3):
+    """Concave polygons with a hole, as in _FRAME, sheared."""
+    k = F.col(key)
+    x0, y0 = (k * a % 1000).cast("double"), (k * b % 1000).cast("double")
+    w, h = w.cast("double"), h.cast("double")
+    point = lambda fx, fy: F.struct((x0 + w * fx + (y0 + h * fy) * shear).alias("x"), (y0 + h * fy).alias("y"))
+    outer = F.array(point(0, 0), point(1, 0), point(1, 1), point(0.5, 1), point(0.5, 0.75), point(0, 0.75))
+    hole = F.array(point(0.25, 0.25), point(0.25, 0.5), point(0.5, 0.5), point(0.5, 0.25))
+    return df.select(k.alias(name), F.array(outer, hole).alias("rings"))
+
+
+@query(
+    "jn8_overlay_concave",
+    f"""WITH a AS (WITH {_FRAME.format(id="left_id", sql=_BOXED(_L))} SELECT * FROM f), b AS (WITH {_FRAME.format(id="right_id", sql=_BOXED(_Rr))} SELECT * FROM f),
+    p AS (SELECT left_id, right_id, sum(a.s * b.s * (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))) AS inter FROM a JOIN b ON a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 GROUP BY 1, 2)
+    SELECT left_id, right_id, round(inter, 5) AS inter FROM p WHERE inter > 1e-7""",
+)
+def _(spark, sf):
+    p, s = F.col("p_size"), F.col("s_suppkey")
+    a = _frames(t(spark, sf, "part"), "p_partkey", "left_id", 37, 53, p % 9 + 2, p % 7 + 2)
+    b = _frames(t(spark, sf, "supplier"), "s_suppkey", "right_id", 91, 17, s % 23 + 10, s % 31 + 10)
+    return G.overlay(a, b, 25.0).where("inter > 1e-7").select("left_id", "right_id", R("inter", 5).alias("inter"))
+
+
 _XY = f"WITH {U}, p AS (SELECT unit_id, region, lat, lon, [cos(radians(lat)) * cos(radians(lon)), cos(radians(lat)) * sin(radians(lon)), sin(radians(lat))] AS x, elev FROM units)"
 _D = "sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
 
@@ -270,7 +311,7 @@ def _(spark, sf):
 
 @query("fl9_units_of_rule", f"WITH RECURSIVE {LINKS}, {_STATUS} SELECT cluster_id, CASE WHEN n_units = 1 THEN 'single_city' ELSE 'multi_city_aggregate' END AS unit_type FROM st WHERE {_CASE.format(c=0.4, i='CAST(NULL AS DOUBLE)')} = 'unit'")
 def _(spark, sf):
-    return L.cluster_status(_valid_links(spark, sf), 0.4).where("status = 'unit'").select("cluster_id", L.unit_type(F.col("n_units")))
+    return L.cluster_status(_valid_links(spark, sf), 0.4, lists=False).where("status = 'unit'").select("cluster_id", L.unit_type(F.col("n_units")))
 
 
 @query(
@@ -380,7 +421,7 @@ def _(spark, sf):
 
 @query("ag24_aggregation_structure", f"WITH RECURSIVE {LINKS}, {_STATUS} SELECT n_units AS members, count(*) AS n_clusters, sum(CASE WHEN {_CASE.format(c=0.5, i='CAST(NULL AS DOUBLE)')} = 'unit' THEN 1 ELSE 0 END)::BIGINT AS n_usable FROM st GROUP BY 1")
 def _(spark, sf):
-    return L.cluster_status(_valid_links(spark, sf), 0.5).groupBy(F.col("n_units").alias("members")).agg(F.count(F.lit(1)).alias("n_clusters"), F.count_if(F.col("status") == "unit").alias("n_usable"))
+    return L.cluster_status(_valid_links(spark, sf), 0.5, lists=False).groupBy(F.col("n_units").alias("members")).agg(F.count(F.lit(1)).alias("n_clusters"), F.count_if(F.col("status") == "unit").alias("n_usable"))
 
 
 @query("ag25_fold_feasibility", f"WITH {U} SELECT region, CAST(unit_id % 5 AS INTEGER) AS fold, count(*) AS n, count(*) >= 3 AS feasible FROM units GROUP BY 1, 2")
