@@ -6,9 +6,10 @@ that one set alone holds, so these need not be kept: a set in which they fill th
 under the first order; where both sets are at hand, those that share none under the second and third go before the overlap is counted.
 
 Scale: tokens meet in buckets by hash, packed, six bytes and the place in their block each, and only those that several sets hold come back to their block. Tokens that
-many sets of one block hold are counted per block and dealt by token and block, so no bucket gets a frequent token's sets. Equal sets collapse by their digest. Large families of near
-copies are joined by stars to a few centres per token first; then only pairs of documents that are still apart are made, tile by tile,
-and all of them are. Sets travel to cells of bounded size, once for all their pairs there, so no document or token is a hot key.
+many sets of one block hold are counted per block and dealt by token and block, so no bucket gets a frequent token's sets. Equal sets collapse by their digest. Copies
+are joined by stars to a few centres per token first. What tokens still connect then is a family: its sets travel to tasks of bounded size, in pairs of stripes if they are
+many, where all pairs that are still apart are looked at; no table of pairs is made, and no document or token is a hot key. The work on one
+family grows with the square of its documents that stay apart, over as many tasks.
 
 Defined cases: null texts and texts without words have the empty set, are linked with nothing and keep their own key; fewer words than a shingle make
 one shingle of the whole sequence; rows that repeat are linked; a null key links others but names no component (null where all keys are); a
@@ -231,61 +232,81 @@ def _postings(percent: int):
     return run
 
 
-def _cross_pairs(percent: int):
-    """Pairs of documents of two chunks of a token's documents, of unlike components and sizes that allow a link."""
-
-    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def side(batch: pa.RecordBatch, c: str) -> tuple:
-            column = batch.column(c)
-            fields = column.values
-            return column.offsets.to_numpy(), *(fields.field(k).to_numpy() for k in range(3))
-
-        for batch in arrow:
-            (xo, xn, xr, xs), (yo, yn, yr, ys) = side(batch, "x"), side(batch, "y")
-            for i in range(batch.num_rows):
-                a, b = slice(xo[i], xo[i + 1]), slice(yo[i], yo[i + 1])
-                apart = xr[a][:, None] != yr[b][None, :]
-                few, many = np.minimum(xs[a][:, None], ys[b][None, :]), np.maximum(xs[a][:, None], ys[b][None, :])
-                u, v = np.nonzero(apart & (100 * few.astype(np.int64) >= percent * many.astype(np.int64)))
-                u, v = xn[a][u], yn[b][v]
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
-
-    return run
+class _Cell:
+    """The sets of one task: their tokens as numbers, and their prefixes under the three orders."""
 
+    def __init__(self, tokens: list[np.ndarray], levels: list[np.ndarray], n: np.ndarray, percent: int):
+        self.n, self.percent = n, percent
+        self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        values, ids = np.unique(np.concatenate([*tokens, np.empty(0, np.uint64)]), return_inverse=True)
+        ends = np.cumsum(self.size)
+        self.whole = [ids[e - k : e] for e, k in zip(ends, self.size, strict=True)]
+        self.heads: list[list[np.ndarray]] = [[], [], []]
+        for t, z, k in zip(tokens, levels, self.size - needed(n, percent) + 1, strict=True):
+            for own, head in zip(self.heads, prefixes(t, z, int(k)), strict=True):
+                own.append(np.searchsorted(values, head))
+        self.mark = np.zeros(len(values), bool)
 
-def linked(tokens: list[np.ndarray], levels: list[np.ndarray], n: np.ndarray, u: np.ndarray, v: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of indices are links: sizes, then prefixes under the second and third order, then the overlap."""
-    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    values, ids = np.unique(np.concatenate([*tokens, np.empty(0, np.uint64)]), return_inverse=True)
-    ends = np.cumsum(size)
-    whole = [ids[e - k : e] for e, k in zip(ends, size, strict=True)]
-    heads: list[list[np.ndarray]] = [[], []]
-    for t, z, k in zip(tokens, levels, size - needed(n, percent) + 1, strict=True):
-        _, second, third = prefixes(t, z, int(k))
-        heads[0].append(np.searchsorted(values, second))
-        heads[1].append(np.searchsorted(values, third))
-    good, mark = np.zeros(len(u), bool), np.zeros(len(values), bool)
-
-    def common(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-        mark[own] = True
+    def _common(self, own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        self.mark[own] = True
         starts = np.cumsum([0, *map(len, others)][:-1])
-        found = np.add.reduceat(mark[np.concatenate(others)], starts, dtype=np.int64)
-        mark[own] = False
+        found = np.add.reduceat(self.mark[np.concatenate(others)], starts, dtype=np.int64)
+        self.mark[own] = False
         return found
 
-    order = np.argsort(u, kind="stable")
+    def partners(self, x: int, ys: np.ndarray, orders: tuple[int, ...]) -> np.ndarray:
+        """Which of `ys` are linked to x: by their sizes, by prefixes under the given orders, then by the overlap."""
+        n, percent = self.n, self.percent
+        ys = ys[(100 * np.minimum(n[x], n[ys]) >= percent * np.maximum(n[x], n[ys])) & (ys != x)]
+        for k in orders:
+            ys = ys[self._common(self.heads[k][x], [self.heads[k][y] for y in ys]) > 0] if len(ys) else ys
+        good = [np.empty(0, np.int64)]
+        for some in np.split(ys, np.flatnonzero(np.diff(np.cumsum(self.size[ys]) // (1 << 22))) + 1) if len(ys) else ():
+            both = self._common(self.whole[x], [self.whole[y] for y in some])
+            good.append(some[100 * both >= percent * (n[x] + n[some] - both)])
+        return np.concatenate(good)
+
+    def forest(self, roots: np.ndarray, stripe: np.ndarray | None) -> PairForest:
+        """Links that join trees which `roots` and earlier links leave apart. Candidates share a prefix token under the first order; all of them that are still apart are looked at, those
+        of one stripe left out where `stripe` is given."""
+        forest = PairForest(len(self.n))
+        _, first, which = np.unique(roots, return_index=True, return_inverse=True)
+        forest.up = first[which]
+        counts = np.fromiter(map(len, self.heads[0]), np.int64, len(self.n))
+        token, owner = np.concatenate([*self.heads[0], np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(self.n)), counts)
+        order = np.lexsort((owner, token))
+        token, owner = token[order], owner[order]
+        starts, ends = (np.searchsorted(token, np.arange(len(self.mark)), side) for side in ("left", "right"))
+        for x, head in enumerate(self.heads[0]):
+            lists = [owner[starts[t] : ends[t]] for t in head if ends[t] - starts[t] > 1]
+            if not lists:
+                continue
+            ys = np.unique(np.concatenate(lists))
+            ys = ys[ys > x]
+            ys = ys if stripe is None else ys[stripe[ys] != stripe[x]]
+            ys = ys[forest.roots(ys) != forest.roots(np.array([x]))]
+            good = self.partners(x, ys, (1, 2))
+            forest.link(np.full(len(good), x), good)
+        return forest
+
+
+def linked(tokens: list[np.ndarray], levels: list[np.ndarray], n: np.ndarray, u: np.ndarray, v: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of indices are links."""
+    cell, good, order = _Cell(tokens, levels, n, percent), np.zeros(len(u), bool), np.argsort(u, kind="stable")
     for at in np.split(order, np.flatnonzero(np.diff(u[order])) + 1) if len(u) else ():
-        x = u[at[0]]
-        at = at[(100 * np.minimum(n[x], n[v[at]]) >= percent * np.maximum(n[x], n[v[at]])) & (v[at] != x)]
-        for head in heads:
-            at = at[common(head[x], [head[y] for y in v[at]]) > 0] if len(at) else at
-        for some in np.split(at, np.flatnonzero(np.diff(np.cumsum(size[v[at]]) // (1 << 22))) + 1) if len(at) else ():
-            both = common(whole[x], [whole[y] for y in v[some]])
-            good[some] = 100 * both >= percent * (n[x] + n[v[some]] - both)
+        good[at] = np.isin(v[at], cell.partners(int(u[at[0]]), np.unique(v[at]), (1, 2)))
     return good
 
 
+def _arrays(held: pd.DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    return [np.frombuffer(x, "<u8") for x in held["tokens"]], [np.frombuffer(x, np.uint8) for x in held["levels"]], held["n"].to_numpy(np.int64)
+
+
+def _edges(forest: PairForest, node: np.ndarray) -> pd.DataFrame:
+    a, b = (np.concatenate([pair[k] for pair in forest.kept] or [np.empty(0, np.int64)]) for k in (0, 1))
+    return pd.DataFrame({"u": node[a], "v": node[b]})
+
+
 def verified(pairs: DataFrame, sets: DataFrame, grid: int, percent: int) -> DataFrame:
     """The links among `pairs` (u, v). Pairs are dealt to grid x grid cells by their ends, and each set goes once to each cell where it has pairs."""
     cell = lambda c: F.pmod(F.xxhash64(c, F.lit(11)), F.lit(grid)).cast("int")
@@ -298,13 +319,11 @@ def verified(pairs: DataFrame, sets: DataFrame, grid: int, percent: int) -> Data
         node = held["node"].to_numpy(np.int64)
         order = np.argsort(node)
         u, v = (order[np.searchsorted(node[order], own[c].to_numpy(np.int64))] for c in ("u", "v"))
-        tokens, levels = [np.frombuffer(x, "<u8") for x in held["tokens"]], [np.frombuffer(x, np.uint8) for x in held["levels"]]
-        good = linked(tokens, levels, held["n"].to_numpy(np.int64), u, v, percent)
+        good = linked(*_arrays(held), u, v, percent)
         # Of the links a spanning forest tells all that components need.
         forest = PairForest(len(node))
         forest.link(u[good], v[good])
-        a, b = (np.concatenate([pair[k] for pair in forest.kept] or [np.empty(0, np.int64)]) for k in (0, 1))
-        return pd.DataFrame({"u": node[a], "v": node[b]})
+        return _edges(forest, node)
 
     return dealt.groupBy("i", "j").cogroup(there.groupBy("ci", "cj")).applyInPandas(check, "u long, v long")
 
@@ -316,15 +335,35 @@ def _with_centres(postings: DataFrame, seeds: int) -> DataFrame:
     return join_counted(postings, table, ["token"], "_m")
 
 
-def _all_pairs(rooted: DataFrame, percent: int, chunk: int = 256) -> DataFrame:
-    """Pairs of documents of unlike components that share a prefix token."""
-    table = rooted.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    table = table.select("token", "m", F.col("m").alias("_m"))
-    part = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("m") / chunk)).cast("int")
-    dealt = join_counted(rooted, table, ["token"], "_m").withColumn("part", part)
-    chunks = store(dealt.groupBy("token", "part").agg(F.collect_list(F.struct("node", "root", "n")).alias("own")), "chunks")
-    both = chunks.select("token", F.col("part").alias("i"), F.col("own").alias("x")).join(chunks.select("token", F.col("part").alias("j"), F.col("own").alias("y")), "token")
-    return both.where("i <= j").select("x", "y").mapInArrow(_cross_pairs(percent), "u long, v long").distinct()
+def _apart(rooted: DataFrame, sets: DataFrame, percent: int, cell_bytes: int) -> DataFrame:
+    """Links between documents of unlike roots that share a prefix token, as far as they join such roots.
+
+    Only documents of tokens with several roots take part. Those that such tokens connect are a family; a family's sets meet in one task, small families together, large ones in pairs of
+    stripes. Pairs are looked at where their sets are, and only links are rows.
+    """
+    spark = sets.sparkSession
+    table = rooted.groupBy("token").agg(F.count(F.lit(1)).alias("_m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("m")).where("lo <> hi")
+    opened = store(join_counted(rooted.select("token", "node", "root"), table.select("token", "_m", "m"), ["token"], "_m").groupBy("node", "root", "m").agg(F.count(F.lit(1)).alias("_t")), "open")
+    joined = connected_components(opened.select(F.col("node").alias("u"), F.col("m").alias("v")))
+    named = opened.select("node", "root").distinct().join(joined.select("node", F.col("root").alias("family")), "node")
+    held = store(sets.select("node", "n", "tokens", "levels").join(named, "node"), "open-sets")
+    sizes = held.groupBy("family").agg(F.count(F.lit(1)).alias("_m"), F.ceil(F.sum(F.length("tokens")) / cell_bytes).cast("int").alias("g"))
+    small = sizes.where("g = 1").agg(F.sum("_m")).first()[0] or 0
+    tasks = max(salted_partitions(spark), -(-small // 4096))
+    dealt = join_counted(held, sizes, ["family"], "_m").withColumn("s", F.pmod(F.xxhash64("node", F.lit(5)), "g").cast("int"))
+    cells = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(
+        F.when(F.col("g") > 1, F.col("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(tasks))).alias("cell"), (F.col("g") > 1).alias("large"), F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"),
+        "s", "node", "root", "n", "tokens", "levels",
+    )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        release()
+        pdf = pdf.sort_values("node", kind="stable")
+        across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+        forest = _Cell(*_arrays(pdf), percent).forest(pdf["root"].to_numpy(np.int64), pdf["s"].to_numpy() if across else None)
+        return _edges(forest, pdf["node"].to_numpy(np.int64))
+
+    return cells.groupBy("large", "cell", "i", "j").applyInPandas(run, "u long, v long")
 
 
 def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, frequent: int | None = None, cell_bytes: int = 1 << 24) -> DataFrame:
@@ -355,28 +394,23 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     octets = sets.agg(F.sum(F.length("tokens"))).first()[0] or 0
     grid = max(int(np.ceil(np.sqrt(2 * salted_partitions(spark)))), -(-octets // cell_bytes))
     stars = postings.select("node", F.explode("centres").alias("u")).where("u <> node").select("u", F.col("node").alias("v")).distinct()
-    links, roots = store(verified(stars, sets, grid, percent), "links"), None
-    if not links.isEmpty():
-        roots = store(connected_components(links), "roots")
-    # All pairs that share a prefix token and are still apart.
-    rooted = postings.select("token", "node", "n")
-    rooted = rooted.withColumn("root", F.col("node")) if roots is None else rooted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    pairs = store(_all_pairs(store(rooted, "rooted"), percent), "pairs")
-    if not pairs.isEmpty():
-        found = store(verified(pairs, sets, grid, percent), "further")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            roots = store(connected_components(links), "roots")
+    links = store(verified(stars, sets, grid, percent), "links")
+    # A document's root is a centre it is linked to, or that one's: not all of its component, but nothing beside it.
+    near = links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
+    above = near.select(F.col("node").alias("root"), F.col("root").alias("_top"))
+    near = near.join(above, "root", "left").select("node", F.least("root", "_top").alias("root"))
+    rooted = postings.select("token", "node").join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    further = store(_apart(store(rooted, "rooted"), sets, percent, cell_bytes >> 2), "further")
+    roots = store(connected_components(links.unionByName(further)), "roots")
 
     texts = store(counted.where(F.col("kind") == DOCUMENTS).select("a", "b", "c", "d").mapInArrow(_texts, "_key long, n_shingles long, digest binary"), "texts")
     some = texts.where("n_shingles > 0")
     named = some.groupBy("digest").agg(F.min("_key").alias("component_id"), F.count(F.lit(1)).alias("_n"))
-    if roots is not None:
-        named = store(named, "named")
-        rooted = sets.select("node", "digest").join(roots, "node").join(named.select("digest", "component_id"), "digest")
-        least = rooted.groupBy("root").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("_m"))
-        least = join_counted(rooted.select("digest", "root"), least, ["root"], "_m").select("digest", "least")
-        named = named.join(least, "digest", "left").select("digest", F.coalesce("least", "component_id").alias("component_id"), "_n")
+    named = store(named, "named")
+    rooted = sets.select("node", "digest").join(roots, "node").join(named.select("digest", "component_id"), "digest")
+    least = rooted.groupBy("root").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("_m"))
+    least = join_counted(rooted.select("digest", "root"), least, ["root"], "_m").select("digest", "least")
+    named = named.join(least, "digest", "left").select("digest", F.coalesce("least", "component_id").alias("component_id"), "_n")
     out = join_counted(some.select("_key", "n_shingles", "digest"), named, ["digest"], "_n").select("_key", "n_shingles", "component_id")
     none = texts.where("n_shingles = 0").select("_key", "n_shingles", F.col("_key").alias("component_id"))
     return out.unionByName(none).withColumnRenamed("_key", key)
