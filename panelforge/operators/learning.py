@@ -40,13 +40,17 @@ def zscore(df: DataFrame, x: str, width: int, out: str | None = None, fit_on: Da
     return df.withColumn(out or x, scaled(x, column_stats(df if fit_on is None else fit_on, x, width)))
 
 
-def robust_scale(df: DataFrame, x: str, width: int, out: str | None = None) -> DataFrame:
-    """(value - median) / interquartile range, exact."""
+def robust_stats(df: DataFrame, x: str, width: int) -> list[tuple[float, float]]:
+    """(median, interquartile range) of each column of an array column, exact; a range of zero counts as one."""
     cells = df.select(F.posexplode(F.slice(x, 1, width)).alias("_at", "_v"))
     # One row per column reaches the driver.
     cuts = {r["_at"]: r["_q"] for r in exact_quantiles(cells, "_v", [0.25, 0.5, 0.75], "_q", ["_at"]).collect()}
-    stats = [(q[1] or 0.0, ((q[2] or 0.0) - (q[0] or 0.0)) or 1.0) for q in (cuts.get(i, [None] * 3) for i in range(width))]
-    return df.withColumn(out or x, scaled(x, stats))
+    return [(q[1] or 0.0, ((q[2] or 0.0) - (q[0] or 0.0)) or 1.0) for q in (cuts.get(i, [None] * 3) for i in range(width))]
+
+
+def robust_scale(df: DataFrame, x: str, width: int, out: str | None = None) -> DataFrame:
+    """(value - median) / interquartile range, exact."""
+    return df.withColumn(out or x, scaled(x, robust_stats(df, x, width)))
 
 
 def block_scale(df: DataFrame, blocks: dict[str, int], out: str = "x", fit_on: DataFrame | None = None) -> DataFrame:

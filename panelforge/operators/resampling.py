@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +99,42 @@ def pair_bootstrap(pairs: DataFrame, tiles: DataFrame, statistic: Callable[[Colu
     return weighed.groupBy("draw").agg(F.sum("_w").alias("_n"), statistic(F.col("_w")).alias("stat")).where(F.col("_n") > least).select("draw", "stat")
 
 
+def pair_bootstrap_mean(pairs: DataFrame, tiles: DataFrame, value: str, n_draws: int, least: int = 10, tile: str = "tile", key: str = "unit_id", chunk: int = 50) -> DataFrame:
+    """(draw, stat): `pair_bootstrap` of the weighted mean of a column. Pairs are summed by their ends' tiles once, so a draw costs as much as there are pairs of tiles of a grid, not
+    as there are pairs."""
+    from panelforge.operators.batched import tile_times
+
+    names = [r[0] for r in few_tiles(tiles, tile)]
+    ends = pairs.join(tiles.select(F.col(key).alias("i"), F.col(tile).alias("_ti")), "i").join(tiles.select(F.col(key).alias("j"), F.col(tile).alias("_tj")), "j")
+    sums = ends.groupBy("_ti", "_tj").agg(F.sum(value).alias("s"), F.count(value).alias("v"), F.count(F.lit(1)).alias("n"))
+    packed = sums.agg(F.collect_list(F.struct("_ti", "_tj", "s", "v", "n")).alias("_sums"))
+    spark = pairs.sparkSession
+    chunks = spark.range(0, n_draws, chunk, min(-(-n_draws // chunk), 4 * spark.sparkContext.defaultParallelism)).join(F.broadcast(packed))
+
+    def run(pdfs):
+        for pdf in pdfs:
+            for first, rows in zip(pdf["id"], pdf["_sums"], strict=True):
+                if rows is None or not len(rows):
+                    continue
+                at = {name: i for i, name in enumerate(names)}
+                a, b = (np.array([at[r[c]] for r in rows]) for c in ("_ti", "_tj"))
+                s, v, n = (np.array([r[c] or 0 for r in rows], float) for c in ("s", "v", "n"))
+                times = tile_times(len(names), min(chunk, n_draws - first), first)
+                weight = times[:, a] * times[:, b]
+                held = (weight @ n > least) & (weight @ v > 0)
+                yield pd.DataFrame({"draw": (first + 1 + np.flatnonzero(held)).astype(np.int32), "stat": (weight @ s)[held] / (weight @ v)[held]})
+
+    return chunks.mapInPandas(run, "draw int, stat double")
+
+
+def few_tiles(tiles: DataFrame, tile: str, most: int = 100_000) -> list:
+    """The distinct tiles of a grid, in order; more than `most` are refused."""
+    found = tiles.select(tile).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} tiles")
+    return sorted(found)
+
+
 def partial_correlation(r: dict[tuple[str, str], float], a: str, b: str, given: Sequence[str]) -> float:
     """Correlation of a and b given other variables, from a correlation table."""
     names = [a, b, *given]

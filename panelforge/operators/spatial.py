@@ -7,6 +7,8 @@ the boxes' common part.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -171,6 +173,26 @@ def zonal_mean(pixels: DataFrame, zones: DataFrame, cell: float, zone_id: str =
     return zones.select(zone_id).join(sums, zone_id, "left").select(zone_id, "zonal_mean", F.coalesce("n_valid", F.lit(0)).alias("n_valid"), F.coalesce("n_inside", F.lit(0)).alias("n_inside"))
 
 
+def reprojected(rings: Column, to: Callable[[Column, Column], Column], tolerance: float, most: int = 4096) -> Column:
+    """Rings in another projection; `to` takes x and y and gives struct(x, y). A straight edge becomes a curve: each is cut into as many equal pieces as bring it within `tolerance` of
+    its chords, by how far its middle leaves the chord (the distance falls with the square of the number of pieces), `most` at most."""
+
+    def pieces(r: Column) -> Column:
+        def edge(p: Column, i: Column) -> Column:
+            q = F.element_at(r, F.when(i + 2 > F.size(r), 1).otherwise(i + 2))
+            a, b, mid = to(p["x"], p["y"]), to(q["x"], q["y"]), to((p["x"] + q["x"]) / 2, (p["y"] + q["y"]) / 2)
+            off = F.hypot(mid["x"] - (a["x"] + b["x"]) / 2, mid["y"] - (a["y"] + b["y"]) / 2)
+            count = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(F.sqrt(off / tolerance)).cast("int")))
+            return F.struct(p["x"].alias("x"), p["y"].alias("y"), (q["x"] - p["x"]).alias("dx"), (q["y"] - p["y"]).alias("dy"), F.coalesce(count, F.lit(1)).alias("m"))
+
+        return F.transform(r, edge)
+
+    def cut(e: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), e["m"] - 1), lambda k: to(e["x"] + e["dx"] * k / e["m"], e["y"] + e["dy"] * k / e["m"]))
+
+    return F.transform(rings, lambda r: F.flatten(F.transform(pieces(r), cut)))
+
+
 def compatibility(pixels: DataFrame, zones: DataFrame, zonal: DataFrame, rings: str = "rings", enough: int = 9) -> DataFrame:
     """One row: whether the boxes of pixels and zones overlap, zones with any valid pixel, and the share with enough."""
     b = box(F.col(rings))

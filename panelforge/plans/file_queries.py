@@ -12,6 +12,7 @@ import zipfile
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -299,6 +300,77 @@ def _(spark, sf):
     return spark.read.json(path).select("key", F.col("more.r_name").alias("name"))
 
 
+@query("sk3_dict_rows", "SELECT CAST(s_suppkey AS VARCHAR) AS key, s_name AS name, NULL AS note FROM supplier")
+def _(spark, sf):
+    """Exactly the fields asked for, in their order; one that rows don't have is empty."""
+    path = f"{folder(spark)}/out"
+    W.write_csv(t(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("more")), path, ["key", "name", "note"], single=False)
+    return spark.read.option("header", True).csv(path)
+
+
+@query("sk6_markers", "SELECT n_regionkey AS run, CASE WHEN n_regionkey % 2 = 0 THEN 'DONE' ELSE 'FAILED' END AS marker, count(*) AS nations FROM nation GROUP BY 1")
+def _(spark, sf):
+    """A run per region clears the markers of one before it and leaves its own."""
+    to, rows = folder(spark), t(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("run")).agg(F.count(F.lit(1)).alias("nations"))
+    runs = [r["run"] for r in rows.orderBy("run").collect()]
+    for run in runs:
+        W.end_run(spark, f"{to}/{run}", None if run % 2 else "an earlier run")
+        W.start_run(spark, f"{to}/{run}")
+        W.end_run(spark, f"{to}/{run}", "it failed" if run % 2 else None)
+    found = S.binary(spark, [f"{to}/{run}" for run in runs]).select(F.element_at(F.split("path", "/"), -2).cast("int").alias("run"), F.element_at(F.split("path", "/"), -1).alias("marker"))
+    return found.join(rows, "run")
+
+
+@query("sk7_refused_folder", "SELECT r_name AS name, count(*) OVER () AS kept, true AS refused FROM region")
+def _(spark, sf):
+    """A second run into the folder of a first one is refused, and the first one's rows stay."""
+    path, rows = f"{folder(spark)}/out", t(spark, sf, "region").select(F.col("r_name").alias("name"))
+    W.write_csv(rows, path)
+    try:
+        W.write_csv(t(spark, sf, "nation").select(F.col("n_name").alias("name")), path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    kept = spark.read.option("header", True).csv(path)
+    return kept.join(F.broadcast(kept.agg(F.count(F.lit(1)).alias("kept")))).withColumn("refused", F.lit(refused))
+
+
+@query("sk9_frozen_hashes", "SELECT CAST(s_suppkey // 400 AS VARCHAR) || '.zip' AS name, s_suppkey // 400 = 0 AS changed FROM supplier GROUP BY ALL")
+def _(spark, sf):
+    """Archives are sealed, one is written anew, and the check before a run names it."""
+    paths, marker = _archives(spark, sf), f"{folder(spark)}/seal"
+    W.seal(spark, paths, marker)
+    W.assert_sealed(spark, paths, marker)
+    written(next(p for p in paths if p.endswith("/0.zip")), b"changed since")
+    try:
+        W.assert_sealed(spark, paths, marker)
+        said = ""
+    except RuntimeError as e:
+        said = str(e)
+    return spark.read.schema("name string, sha256 string").json(marker).select("name", F.lit(said).contains(F.concat(F.lit("'"), "name", F.lit("'"))).alias("changed"))
+
+
+@query("sc22_period_columns", "SELECT CAST(o_orderdate AS VARCHAR)[1:4] AS period, 'day' AS diurnal, CAST(o_orderdate AS VARCHAR)[1:4] || '_day' AS found, count(*) AS n FROM orders GROUP BY ALL")
+def _(spark, sf):
+    """Of the columns that the years of the orders make, exactly one answers to each period by day."""
+    years = t(spark, sf, "orders").groupBy(F.year("o_orderdate").cast("string").alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    # One row per year.
+    names = [r["period"] for r in years.select("period").collect()]
+    columns = [f"{y}_{d}" for y in names for d in ("day", "night")] + ["id"]
+    found = spark.createDataFrame([(y, "day", S.only_response_column(columns, y, "day")) for y in names], "period string, diurnal string, found string")
+    return found.join(years, "period")
+
+
+@query("so4_column_subsets", "SELECT n_name AS name, n_nationkey % 3 <> 0 AS complete FROM nation")
+def _(spark, sf):
+    """Headers of tables, one per nation, that hold all required columns or don't."""
+    to = folder(spark)
+    for r in nations(spark, sf):
+        put(spark, f"{to}/{r['n_name']}.csv", ("id,name,area\n1,a,2\n" if r["n_nationkey"] % 3 else "id,area\n1,2\n").encode())
+    checked = S.verify_files(S.binary(spark, to, "*.csv"), required_columns=["id", "name"]).where(F.col("check") == "columns")
+    return checked.select(F.regexp_extract("path", r"([^/]+)\.csv$", 1).alias("name"), F.col("ok").alias("complete")).withColumn("name", F.regexp_replace("name", "%20", " "))
+
+
 @query("sk4_markdown", "SELECT 0 AS line, '| r_name |' AS text UNION ALL SELECT 1, '|---|' UNION ALL SELECT CAST(row_number() OVER (ORDER BY r_name) + 1 AS INTEGER), '| ' || r_name || ' |' FROM region")
 def _(spark, sf):
     return W.markdown(t(spark, sf, "region").select("r_name"), ["r_name"])

@@ -260,6 +260,17 @@ def _(spark, sf):
     return RS.pair_bootstrap(_pairs(spark, sf), tiles, lambda w: F.sum(F.col("d_h") * w) / F.sum(w), 30).withColumn("stat", R("stat", 6))
 
 
+@query(
+    "rs5_pair_bootstrap_means",
+    f"""WITH {_PAIRS}, b AS (SELECT unit_id, CAST(floor((lat + 90) / 30) * 1000 + floor((lon + 180) / 30) AS BIGINT) AS tile FROM wide), {_TILES.format(n=2000)}
+    SELECT CAST(x.draw AS INTEGER) AS draw, round(sum(d_h * x.w * y.w) / sum(x.w * y.w), 6) AS stat FROM pairs JOIN b u ON u.unit_id = i JOIN b v ON v.unit_id = j JOIN tm x ON x.tile = u.tile JOIN tm y ON y.tile = v.tile AND y.draw = x.draw GROUP BY 1 HAVING sum(x.w * y.w) > 10""",
+)
+def _(spark, sf):
+    """2,000 draws over pairs that are summed by tiles once."""
+    tiles = units(spark, sf).select("unit_id", S.tile_id(F.col("lat"), F.col("lon"), 30.0).alias("tile"))
+    return RS.pair_bootstrap_mean(_pairs(spark, sf), tiles, "d_h", 2000).withColumn("stat", R("stat", 6))
+
+
 @query(
     "rs6_partial_spearman",
     """WITH r AS (SELECT rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS a, rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2 AS b, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS c FROM lineitem),
@@ -272,7 +283,8 @@ def _(spark, sf):
 
 @query("rs7_twin_block")
 def _(spark, sf):
-    return X.twin_block(_spec_frame(spark, sf), _SPEC, k=5, n_draws=20, boot=20)
+    """1,000 permutations and 2,000 bootstraps."""
+    return X.twin_block(_spec_frame(spark, sf), _SPEC, k=5, n_draws=1000, boot=2000)
 
 
 @query("rs8_divergent_twins", f"WITH {_PAIRS}, q AS (SELECT quantile_cont(d_sc, 0.25) AS a, quantile_cont(d_h, 0.75) AS b FROM pairs) SELECT round(a, 6) AS near_cut, round(b, 6) AS far_cut, count(*) AS n_near, round(avg(CAST(d_h > b AS INTEGER)), 8) AS divergent_rate FROM pairs, q WHERE d_sc <= a GROUP BY a, b")
@@ -484,6 +496,41 @@ def _(spark, sf):
     return out
 
 
+def _padded(c, n):
+    return F.array(*[F.coalesce(F.try_element_at(F.col(c), F.lit(i + 1)).cast("double"), F.lit(0.0)) for i in range(n)])
+
+
+@query("rs14_gate1_variants")
+def _(spark, sf):
+    """The eight variants of the first gate: the baseline, two smaller states, no context, robust scaling, without the smallest, without flagged trajectories, and another endpoint."""
+    x = X.size_strata(_union_frame(spark, sf)).withColumns({"H": _padded("H", 6), "H_early": _padded("H_early", 4), "S": _padded("S", 4), "S_early": _padded("S_early", 4)}).withColumns({"S1": F.slice("S", 1, 2), "S2": F.slice("S", 1, 3)})
+    jump = F.exists(F.arrays_zip(F.slice("H", 1, 5).alias("a"), F.slice("H", 2, 5).alias("b")), lambda z: (z["a"] > 0) & (z["b"] > 2.5 * z["a"]))
+    x = settled(x.join(F.broadcast(A.exact_quantiles(x, "bus", [0.1], "_q"))).withColumn("jump", jump))
+    every, c = F.lit(True), ("C0", 3)
+    v = X.Variant
+    return X.separability_variants(x, [
+        v("baseline", every, (("S", 4), c), "H"), v("two_states", every, (("S1", 2), c), "H"), v("three_states", every, (("S2", 3), c), "H"), v("without_context", every, (("S", 4),), "H"), v("robust_scaling", every, (("S", 4), c), "H", robust=True),
+        v("without_smallest", F.col("bus") >= F.col("_q")[0], (("S", 4), c), "H"), v("without_jumps", ~F.col("jump"), (("S", 4), c), "H"), v("other_endpoint", every, (("S_early", 4), c), "H_early"),
+    ], 100)
+
+
+@query("rs14_gate1b_variants")
+def _(spark, sf):
+    """Variants A to G of the boundary gate, each with both definitions of the history: all, ambiguous ones excluded, without the smallest, without jumps, regions, another endpoint, other k."""
+    x = X.size_strata(_union_frame(spark, sf)).withColumns({"H": _padded("H", 6), "H_people": _padded("H_people", 6), "H_early": _padded("H_early", 4), "S": _padded("S", 4)})
+    jump = F.exists(F.arrays_zip(F.slice("H", 1, 5).alias("a"), F.slice("H", 2, 5).alias("b")), lambda z: (z["a"] > 0) & (z["b"] > 2.5 * z["a"]))
+    x = settled(x.join(F.broadcast(A.exact_quantiles(x, "bus", [0.1], "_q"))).withColumn("jump", jump))
+    every = F.lit(True)
+    samples = {"A_all": every, "B_unambiguous": F.col("H_people").isNotNull(), "C_without_smallest": F.col("bus") >= F.col("_q")[0], "D_without_jumps": ~F.col("jump")}
+    samples |= {f"E_{r.lower()}": F.col("region") == r for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")}
+    blocks, out = (("S", 4), ("C0", 3)), []
+    for name, history in (("fixed", "H"), ("dynamic", "H_people")):
+        out += [X.Variant(f"{label}|{name}", c, blocks, history) for label, c in samples.items()]
+        out += [X.Variant(f"G_k{k}|{name}", every, blocks, history, k) for k in (3, 10)]
+    out.append(X.Variant("F_other_endpoint|fixed", every, blocks, "H_early"))
+    return X.separability_variants(x, out, 50)
+
+
 @query("dr3_increment", "SELECT 'FAIL' AS gate, 'STOP' AS program, 'DISAPPEARS' AS strict_precedence, 'NULL' AS second_response, count(*) AS n FROM supplier")
 def _(spark, sf):
     zero = ("d1", "d1_lo", "null_q95", "pseudo_mean", "redundant_mean", "regions_positive", "partial_rho", "twin_p", "transfer", "transfer_q05", "c2", "strict", "strict_lo", "second", "second_lo")
@@ -491,6 +538,25 @@ def _(spark, sf):
     return D.increment_gate(m).select("gate", "program", "strict_precedence", "second_response", "n")
 
 
+@query("dr3_increment_of_results")
+def _(spark, sf):
+    """The gate fed by the results themselves: comparisons of both responses, nulls, held-out regions, twins and transfer."""
+    frame, samples = _samples(_union_frame(spark, sf))
+    frame = settled(X.size_strata(frame))
+    spec = replace(_SPEC, blocks=(("S", 4), ("C1", 5)))
+    c = lambda label, base, h, y="y": B.Comparison(label, "all", base, (h,), y)
+    fits = B.compare_all(frame, _BLOCKS, ["y", "y2"], samples, [c("d1", ("S3", "C1"), "H"), c("c2", ("S3", "C2"), "H"), c("strict", ("S3", "C1"), "H_early"), c("second", ("S3", "C1"), "H", "y2")], boot=500)
+    pick = lambda label, column: F.max(F.when(F.col("label") == label, F.col(column)))
+    m = fits.agg(*[pick(x, "delta_r2").alias(x) for x in ("d1", "c2", "strict", "second")], *[pick(x, "delta_r2_lo").alias(f"{x}_lo") for x in ("d1", "strict", "second")], pick("d1", "delta_r2_hi").alias("d1_hi"))
+    nulls = B.null_summary(X.null_battery(frame, spec, 300, 0, ["stratum"], redundant="S"), "delta_r2")
+    of = lambda null, column: F.max(F.when(F.col("null") == null, F.col(column)))
+    m = m.join(F.broadcast(nulls.agg(of("shuffled", "null_q95").alias("null_q95"), of("pseudo", "null_mean").alias("pseudo_mean"), of("redundant", "null_mean").alias("redundant_mean"))))
+    m = m.join(F.broadcast(X.region_holdout(frame, spec).agg(F.count_if(F.col("delta_r2") > 0).cast("double").alias("regions_positive"))))
+    m = m.join(F.broadcast(X.twin_block(frame, spec, k=5, n_draws=200, boot=200).select("partial_rho", F.col("p_value").alias("twin_p"))))
+    moved = B.null_summary(X.transfer_nulls(frame, spec, 50, ["stratum"]), "delta_rmse", lower=True).where(F.col("null") == "shuffled")
+    return D.increment_gate(m.join(F.broadcast(moved.select(F.col("observed").alias("transfer"), F.col("null_q05").alias("transfer_q05")))))
+
+
 @query("dr1_separability", "SELECT 'MIXED' AS classification, 3 AS n_for, 1 AS n_against, round((avg(c_acctbal) - 0.5 * avg(c_acctbal)) / avg(c_acctbal), 6) AS relative_effect FROM customer")
 def _(spark, sf):
     m = t(spark, sf, "customer").agg(F.lit(0.2265).alias("r2_full"), F.lit(0.25).alias("r2_simple"), F.avg("c_acctbal").alias("null_mean"), (F.avg("c_acctbal") * 0.5).alias("observed"), F.lit(0.8).alias("share_consistent"))

@@ -456,6 +456,35 @@ def _(spark, sf):
     return A.calendar_audit(f.select(day.alias("date"), F.col("k").cast("string").alias("name")), "2024-01-03", "2024-01-31").drop("n_wrong_name")
 
 
+def _forward(lat: str, lon: str) -> str:
+    """Mollweide x and y in SQL, as struct."""
+    angle = f"list_reduce(list_prepend(radians({lat}), range(25)::DOUBLE[]), lambda t, k: t - (t + sin(t) - pi() * sin(radians({lat}))) / (1 + cos(t))) / 2"
+    return f"{{'x': 2 * sqrt(2) / pi() * {S.SPHERE_M} * radians({lon}) * cos({angle}), 'y': sqrt(2) * {S.SPHERE_M} * sin({angle})}}"
+
+
+@query(
+    "ag33_reprojected_zones",
+    f"""WITH p AS (SELECT c_acctbal AS value, {_forward("CAST(c_custkey * 13 % 1201 AS DOUBLE) / 10 - 60", "CAST(c_custkey * 7 % 3600 AS DOUBLE) / 10 - 180")} AS m FROM customer),
+    z AS (SELECT s_suppkey AS zone_id, {_forward("CAST(s_suppkey * 37 % 100 - 50 AS DOUBLE)", "CAST(s_suppkey * 53 % 320 - 160 AS DOUBLE)")} AS m, 300000.0 + s_suppkey % 7 * 100000 AS h FROM supplier)
+    SELECT zone_id, count(p.m) AS n_inside, count(CASE WHEN value >= 0 THEN 1 END) AS n_valid, round(avg(CASE WHEN value >= 0 THEN value END), 6) AS zonal_mean
+    FROM z LEFT JOIN p ON abs(p.m.x - z.m.x) < h AND abs(p.m.y - z.m.y) < h GROUP BY 1""",
+)
+def _(spark, sf):
+    """Squares of an equal-area map against pixels in degrees: the squares' outlines are brought to degrees, where they are curved."""
+    c, k = F.col("c_custkey"), F.col("s_suppkey")
+    pixels = t(spark, sf, "customer").select(((c * 7 % 3600).cast("double") / 10 - 180).alias("x"), ((c * 13 % 1201).cast("double") / 10 - 60).alias("y"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("value"))
+    centre = S.to_mollweide((k * 37 % 100 - 50).cast("double"), (k * 53 % 320 - 160).cast("double"))
+    placed = t(spark, sf, "supplier").select(k.alias("zone_id"), centre.alias("m"), (300000.0 + k % 7 * 100000).alias("h"))
+    squares = placed.withColumn("rings", G.rectangle(F.col("m.x") - F.col("h"), F.col("m.y") - F.col("h"), F.col("m.x") + F.col("h"), F.col("m.y") + F.col("h")))
+
+    def degrees(x, y):
+        at = S.from_mollweide(x, y)
+        return F.struct(at["lon"].alias("x"), at["lat"].alias("y"))
+
+    zones = settled(squares.select("zone_id", G.reprojected(F.col("rings"), degrees, 1e-6).alias("rings")))
+    return G.zonal_mean(pixels, zones, 5.0).select("zone_id", "n_inside", "n_valid", R("zonal_mean", 6).alias("zonal_mean"))
+
+
 @query(
     "ag29_zonal_means",
     f"""WITH p AS (SELECT (event_id % 97) + 0.53 AS x, (event_id % 89) + 0.53 AS y, value, event_id FROM events), z AS (SELECT right_id AS zone_id, x0 / 10 AS x0, y0 / 10 AS y0, (x0 + w) / 10 AS x1, (y0 + h) / 10 AS y1 FROM ({_Rr}))

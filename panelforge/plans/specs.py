@@ -16,7 +16,7 @@ from panelforge.operators import neighbours as N
 from panelforge.operators import quality as Q
 from panelforge.operators import resampling as RS
 from panelforge.operators import summaries as A
-from panelforge.operators.ordering import settled
+from panelforge.operators.ordering import exact_quantiles, settled
 
 
 @dataclass(frozen=True)
@@ -189,8 +189,11 @@ def twin_block(df: DataFrame, spec: Spec, k: int = 10, least_km: float = 200.0,
     null = RS.permutation_pair_null(pairs, x, spec.history[0], n_draws)
     observed = full.agg(F.avg("d_h").alias("m")).first()["m"]
     p = RS.permutation_summary(null, observed, plus_one=True).select("null_mean", "p_value")
-    interval = RS.pair_bootstrap(full, x, lambda w: F.sum(F.col("d_r") * w) / F.sum(w), boot).agg(F.percentile("stat", F.lit(0.025)).alias("d_r_lo"), F.percentile("stat", F.lit(0.975)).alias("d_r_hi"))
-    thirds = A.bins_left_closed(full, "d_h", ("low", "mid", "high")).agg((F.percentile(F.when(F.col("bin") == "high", F.col("d_r")), F.lit(0.5)) - F.percentile(F.when(F.col("bin") == "low", F.col("d_r")), F.lit(0.5))).alias("high_minus_low"))
+    # Percentiles of draws, which are few; medians of pairs come from range partitions.
+    interval = RS.pair_bootstrap_mean(full, x, "d_r", boot).agg(F.percentile("stat", F.lit(0.025)).alias("d_r_lo"), F.percentile("stat", F.lit(0.975)).alias("d_r_hi"))
+    medians = exact_quantiles(A.bins_left_closed(full, "d_h", ("low", "mid", "high")), "d_r", [0.5], "_q", ["bin"])
+    of = lambda name: F.max(F.when(F.col("bin") == name, F.col("_q")[0]))
+    thirds = medians.agg((of("high") - of("low")).alias("high_minus_low"))
     n = full.agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("d_h").alias("mean_d_h"))
     return n.join(F.broadcast(p)).join(F.broadcast(interval)).join(F.broadcast(thirds)).withColumn("partial_rho", F.lit(rho))
 
@@ -279,6 +282,54 @@ def agreement(a: DataFrame, b: DataFrame, epochs: Sequence[str], key: str = "uni
     return a.sparkSession.createDataFrame(rows, "epoch string, pearson double, pearson_p double, spearman double, spearman_p double, n long")
 
 
+@dataclass(frozen=True)
+class Variant:
+    """A variant of the separability study: the condition of its sample, the blocks of its feature space with their widths, its history, and k."""
+
+    label: str
+    sample: Column
+    blocks: tuple[tuple[str, int], ...]
+    history: str
+    k: int = 5
+    robust: bool = False
+
+
+def separability_variants(df: DataFrame, variants_: Sequence[Variant], n_draws: int, strata: str = "stratum", key: str = "unit_id", least: int = 50) -> DataFrame:
+    """(variant, n, mean_d_h, divergent_rate, null_mean, p_lower, relative_effect): how far apart the histories of near neighbours are, against histories shuffled within strata of the sample. All variants
+    share one search, one pass over pairs and one over draws; samples of fewer than `least` units have NULLs beside their n."""
+    names = [v.label for v in variants_]
+    row = df.agg(*[F.count_if(v.sample).alias(f"n{i}") for i, v in enumerate(variants_)]).first()
+    held = [v for i, v in enumerate(variants_) if row[f"n{i}"] >= least]
+    spaces = {}
+    for v in held:
+        own = df.where(v.sample)
+        scale = lambda b, n, own=own, v=v: M.scaled(b, M.robust_stats(own, b, n) if v.robust else M.column_stats(own, b, n), n**0.5)
+        spaces[v.label] = (F.when(v.sample, F.concat(*[scale(b, n) for b, n in v.blocks])), v.k)
+    counts = df.sparkSession.createDataFrame([(v.label, row[f"n{i}"]) for i, v in enumerate(variants_)], "variant string, n long")
+    if not held:
+        return counts.withColumns({c: F.lit(None).cast("double") for c in ("mean_d_h", "divergent_rate", "null_mean", "p_lower", "relative_effect")})
+    pairs = settled(B.nearest_many(df, spaces, key).withColumnRenamed("space", "variant"))
+    rows, drawn = None, None
+    for v in held:
+        own = df.where(v.sample).select(key, strata, F.col(v.history).alias("h"))
+        here = own.select(F.lit(v.label).alias("variant"), key, "h")
+        perm = RS.shuffled(own, "h", n_draws, [strata], key=key, out="h").select(F.lit(v.label).alias("variant"), "draw", key, "h")
+        rows, drawn = (here, perm) if rows is None else (rows.unionByName(here), drawn.unionByName(perm))
+    ends = lambda table, more, c: table.select("variant", *more, F.col(key).alias(c), F.col("h").alias(f"_{c}"))
+    full = settled(pairs.join(ends(rows, [], "i"), ["variant", "i"]).join(ends(rows, [], "j"), ["variant", "j"]).withColumn("d_h", distance(F.col("_i"), F.col("_j"))).select("variant", "i", "j", "d", "d_h"))
+    null = full.select("variant", "i", "j").join(ends(drawn, ["draw"], "i"), ["variant", "i"]).join(ends(drawn, ["draw"], "j"), ["variant", "draw", "j"])
+    stats = null.groupBy("variant", "draw").agg(F.avg(distance(F.col("_i"), F.col("_j"))).alias("stat"))
+    seen = full.groupBy("variant").agg(F.avg("d_h").alias("mean_d_h"))
+    judged = stats.join(F.broadcast(seen), "variant").groupBy("variant", "mean_d_h").agg(F.avg("stat").alias("null_mean"), F.avg((F.col("stat") <= F.col("mean_d_h")).cast("double")).alias("p_lower"))
+    # One row per variant each.
+    near, far = (exact_quantiles(full, c, [q], f"_{c}_cut", ["variant"]) for c, q in (("d", 0.25), ("d_h", 0.75)))
+    cut = full.join(F.broadcast(near), "variant").join(F.broadcast(far), "variant").where(F.col("d") <= F.col("_d_cut")[0])
+    rate = cut.groupBy("variant").agg(F.avg((F.col("d_h") > F.col("_d_h_cut")[0]).cast("double")).alias("divergent_rate"))
+    out = counts.join(judged, "variant", "left").join(rate, "variant", "left").withColumn("relative_effect", (F.col("null_mean") - F.col("mean_d_h")) / F.col("null_mean"))
+    assert len(set(names)) == len(names)
+    return out.select("variant", "n", "mean_d_h", "divergent_rate", "null_mean", "p_lower", "relative_effect")
+
+
 def quadratic_study(df: DataFrame, spec: Spec) -> DataFrame:
     """Linear and quadratic base models against each other with history added."""
     width = sum(n for _, n in spec.blocks)

@@ -87,3 +87,21 @@ def test_correspondence(spark):
     rows = L.correspond(a, b, "key", "v", core=F.col("r_born") < 2000).collect()
     got = sorted((r["match"], r["l_id"] or 0, r["r_id"] or 0, r["corroborated"], r["core"]) for r in rows)
     assert got == sorted([("one_to_one", 1, 1, True, True), ("one_to_one", 2, 2, False, False), ("ambiguous_many_sided", 3, 3, False, False), ("ambiguous_many_sided", 4, 3, False, False), ("left_only", 5, 0, False, False), ("right_only", 0, 6, False, False), ("right_only", 0, 5, False, False)])
+
+
+def test_hot_keys_are_one_row(spark):
+    """A key of many rows on both sides is one row; the pairs of it, 4 * 10**8, are never made."""
+    n = 20_000
+    side = lambda odd: spark.range(n + 3).select(F.col("id"), F.when(F.col("id") < n, "hot").when(F.col("id") == n, odd).when(F.col("id") == n + 1, "both").alias("key"), (F.col("id") + 1.0).alias("v"))
+    got = {r["key"]: r for r in L.key_classes(side("l"), side("r"), check="v").where("key IS NOT NULL").collect()}
+    assert len(got) == 4 and (got["hot"]["match"], got["hot"]["n_left"], got["hot"]["n_right"], got["hot"]["l_id"]) == ("ambiguous_many_sided", n, n, None)
+    assert (got["both"]["match"], got["both"]["l_id"], got["both"]["check_ratio"], got["both"]["corroborated"]) == ("one_to_one", n + 1, 1.0, True)
+    assert (got["l"]["match"], got["l"]["n_right"], got["r"]["match"], got["r"]["corroborated"]) == ("left_only", 0, "right_only", False)
+    gone = L.key_classes(side("l"), side("r")).where("key IS NULL").collect()
+    assert sorted((r["match"], r["n_left"], r["n_right"]) for r in gone) == [("left_only", 1, 0), ("right_only", 0, 1)]
+
+
+def test_members_of_a_hub(spark):
+    members = spark.range(10_000).select(F.col("id").alias("unit_id"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(7).alias("cluster_id"))
+    got = {r["cluster_id"]: r["unit_ids"] for r in L.member_lists(members.unionByName(members), chunk=100).collect()}
+    assert got[7] == ";".join(str(i) for i in range(10_000) if i % 10) and got[20] == "20" and len(got) == 1001

@@ -78,3 +78,14 @@ def test_pair_bootstrap_leaves_out_small_draws(spark):
     pairs = spark.createDataFrame([(1, 2, 1.0)], "i long, j long, d double")
     tiles = spark.createDataFrame([(1, 10), (2, 11)], "unit_id long, tile long")
     assert R.pair_bootstrap(pairs, tiles, lambda w: F.sum(F.col("d") * w), 20).count() == 0
+
+
+def test_bootstrap_of_means_equals_that_over_pairs(spark):
+    rng = np.random.default_rng(6)
+    pairs = spark.createDataFrame([(int(a), int(b), float(v) if v > -1.5 else None) for a, b, v in zip(rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.normal(size=300))], "i long, j long, d double")
+    tiles = spark.createDataFrame([(u, u % 9 * 1000) for u in range(40)], "unit_id long, tile long")
+    mean = lambda w: F.sum(F.col("d") * w) / F.sum(F.when(F.col("d").isNotNull(), w))
+    want = {r["draw"]: r["stat"] for r in R.pair_bootstrap(pairs, tiles, mean, 30).collect()}
+    got = {r["draw"]: r["stat"] for r in R.pair_bootstrap_mean(pairs, tiles, "d", 30, chunk=7).collect()}
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d]) for d in want)
+    assert R.pair_bootstrap_mean(pairs.limit(1), tiles, "d", 5).count() == 0

@@ -1,6 +1,7 @@
 import math
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,51 @@ def test_wkb(spark):
     with pytest.raises(ValueError, match="not a polygon"):
         G.rings_of_wkb(struct.pack("<BIdd", 1, 1, 0.0, 0.0))
     assert math.isclose(0.5, 0.5)
+
+
+def test_overlays_of_concave_outlines_equal_a_raster(spark):
+    """Stars with holes, of unlike numbers of corners, against counts of small cells."""
+    rng = np.random.default_rng(3)
+
+    def star(x, y, n, r):
+        turn, far = np.sort(rng.uniform(0, 2 * np.pi, n)), r * rng.uniform(0.4, 1, n)
+        return ring(*[(x + d * math.cos(t), y + d * math.sin(t)) for t, d in zip(turn, far)])
+
+    def inside(rings, x, y):
+        odd = np.zeros(x.shape, bool)
+        for own in rings:
+            for p, q in zip(own, own[1:] + own[:1]):
+                if p["y"] != q["y"]:
+                    odd ^= ((p["y"] > y) != (q["y"] > y)) & (x < (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"]) + p["x"])
+        return odd
+
+    make = lambda i: [star(*rng.uniform(-2, 2, 2), int(rng.integers(5, 40)), 4.0), star(0, 0, 4, 0.3)]
+    left, right = ([(i, make(i)) for i in range(6)] for _ in range(2))
+    at = np.linspace(-7, 7, 1401)[:-1] + 0.005
+    x, y = np.meshgrid(at, at)
+    a = spark.createDataFrame(left, f"left_id long, rings {G.RINGS}")
+    got = {(r["left_id"], r["right_id"]): r["inter"] for r in G.overlay(a, spark.createDataFrame(right, f"right_id long, rings {G.RINGS}"), 3.0).collect()}
+    for i, p in left:
+        for j, q in right:
+            assert got.get((i, j), 0.0) == pytest.approx((inside(p, x, y) & inside(q, x, y)).sum() * 1e-4, abs=0.05)
+
+
+def test_shared_and_touching_outlines():
+    a = [ring((0, 0), (2, 0), (2, 2), (0, 2))]
+    for b, want in (([ring((2, 0), (4, 0), (4, 2), (2, 2))], 0), ([ring((0, 0), (2, 2), (0, 2))], 2), ([ring((1, -1), (3, 1), (1, 3), (-1, 1))], 4 - 0), ([ring((0, 0), (2, 0), (2, 2), (0, 2)), ring((0.5, 0.5), (1.5, 0.5), (1.5, 1.5), (0.5, 1.5))], 3)):
+        assert G.intersection_area(a, b) == pytest.approx(want, abs=1e-12) and G.intersection_area(b, a) == pytest.approx(want, abs=1e-12)
+    assert G.intersection_area([], a) == 0 and G.intersection_area([ring((0, 0), (1, 0))], a) == 0
+    many = [ring(*[(4 * math.cos(t), 4 * math.sin(t)) for t in np.linspace(0, 2 * math.pi, 4000, endpoint=False)])]
+    table = G._edge_table(many)
+    assert G.common_area(table, table, most=500) == pytest.approx(G.common_area(table, table)) == pytest.approx(16 * math.pi, rel=1e-5)
+
+
+def test_reprojected_outlines_keep_to_the_curve(spark):
+    bent = lambda x, y: F.struct((x + y * y / 100).alias("x"), y.alias("y"))
+    df = spark.createDataFrame([(1, HOLED), (2, None)], f"k long, rings {G.RINGS}")
+    got = {r["k"]: r["r"] for r in df.select("k", G.reprojected(F.col("rings"), bent, 1e-4).alias("r")).collect()}
+    assert got[2] is None and len(got[1]) == 2
+    points = [(p["x"], p["y"]) for p in got[1][0]]
+    assert len(points) > 8 and all(min(abs(x - y * y / 100), abs(x - 4 - y * y / 100), abs(y), abs(y - 4)) < 1e-9 for x, y in points)
+    assert [p for p in points if p[1] == 0] == [(0.0, 0.0), (4.0, 0.0)]
+    assert G.intersection_area(got[1], got[1]) == pytest.approx(12, abs=1e-3)
