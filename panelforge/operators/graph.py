@@ -35,14 +35,18 @@ def _small_star(edges: DataFrame, count: int) -> DataFrame:
     return linked.unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, rounds: int = 60, rows_per_task: int | None = None) -> DataFrame:
     """`edges` has columns u and v of one ordered type. Returns (node, root), root being the smallest node of the component, for every node of an
-    edge. Self-edges and nulls are ignored; repeated edges don't matter; no edges give an empty table."""
+    edge. Self-edges and nulls are ignored; repeated edges don't matter; no edges give an empty table. With `rows_per_task`, rounds over few edges are
+    written by few tasks, however many the session's shuffles have."""
+    fewer = lambda df, n: df if rows_per_task is None else df.coalesce(max(4, n // rows_per_task + 1))
     edges = settled(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = mark(edges)
     for _ in range(rounds if seen[0] else 0):
-        edges = settled(_small_star(settled(_large_star(edges, seen[0])), seen[0]).where(F.col("u") != F.col("v")).distinct())
+        edges = fewer(edges, seen[0])
+        star = settled(fewer(_large_star(edges, seen[0]), 2 * seen[0]))
+        edges = settled(fewer(_small_star(star, seen[0]).where(F.col("u") != F.col("v")).distinct(), seen[0]))
         now = mark(edges)
         if seen == now:
             break

@@ -114,3 +114,29 @@ def test_groups_are_bounded(spark):
     with pytest.raises(ValueError):
         M.group_out_folds(df, "g", 1, 1, most=20)
     assert M.balanced_assignment([("a", 3), ("b", 9), ("c", 3), ("d", 1)], 2) == [1, 0, 1, 1]
+
+
+def test_many_searches_equal_single_ones(spark, toy):
+    from panelforge.operators import neighbours as N
+
+    got = B.nearest_many(toy, {"b": (F.col("b"), 3), "south": (F.when(F.col("lat") < 0, F.col("h")), 5)}, block=50).toPandas()
+    for name, df, x, k in (("b", toy, "b", 3), ("south", toy.where("lat < 0"), "h", 5)):
+        want = N.knn(df, df, k, x).toPandas().sort_values(["i", "d", "j"])
+        own = got[got.space == name].sort_values(["i", "d", "j"])
+        assert own[["i", "j"]].to_numpy().tolist() == want[["i", "j"]].to_numpy().tolist() and np.allclose(own.d, want.d)
+
+
+def test_separability_of_variants(spark, toy):
+    own = settled(X.size_strata(toy))
+    variants = [X.Variant("all", F.lit(True), (("b", 3), ("c", 2)), "h"), X.Variant("north", F.col("lat") >= 0, (("b", 3),), "h", 3), X.Variant("few", F.col("unit_id") < 9, (("b", 3),), "h"), X.Variant("robust", F.lit(True), (("b", 3),), "h", robust=True)]
+    got = X.separability_variants(own, variants, 15).toPandas().set_index("variant")
+    assert len(got) == 4 and got.loc["few", "n"] == 9 and np.isnan(got.loc["few", "mean_d_h"])
+    from panelforge.operators import neighbours as N
+
+    north = settled(own.where("lat >= 0"))
+    x = M.block_scale(north, {"b": 3})
+    pairs = N.pair_distances(N.knn(x, x, 3).select("i", "j", F.col("d").alias("d_sc")), x, {"d_h": "h"})
+    assert got.loc["north", "n"] == north.count() and got.loc["north", "mean_d_h"] == pytest.approx(pairs.agg(F.avg("d_h")).first()[0])
+    assert got.loc["north", "divergent_rate"] == pytest.approx(N.divergent_rate(pairs).first()["divergent_rate"])
+    null = RS.permutation_pair_null(pairs, north, "h", 15, ["stratum"], least=1)
+    assert got.loc["north", "null_mean"] == pytest.approx(null.agg(F.avg("stat")).first()[0]) and 0 <= got.loc["north", "p_lower"] <= 1
