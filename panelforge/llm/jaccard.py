@@ -36,6 +36,8 @@ from panelforge.operators.ordering import join_counted
 BUCKET_BYTES, BLOCK_BYTES = 32 << 20, 12 << 20
 #: Rows of one token that a bucket may get from all blocks.
 TOKEN_ROWS = 1 << 22
+#: Edges that one task of a round of components writes.
+EDGES = 100_000
 #: Rows of `_cut` and `_counted`: tokens with their sets, totals of frequent tokens, frequent tokens with their sets, and documents.
 TOKENS, TOTALS, SPREAD, DOCUMENTS = range(4)
 _DIGEST = np.dtype("V16")
@@ -344,7 +346,7 @@ def _apart(rooted: DataFrame, sets: DataFrame, percent: int, cell_bytes: int) ->
     spark = sets.sparkSession
     table = rooted.groupBy("token").agg(F.count(F.lit(1)).alias("_m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("m")).where("lo <> hi")
     opened = store(join_counted(rooted.select("token", "node", "root"), table.select("token", "_m", "m"), ["token"], "_m").groupBy("node", "root", "m").agg(F.count(F.lit(1)).alias("_t")), "open")
-    joined = connected_components(opened.select(F.col("node").alias("u"), F.col("m").alias("v")))
+    joined = connected_components(opened.select(F.col("node").alias("u"), F.col("m").alias("v")), rows_per_task=EDGES)
     named = opened.select("node", "root").distinct().join(joined.select("node", F.col("root").alias("family")), "node")
     held = store(sets.select("node", "n", "tokens", "levels").join(named, "node"), "open-sets")
     sizes = held.groupBy("family").agg(F.count(F.lit(1)).alias("_m"), F.ceil(F.sum(F.length("tokens")) / cell_bytes).cast("int").alias("g"))
@@ -401,7 +403,7 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     near = near.join(above, "root", "left").select("node", F.least("root", "_top").alias("root"))
     rooted = postings.select("token", "node").join(near, "node", "left").withColumn("root", F.coalesce("root", "node"))
     further = store(_apart(store(rooted, "rooted"), sets, percent, cell_bytes >> 2), "further")
-    roots = store(connected_components(links.unionByName(further)), "roots")
+    roots = store(connected_components(links.unionByName(further), rows_per_task=EDGES), "roots")
 
     texts = store(counted.where(F.col("kind") == DOCUMENTS).select("a", "b", "c", "d").mapInArrow(_texts, "_key long, n_shingles long, digest binary"), "texts")
     some = texts.where("n_shingles > 0")
