@@ -337,17 +337,20 @@ def _(spark, sf):
     return d.select("dimension", "level", "n", R("delta_r2", 6).alias("delta_r2"))
 
 
-#: Rules that decide which sales make a unit: the primary one, a looser and a stricter one, and one without its second condition.
-_GEOMETRY = {"primary": F.lit(True), "looser": F.col("l_quantity") <= 45, "stricter": F.col("l_quantity") <= 25, "no_floor": F.col("l_discount") <= 0.08}
 _EARLY = 1999
 
 
+def _geometry():
+    """Rules that decide which sales make a unit: the primary one, a looser and a stricter one, and one without its second condition."""
+    return {"primary": F.lit(True), "looser": F.col("l_quantity") <= 45, "stricter": F.col("l_quantity") <= 25, "no_floor": F.col("l_discount") <= 0.08}
+
+
 def _union_frame(spark, sf):
     """One row per unit with the blocks of all variants: states and histories at two base epochs, of other definitions, of a unit's largest part and under other rules, contexts of three levels, and two
     responses. The rows of sales are read once."""
     lines = t(spark, sf, "lineitem").withColumn("epoch", F.year("l_shipdate")).withColumn("part", F.col("l_linenumber") == 1)
     values = lambda name, keep: [F.sum(F.when(keep, v)).alias(f"{c}_{name}") for c, v in (("bus", F.col("l_extendedprice")), ("pop", F.col("l_quantity")), ("buv", F.lit(1.0)))]
-    rules = _GEOMETRY | {"dominant": F.col("part")}
+    rules = _geometry() | {"dominant": F.col("part")}
     flows = settled(lines.groupBy(F.col("l_suppkey").alias("unit_id"), "epoch").agg(*[a for n, k in rules.items() for a in values(n, k)]))
     own = lambda rule: flows.select("unit_id", "epoch", *[F.coalesce(f"{v}_{rule}", F.lit(0.0)).alias(v) for v in ("bus", "pop", "buv")])
     state = P.state_block(F.col("pop"), F.col("bus"), F.col("buv"), "S3", log=True)
