@@ -7,12 +7,14 @@ the boxes' common part.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -104,7 +106,7 @@ def common_area(ea: np.ndarray, eb: np.ndarray, rounds: int = 64, most: int = 1
         crossed, at = crossed[inside], at[inside]
         uncertain = np.zeros(len(bottom), bool)
         uncertain[slab[crossed]] = True
-        total += _common(slab, first[edge], (x0 + x1) / 2, (top - bottom) * ~uncertain)
+        total += float(_common(slab, first[edge], (x0 + x1) / 2, (top - bottom) * ~uncertain, len(bottom)).sum())
         if len(crossed):
             # The cuts of each such slab, between its own bottom and top.
             own = np.flatnonzero(uncertain)
@@ -128,26 +130,121 @@ def _edges_of_slabs(bottom: np.ndarray, top: np.ndarray, e: np.ndarray) -> tuple
     return np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n) + lo[edge], edge
 
 
-def _common(slab: np.ndarray, first: np.ndarray, x: np.ndarray, weight: np.ndarray) -> float:
-    """Sum over slabs of their weight times the length that is inside both polygons, by even-odd counts of edges to the left."""
-    order = np.lexsort((x, slab))
-    slab, first, x = slab[order], first[order], x[order]
+def _common(slab: np.ndarray, first: np.ndarray, x: np.ndarray, weight: np.ndarray, slabs: int) -> np.ndarray:
+    """For each slab its weight times the length that is inside both polygons, by even-odd counts of edges to the left."""
+    if ((x[1:] < x[:-1]) & (slab[1:] == slab[:-1])).any():
+        order = np.lexsort((x, slab))
+        slab, first, x = slab[order], first[order], x[order]
     inside = np.logical_and(np.cumsum(first) % 2, np.cumsum(~first) % 2)
     same = slab[1:] == slab[:-1]
-    return float(((x[1:] - x[:-1]) * weight[slab[1:]])[inside[:-1] & same].sum())
+    held = inside[:-1] & same
+    return np.bincount(slab[1:][held], (x[1:] - x[:-1])[held], slabs) * weight
+
+
+def common_areas(ea: np.ndarray, pa: np.ndarray, eb: np.ndarray, pb: np.ndarray, n: int, rounds: int = 64) -> np.ndarray:
+    """`common_area` of n pairs of polygons together: `pa` and `pb` tell the pair of each edge. The work of arrays is shared by all pairs, which matters where polygons have few edges; memory grows with
+    the slabs of all pairs and the edges in them."""
+    total = np.zeros(n)
+    level = lambda e, p: (_upwards(e), p[e[:, 1] != e[:, 3]])
+    (ea, pa), (eb, pb) = level(ea, pa), level(eb, pb)
+    low, high = np.full((2, n), np.inf), np.full((2, n), -np.inf)
+    for side, (e, p) in enumerate(((ea, pa), (eb, pb))):
+        np.minimum.at(low[side], p, e[:, 1])
+        np.maximum.at(high[side], p, e[:, 3])
+    low, high = low.max(axis=0), high.min(axis=0)
+    e, pair, first = np.concatenate([ea, eb]), np.concatenate([pa, pb]), np.arange(len(ea) + len(eb)) < len(ea)
+    # Edges beyond the common heights bound nothing there.
+    held = (low[pair] < high[pair]) & (e[:, 1] < high[pair]) & (e[:, 3] > low[pair])
+    e, pair, first = e[held], pair[held], first[held]
+    if not len(e):
+        return total
+    least = np.full(n, 1.0)
+    np.maximum.at(least, pair, np.abs(e).max(axis=1))
+    least *= 1e-12
+    slope = (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1])
+    ends, owner = np.concatenate([np.maximum(e[:, 1], low[pair]), np.minimum(e[:, 3], high[pair])]), np.concatenate([pair, pair])
+    order = np.lexsort((ends, owner))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (ends[order][1:] != ends[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    heights, of = ends[order][fresh], owner[order][fresh]
+    bottom, top, of = heights[:-1], heights[1:], of[:-1]
+    # An edge spans the slabs between the numbers of its ends.
+    lo, count = number[: len(e)], number[len(e) :] - number[: len(e)]
+    edge = np.repeat(np.arange(len(e)), count)
+    slab = np.arange(len(edge)) - np.repeat(np.cumsum(count) - count, count) + lo[edge]
+    for left in range(rounds, -1, -1):
+        x0 = e[edge, 0] + slope[edge] * (bottom[slab] - e[edge, 1])
+        x1 = e[edge, 0] + slope[edge] * (top[slab] - e[edge, 1])
+        order = np.lexsort((x1, x0, slab))
+        slab, edge, x0, x1 = slab[order], edge[order], x0[order], x1[order]
+        gap0, gap1, bar = x0[1:] - x0[:-1], x1[:-1] - x1[1:], least[of[slab[1:]]]
+        crossed = np.flatnonzero((slab[1:] == slab[:-1]) & (gap1 > bar) & (gap0 > bar)) if left else np.empty(0, np.int64)
+        at = bottom[slab[crossed]] + (top - bottom)[slab[crossed]] * gap0[crossed] / (gap0[crossed] + gap1[crossed])
+        inside = (at > bottom[slab[crossed]]) & (at < top[slab[crossed]])
+        crossed, at = crossed[inside], at[inside]
+        uncertain = np.zeros(len(bottom), bool)
+        uncertain[slab[crossed]] = True
+        found = _common(slab, first[edge], (x0 + x1) / 2, (top - bottom) * ~uncertain, len(bottom))
+        total += np.bincount(of, found, n)
+        if not len(crossed):
+            break
+        # Parts of a slab hold the edges of the slab.
+        own = np.flatnonzero(uncertain)
+        parent, cut = np.concatenate([own, own, slab[crossed]]), np.concatenate([bottom[own], top[own], at])
+        order = np.lexsort((cut, parent))
+        parent, cut = parent[order], cut[order]
+        keep = (parent[1:] == parent[:-1]) & (cut[1:] > cut[:-1])
+        parts = np.bincount(parent[:-1][keep], minlength=len(bottom))
+        begin = np.cumsum(parts) - parts
+        held = uncertain[slab]
+        slab, edge = slab[held], edge[held]
+        times = parts[slab]
+        slab, edge = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin[slab], times), np.repeat(edge, times)
+        bottom, top, of = cut[:-1][keep], cut[1:][keep], of[parent[:-1][keep]]
+    return total
 
 
-def overlay(left: DataFrame, right: DataFrame, cell: float, left_id: str = "left_id", right_id: str = "right_id", rings: str = "rings") -> DataFrame:
+def _areas_of_batches(batches: Iterator[pa.RecordBatch], names: Sequence[str], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Adds `inter` to batches with flat edges `_ra` and `_rb`, as many rows at a time as have `most` edges in their slabs."""
+    for batch in batches:
+        ends = [(c.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4), c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) // 4) for c in (batch.column("_ra"), batch.column("_rb"))]
+        (ea, na), (eb, nb) = ends
+        stop_a, stop_b, cost = np.cumsum(na), np.cumsum(nb), np.cumsum((na + nb) ** 2)
+        out, at = np.zeros(batch.num_rows), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + most, side="right")))
+            own = lambda e, n, stop, a=at, b=to: (e[stop[a] - n[a] : stop[b - 1]], np.repeat(np.arange(b - a), n[a:b]))
+            out[at:to] = common_areas(*own(ea, na, stop_a), *own(eb, nb, stop_b), to - at)
+            at = to
+        yield pa.RecordBatch.from_arrays([pa.array(out) if c == "inter" else batch.column(c) for c in names], names=list(names))
+
+
+def overlay(left: DataFrame, right: DataFrame, cell: float, left_id: str = "left_id", right_id: str = "right_id", rings: str = "rings", short: int = 64) -> DataFrame:
     """(left_id, right_id, inter, a_left, a_right) of pairs whose common area is positive. Ids tell rows apart.
 
-    Boxes meet on grid cells, without their polygons. Two polygons that fill their boxes are rectangles, whose common area is an expression; only the other pairs fetch their rings, and
-    their areas are summed over slabs.
+    Boxes meet on grid cells. Two polygons that fill their boxes are rectangles, whose common area is an expression. Of others, those with up to `short` edges take these along, and the areas of many pairs
+    are summed over slabs together; pairs with longer ones fetch their rings.
     """
-    side = lambda df, key, p: df.select(key, area(F.col(rings)).alias(f"a_{p}"), *[c.alias(n) for n, c in box(F.col(rings)).items()])
-    cells = lambda df, p: _cells(df, cell).withColumnsRenamed({c: f"{p}{c}" for c in ("x0", "y0", "x1", "y1")})
-    near = cells(side(left, left_id, "left"), "a").join(cells(side(right, right_id, "right"), "b"), ["_cx", "_cy"]).where("ax0 < bx1 AND bx0 < ax1 AND ay0 < by1 AND by0 < ay1")
-    once = near.where((F.floor(F.greatest("ax0", "bx0") / cell) == F.col("_cx")) & (F.floor(F.greatest("ay0", "by0") / cell) == F.col("_cy")))
-    filled = F.expr("a_left = (ax1 - ax0) * (ay1 - ay0) AND a_right = (bx1 - bx0) * (by1 - by0)")
+    # Flat arrays of ends: rings of unlike lengths don't make an array of arrays.
+    flat = F.flatten(F.transform(edges(F.col(rings)), lambda e: F.array(e["x1"], e["y1"], e["x2"], e["y2"])))
+
+    def side(df: DataFrame, key: str, p: str, q: str) -> DataFrame:
+        boxed = df.select(key, rings, area(F.col(rings)).alias(f"a_{p}"), *[c.alias(n) for n, c in box(F.col(rings)).items()])
+        kind = F.when(F.col(f"a_{p}") == (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), 0).when(F.size(F.flatten(rings)) <= short, 1).otherwise(2)
+        return boxed.withColumn(f"{q}kind", kind).withColumn(f"_r{q}", F.when(F.col(f"{q}kind") == 1, flat)).drop(rings)
+
+    cells = lambda df, q: _cells(df, cell).withColumnsRenamed({c: f"{q}{c}" for c in ("x0", "y0", "x1", "y1")})
+    a, b = cells(side(left, left_id, "left", "a"), "a"), cells(side(right, right_id, "right", "b"), "b")
+
+    # As many tasks as asked for: few bytes of polygons may make many pairs.
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def near(mine: str, theirs: str) -> DataFrame:
+        met = a.where(mine).repartition(parts, "_cx", "_cy").join(b.where(theirs).repartition(parts, "_cx", "_cy"), ["_cx", "_cy"]).where("ax0 < bx1 AND bx0 < ax1 AND ay0 < by1 AND by0 < ay1")
+        return met.where((F.floor(F.greatest("ax0", "bx0") / cell) == F.col("_cx")) & (F.floor(F.greatest("ay0", "by0") / cell) == F.col("_cy")))
+
     across = (F.least("ax1", "bx1") - F.greatest("ax0", "bx0")) * (F.least("ay1", "by1") - F.greatest("ay0", "by0"))
     names = [left_id, right_id, "inter", "a_left", "a_right"]
 
@@ -155,10 +252,14 @@ def overlay(left: DataFrame, right: DataFrame, cell: float, left_id: str = "left
     def common(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([common_area(np.reshape(p, (-1, 4)), np.reshape(q, (-1, 4))) for p, q in zip(x, y, strict=True)], dtype=float)
 
-    # Flat arrays of ends: rings of unlike lengths don't make an array of arrays.
-    flat = F.flatten(F.transform(edges(F.col(rings)), lambda e: F.array(e["x1"], e["y1"], e["x2"], e["y2"])))
-    other = once.where(~filled).join(left.select(left_id, flat.alias("_ra")), left_id).join(right.select(right_id, flat.alias("_rb")), right_id)
-    return once.where(filled).withColumn("inter", across).select(names).unionByName(other.withColumn("inter", common("_ra", "_rb")).select(names)).where("inter > 0")
+    filled = near("akind = 0", "bkind = 0").withColumn("inter", across).select(names)
+    # A rectangle's edges are those of its box.
+    whole = lambda q: F.coalesce(f"_r{q}", F.array(*[F.col(f"{q}{c}") for c in ("x0", "y0", "x1", "y0", "x1", "y0", "x1", "y1", "x1", "y1", "x0", "y1", "x0", "y1", "x0", "y0")]))
+    brief = near("akind = 1", "bkind < 2").unionByName(near("akind = 0", "bkind = 1")).select(left_id, right_id, "a_left", "a_right", whole("a").alias("_ra"), whole("b").alias("_rb"))
+    kinds = left.select(left_id).schema.fields + right.select(right_id).schema.fields + [StructField(c, DoubleType()) for c in names[2:]]
+    brief = brief.mapInArrow(lambda batches: _areas_of_batches(batches, names), StructType(kinds))
+    long = near("akind = 2", "bkind <= 2").unionByName(near("akind < 2", "bkind = 2")).drop("_ra", "_rb").join(left.select(left_id, flat.alias("_ra")), left_id).join(right.select(right_id, flat.alias("_rb")), right_id)
+    return filled.unionByName(brief).unionByName(long.withColumn("inter", common("_ra", "_rb")).select(names)).where("inter > 0")
 
 
 def zonal_mean(pixels: DataFrame, zones: DataFrame, cell: float, zone_id: str = "zone_id", rings: str = "rings", scale: float = 1.0, offset: float = 0.0, nodata: float | None = None) -> DataFrame:

@@ -103,6 +103,19 @@ def test_shared_and_touching_outlines():
     assert G.common_area(table, table, most=500) == pytest.approx(G.common_area(table, table)) == pytest.approx(16 * math.pi, rel=1e-5)
 
 
+def test_areas_of_many_pairs_equal_those_of_each(spark):
+    rng = np.random.default_rng(5)
+    shapes = [G._edge_table([ring(*rng.uniform(0, 4, (int(rng.integers(3, 12)), 2)))]) for _ in range(60)] + [np.empty((0, 4)), G._edge_table(SQUARE), G._edge_table(HOLED), G._edge_table(CONCAVE)]
+    pairs = [(i, j) for i in range(len(shapes)) for j in range(0, len(shapes), 3)]
+    stacked = lambda side: (np.concatenate([shapes[p[side]] for p in pairs]), np.repeat(np.arange(len(pairs)), [len(shapes[p[side]]) for p in pairs]))
+    assert G.common_areas(*stacked(0), *stacked(1), len(pairs)) == pytest.approx([G.common_area(shapes[i], shapes[j]) for i, j in pairs], abs=1e-9)
+    rows = [(0, SQUARE), (1, HOLED), (2, CONCAVE), (3, [ring((1, 1), (3, 1), (2, 3))])]
+    a = spark.createDataFrame(rows, f"left_id long, rings {G.RINGS}")
+    b = a.withColumnRenamed("left_id", "right_id")
+    found = lambda short: {(r["left_id"], r["right_id"]): round(r["inter"], 9) for r in G.overlay(a, b, 3.0, short=short).collect()}
+    assert found(64) == found(0) == found(4) == {(i, j): round(w, 9) for i, p in rows for j, q in rows if (w := G.intersection_area(p, q)) > 0}
+
+
 def test_reprojected_outlines_keep_to_the_curve(spark):
     bent = lambda x, y: F.struct((x + y * y / 100).alias("x"), y.alias("y"))
     df = spark.createDataFrame([(1, HOLED), (2, None)], f"k long, rings {G.RINGS}")
