@@ -14,7 +14,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
+
+from panelforge.operators.ordering import settled
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -262,16 +264,94 @@ def overlay(left: DataFrame, right: DataFrame, cell: float, left_id: str = "left
     return filled.unionByName(brief).unionByName(long.withColumn("inter", common("_ra", "_rb")).select(names)).where("inter > 0")
 
 
-def zonal_mean(pixels: DataFrame, zones: DataFrame, cell: float, zone_id: str = "zone_id", rings: str = "rings", scale: float = 1.0, offset: float = 0.0, nodata: float | None = None) -> DataFrame:
+def zonal_mean(
+    pixels: DataFrame, zones: DataFrame, cell: float, zone_id: str = "zone_id", rings: str = "rings", scale: float = 1.0, offset: float = 0.0, nodata: float | None = None, short: int = 64,
+    edges_together: int = 1 << 21, places_together: int = 1 << 17,
+) -> DataFrame:
     """(zone_id, zonal_mean, n_valid, n_inside) of pixels (x, y, value at centres) inside each zone. Zones without a geometry or without pixels have a NULL mean and
-    zero counts."""
-    z = zones.select(zone_id, edges(F.col(rings)).alias("_e"), *[c.alias(n) for n, c in box(F.col(rings)).items()])
-    cells = _cells(z.where("_e IS NOT NULL"), cell)
-    p = pixels.select("x", "y", "value").withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
-    inside = p.join(cells, ["_cx", "_cy"]).where((F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1")) & contains(F.col("_e"), F.col("x"), F.col("y")))
+    zero counts.
+
+    Pixels at one place are summed before they meet zones. Zones of up to `short` edges take these to the cells they cover; longer outlines are cut by cells, and a cell's pixels meet
+    what crosses it, in groups of up to `edges_together` edges and about `places_together` places.
+    """
     good = F.col("value").isNotNull() & ~F.isnan("value") & (F.lit(True) if nodata is None else F.col("value") != nodata)
-    sums = inside.groupBy(zone_id).agg((F.avg(F.when(good, F.col("value"))) * scale + offset).alias("zonal_mean"), F.count_if(good).alias("n_valid"), F.count(F.lit(1)).alias("n_inside"))
-    return zones.select(zone_id).join(sums, zone_id, "left").select(zone_id, "zonal_mean", F.coalesce("n_valid", F.lit(0)).alias("n_valid"), F.coalesce("n_inside", F.lit(0)).alias("n_inside"))
+    places = pixels.groupBy("x", "y").agg(F.sum(F.when(good, F.col("value"))).alias("_s"), F.count_if(good).alias("_v"), F.count(F.lit(1)).alias("_n"))
+    p = places.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
+    z = zones.where(F.col(rings).isNotNull()).select(zone_id, edges(F.col(rings)).alias("_e"), *[c.alias(n) for n, c in box(F.col(rings)).items()]).withColumn("_m", F.size("_e"))
+    inside = p.join(_cells(z.where(F.col("_m") <= short), cell), ["_cx", "_cy"])
+    inside = inside.where((F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1")) & contains(F.col("_e"), F.col("x"), F.col("y")))
+    sums = lambda df: df.groupBy(zone_id).agg(F.sum("_s").alias("_s"), F.sum("_v").alias("_v"), F.sum("_n").alias("_n"))
+    found = sums(inside.select(zone_id, "_s", "_v", "_n").unionByName(_inside_long(p, z.where(F.col("_m") > short), cell, zone_id, edges_together, places_together)))
+    mean = F.col("_s") / F.nullif(F.col("_v"), F.lit(0)) * scale + offset
+    return zones.select(zone_id).join(found, zone_id, "left").select(zone_id, mean.alias("zonal_mean"), F.coalesce("_v", F.lit(0)).alias("n_valid"), F.coalesce("_n", F.lit(0)).alias("n_inside"))
+
+
+def _inside_long(places: DataFrame, zones: DataFrame, cell: float, zone_id: str, edges_together: int, places_together: int) -> DataFrame:
+    """(zone_id, _s, _v, _n): sums over the places of a cell that are inside, cell by cell, for outlines of many edges."""
+    kind = zones.schema[zone_id]
+    at = ["_cx", "_cy"]
+    # One row per cell: into how many parts its zones and its places are dealt.
+    parts = _cells(zones.select("x0", "y0", "x1", "y1", "_m"), cell).groupBy(*at).agg(F.ceil(F.sum("_m") / edges_together).cast("int").alias("_parts"))
+    blocks = places.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / places_together).cast("int").alias("_blocks"))
+    dealt = settled(parts.join(blocks, at))
+    flat = F.flatten(F.transform("_e", lambda e: F.array(e["x1"], e["y1"], e["x2"], e["y2"])))
+    schema = StructType([kind, *(StructField(c, LongType()) for c in at), StructField("_near", BinaryType()), StructField("_turns", BinaryType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("_flat")
+            for i in range(batch.num_rows):
+                made = _pieces(own[i].values.to_numpy(zero_copy_only=False).reshape(-1, 4), cell)
+                if made:
+                    cx, cy, near, turns = zip(*made, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(zone_id)[i].as_py()] * len(cx), batch.column(zone_id).type), pa.array(cx, pa.int64()), pa.array(cy, pa.int64()), pa.array(near, pa.binary()), pa.array(turns, pa.binary())], names=schema.names)
+
+    pieces = zones.select(zone_id, flat.alias("_flat")).mapInArrow(cut, schema).join(dealt, at).withColumn("_part", F.pmod(F.xxhash64(zone_id), F.col("_parts")).cast("int"))
+    pieces = pieces.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_parts", "_blocks")
+    there = places.join(dealt, at).withColumn("_block", F.pmod(F.xxhash64("x", "y"), F.col("_blocks")).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts", "_blocks")
+
+    def met(own: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        there = there.sort_values("y", kind="stable")
+        x, y = there["x"].to_numpy(float), there["y"].to_numpy(float)
+        sums = np.column_stack([there["_s"].fillna(0.0), there["_v"], there["_n"]]).astype(float)
+        rows = []
+        for key, near, turns in zip(own[zone_id], own["_near"], own["_turns"], strict=True) if len(x) else ():
+            e = np.frombuffer(near).reshape(-1, 4)
+            lo, hi = (np.searchsorted(y, f(e[:, 1], e[:, 3])) for f in (np.minimum, np.maximum))
+            n = hi - lo
+            edge = np.repeat(np.arange(len(e)), n)
+            place = np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n) + lo[edge]
+            x1, y1, x2, y2 = e[edge].T
+            beyond = x[place] < (x2 - x1) * (y[place] - y1) / (y2 - y1) + x1
+            odd = (np.bincount(place[beyond], minlength=len(x)) + np.searchsorted(np.frombuffer(turns), y, side="right")) % 2 == 1
+            if odd.any():
+                rows.append((key, *sums[odd].sum(axis=0)))
+        found = pd.DataFrame(rows, columns=[zone_id, "_s", "_v", "_n"])
+        return found.astype({"_v": np.int64, "_n": np.int64})
+
+    keys = [*at, "_part", "_block"]
+    return pieces.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(met, StructType([kind, StructField("_s", DoubleType()), StructField("_v", LongType()), StructField("_n", LongType())]))
+
+
+def _pieces(e: np.ndarray, cell: float) -> list[tuple[int, int, bytes, bytes]]:
+    """(cell x, cell y, edges near the cell, heights) of an outline. Edges to the left of a cell are crossed by no line to the right; of those beyond it only the heights where they begin and end count,
+    and heights that come twice cancel, so a chain of edges leaves two."""
+    e = e[(e[:, 1] != e[:, 3]) & np.isfinite(e).all(axis=1)]
+    if not len(e):
+        return []
+    x0, x1, y0, y1 = (f(e[:, i], e[:, i + 2]) for i in (0, 1) for f in (np.minimum, np.maximum))
+    slack = 1e-9 * (1 + np.abs(e).max())
+    out = []
+    for cy in range(int(np.floor(y0.min() / cell)), int(np.floor(y1.max() / cell)) + 1):
+        row = np.flatnonzero((y1 >= cy * cell - slack) & (y0 <= (cy + 1) * cell + slack))
+        for cx in range(int(np.floor(x0.min() / cell)), int(np.floor(x1.max() / cell)) + 1):
+            past = x0[row] > (cx + 1) * cell + slack
+            near = row[~past & (x1[row] >= cx * cell - slack)]
+            ends, times = np.unique(np.concatenate([y0[row[past]], y1[row[past]]]), return_counts=True)
+            turns = ends[times % 2 == 1]
+            if len(near) or len(turns):
+                out.append((cx, cy, e[near].tobytes(), turns.tobytes()))
+    return out
 
 
 def reprojected(rings: Column, to: Callable[[Column, Column], Column], tolerance: float, most: int = 4096) -> Column:

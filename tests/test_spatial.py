@@ -48,6 +48,16 @@ def test_zonal_means(spark):
     assert c["bbox_overlap"] and c["n_with_any"] == 2 and c["share_enough"] == 0.5
 
 
+def test_zones_of_many_edges_are_cut_by_cells(spark):
+    rng = np.random.default_rng(2)
+    pixels = spark.createDataFrame([(float(x), float(y), float(v)) for x, y, v in zip(rng.integers(0, 80, 3000) / 4, rng.integers(0, 80, 3000) / 4, rng.normal(size=3000))], "x double, y double, value double")
+    star = lambda x, y, r: ring(*[(x + r * (1 + 0.4 * math.cos(5 * t)) * math.cos(t), y + r * (1 + 0.4 * math.cos(5 * t)) * math.sin(t)) for t in np.linspace(0, 2 * math.pi, 300, endpoint=False)])
+    zones = spark.createDataFrame([(1, [star(9, 9, 6), star(9, 9, 2)]), (2, [star(3, 15, 5)]), (3, HOLED), (4, None), (5, [star(90, 90, 3)])], f"zone_id long, rings {G.RINGS}")
+    rows = lambda **how: {r["zone_id"]: (r["zonal_mean"] and round(r["zonal_mean"], 9), r["n_valid"], r["n_inside"]) for r in G.zonal_mean(pixels, zones, 2.5, **how).collect()}
+    want = rows(short=10_000)
+    assert rows() == want == rows(short=3, edges_together=100, places_together=20) and want[1][2] > 500 and want[5] == (None, 0, 0)
+
+
 def test_area_and_containment(spark):
     df = spark.createDataFrame([(HOLED,)], f"rings {G.RINGS}")
     e = G.edges(F.col("rings"))
