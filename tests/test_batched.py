@@ -32,6 +32,10 @@ def test_moments(spark):
         z = np.array([[1.0, *([x or 0.0 for x in v] if v else [0.0] * 3)] for g_, s_, v in rows if s_ == s and (g_ == g or (g_ is None and pd.isna(g)))])
         assert np.allclose(m, z.T @ z)
     assert B.grouped_moments(df.limit(0), "v", 3, ["g"]).count() == 0
+    # A task that may hold the sums of one group only gives the same.
+    again = B.whole_matrices(B.grouped_moments(df, "v", 3, ["g", "s"], held_bytes=1).toPandas(), ["g", "s"], 3)
+    named = lambda found: {str(list(k)): m.round(9).tolist() for k, m in zip(found[0].to_numpy().tolist(), found[1], strict=True)}
+    assert named(again) == named((keys, mats))
 
 
 def test_batches_equal_single_fits(spark, toy):
