@@ -78,6 +78,18 @@ def test_transfer_batches_equal_single_searches(spark, toy, block):
     assert got.loc[("shuffled", 2), "rmse"] == pytest.approx(one["rmse"], abs=1e-9)
 
 
+def test_nearest_of_other_folds_equal_brute_force():
+    rng = np.random.default_rng(1)
+    b = rng.integers(0, 3, (700, 5)).astype(float)
+    folds, ids = np.sort(rng.integers(0, 4, 700).astype(str)).astype(object), rng.permutation(700)
+    for at in B._runs(folds, 50):
+        r, s, d = B._nearest_others(b[at], b, 3, ids, folds, folds[at[0]], 4, width=16)
+        far = ((b[at][:, None] - b[None]) ** 2).sum(axis=2)
+        far[:, folds == folds[at[0]]] = np.inf
+        want = [sorted(zip(row, ids))[:4] for row in far]
+        assert [(x, ids[y]) for x, y in zip(d, s)] == [x for row in want for x in row] and r.tolist() == [i for i in range(len(at)) for _ in range(4)]
+
+
 def test_transfer_ties_and_repeats(spark):
     rows = [(i, [float(i % 3)], [0.0], float(i), i % 2) for i in range(30)]
     df = spark.createDataFrame(rows, "unit_id long, x array<double>, h array<double>, y double, fold int")
