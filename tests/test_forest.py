@@ -99,3 +99,30 @@ def test_edge_cases(spark):
     assert {round(r["pred_a"], 9) for r in T.forest_oof(same, "x", 1, ["a"], trees=3, local_rows=4).collect()} == {3.0}
     odd = spark.createDataFrame([(i, [None], 1.0, None if i == 0 else i % 2) for i in range(12)], empty.schema)
     assert [r["pred_a"] for r in T.forest_oof(odd, "x", 1, ["a"], trees=3).orderBy("unit_id").collect()] == [None] + [1.0] * 11
+
+
+def test_cuts_of_several_nodes_equal_those_of_each():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        x, y, w = np.floor(rng.normal(size=(60, 3)) * 2), rng.normal(size=(60, 2)), rng.integers(1, 4, 60).astype(float)
+        n = rng.integers(10, 40, 5)
+        nodes = [np.sort(rng.permutation(60)[:k]) for k in n]
+        at = np.stack([np.r_[v, np.full(n.max() - len(v), 60)] for v in nodes])
+        features = np.sort(np.stack([rng.permutation(3)[:2] for _ in n]), axis=1)
+        wide, weights = np.vstack([x, np.full(3, np.inf)]), np.append(w, 0.0)
+        gain, feature, cut = T.best_cuts(wide, np.ascontiguousarray((weights[:, None] * np.vstack([y, np.zeros(2)])).T), weights, at, n, features, 5)
+        for g, v in enumerate(nodes):
+            want = T.best_cut(x[v], y[v], w[v], features[g], 5)
+            assert (want is None) == (gain[g] == -np.inf)
+            assert want is None or (gain[g] == pytest.approx(want[0]) and (feature[g], cut[g]) == want[1:])
+
+
+def test_trees_of_tasks_equal_trees_of_rows_and_write_no_copies(spark, data, monkeypatch):
+    _, _, df = data
+    written, settled = [], T.settled
+    monkeypatch.setattr(T, "settled", lambda d: (found := settled(d), written.append(found.count()))[0])
+    few = T.forest_oof(df, "x", 4, ["a", "b"], trees=6, local_rows=40).orderBy("unit_id").toPandas()
+    # Rows are written once, not for every tree and level.
+    assert sum(written) == 300
+    rows = T.forest_oof(df, "x", 4, ["a", "b"], trees=6, local_rows=40, task_bytes=0).orderBy("unit_id").toPandas()
+    assert np.allclose(few[["pred_a", "pred_b"]], rows[["pred_a", "pred_b"]])
