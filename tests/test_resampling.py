@@ -89,3 +89,20 @@ def test_bootstrap_of_means_equals_that_over_pairs(spark):
     got = {r["draw"]: r["stat"] for r in R.pair_bootstrap_mean(pairs, tiles, "d", 30, chunk=7).collect()}
     assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d]) for d in want)
     assert R.pair_bootstrap_mean(pairs.limit(1), tiles, "d", 5).count() == 0
+
+
+def test_draws_of_tasks_equal_draws_of_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    units = spark.createDataFrame([(i * 7, rng.normal(size=3).tolist(), float(rng.normal()), float(i % 50), float(i // 2), None if i % 5 == 0 else "ab"[i < 3]) for i in range(120)], "unit_id long, h array<double>, v double, lat double, lon double, s string")
+    # Ends that aren't units count for nothing; strata of fewer rows stay.
+    pairs = spark.createDataFrame([(int(a) * 7, int(b) * 7) for a, b in rng.integers(0, 130, (300, 2))], "i long, j long")
+    for strata, least in (([], 1), (["s"], 5)):
+        a, b = (R.permutation_pair_null(pairs, units, "h", 9, strata, least, task_bytes=n).orderBy("draw").toPandas() for n in (1 << 27, 0))
+        assert np.array_equal(a["draw"], b["draw"]) and np.allclose(a["stat"], b["stat"])
+    a, b = (R.morans_i(units, "v", 4, 19, task_bytes=n).first() for n in (1 << 27, 0))
+    assert np.allclose(a, b)
+    odd = units.withColumn("h", F.when(F.col("unit_id") % 2 == 0, F.array(F.lit(None).cast("double"))).otherwise(F.col("h")))
+    assert R.drawn_by_tasks(odd, pairs, "h", 3, R._mean_distance) is None
+    # Rows of draws aren't made.
+    monkeypatch.setattr(R, "shuffled", None)
+    assert R.permutation_pair_null(pairs, units, "h", 5).count() == 5
