@@ -156,3 +156,9 @@ def test_separability_of_variants(spark, toy):
     assert got.loc["north", "divergent_rate"] == pytest.approx(N.divergent_rate(pairs).first()["divergent_rate"])
     null = RS.permutation_pair_null(pairs, north, "h", 15, ["stratum"], least=1)
     assert got.loc["north", "null_mean"] == pytest.approx(null.agg(F.avg("stat")).first()[0]) and 0 <= got.loc["north", "p_lower"] <= 1
+
+
+def test_spaces_searched_by_cells_equal_those_of_blocks(spark, toy):
+    spaces = {"b": (F.col("b"), 3), "south": (F.when(F.col("lat") < 0, F.col("h")), 5)}
+    few, many = (B.nearest_many(toy, spaces, together=n).orderBy("space", "i", "d", "j").toPandas() for n in (1 << 14, 0))
+    assert few[["space", "i", "j"]].equals(many[["space", "i", "j"]]) and np.allclose(few["d"], many["d"])
