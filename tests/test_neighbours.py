@@ -102,3 +102,31 @@ def test_pair_distances(spark):
     a = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0])], "unit_id long, v array<double>")
     p = spark.createDataFrame([(1, 2)], "i long, j long")
     assert N.pair_distances(p, a, {"d": "v"}).select(F.col("d")).first()["d"] == 5.0
+
+
+def test_cells_hold_their_rows_beside_vectors_without_numbers(spark):
+    """A vector that can't be compared takes no part, and its cell keeps all others."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 3))
+    x[[5, 40]] = np.nan
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "unit_id long, x array<double>")
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    d[np.eye(len(x), dtype=bool) | np.isnan(d)] = np.inf
+    got = {}
+    for r in N.knn(df, df, 4, block_rows=24).orderBy("i", "rank").collect():
+        got.setdefault(r["i"], []).append(r["j"])
+    assert got == {i: [int(j) for j in np.argsort(d[i], kind="stable")[:4]] for i in range(len(x)) if i not in (5, 40)}
+
+
+def test_blocks_of_cells_are_bounded_and_whole():
+    rng = np.random.default_rng(2)
+    sizes, pivots = rng.integers(0, 40, 50), rng.normal(size=(50, 2))
+    sizes[7] = 500
+    dealt = N._blocks_of_cells(sizes, pivots, 100)
+    assert sorted(c for c, _, _ in dealt) == np.flatnonzero(sizes).tolist()
+    assert {c: n for c, _, n in dealt}[7] == 5
+    held = {}
+    for c, b, n in dealt:
+        for at in range(b, b + n):
+            held[at] = held.get(at, 0) + sizes[c] / n
+    assert sorted(held) == list(range(len(held))) and max(held.values()) <= 100
