@@ -130,3 +130,22 @@ def test_blocks_of_cells_are_bounded_and_whole():
         for at in range(b, b + n):
             held[at] = held.get(at, 0) + sizes[c] / n
     assert sorted(held) == list(range(len(held))) and max(held.values()) <= 100
+
+
+def test_rates_of_variants_share_searches(spark, points, monkeypatch):
+    """Three values of k and a smaller sample: two searches, with the rates that each variant has by itself."""
+    from panelforge.operators import learning as M
+    from panelforge.plans import specs as X
+
+    df = frame(spark, points).withColumn("H", F.slice("x", 4, 2))
+    samples = {"all": df, "north": df.where("lat > 0"), "few": df.where("unit_id < 20")}
+    rates = {"k2": ("all", {"x": 3}, 2), "k4": ("all", {"x": 3}, 4), "k6": ("all", {"x": 3}, 6), "north": ("north", {"x": 3}, 4), "few": ("few", {"x": 3}, 4)}
+    searches, knn = [], N.knn
+    monkeypatch.setattr(N, "knn", lambda *a, **b: searches.append(1) or knn(*a, **b))
+    got = {r["variant"]: r for r in X.divergent_rates(samples, rates, "H").collect()}
+    assert len(searches) == 2 and set(got) == {"k2", "k4", "k6", "north"}
+    for label in ("k4", "north"):
+        s, blocks, k = rates[label]
+        x = M.block_scale(samples[s], blocks)
+        want = N.divergent_rate(N.pair_distances(knn(x, x, k).select("i", "j", F.col("d").alias("d_sc")), x, {"d_h": "H"})).first()
+        assert [got[label][c] for c in ("n_near", "near_cut", "far_cut", "divergent_rate")] == pytest.approx([want[c] for c in ("n_near", "near_cut", "far_cut", "divergent_rate")])
