@@ -97,6 +97,20 @@ class Shapefile(DataSource):
 _TESTS = {GreaterThan: np.greater, GreaterThanOrEqual: np.greater_equal, LessThan: np.less, LessThanOrEqual: np.less_equal, EqualTo: np.equal}
 
 
+def _shared_tasks(ranges: list[tuple[str, int, int]], most: int = 1024) -> list[list[tuple[str, int, int]]]:
+    """The ranges of each task: one, or as many neighbours as make up `most` tasks at most; those of one file are read as one."""
+    together, out = max(1, -(-len(ranges) // most)), []
+    for at in range(0, len(ranges), together):
+        own: list[tuple[str, int, int]] = []
+        for stem, low, high in ranges[at : at + together]:
+            if own and own[-1][0] == stem and own[-1][2] == low:
+                own[-1] = (stem, own[-1][1], high)
+            else:
+                own.append((stem, low, high))
+        out.append(own)
+    return out
+
+
 class _ShapeReader(DataSourceReader):
     def __init__(self, stems: list[str], columns: list[str] | None, geometry: bool, boxes: bool, records: int, encoding: str):
         self.stems, self.columns, self.geometry, self.boxes, self.records, self.encoding = stems, columns, geometry, boxes, records, encoding
@@ -115,13 +129,14 @@ class _ShapeReader(DataSourceReader):
         for stem in self.stems:
             with opened(f"{stem}.dbf") as f:
                 n = dbf_header(f.read(1 << 16))["records"]
-            out += [_Range(stem, a, min(a + self.records, n)) for a in range(0, n, self.records)]
-        return out or [_Range("", 0, 0)]
+            out += [(stem, a, min(a + self.records, n)) for a in range(0, n, self.records)]
+        return [_Range(*own) for own in _shared_tasks(out)] or [_Range()]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        stem, low, high = partition.value
-        if low == high:
-            return
+        for stem, low, high in partition.value:
+            yield from self._read(stem, low, high)
+
+    def _read(self, stem: str, low: int, high: int) -> Iterator[tuple]:
         places = _places(stem, low, high) if self.geometry or self.boxes else None
         with opened(f"{stem}.dbf") as dbf:
             info = dbf_header(dbf.read(1 << 16))
@@ -174,7 +189,7 @@ def _places(stem: str, low: int, high: int) -> np.ndarray:
 
 
 def scan_shapefile(spark: SparkSession, stem: str | Sequence[str], columns: Sequence[str] | None = None, geometry: bool = True, boxes: bool = False, records: int = 50_000, encoding: str = "utf-8") -> DataFrame:
-    """Records of `stem`.dbf with geometries of `stem`.shp by the offsets in `stem`.shx: `records` of them per task. Several stems are read as one table."""
+    """Records of `stem`.dbf with geometries of `stem`.shp by the offsets in `stem`.shx: `records` of them per task, or more where that made over 1,024 tasks. Several stems are read as one table."""
     spark.dataSource.register(Shapefile)
     _pushed(spark)
     reader = spark.read.format("shapefile").option("stems", stem if isinstance(stem, str) else "\n".join(stem)).option("geometry", str(geometry).lower()).option("boxes", str(boxes).lower())

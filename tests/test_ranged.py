@@ -194,3 +194,14 @@ def test_digests(spark, tmp_path):
 def test_whole_file_readers_agree(spark, stem):
     whole = S.dbf_rows(open(f"{stem}.dbf", "rb").read(), ["KEY", "NAME"])
     assert [r["KEY"] for r in whole] == [i for i in range(101) if i % 10 != 9] and struct.calcsize("<i4d") == R._HEAD.size
+
+
+def test_many_ranges_share_tasks():
+    """All records once and in order, in a bounded number of tasks; few ranges have a task each."""
+    from panelforge.sources.ranged import _shared_tasks
+
+    ranges = [(f"s{i}", a, min(a + 64, 500)) for i in range(300) for a in range(0, 500, 64)]
+    tasks = _shared_tasks(ranges)
+    assert len(tasks) <= 1024
+    assert [(s, k) for own in tasks for s, a, b in own for k in range(a, b)] == [(s, k) for s, a, b in ranges for k in range(a, b)]
+    assert _shared_tasks(ranges[:9]) == [[r] for r in ranges[:9]] and _shared_tasks([]) == []
