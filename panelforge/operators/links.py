@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import is_link, join_ids, ratio, split_ids, strict_pair
 from panelforge.operators.graph import connected
-from panelforge.operators.ordering import exact_quantiles, join_counted, row_numbers, settled
+from panelforge.operators.ordering import exact_quantiles, few, join_counted, row_numbers, settled
 
 
 @dataclass(frozen=True)
@@ -51,11 +51,16 @@ def key_classes(left: DataFrame, right: DataFrame, key: str = "key", id: str = "
 
 
 def member_lists(members: DataFrame, by: str = "cluster_id", id: str = "unit_id", chunk: int = 4096) -> DataFrame:
-    """(by, unit_ids): each group's ids in order, `;`-joined. Ids are numbered over range partitions, so a group of any size is joined from pieces of `chunk` ids; only the text itself is one value."""
-    placed = row_numbers(members.select(by, id).distinct(), [id], "_at", by=[by]).withColumn("_piece", F.floor(F.col("_at") / chunk))
+    """(by, unit_ids): each group's ids in order, `;`-joined. Groups of up to `chunk` rows are joined where their rows meet; the ids of larger ones are numbered over range partitions and joined
+    from pieces of `chunk` ids, so only the text itself is one value. `members` is read twice."""
+    large = few(members.groupBy(by).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > chunk).select(by))
+    if large.isEmpty():
+        return members.groupBy(by).agg(join_ids(F.collect_set(id)).alias("unit_ids"))
+    small = members.join(large, by, "left_anti").groupBy(by).agg(join_ids(F.collect_set(id)).alias("unit_ids"))
+    placed = row_numbers(members.join(large, by, "left_semi").select(by, id).distinct(), [id], "_at", by=[by]).withColumn("_piece", F.floor(F.col("_at") / chunk))
     pieces = placed.groupBy(by, "_piece").agg(join_ids(F.collect_list(id)).alias("_text"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("_piece", "_text"))), lambda x: x["_text"])
-    return pieces.groupBy(by).agg(F.array_join(ordered, ";").alias("unit_ids"))
+    return small.unionByName(pieces.groupBy(by).agg(F.array_join(ordered, ";").alias("unit_ids")))
 
 
 def correspond(left: DataFrame, right: DataFrame, key: str = "key", check: str | None = None, corroborated: tuple[float, float] = (0.2, 5.0), core: Column | None = None) -> DataFrame:
@@ -99,16 +104,21 @@ def positional_concat(left: DataFrame, right: DataFrame, left_order: Sequence[st
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(side, id, component) of a bipartite graph; component is the smallest `a` node of each.
 
-    Every `b` node is replaced by edges from its `a` nodes to the smallest of them, so hubs never meet in one task, and the components of what is left are found by star
-    contraction. Edges with a null end don't count.
+    Every `b` node stands for the smallest of its `a` nodes, so hubs never meet in one task. Only `a` nodes of several `b` nodes connect these, so star contraction sees no others.
+    Edges with a null end don't count.
     """
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct()
-    pairs = settled(pairs)
-    least = pairs.groupBy("b").agg(F.min("a").alias("m"))
-    joined = connected(pairs.join(least, "b").select(F.col("a").alias("u"), F.col("m").alias("v")))
-    of_a = pairs.select("a").distinct().join(joined.withColumnRenamed("node", "a"), "a", "left").select("a", F.coalesce("root", "a").alias("component"))
-    of_b = least.join(of_a.withColumnRenamed("a", "m"), "m")
-    return of_a.select(F.lit("a").alias("side"), F.col("a").alias("id"), "component").unionByName(of_b.select(F.lit("b").alias("side"), F.col("b").alias("id"), "component"))
+    pairs = settled(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct())
+    least = pairs.groupBy("b").agg(F.min("a").alias("_m"))
+    met = settled(pairs.join(least, "b"))
+    low = met.groupBy("a").agg(F.min("_m").alias("_mm"))
+    roots = _roots(met.join(low, "a"))
+    named = lambda df, side, node: df.join(roots, F.col(node) == F.col("node"), "left").select(F.lit(side).alias("side"), F.col(side).alias("id"), F.coalesce("root", node).alias("component"))
+    return named(low, "a", "_mm").unionByName(named(least, "b", "_m"))
+
+
+def _roots(met: DataFrame) -> DataFrame:
+    """(node, root) of the nodes _m that an `a` node connects to others; _mm is the smallest _m of the row's `a` node."""
+    return connected(met.where("_m <> _mm").select(F.col("_m").alias("u"), F.col("_mm").alias("v")))
 
 
 def classify(overlaps: DataFrame, countries: DataFrame, rules: LinkRules = LinkRules()) -> DataFrame:
@@ -118,15 +128,23 @@ def classify(overlaps: DataFrame, countries: DataFrame, rules: LinkRules = LinkR
     the cluster's total overlap, its coverage, the component with its sizes, and pair_class.
     """
     links = settled(overlaps.where(is_link(ratio(F.col("inter"), F.least("a_unit", "a_cluster")), rules.link_overlap)).join(countries, "unit_id", "left"))
-    # An edge is one row per pair, so counts of rows are counts of partners. Aggregates per node are partial before they are shuffled, and their joins can split a hub.
+    # An edge is one row per pair, so counts of rows are counts of partners. Aggregates per node are partial before they are shuffled, and their joins can split a hub. _m is the smallest unit
+    # of a cluster, _mm the smallest _m of a unit, as in `components`.
     n = F.count(F.lit(1))
-    of_cluster = links.groupBy("cluster_id").agg(n.alias("n_units"), F.sum("inter").alias("_all"), F.max("inter").alias("_most"), F.size(F.collect_set("country")).alias("n_countries"))
-    links = links.join(of_cluster, "cluster_id").join(links.groupBy("unit_id").agg(n.alias("n_clusters")), "unit_id")
+    of_cluster = links.groupBy("cluster_id").agg(
+        n.alias("n_units"), F.sum("inter").alias("_all"), F.max("inter").alias("_most"), F.size(F.collect_set("country")).alias("n_countries"), F.min("unit_id").alias("_m")
+    )
+    links = links.join(of_cluster, "cluster_id", "left")
+    of_unit = links.groupBy("unit_id").agg(n.alias("n_clusters"), F.min("_m").alias("_mm"))
+    links = settled(links.join(of_unit, "unit_id").where(F.col("cluster_id").isNotNull()))
     links = links.withColumn("share", ratio(F.col("inter"), F.col("_all"))).withColumn("coverage", ratio(F.col("_all"), F.col("a_cluster")))
-    graph = components(links, "unit_id", "cluster_id")
-    sizes = graph.groupBy("component").agg(F.count_if(F.col("side") == "a").alias("comp_units"), F.count_if(F.col("side") == "b").alias("comp_clusters"))
-    of_unit = graph.where("side = 'a'").select(F.col("id").alias("unit_id"), "component")
-    links = links.join(of_unit, "unit_id").join(sizes, "component")
+    side = lambda node, id: links.select(F.col(node).alias("node"), F.lit(id).alias("side"), F.col(id).alias("id"))
+    ends = side("_mm", "unit_id").unionByName(side("_m", "cluster_id")).distinct()
+    nodes = ends.groupBy("node").agg(F.count_if(F.col("side") == "unit_id").alias("_u"), F.count_if(F.col("side") == "cluster_id").alias("_c"))
+    nodes = settled(nodes.join(_roots(links), "node", "left").select(F.col("node").alias("_mm"), F.coalesce("root", "node").alias("component"), "_u", "_c"))
+    sizes = nodes.groupBy("component").agg(F.sum("_u").alias("comp_units"), F.sum("_c").alias("comp_clusters"))
+    # Nodes, fewer than links, meet the sizes, so that the links of one component needn't meet.
+    links = links.join(nodes.drop("_u", "_c").join(sizes, "component"), "_mm")
     iou, frac_cluster = ratio(F.col("inter"), F.col("a_unit") + F.col("a_cluster") - F.col("inter")), ratio(F.col("inter"), F.col("a_cluster"))
     strict = strict_pair(iou, ratio(F.col("a_unit"), F.col("a_cluster")), F.col("distance_km"), rules.strict_iou, rules.strict_ratios, rules.strict_km)
     top = F.col("share") >= rules.dominant_share
@@ -139,7 +157,7 @@ def classify(overlaps: DataFrame, countries: DataFrame, rules: LinkRules = LinkR
         .when(one_unit, "C_ambiguous_one_to_many")
         .otherwise("J_complex_many_to_many")
     )
-    return links.withColumn("iou", iou).withColumn("pair_class", pair_class).drop("_all", "_most")
+    return links.withColumn("iou", iou).withColumn("pair_class", pair_class).drop("_all", "_most", "_m", "_mm")
 
 
 def unit_classes(links: DataFrame) -> DataFrame:
@@ -159,9 +177,10 @@ def usable_units(links: DataFrame, valid: DataFrame, sample: DataFrame, rules: L
     """Clusters that can serve as units: stars of one country with a valid response, all members in the sample, covered enough."""
     marked = links.join(sample.select("unit_id", F.lit(True).alias("_in")).distinct(), "unit_id", "left").join(valid, "cluster_id", "left")
     fits = (F.col("comp_clusters") == 1) & (F.col("n_clusters") == 1) & (F.col("pair_class") != "E_cross_country_cluster") & F.coalesce("_in", F.lit(False)) & F.coalesce("valid", F.lit(False))
-    own = marked.groupBy("cluster_id").agg(F.bool_and(fits).alias("ok"), F.count(F.lit(1)).alias("n_units"), ratio(F.sum("inter"), F.first("a_cluster")).alias("coverage"))
+    marked = settled(marked.select("cluster_id", "unit_id", "inter", "a_cluster", fits.alias("_fits")))
+    own = marked.groupBy("cluster_id").agg(F.bool_and("_fits").alias("ok"), F.count(F.lit(1)).alias("n_units"), ratio(F.sum("inter"), F.first("a_cluster")).alias("coverage"))
     usable = settled(own.where(F.col("ok") & (F.col("coverage") >= rules.unit_coverage)))
-    lists = member_lists(links.join(usable.select("cluster_id"), "cluster_id", "left_semi"))
+    lists = member_lists(marked.join(usable.select("cluster_id"), "cluster_id", "left_semi"))
     return usable.join(lists, "cluster_id").select("cluster_id", "n_units", "unit_ids", "coverage", unit_type(F.col("n_units")))
 
 
@@ -174,6 +193,8 @@ def cluster_status(links: DataFrame, coverage: Column | float, iou: Column | flo
     invalid_R, cross_country, ambiguous_nonstar, low_coverage, low_iou, unit. `coverage` and `iou` may be literal or a column. `lists` adds unit_ids, made last; without
     it a hub's members never meet. A link is one row per pair of unit and cluster."""
     lift = lambda x: x if isinstance(x, Column) else F.lit(x)
+    if lists:
+        links = settled(links.select("cluster_id", "unit_id", "inter", "a_unit", "a_cluster", "valid", "country", "comp_clusters", "n_clusters"))
     own = links.groupBy("cluster_id").agg(
         F.count(F.lit(1)).alias("n_units"), F.first("a_cluster").alias("a_cluster"),
         F.sum("inter").alias("_i"), F.sum("a_unit").alias("_u"), F.first("valid").alias("valid"), (F.min("country") < F.max("country")).alias("_c"),

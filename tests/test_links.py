@@ -105,3 +105,44 @@ def test_members_of_a_hub(spark):
     members = spark.range(10_000).select(F.col("id").alias("unit_id"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(7).alias("cluster_id"))
     got = {r["cluster_id"]: r["unit_ids"] for r in L.member_lists(members.unionByName(members), chunk=100).collect()}
     assert got[7] == ";".join(str(i) for i in range(10_000) if i % 10) and got[20] == "20" and len(got) == 1001
+
+
+def test_only_units_of_several_clusters_are_contracted(spark, monkeypatch):
+    """Units with one link hang on their cluster, so the rounds over edges don't see them; sizes and components equal those of a plain search."""
+    seen, whole = [], L.connected
+    monkeypatch.setattr(L, "connected", lambda edges: seen.append(edges.count()) or whole(edges))
+    rows = [(u, 1000 + u % 40, 60.0, 100.0, 70.0, 1.0) for u in range(400)] + [(u, 1000 + (u + 1) % 40, 60.0, 100.0, 70.0, 1.0) for u in range(0, 400, 57)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in rows:
+        a, b = sorted((find(r[0]), find(r[1])))
+        root[b] = a
+    members = {}
+    for r in rows:
+        members.setdefault(find(r[0]), set()).update(r[:2])
+    want = {(r[0], r[1], c := find(r[0]), sum(x < 1000 for x in members[c]), sum(x >= 1000 for x in members[c])) for r in rows}
+    got = {tuple(r) for r in classified(spark, rows).select("unit_id", "cluster_id", "component", "comp_units", "comp_clusters").collect()}
+    assert got == want and seen == [7]  # the clusters of unit 0 have the same smallest unit
+    lone = spark.createDataFrame([(None, 1), (5, None), (7, 2), (9, 2), (9, 2)], "a long, b long")
+    assert {tuple(r) for r in L.components(lone, "a", "b").collect()} == {("a", 7, 7), ("a", 9, 7), ("b", 2, 7)}
+    assert seen == [7, 0]
+
+
+def test_members_of_small_groups_are_not_numbered(spark, monkeypatch):
+    members = spark.createDataFrame([(1, 3), (1, 2), (1, 2), (4, 9)], "cluster_id long, unit_id long")
+    monkeypatch.setattr(L, "row_numbers", lambda *a, **k: pytest.fail("rows are sorted"))
+    assert {tuple(r) for r in L.member_lists(members).collect()} == {(1, "2;3"), (4, "9")}
+
+
+def test_countries_and_valid_clusters_are_made_without_pairs(spark, data, capsys):
+    from panelforge.plans import base
+
+    base.link_countries(spark, data).explain()
+    base.cluster_valid(spark, data).explain()
+    first, second = capsys.readouterr().out.split("== Physical Plan ==")[1:]
+    assert "l_partkey" not in first and "l_orderkey" not in second
