@@ -148,6 +148,45 @@ def test_forest_is_repeatable(spark, toy):
     assert np.allclose(a, b)
 
 
+def test_forest_is_the_same_on_other_layouts(spark, monkeypatch):
+    """Trees are given to tasks, so what is shuffled doesn't follow partitions, nodes and bins as in Spark ML."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 4))
+    rows = [(i, i % 3, [float(v) for v in r], float(3 * (r[0] > 0.2) + r[1]) if i else None) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "unit_id long, fold int, x array<double>, y double")
+    plain = M.forest_oof(df.where("y IS NOT NULL"), "x", "y", trees=30, depth=6, task_bytes=0).select("y", "pred_y").toPandas()
+    monkeypatch.setattr(M, "RandomForestRegressor", None)
+    a, b = (M.forest_oof(d, "x", "y", trees=30, depth=6).orderBy("unit_id").toPandas() for d in (df.coalesce(1), df.repartition(7)))
+    assert (a["pred_y"] - b["pred_y"]).abs().max() < 1e-12 and len(a) == 600 and a["pred_y"].notna().all()
+    error = lambda d: ((d["y"] - d["pred_y"]) ** 2).mean()
+    assert error(a) < 1.1 * error(plain) < 0.2 * a["y"].var()
+
+
+def test_binned_tree_takes_the_best_cuts():
+    """One tree on all rows and features equals a search over all cuts, node by node."""
+    from panelforge.operators import forest as T
+
+    rng = np.random.default_rng(6)
+    bins, y, w = rng.integers(0, 8, size=(3, 120)).astype(np.uint8), rng.normal(size=120), rng.integers(1, 4, size=120).astype(float)
+
+    def grown(at, level):
+        best = None
+        for f in range(3):
+            for c in range(7):
+                left, right = at[bins[f, at] <= c], at[bins[f, at] > c]
+                if level < 3 and w[left].sum() >= 5 and w[right].sum() >= 5:
+                    error = sum((w[s] * (y[s] - np.average(y[s], weights=w[s])) ** 2).sum() for s in (left, right))
+                    if best is None or error < best[0] - 1e-9:
+                        best = (error, left, right)
+        if best is None:
+            return {int(i): np.average(y[at], weights=w[at]) for i in at}
+        return grown(best[1], level + 1) | grown(best[2], level + 1)
+
+    want = grown(np.arange(120), 0)
+    got = T.binned_tree(bins, y, w, np.arange(120), 0, 0, 7, 5, 3, 3, 8)
+    assert np.allclose(got, [want[i] for i in range(120)])
+
+
 def test_mean_row_error(spark):
     df = spark.createDataFrame([([0.0, 0.0], [3.0, 4.0]), ([0.0, 0.0], [0.0, 1.0])], "a array<double>, b array<double>")
     assert df.agg(M.mean_row_l2(F.col("a"), F.col("b"))).first()[0] == 3.0
