@@ -126,3 +126,17 @@ def test_trees_of_tasks_equal_trees_of_rows_and_write_no_copies(spark, data, mon
     assert sum(written) == 300
     rows = T.forest_oof(df, "x", 4, ["a", "b"], trees=6, local_rows=40, task_bytes=0).orderBy("unit_id").toPandas()
     assert np.allclose(few[["pred_a", "pred_b"]], rows[["pred_a", "pred_b"]])
+
+
+def test_tasks_find_the_quantiles_and_keep_short_floats(spark, data, monkeypatch):
+    _, _, df = data
+    short = df.withColumn("x", df["x"].cast("array<float>").cast("array<double>"))
+    kinds, settled = [], T.settled
+    monkeypatch.setattr(T, "settled", lambda d: kinds.append(dict(d.dtypes).get("_x")) or settled(d))
+    # No pass over exploded values before the trees: the quantiles come from the packed rows.
+    monkeypatch.setattr(T, "exact_quantiles", None)
+    few = T.forest_oof(short, "x", 4, ["a", "b"], trees=6, local_rows=40).orderBy("unit_id").toPandas()
+    assert kinds == ["array<float>"] and few[["pred_a", "pred_b"]].notna().all().all()
+    monkeypatch.undo()
+    many = T.forest_oof(short, "x", 4, ["a", "b"], trees=6, local_rows=40, task_bytes=40 * 48).orderBy("unit_id").toPandas()
+    assert np.allclose(few[["pred_a", "pred_b"]], many[["pred_a", "pred_b"]])
