@@ -266,22 +266,29 @@ def overlay(left: DataFrame, right: DataFrame, cell: float, left_id: str = "left
 
 def zonal_mean(
     pixels: DataFrame, zones: DataFrame, cell: float, zone_id: str = "zone_id", rings: str = "rings", scale: float = 1.0, offset: float = 0.0, nodata: float | None = None, short: int = 64,
-    edges_together: int = 1 << 21, places_together: int = 1 << 17,
+    edges_together: int = 1 << 21, places_together: int = 1 << 17, to: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
     """(zone_id, zonal_mean, n_valid, n_inside) of pixels (x, y, value at centres) inside each zone. Zones without a geometry or without pixels have a NULL mean and
     zero counts.
 
     Pixels at one place are summed before they meet zones. Zones of up to `short` edges take these to the cells they cover; longer outlines are cut by cells, and a cell's pixels meet
-    what crosses it, in groups of up to `edges_together` edges and about `places_together` places.
+    what crosses it, in groups of up to `edges_together` edges and about `places_together` places. `short` of zero cuts all outlines by cells, so no pair of a place and a zone becomes a row.
+
+    `to` takes x and y and gives struct(x, y), the place in the zones' projection, in which `cell` is given too. A place has one image, so this is exact where outlines brought to the pixels'
+    projection are curves that `reprojected` follows within a tolerance.
     """
     good = F.col("value").isNotNull() & ~F.isnan("value") & (F.lit(True) if nodata is None else F.col("value") != nodata)
     places = pixels.groupBy("x", "y").agg(F.sum(F.when(good, F.col("value"))).alias("_s"), F.count_if(good).alias("_v"), F.count(F.lit(1)).alias("_n"))
+    if to is not None:
+        places = places.withColumn("_to", to(F.col("x"), F.col("y"))).withColumns({"x": F.col("_to")["x"], "y": F.col("_to")["y"]}).drop("_to").where("x IS NOT NULL AND y IS NOT NULL")
     p = places.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
     z = zones.where(F.col(rings).isNotNull()).select(zone_id, edges(F.col(rings)).alias("_e"), *[c.alias(n) for n, c in box(F.col(rings)).items()]).withColumn("_m", F.size("_e"))
-    inside = p.join(_cells(z.where(F.col("_m") <= short), cell), ["_cx", "_cy"])
-    inside = inside.where((F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1")) & contains(F.col("_e"), F.col("x"), F.col("y")))
-    sums = lambda df: df.groupBy(zone_id).agg(F.sum("_s").alias("_s"), F.sum("_v").alias("_v"), F.sum("_n").alias("_n"))
-    found = sums(inside.select(zone_id, "_s", "_v", "_n").unionByName(_inside_long(p, z.where(F.col("_m") > short), cell, zone_id, edges_together, places_together)))
+    inside = _inside_long(p, z.where(F.col("_m") > short), cell, zone_id, edges_together, places_together)
+    if short:
+        near = p.join(_cells(z.where(F.col("_m") <= short), cell), ["_cx", "_cy"])
+        near = near.where((F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1")) & contains(F.col("_e"), F.col("x"), F.col("y")))
+        inside = near.select(zone_id, "_s", "_v", "_n").unionByName(inside)
+    found = inside.groupBy(zone_id).agg(F.sum("_s").alias("_s"), F.sum("_v").alias("_v"), F.sum("_n").alias("_n"))
     mean = F.col("_s") / F.nullif(F.col("_v"), F.lit(0)) * scale + offset
     return zones.select(zone_id).join(found, zone_id, "left").select(zone_id, mean.alias("zonal_mean"), F.coalesce("_v", F.lit(0)).alias("n_valid"), F.coalesce("_n", F.lit(0)).alias("n_inside"))
 
