@@ -223,12 +223,45 @@ def _areas_of_batches(batches: Iterator[pa.RecordBatch], names: Sequence[str], m
         yield pa.RecordBatch.from_arrays([pa.array(out) if c == "inter" else batch.column(c) for c in names], names=list(names))
 
 
+def shapes(df: DataFrame, key: str, rings: str = "rings", together: int = 4096) -> tuple[DataFrame, DataFrame, bool] | None:
+    """(key, rings) of one row for each outline, (key, _part, _ids) of the rows that have it, up to about `together` in a list, and whether any outline has several lists. None where fewer than half of the
+    rows share an outline with another. Outlines are told apart by two hashes of 64 bits and the sum of their corners."""
+    corners = F.aggregate(F.flatten(rings), F.lit(0.0), lambda s, p: s + p["x"] + 3 * p["y"])
+    marks = df.where(F.col(rings).isNotNull()).select(key, rings, F.xxhash64(rings).alias("_a"), F.xxhash64(F.lit("outline"), F.col(rings)).alias("_b"), corners.alias("_c"))
+    same = ["_a", "_b", "_c"]
+    own = settled(marks.groupBy(*same).agg(F.min(key).alias("_first"), F.min_by(rings, key).alias(rings), F.count(F.lit(1)).alias("_n")))
+    # Three numbers reach the driver.
+    many, rows, most = own.agg(F.count(F.lit(1)), F.sum("_n"), F.max("_n")).first()
+    if not rows or 2 * many > rows:
+        return None
+    found = marks.select(key, *same).join(own.select("_first", *same, F.ceil(F.col("_n") / together).alias("_parts")), same)
+    lists = found.groupBy(F.col("_first").alias(key), F.pmod(F.xxhash64(key), F.col("_parts")).cast("int").alias("_part")).agg(F.collect_list(key).alias("_ids"))
+    return own.select(F.col("_first").alias(key), rings), lists, most > together
+
+
 def overlay(left: DataFrame, right: DataFrame, cell: float, left_id: str = "left_id", right_id: str = "right_id", rings: str = "rings", short: int = 64) -> DataFrame:
     """(left_id, right_id, inter, a_left, a_right) of pairs whose common area is positive. Ids tell rows apart.
 
-    Boxes meet on grid cells. Two polygons that fill their boxes are rectangles, whose common area is an expression. Of others, those with up to `short` edges take these along, and the areas of many pairs
-    are summed over slabs together; pairs with longer ones fetch their rings.
+    Equal outlines of a side are intersected once, where most of its rows share them. Boxes meet on grid cells. Two polygons that fill their boxes are rectangles, whose common area is an expression. Of
+    others, those with up to `short` edges take these along, and the areas of many pairs are summed over slabs together; pairs with longer ones fetch their rings.
     """
+    sides = {key: shapes(df, key, rings) for df, key in ((left, left_id), (right, right_id))}
+    own = [df if sides[key] is None else sides[key][0] for df, key in ((left, left_id), (right, right_id))]
+    found = _overlay(*own, cell, left_id, right_id, rings, short)
+    for key, side in sides.items():
+        if side is not None:
+            _, lists, several = side
+            if several:
+                parts = lists.groupBy(key).agg((F.max("_part") + 1).alias("_parts"))
+                found = found.join(parts, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+            # As many tasks as asked for: few bytes of pairs become many rows.
+            on, tasks = [key, "_part"] if several else [key], int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            met = found.repartition(tasks, *on).join((lists if several else lists.drop("_part")).repartition(tasks, *on), on)
+            found = met.withColumn(key, F.explode("_ids")).select(left_id, right_id, "inter", "a_left", "a_right")
+    return found
+
+
+def _overlay(left: DataFrame, right: DataFrame, cell: float, left_id: str, right_id: str, rings: str, short: int) -> DataFrame:
     # Flat arrays of ends: rings of unlike lengths don't make an array of arrays.
     flat = F.flatten(F.transform(edges(F.col(rings)), lambda e: F.array(e["x1"], e["y1"], e["x2"], e["y2"])))
 

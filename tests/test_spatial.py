@@ -148,3 +148,21 @@ def test_places_are_brought_to_straight_zones(spark):
     z = G.zonal_mean(pixels, zones, 2.5, short=0, to=lambda x, y: F.struct((x + y * y / 10).alias("x"), y.alias("y")))
     want = {k: sum(a < image(x, y)[0] < c and b < y < d for x, y in xy) for k, (a, b, c, d) in sides.items()}
     assert {r["zone_id"]: r["n_inside"] for r in z.collect()} == want
+
+
+def test_equal_outlines_are_intersected_once(spark, monkeypatch):
+    frames = [[ring((x, 0), (x + 4, 0), (x + 4, 4), (x + 2, 1), (x, 4))] for x in (0, 3, 30)]
+    a = spark.createDataFrame([(i, frames[i % 3]) for i in range(30)] + [(99, None)], f"left_id long, rings {G.RINGS}")
+    b = spark.createDataFrame([(i, [ring((i, 0), (i + 3, 1), (i + 2, 3))]) for i in range(6)], f"right_id long, rings {G.RINGS}")
+    want = {(i, j): G.intersection_area(f, r["rings"]) for i, f in ((i, frames[i % 3]) for i in range(30)) for j, r in enumerate(b.orderBy("right_id").collect())}
+    want = {k: v for k, v in want.items() if v > 0}
+    looked, once = [], G._overlay
+    monkeypatch.setattr(G, "_overlay", lambda x, y, *how: looked.append((x.count(), y.count())) or once(x, y, *how))
+    for together in (4096, 3):
+        monkeypatch.setattr(G, "shapes", lambda df, key, rings, f=shapes_of, n=together: f(df, key, rings, n))
+        got = {(r["left_id"], r["right_id"]): r["inter"] for r in G.overlay(a, b, 3.0).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert looked == [(3, 6), (3, 6)]
+
+
+shapes_of = G.shapes
