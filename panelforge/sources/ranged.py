@@ -133,7 +133,9 @@ class _ShapeReader(DataSourceReader):
         return [_Range(*own) for own in _shared_tasks(out)] or [_Range()]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for stem, low, high in partition.value:
+        # Several ranges of a task, or one.
+        own = partition.value
+        for stem, low, high in [own] if own and isinstance(own[0], str) else own:
             yield from self._read(stem, low, high)
 
     def _read(self, stem: str, low: int, high: int) -> Iterator[tuple]:
