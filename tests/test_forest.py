@@ -140,3 +140,21 @@ def test_tasks_find_the_quantiles_and_keep_short_floats(spark, data, monkeypatch
     monkeypatch.undo()
     many = T.forest_oof(short, "x", 4, ["a", "b"], trees=6, local_rows=40, task_bytes=40 * 48).orderBy("unit_id").toPandas()
     assert np.allclose(few[["pred_a", "pred_b"]], many[["pred_a", "pred_b"]])
+
+
+def test_nodes_of_equal_outputs_are_leaves():
+    rng = np.random.default_rng(8)
+    x, w = np.vstack([rng.normal(size=(40, 2)), np.full(2, np.inf)]), np.append(rng.integers(1, 4, 40).astype(float), 0.0)
+    y = np.vstack([np.full((40, 2), [0.1, 1e9 / 3]), np.zeros(2)])
+    gain, _, _ = T.best_cuts(x, np.ascontiguousarray((w[:, None] * y).T), w, np.arange(40)[None], np.array([40]), np.array([[0, 1]]), 5, T.ranked(x))
+    assert gain[0] == 0
+
+
+def test_values_without_a_number_between_are_told_apart():
+    x = np.where(np.arange(40) < 20, 0.3, np.nextafter(0.3, 1))[:, None]
+    # The half rounds to one of the two; both orders of the last bit are tried.
+    for own in (x, np.where(x == 0.3, np.nextafter(0.3, 1), np.nextafter(np.nextafter(0.3, 1), 1))):
+        y = (np.arange(40) >= 20).astype(float)[:, None]
+        _, _, cut = T.best_cut(own, y, np.ones(40), np.arange(1), 5)
+        assert own.min() <= cut < own.max()
+        assert np.array_equal(T.grown(own, y, np.ones(40), np.uint64(1), 0, 0, 7, 5, 1), y)
